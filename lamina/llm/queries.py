@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import bpe_codec, token_counts
+from lamina.llm import bpe_codec, simhash_dedup, token_counts
 from lamina.session import cut_lineage, table
 
 
@@ -23,6 +23,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of 4-word shingles and the components of links at up to 4 bits."""
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document, decodes the ids and gives both digests."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -32,6 +38,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
