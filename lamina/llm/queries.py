@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import bpe_codec, simhash_dedup, token_counts
+from lamina.llm import bpe_codec, prefix_hash, simhash_dedup, token_counts
 from lamina.session import cut_lineage, table
 
 
@@ -23,6 +23,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op3_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    return prefix_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 4-word shingles and the components of links at up to 4 bits."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, seed=42)
@@ -38,6 +43,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_prefix_hash": op3_prefix_hash,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
