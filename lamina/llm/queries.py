@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import bpe_codec, prefix_hash, simhash_dedup, token_counts
+from lamina.llm import bpe_codec, label_shards, prefix_hash, simhash_dedup, token_counts
 from lamina.session import cut_lineage, table
 
 
@@ -34,6 +34,11 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards, equal texts together where the quotas allow it."""
+    return label_shards.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document, decodes the ids and gives both digests."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -45,6 +50,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_prefix_hash": op3_prefix_hash,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_label_shards": op7_label_shards,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
