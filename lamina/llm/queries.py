@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import bpe_codec, label_shards, prefix_hash, simhash_dedup, token_counts
+from lamina.llm import bpe_codec, knn_quality, label_shards, prefix_hash, simhash_dedup, token_counts
 from lamina.session import cut_lineage, table
 
 
@@ -28,6 +28,13 @@ def op3_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    held_out = knn_quality.crc_remainder("doc_id", 3) == 1
+    found = knn_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 4-word shingles and the components of links at up to 4 bits."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, seed=42)
@@ -49,6 +56,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_prefix_hash": op3_prefix_hash,
+    "op4_knn_quality": op4_knn_quality,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_label_shards": op7_label_shards,
     "op10_bpe_codec": op10_bpe_codec,
