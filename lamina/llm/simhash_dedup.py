@@ -4,9 +4,9 @@ A text's fingerprint has bit b set if more than half of its shingles' XXH64 valu
 do. Fingerprints that differ in at most ``radius`` bits are linked. They are found
 without comparing all pairs:
 
-1. Every fingerprint is put under itself and its 64 neighbours at one bit. Those that
-   meet under a key are at most two bits apart, so linking each to the smallest of them
-   is right and joins dense groups without a pair for every two members.
+1. Every fingerprint is put under itself and under itself with one bit cleared. Those that
+   meet under a key are at most two bits apart, so linking the smallest of them to the
+   largest is right, and it joins dense groups without a pair for every two members.
 2. The 64 bits are cut into segments. By the pigeonhole principle two fingerprints
    within the radius agree in some segment up to a small Hamming ball; the ball around
    each fingerprint's segment is looked up in the table of all segments and the full
@@ -31,12 +31,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lamina.llm.batches import small_batches
 from lamina.llm.components import connected_components
 from lamina.session import cut_lineage
 
 BITS = 64
 #: Table entries with more fingerprints than this are compared only across components.
 CROWDED = 64
+#: Keys of crowded entries (16 bytes each) that are broadcast; more of them are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str, words: int, seed: int) -> int:
@@ -70,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int, seed: int = 42, keep: tuple[str, .
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], [*names, "fp"])
 
     schema = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in names)
-    return source.mapInArrow(run, schema + "fp long")
+    return small_batches(source).mapInArrow(run, schema + "fp long")
 
 
 def segment_plan(n: int, radius: int) -> list[tuple[int, int, int]]:
@@ -90,8 +93,10 @@ def segment_plan(n: int, radius: int) -> list[tuple[int, int, int]]:
     return min(plans)[1]
 
 
-def _segment(fp: Column, at: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
+def _keys(plan: list[tuple[int, int, int]], i: int, fp: Column) -> Column:
+    """The table key of fp's segment i; the segment's number stands above its bits."""
+    at, width, _ = plan[i]
+    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")) + F.lit(i << 40)
 
 
 def _masks(width: int, ball: int) -> list[int]:
@@ -99,52 +104,56 @@ def _masks(width: int, ball: int) -> list[int]:
 
 
 def dense_links(known: DataFrame, radius: int) -> DataFrame:
-    """Edges u, v from fingerprints to the smallest that shares a one-bit neighbour with them."""
+    """Edges u, v between fingerprints that share a key: a fingerprint itself, or one with one of its bits cleared.
+
+    All that share a key are within two bits. Each key links the smallest and the largest
+    of its fingerprints; what that leaves out far_links finds.
+    """
     if radius < 2:
         return known.filter("false").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long") for b in range(BITS)])
-    balls = known.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    met = balls.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).filter("v <> w")
-    return balls.join(met, "key").select(F.col("fp").alias("u"), "v").filter("u <> v").distinct()
+    bits = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long") for b in range(BITS)])
+    balls = known.select("fp", F.explode(bits).alias("bit")).filter("bit = 0 or (fp & bit) <> 0")
+    met = balls.groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("key")).agg(F.min("fp").alias("u"), F.max("fp").alias("v"))
+    return met.filter("u <> v").select("u", "v")
 
 
 def far_links(known: DataFrame, plan: list[tuple[int, int, int]], radius: int) -> DataFrame:
-    """Edges u, v between fingerprints of different components of known(fp, component) within the radius."""
+    """Edges u, v between fingerprints of known(fp, component) within the radius.
+
+    Left out are edges within a component that is the main one of a crowded table entry.
+    """
     fp = F.col("fp")
-    entries = F.array(*[F.struct(F.lit(i).alias("part"), _segment(fp, at, width).alias("key")) for i, (at, width, _) in enumerate(plan)])
-    entry = known.select("fp", "component", F.explode(entries).alias("e")).select("fp", "component", "e.part", "e.key")
+    entry = known.select("fp", "component", F.explode(F.array(*[_keys(plan, i, fp) for i in range(len(plan))])).alias("key"))
     probe = None
     for i, (_, width, ball) in enumerate(plan):
-        own = entry.filter(F.col("part") == i)
         masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, ball)])
+        part = known.select("fp", "component", _keys(plan, i, fp).alias("own"), F.explode(masks).alias("mask"))
         # Of two different segments the smaller one asks for the larger: each pair is met once.
-        part = own.select("fp", "component", "part", F.col("key").alias("own"), F.explode(masks).alias("mask"))
-        part = part.select("fp", "component", "part", F.col("own").bitwiseXOR(F.col("mask")).alias("key"), "mask").filter("mask = 0 or key > (key ^ mask)")
+        part = part.withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).filter("key >= own").select("fp", "component", "key")
         probe = part if probe is None else probe.unionByName(part)
 
-    sizes = entry.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
+    sizes = entry.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
     crowded = cut_lineage(
-        entry.join(sizes.select("part", "key"), ["part", "key"], "left_semi")
-        .groupBy("part", "key", "component").agg(F.count("*").alias("n"))
-        .groupBy("part", "key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        entry.join(sizes.select("key"), "key", "left_semi")
+        .groupBy("key", "component").agg(F.count("*").alias("n"))
+        .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     )
-    a = probe.select("part", "key", F.col("fp").alias("u"), F.col("component").alias("cu"), "mask")
-    b = entry.select("part", "key", F.col("fp").alias("v"), F.col("component").alias("cv"))
-    near = (F.col("cu") != F.col("cv")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
-    once = (F.col("mask") != 0) | (F.col("u") < F.col("v"))
-    on = ["part", "key"]
+    number = crowded.count()
+    crowd = F.broadcast(crowded) if number <= BROADCAST_ROWS else crowded
+    a = probe.select("key", F.col("fp").alias("u"), F.col("component").alias("cu"))
+    b = entry.select("key", F.col("fp").alias("v"), F.col("component").alias("cv"))
+    near = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
-    def links(left: DataFrame, right: DataFrame) -> DataFrame:
-        same = [left[c] == right[c] for c in on]
-        return left.join(right, [*same, near & once]).select("cu", "cv")
+    def links(left: DataFrame, right: DataFrame, also: Column) -> DataFrame:
+        return left.join(right, (left["key"] == right["key"]) & near & also).select("u", "v")
 
-    if crowded.isEmpty():
-        return links(a, b).distinct()
-    sparse = links(a.join(crowded, on, "left_anti"), b.join(crowded, on, "left_anti"))
-    a, b = a.join(crowded, on), b.join(crowded, on)
-    others = links(a.drop("main"), b.filter("cv <> main").drop("main"))
-    strays = links(a.filter("cu <> main").drop("main"), b.filter("cv = main").drop("main"))
-    return sparse.unionByName(others).unionByName(strays).distinct()
+    if not number:
+        return links(a.drop("cu"), b.drop("cv"), F.lit(True))
+    sparse = links(a.drop("cu").join(crowd, "key", "left_anti"), b.drop("cv").join(crowd, "key", "left_anti"), F.lit(True))
+    a, b, apart = a.join(crowd, "key"), b.join(crowd, "key"), F.col("cu") != F.col("cv")
+    others = links(a.drop("main"), b.filter("cv <> main").drop("main"), apart)
+    strays = links(a.filter("cu <> main").drop("main"), b.filter("cv = main").drop("main"), apart)
+    return sparse.unionByName(others).unionByName(strays)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
@@ -152,13 +161,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     marked = cut_lineage(fingerprints(docs, words, seed, text=text))
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     dense = connected_components(dense_links(distinct, radius))
-    known = cut_lineage(
-        distinct.join(dense.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    )
-    far = far_links(known.select("fp", "component"), segment_plan(known.count(), radius), radius)
-    joined = connected_components(far.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-    merged = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
-    merged = merged.select("fp", "first", F.coalesce("whole", "component").alias("whole"))
+    known = distinct.select("fp").join(dense.withColumnRenamed("node", "fp"), "fp", "left")
+    known = cut_lineage(known.select("fp", F.coalesce("component", "fp").alias("component")))
+    far = far_links(known, segment_plan(known.count(), radius), radius)
+    stars = known.filter("fp <> component").select(F.col("fp").alias("u"), F.col("component").alias("v"))
+    whole = connected_components(far.unionByName(stars)).withColumnRenamed("node", "fp")
+    merged = distinct.join(whole, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("whole"))
     least = merged.groupBy("whole").agg(F.min("first").alias("component_id"))
     return marked.join(merged.join(least, "whole").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
