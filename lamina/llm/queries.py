@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import bpe_codec, knn_quality, label_shards, prefix_hash, simhash_dedup, token_counts
+from lamina.llm import bpe_codec, knn_quality, label_shards, prefix_hash, simhash_dedup, token_counts, toxic_cnn
 from lamina.session import cut_lineage, table
 
 
@@ -46,6 +46,13 @@ def op7_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_shards.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    held_out = knn_quality.crc_remainder("doc_id", 5) == 0
+    found = toxic_cnn.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document, decodes the ids and gives both digests."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -59,6 +66,7 @@ QUERIES = {
     "op4_knn_quality": op4_knn_quality,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_label_shards": op7_label_shards,
+    "op8_toxic_cnn": op8_toxic_cnn,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
