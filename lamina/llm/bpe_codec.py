@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lamina.llm.batches import small_batches
+
 #: Texts handed to the library at once; bounds a task's memory for very long texts.
 TEXTS_AT_ONCE = 64
 
@@ -95,7 +97,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                 yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids", "offsets"][: len(columns)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(run, schema + extra)
+    return small_batches(source).mapInArrow(run, schema + extra)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lamina.llm.batches import small_batches
+
 PRIME = (1 << 31) - 1
 #: Two bases modulo PRIME: fixed values, any large numbers serve.
 BASES = (1_073_807_359, 1_986_472_639)
@@ -218,5 +220,5 @@ def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
         copies = F.when(F.col("__rank").isin([h for h, _ in before]), F.concat(copies, also)).otherwise(copies)
     dealt = keyed.select(F.explode(copies).alias("c"), "doc_id", "__rank", "__text").select("c.b", "c.ahead", "doc_id", "__rank", "__text")
     dealt = dealt.repartitionById(max(1, len(order)), F.col("b") % max(1, len(order))) if order else dealt
-    dealt = dealt.sortWithinPartitions("b", "ahead", F.desc("__rank"), "__text")
+    dealt = small_batches(dealt).sortWithinPartitions("b", "ahead", F.desc("__rank"), "__text")
     return dealt.select("b", "ahead", F.col("doc_id").cast("long").alias("doc_id"), "__text").mapInArrow(_pairs, FIELDS)

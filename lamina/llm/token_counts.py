@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lamina.llm.batches import small_batches
+
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 TEXTS_AT_ONCE = 64
 
@@ -91,7 +93,7 @@ def count_tokens(
                 counts = count(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], ["digest", "version", "n_tokens"])
 
-    misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    small_batches(misses).mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     stored = read_cache(spark, cache_path, version)
     lengths = keyed.select(*keep, "digest", F.octet_length("__text").cast("long").alias("n_bytes"))
     return lengths.join(stored, "digest").select(*keep, "n_bytes", "n_tokens")
