@@ -32,3 +32,12 @@ def ngram_counts(text: str, width: int) -> np.ndarray:
             codes = np.concatenate((codes[: min(CHUNK, n - 1)], codes[n - 1 : n - 1 + min(CHUNK, max(0, n - 2))]))
         out += np.bincount(codes, minlength=width)
     return out
+
+
+#: ASCII letters to lower case, other ASCII characters but digits to spaces.
+_plain = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+
+
+def plain_words(text: str) -> list[bytes]:
+    """Words of letters, digits and non-ASCII bytes, ASCII letters in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(_plain).split()

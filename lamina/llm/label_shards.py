@@ -53,7 +53,7 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame
     shards = len(quotas)
     labels = cut_lineage(links.select("node", "hub", F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(shards)).cast("int").alias("shard")))
     for turn in range(rounds):
-        held = cut_lineage(labels.groupBy("hub", "shard").agg(F.count("*").alias("n")))
+        held = labels.groupBy("hub", "shard").agg(F.count("*").alias("n")).persist()  # recomputed where an executor is lost
         loads = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = [quotas[s] - loads.get(s, 0) for s in range(shards)]
         open_shards = [s for s in range(shards) if free[s] > 0]
@@ -69,10 +69,11 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame
             .filter("to is not null and to.shard <> shard and (to.n > n or (to.n = n and to.tie > xxhash64(hub, shard)))")
             .select("hub", "shard", "n", F.col("to.shard").alias("to"))
         )
-        wish = cut_lineage(wish)
+        wish = wish.persist()
         demand = {(r["shard"], r["to"]): r["n"] for r in wish.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
         share = accepted(demand, free)
         if sum(n * share[to] for (_, to), n in demand.items()) < 1:
+            held.unpersist(), wish.unpersist()
             break
         # Whole hubs are taken while they fit; a part of a hub that is larger than what is left, node by node.
         take = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("to") + 1)
@@ -81,6 +82,7 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame
         moved = labels.join(wish, ["hub", "shard"], "left")
         goes = F.col("to").isNotNull() & (F.when(F.col("n") <= rooms, draw("hub")).otherwise(draw("node")) < take)
         labels = cut_lineage(moved.select("node", "hub", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        held.unpersist(), wish.unpersist()
     return labels
 
 
@@ -140,7 +142,7 @@ def shard_by_links(nodes: DataFrame, shards: int, rounds: int = 8) -> DataFrame:
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     buckets = max(1, total // (shards * BUCKET_ROWS))
     shared = members.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub", F.lit(True).alias("linked"))
-    members = cut_lineage(members.join(shared, "hub", "left").select("node", "hub", F.coalesce("linked", F.lit(False)).alias("linked")))
+    members = members.join(shared, "hub", "left").select("node", "hub", F.coalesce("linked", F.lit(False)).alias("linked")).persist()
     linked = propagate(members.filter("linked").select("node", "hub"), quotas, rounds)
     # Rows without a link fill what is left, in proportion.
     loads = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -151,6 +153,7 @@ def shard_by_links(nodes: DataFrame, shards: int, rounds: int = 8) -> DataFrame:
     loose = members.filter("not linked").withColumn("shard", F.least(into, F.lit(shards - 1)).cast("int"))
     labels = loose.select("node", "hub", "linked", "shard").unionByName(linked.select("node", "hub", F.lit(True).alias("linked"), "shard"))
     even = balanced(cut_lineage(labels), quotas, buckets)
+    members.unpersist()
     return ranked(cut_lineage(even), ["shard"], [F.xxhash64("node")], buckets, "slot").select("node", "shard", "slot")
 
 

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import bpe_codec, knn_quality, label_shards, prefix_hash, simhash_dedup, token_counts, toxic_cnn
+from lamina.llm import bpe_codec, decontaminate, knn_quality, label_shards, prefix_hash, simhash_dedup, token_counts, toxic_cnn, url_lists
 from lamina.session import cut_lineage, table
 
 
@@ -35,6 +35,11 @@ def op4_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with copies of benchmark items, by rare n-gram seeds and local alignment."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 4-word shingles and the components of links at up to 4 bits."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, seed=42)
@@ -53,6 +58,32 @@ def op8_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url and a fetch date for every page: a day of 2024 told from its number."""
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 365).cast("int")).alias("fetched"))
+
+
+def list_log(pages: DataFrame) -> DataFrame:
+    """A dated log of four lists over the pages' hosts and their parent domains, told from digests of the names."""
+    names = pages.select(url_lists.host(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    names = names.select(F.explode(url_lists.parents(F.col("host"))).alias("pattern")).filter("instr(pattern, '.') > 0").distinct()
+    turns = names.select("pattern", F.explode(F.array(*[F.lit(i) for i in range(6)])).alias("turn"))
+    part = lambda at, digits: F.conv(F.substring("digest", at, digits), 16, 10).cast("int")
+    turns = turns.withColumn("digest", F.md5(F.concat_ws("#", "pattern", F.col("turn").cast("string")).cast("binary")))
+    return turns.filter(part(1, 2) < 96).select(
+        F.element_at(F.array(*[F.lit(x) for x in ("adult", "malware", "spam", "trackers")]), part(3, 2) % 4 + 1).alias("list"),
+        "pattern",
+        F.element_at(F.array(*[F.lit(x) for x in ("block", "allow", "remove", "block")]), part(5, 2) % 4 + 1).alias("action"),
+        F.date_add(F.lit("2023-10-01").cast("date"), part(7, 4) % 450).alias("dated"),
+    )
+
+
+def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries that held when it was fetched."""
+    found = url_lists.evaluate(fetched_pages(spark, sf_dir), list_log(table(spark, sf_dir, "pages")))
+    return found.withColumn("fetched", F.col("fetched").cast("string"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document, decodes the ids and gives both digests."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -64,10 +95,42 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_prefix_hash": op3_prefix_hash,
     "op4_knn_quality": op4_knn_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_label_shards": op7_label_shards,
     "op8_toxic_cnn": op8_toxic_cnn,
+    "op9_url_lists": op9_url_lists,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB's form of url_lists.HOST, of a list of parent domains, and of the log above.
+_URL_SQL = r"""
+WITH captures AS (
+  SELECT page_id, coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1), '') AS host,
+         (DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER)) AS fetched
+  FROM pages),
+moments AS (SELECT DISTINCT host, fetched FROM captures WHERE host <> '' AND fetched IS NOT NULL),
+asked AS (
+  SELECT host, fetched, unnest([array_to_string(string_split(host, '.')[i:], '.') for i in range(1, len(string_split(host, '.')) + 1)]) AS pattern
+  FROM moments),
+turns AS (
+  SELECT pattern, turn, md5(pattern || '#' || turn::VARCHAR) AS digest
+  FROM (SELECT DISTINCT pattern FROM asked WHERE contains(pattern, '.')), range(6) t(turn)),
+entries AS (
+  SELECT ['adult', 'malware', 'spam', 'trackers'][('0x' || digest[3:4])::INT % 4 + 1] AS list, pattern,
+         ['block', 'allow', 'remove', 'block'][('0x' || digest[5:6])::INT % 4 + 1] AS action,
+         DATE '2023-10-01' + ('0x' || digest[7:10])::INT % 450 AS dated
+  FROM turns WHERE ('0x' || digest[1:2])::INT < 96),
+log AS (SELECT list, pattern, dated, max(action) AS action FROM entries GROUP BY ALL),
+holds AS (
+  SELECT list, pattern, action, dated AS valid_from, lead(dated) OVER (PARTITION BY list, pattern ORDER BY dated) AS valid_to FROM log),
+said AS (
+  SELECT host, fetched, list, max_by(action, length(a.pattern)) AS action
+  FROM asked a JOIN holds h ON a.pattern = h.pattern AND fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)
+  WHERE action <> 'remove' GROUP BY ALL),
+blocked AS (SELECT host, fetched, string_agg(list, ',' ORDER BY list) AS lists FROM said WHERE action = 'block' GROUP BY ALL)
+SELECT page_id, c.host, c.fetched::DATE::VARCHAR AS fetched, lists IS NOT NULL AS blocked, coalesce(lists, '') AS lists
+FROM captures c LEFT JOIN blocked b ON c.host = b.host AND c.fetched = b.fetched
+"""
+
+ORACLES: dict[str, str] = {"op9_url_lists": _URL_SQL}

@@ -17,6 +17,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -53,6 +54,16 @@ def _counter(path: str) -> Callable[[list[str]], list[int]]:
     return _tokenizers[path]
 
 
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        seen: dict[bytes, bytes] = {}
+        for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if digest not in seen:
+                seen[digest] = pack(text.encode())
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.binary())], ["digest", "packed"])
+
+
 def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame | None:
     """digest, n_tokens of one tokenizer version; None where no cache has been written."""
     try:
@@ -78,22 +89,24 @@ def count_tokens(
     """
     spark, version = docs.sparkSession, tokenizer_version(tokenizer_path)
     content = normalise(F.col(text))
-    keyed = docs.select(*keep, content.alias("__text"), F.unhex(F.sha2(content, 256)).alias("digest"))
+    digest = F.unhex(F.sha2(content, 256)).alias("digest")
 
-    # One row of each text leaves its map task, so a text that a third of all rows repeat moves once a task.
-    misses = keyed.select("digest", "__text").dropDuplicates(["digest"])
+    # Texts cross the shuffle as zstd frames. One row of each text leaves its map task, so a
+    # text that a third of all rows repeat moves once a task.
+    packed = small_batches(docs.select(digest, content.alias("__text"))).mapInArrow(_pack, "digest binary, packed binary")
+    misses = packed.dropDuplicates(["digest"])
     if (known := read_cache(spark, cache_path, version)) is not None:
         misses = misses.join(known, "digest", "left_anti")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(tokenizer_path)
+        count, unpack = _counter(tokenizer_path), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
-                counts = count(part.column(1).to_pylist())
+                counts = count([unpack(x).decode() for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], ["digest", "version", "n_tokens"])
 
     small_batches(misses).mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     stored = read_cache(spark, cache_path, version)
-    lengths = keyed.select(*keep, "digest", F.octet_length("__text").cast("long").alias("n_bytes"))
+    lengths = docs.select(*keep, digest, F.octet_length(content).cast("long").alias("n_bytes"))
     return lengths.join(stored, "digest").select(*keep, "n_bytes", "n_tokens")
