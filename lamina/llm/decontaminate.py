@@ -8,7 +8,7 @@
 3. Each pair is aligned word by word (local alignment with gaps). The score, divided by that
    of a perfect copy, is the similarity; edited and paraphrased copies lose in proportion.
 
-Words: ASCII letters in lower case, ASCII punctuation dropped. Defined results: null and
+Words: lower case, ASCII punctuation dropped. Defined results: null and
 empty texts have no words and match nothing, nor do items of fewer than N words; a passage
 in several places of a document counts once, with its best alignment; items with the same
 item_id are aligned each and the best counts; repeated documents come out once for each
@@ -76,7 +76,7 @@ def benchmark_grams(items: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = plain_words(text)
+                words = plain_words(text.lower())
                 found = grams(words)
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found), pa.array([len(words)] * len(found), pa.int32())], ["item", "at", "gram", "words"])
 
@@ -113,7 +113,7 @@ def passages(docs: DataFrame, known: Known, longest: int) -> DataFrame:
         for batch in batches:
             ids, starts, texts, hits = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = plain_words(text.as_py())
+                words = plain_words(text.as_py().lower())
                 found = grams(words)
                 at = known.hits(found)
                 if not len(at):
@@ -133,10 +133,10 @@ def passages(docs: DataFrame, known: Known, longest: int) -> DataFrame:
 
 
 def rare_seeds(found: DataFrame, hits: DataFrame) -> DataFrame:
-    """gram, item: of each BLOCK successive n-grams of an item the one that hits(gram) has least often."""
+    """gram, item: of each BLOCK successive n-grams of an item the one that hits(gram) has least often, but has."""
     often = hits.groupBy("gram").agg(F.count("*").alias("often"))
-    least = W.partitionBy("item", F.floor(F.col("at") / BLOCK)).orderBy(F.coalesce("often", F.lit(0)), "at")
-    ranked = found.join(often, "gram", "left").withColumn("nth", F.row_number().over(least))
+    least = W.partitionBy("item", F.floor(F.col("at") / BLOCK)).orderBy("often", "at")
+    ranked = found.join(often, "gram").withColumn("nth", F.row_number().over(least))
     return ranked.filter("nth = 1").select("gram", "item").distinct()
 
 
@@ -173,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         for batch in batches:
             scores, ends = [], []
             for start, own, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                words = plain_words(text)
+                words = plain_words(text.lower())
                 best, end = align(words, own.encode().split())
                 scores.append(best / (MATCH * max(1, len(words))))
                 ends.append(start + end)
