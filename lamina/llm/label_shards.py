@@ -60,14 +60,18 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame
         # The shard that attracts a hub: most members first; the tie is settled by a hash, the same for all members.
         pull = F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")
         best = held.groupBy("hub").agg(
+            F.sum("n").alias("whole"),
             F.max(pull).alias("best"),
             F.max(F.when(F.col("shard").isin(open_shards), pull)).alias("open"),
         )
+        # A small hub whose shard is closed gathers in its best open one, also from the closed one.
+        shut = ~F.col("best.shard").isin(open_shards) & (F.col("whole") <= max(1, min(quotas) // 4))
         wish = (
             held.join(best, "hub")
-            .select("hub", "shard", "n", F.when(F.col("best.shard") == F.col("shard"), F.lit(None)).otherwise(F.coalesce("open", "best")).alias("to"))
-            .filter("to is not null and to.shard <> shard and (to.n > n or (to.n = n and to.tie > xxhash64(hub, shard)))")
-            .select("hub", "shard", "n", F.col("to.shard").alias("to"))
+            .withColumn("to", F.when(shut, F.col("open")).when(F.col("best.shard") != F.col("shard"), F.coalesce("open", "best")))
+            .withColumn("shut", shut)
+            .filter("to is not null and to.shard <> shard and (shut or to.n > n or (to.n = n and to.tie > xxhash64(hub, shard)))")
+            .select("hub", "shard", "n", "whole", F.col("to.shard").alias("to"))
         )
         wish = wish.persist()
         demand = {(r["shard"], r["to"]): r["n"] for r in wish.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
@@ -80,7 +84,7 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame
         rooms = F.element_at(F.array(*[F.lit(max(1, q // 4)) for q in quotas]), F.col("to") + 1)
         draw = lambda *c: F.pmod(F.xxhash64(F.lit(turn), *c), F.lit(1_000_003)) / 1_000_003.0
         moved = labels.join(wish, ["hub", "shard"], "left")
-        goes = F.col("to").isNotNull() & (F.when(F.col("n") <= rooms, draw("hub")).otherwise(draw("node")) < take)
+        goes = F.col("to").isNotNull() & (F.when(F.col("whole") <= rooms, draw("hub")).otherwise(draw("node")) < take)
         labels = cut_lineage(moved.select("node", "hub", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")))
         held.unpersist(), wish.unpersist()
     return labels
