@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import bpe_codec, decontaminate, knn_quality, label_shards, prefix_hash, simhash_dedup, token_counts, toxic_cnn, url_lists
+from lamina.llm import bpe_codec, decontaminate, knn_quality, label_shards, prefix_hash, recurrent_lm, simhash_dedup, token_counts, toxic_cnn, url_lists
 from lamina.session import cut_lineage, table
 
 
@@ -17,6 +17,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log probabilities of every document, learned from those that are not held out."""
+    held_out = knn_quality.crc_remainder("doc_id", 10) == 0
+    return recurrent_lm.score_documents(table(spark, sf_dir, "documents"), held_out, shared_folder(spark, "lm"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document through a new digest cache."""
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), shared_folder(spark, "token-counts"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -92,6 +98,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_recurrent_lm": op1_recurrent_lm,
     "op2_token_counts": op2_token_counts,
     "op3_prefix_hash": op3_prefix_hash,
     "op4_knn_quality": op4_knn_quality,
