@@ -113,8 +113,8 @@ def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, prior: floa
     return np.where(mass > 0, score, prior)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, label: str = "quality") -> DataFrame:
-    """doc_id, score, predicted of every document; learns from all rows of ``labels`` it is given.
+def score_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",), label: str = "quality") -> DataFrame:
+    """Columns ``keep``, score, predicted of every document; learns from all rows of ``labels`` it is given.
 
     ``corpus`` (docs unless given) holds the labelled texts and the document frequencies.
     """
@@ -143,10 +143,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, axes, known, marks, prior, weights = model.value
         for batch in batches:
-            counts = np.array([ngram_counts(t.as_py(), WIDTH) for t in batch.column(1)]).reshape(-1, WIDTH)
-            repeated = np.array([repeats(t.as_py()) for t in batch.column(1)])
+            counts = np.array([ngram_counts(t.as_py(), WIDTH) for t in batch.column(len(keep))]).reshape(-1, WIDTH)
+            repeated = np.array([repeats(t.as_py()) for t in batch.column(len(keep))])
             found = vote(latent(counts, repeated, idf, axes), known, marks, prior, weights)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return small_batches(texts).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    kinds = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in keep)
+    return small_batches(source).mapInArrow(score, kinds + "score double, predicted int")
