@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators: evaluation, learning, monitoring, images."""

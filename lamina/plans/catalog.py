@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lamina.plans import reading
+
+QUERIES = {**reading.QUERIES}
+ORACLES = {**reading.ORACLES}
