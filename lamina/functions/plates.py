@@ -123,4 +123,4 @@ def alert_line(status: Column, severity: Column, name: Column, summary: Column)
 
 def shown(value: Column) -> Column:
     """Four decimals, n/a for null."""
-    return F.coalesce(F.format_string("%.4f", value), F.lit("n/a"))
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.4f", value))

@@ -114,9 +114,9 @@ def rate_limited(requests: DataFrame, client: str, at: str, window: float, most:
     return folded.select(client, "r.i.*", "r.v.*")
 
 
-def exposition(counts: DataFrame, metric: str, label: str, value: str) -> DataFrame:
-    """One line of the text format for each label value."""
-    return counts.select(F.format_string("%s{%s=\"%s\"} %d", F.lit(metric), F.lit(label), F.col(label), F.col(value)).alias("line"))
+def exposition(counts: DataFrame, metric: str, label: str, column: str, value: str) -> DataFrame:
+    """One line of the text format for each value of the column that gives the label."""
+    return counts.select(F.format_string("%s{%s=\"%s\"} %d", F.lit(metric), F.lit(label), F.col(column), F.col(value)).alias("line"))
 
 
 def prometheus_value(payload: Column) -> Column:

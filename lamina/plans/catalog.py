@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.plans import reading
+from lamina.plans import reading, telemetry, training
 
-QUERIES = {**reading.QUERIES}
-ORACLES = {**reading.ORACLES}
+QUERIES = {**reading.QUERIES, **telemetry.QUERIES, **training.QUERIES}
+ORACLES = {**reading.ORACLES, **telemetry.ORACLES, **training.ORACLES}

@@ -1 +1 @@
-"""See the package README."""
+"""Sources and sinks."""

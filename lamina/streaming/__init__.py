@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming operators."""
