@@ -227,7 +227,9 @@ def synthetic_glyphs(spark: SparkSession, per_class: int, seed: int = 0) -> Data
         if rng.random() < 0.4:
             image = pixels.spread(image > 127, 1).astype(np.uint8) * 255
         noisy = image + rng.normal(0, 12, image.shape)
-        return pixels.glyph(np.clip(noisy, 0, 255) > 127).tobytes()
+        mask = np.clip(noisy, 0, 255) > 127
+        ys, xs = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+        return pixels.glyph(mask[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
