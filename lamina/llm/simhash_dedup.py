@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +42,20 @@ CROWDED = 64
 BROADCAST_ROWS = 200_000
 
 
-def fingerprint(text: str, words: int, seed: int) -> int:
-    """The SimHash of a text's word shingles, 64 bits unsigned."""
+def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; of the whole sequence where it is shorter."""
     found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
-    if not found:
-        return 0
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(found), seed)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), seed)] if found else [], np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)]
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is set if more than half of the hashes have it; 0 without hashes."""
     n = len(hashes)
     rows = np.zeros((-(-n // 255) * 255,), ">u8")
     rows[:n] = hashes
@@ -62,18 +64,35 @@ def fingerprint(text: str, words: int, seed: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Columns ``keep`` and fp, the fingerprint as a signed long."""
+def fingerprint(text: str, words: int, seed: int) -> int:
+    """The SimHash of a text's word shingles, 64 bits unsigned."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def lane(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Hashes of another lane: lane 0 are the hashes themselves."""
+    if not number:
+        return hashes
+    x = (hashes ^ np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, words: int, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lanes: int = 1) -> DataFrame:
+    """Columns ``keep``, fp, the fingerprint as a signed long, and w1, w2, ... of further lanes."""
     source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    names = list(keep)
+    names = [*keep, "fp", *[f"w{i}" for i in range(1, lanes)]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(x.as_py(), words, seed) for x in batch.column(len(names))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], [*names, "fp"])
+            values = np.zeros((lanes, batch.num_rows), np.uint64)
+            for i, text in enumerate(batch.column(len(keep))):
+                hashes = shingle_hashes(text.as_py(), words, seed)
+                values[:, i] = [majority(lane(hashes, n)) for n in range(lanes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(v.view(np.int64)) for v in values]], names)
 
-    schema = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in names)
-    return small_batches(source).mapInArrow(run, schema + "fp long")
+    schema = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in keep)
+    return small_batches(source).mapInArrow(run, schema + ", ".join(f"{name} long" for name in names[len(keep) :]))
 
 
 def segment_plan(n: int, radius: int) -> list[tuple[int, int, int]]:
@@ -93,10 +112,10 @@ def segment_plan(n: int, radius: int) -> list[tuple[int, int, int]]:
     return min(plans)[1]
 
 
-def _keys(plan: list[tuple[int, int, int]], i: int, fp: Column) -> Column:
-    """The table key of fp's segment i; the segment's number stands above its bits."""
-    at, width, _ = plan[i]
-    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")) + F.lit(i << 40)
+def _keys(segments: list[tuple[str, int, int, int]], i: int) -> Column:
+    """The table key of segment i; the segment's number stands above its bits."""
+    column, at, width, _ = segments[i]
+    return F.shiftrightunsigned(F.col(column), at).bitwiseAND(F.lit((1 << width) - 1).cast("long")) + F.lit(i << 40)
 
 
 def _masks(width: int, ball: int) -> list[int]:
@@ -117,17 +136,17 @@ def dense_links(known: DataFrame, radius: int) -> DataFrame:
     return met.filter("u <> v").select("u", "v")
 
 
-def far_links(known: DataFrame, plan: list[tuple[int, int, int]], radius: int) -> DataFrame:
-    """Edges u, v between fingerprints of known(fp, component) within the radius.
+def far_links(known: DataFrame, segments: list[tuple[str, int, int, int]], radius: int, apart: bool = False) -> DataFrame:
+    """Edges u, v between fingerprints of known(fp, component, ...) that meet in a segment and differ in at most ``radius`` bits of fp.
 
-    Left out are edges within a component that is the main one of a crowded table entry.
+    A segment is (column, first bit, width, ball radius). Left out are edges within a component that is the main
+    one of a crowded table entry; with ``apart``, all edges within a component.
     """
-    fp = F.col("fp")
-    entry = known.select("fp", "component", F.explode(F.array(*[_keys(plan, i, fp) for i in range(len(plan))])).alias("key"))
+    entry = known.select("fp", "component", F.explode(F.array(*[_keys(segments, i) for i in range(len(segments))])).alias("key"))
     probe = None
-    for i, (_, width, ball) in enumerate(plan):
+    for i, (_, _, width, ball) in enumerate(segments):
         masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, ball)])
-        part = known.select("fp", "component", _keys(plan, i, fp).alias("own"), F.explode(masks).alias("mask"))
+        part = known.select("fp", "component", _keys(segments, i).alias("own"), F.explode(masks).alias("mask"))
         # Of two different segments the smaller one asks for the larger: each pair is met once.
         part = part.withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).filter("key >= own").select("fp", "component", "key")
         probe = part if probe is None else probe.unionByName(part)
@@ -143,16 +162,18 @@ def far_links(known: DataFrame, plan: list[tuple[int, int, int]], radius: int) -
     a = probe.select("key", F.col("fp").alias("u"), F.col("component").alias("cu"))
     b = entry.select("key", F.col("fp").alias("v"), F.col("component").alias("cv"))
     near = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
+    differ = F.col("cu") != F.col("cv")
 
     def links(left: DataFrame, right: DataFrame, also: Column) -> DataFrame:
         return left.join(right, (left["key"] == right["key"]) & near & also).select("u", "v")
 
+    plain = (lambda left, right: links(left, right, differ)) if apart else (lambda left, right: links(left.drop("cu"), right.drop("cv"), F.lit(True)))
     if not number:
-        return links(a.drop("cu"), b.drop("cv"), F.lit(True))
-    sparse = links(a.drop("cu").join(crowd, "key", "left_anti"), b.drop("cv").join(crowd, "key", "left_anti"), F.lit(True))
-    a, b, apart = a.join(crowd, "key"), b.join(crowd, "key"), F.col("cu") != F.col("cv")
-    others = links(a.drop("main"), b.filter("cv <> main").drop("main"), apart)
-    strays = links(a.filter("cu <> main").drop("main"), b.filter("cv = main").drop("main"), apart)
+        return plain(a, b)
+    sparse = plain(a.join(crowd, "key", "left_anti"), b.join(crowd, "key", "left_anti"))
+    a, b = a.join(crowd, "key"), b.join(crowd, "key")
+    others = links(a.drop("main"), b.filter("cv <> main").drop("main"), differ)
+    strays = links(a.filter("cu <> main").drop("main"), b.filter("cv = main").drop("main"), differ)
     return sparse.unionByName(others).unionByName(strays)
 
 
@@ -163,9 +184,62 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     dense = connected_components(dense_links(distinct, radius))
     known = distinct.select("fp").join(dense.withColumnRenamed("node", "fp"), "fp", "left")
     known = cut_lineage(known.select("fp", F.coalesce("component", "fp").alias("component")))
-    far = far_links(known, segment_plan(known.count(), radius), radius)
+    segments = [("fp", *part) for part in segment_plan(known.count(), radius)]
+    far = far_links(known, segments, radius)
     stars = known.filter("fp <> component").select(F.col("fp").alias("u"), F.col("component").alias("v"))
-    whole = connected_components(far.unionByName(stars)).withColumnRenamed("node", "fp")
+    return _grouped(marked, distinct, far.unionByName(stars))
+
+
+def _grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of marked(doc_id, fp) by edges(u, v) between the fingerprints of distinct(fp, first)."""
+    whole = connected_components(edges).withColumnRenamed("node", "fp")
     merged = distinct.join(whole, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("whole"))
     least = merged.groupBy("whole").agg(F.min("first").alias("component_id"))
     return marked.join(merged.join(least, "whole").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+#: For similarity: lanes of 64 bits, segments of a lane, bits of a segment, bits that lane 0 may differ in.
+LANES, PARTS, PART_BITS, LANE_RADIUS = 4, 3, 20, 16
+
+
+def allowed_bits(similarity: float, bits: int = BITS * LANES) -> int:
+    """Bits that texts with this share of common shingles differ in, and 1.28 deviations more: nine in ten such pairs are within."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * p + 1.28 * sqrt(bits * p * (1 - p)))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, text: str = "text") -> DataFrame:
+    """doc_id, fp and component_id, with links at a share of common word shingles instead of a few bits.
+
+    A share of 0.8 stands for ten of 64 bits, too many for exact balls, and 64 bits tell it badly. So the fingerprint has
+    LANES lanes of 64 bits, cut into segments of PART_BITS, and the ball around each segment is one bit: two texts at the
+    limit meet in some segment nine times in ten, more similar ones nearly always. Candidates must agree in all but
+    LANE_RADIUS bits of lane 0, then the complete distance over all lanes decides (allowed_bits). Before the table
+    look-up, fingerprints that share a segment are linked to their neighbours in order, so that large groups are one
+    component each, within which nothing is compared again.
+    """
+    columns = ["fp", *[f"w{i}" for i in range(1, LANES)]]
+    marked = cut_lineage(fingerprints(docs, words, seed, text=text, lanes=LANES))
+    # Texts that agree in all of lane 0 are one node; its other lanes are those of its first document.
+    lanes = F.min_by(F.struct(*columns[1:]), "doc_id").alias("w")
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.coalesce(lanes, F.first(F.struct(*columns[1:]))).alias("w"))
+    distinct = cut_lineage(distinct.select("fp", "first", "w.*"))
+    most = allowed_bits(similarity)
+    segments = [(c, PART_BITS * j, PART_BITS, 1) for c in columns for j in range(PARTS)]
+
+    def distance(u: str, v: str) -> Column:
+        return sum((F.bit_count(F.col(f"{u}{c}").bitwiseXOR(F.col(f"{v}{c}"))) for c in columns[1:]), F.bit_count(F.col(f"{u}fp").bitwiseXOR(F.col(f"{v}fp"))))
+
+    from pyspark.sql import Window as W
+
+    entry = distinct.select(*columns, F.explode(F.array(*[_keys(segments, i) for i in range(len(segments))])).alias("key"))
+    before = F.lag(F.struct(*columns)).over(W.partitionBy("key").orderBy("fp"))
+    beside = entry.withColumn("b", before).filter("b is not null").select(*columns, *[F.col(f"b.{c}").alias(f"b_{c}") for c in columns])
+    beside = beside.filter(distance("", "b_") <= most).select(F.col("fp").alias("u"), F.col("b_fp").alias("v"))
+    dense = connected_components(dense_links(distinct.select("fp"), 2).unionByName(beside))
+    known = cut_lineage(distinct.join(dense.withColumnRenamed("node", "fp"), "fp", "left").select(*columns, F.coalesce("component", "fp").alias("component")))
+    far = cut_lineage(far_links(known, segments, LANE_RADIUS, apart=True).distinct())
+    sides = [known.select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "uv"]
+    pairs = far.join(sides[0], F.col("u") == F.col("u_fp")).join(sides[1], F.col("v") == F.col("v_fp")).filter(distance("u_", "v_") <= most)
+    stars = known.filter("fp <> component").select(F.col("fp").alias("u"), F.col("component").alias("v"))
+    return _grouped(marked, distinct, pairs.select("u", "v").unionByName(stars))

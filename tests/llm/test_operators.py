@@ -165,7 +165,7 @@ def test_links_of_crowded_fingerprints_are_all_found(spark, radius, monkeypatch)
     known = spark.createDataFrame([(p - (1 << 64) * (p >> 63),) for p in signed.values()], "fp long")
     dense = simhash_dedup.connected_components(simhash_dedup.dense_links(known, radius))
     joined = known.join(dense.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
-    far = simhash_dedup.far_links(joined, simhash_dedup.segment_plan(known.count(), radius), radius)
+    far = simhash_dedup.far_links(joined, [("fp", *part) for part in simhash_dedup.segment_plan(known.count(), radius)], radius)
     edges = {(r["u"], r["v"]) for r in far.collect()} | {(r["fp"], r["component"]) for r in joined.collect()}
     parent = {p - (1 << 64) * (p >> 63): p - (1 << 64) * (p >> 63) for p in prints}
 
