@@ -31,6 +31,7 @@ from lamina.llm.batches import small_batches
 PRIME = (1 << 31) - 1
 #: Two bases modulo PRIME: fixed values, any large numbers serve.
 BASES = (1_073_807_359, 1_986_472_639)
+INVERSES = tuple(pow(b, -1, PRIME) for b in BASES)
 #: Characters of a span, hashes kept of a text, bytes kept of a hash.
 WIDTH, KEPT, HASH_BYTES = 16, 64, 5
 
@@ -72,14 +73,18 @@ class PrefixHashes:
     def spans(self, starts: np.ndarray, length: int) -> np.ndarray:
         """62-bit hashes of the spans of one length at the given starts."""
         out = np.zeros(len(starts), np.uint64)
-        for b, s in zip(BASES, self.sums, strict=True):
-            inverse = powers(pow(b, -1, PRIME), self.n + 1)
+        for b, s in zip(INVERSES, self.sums, strict=True):
+            inverse = powers(b, self.n + 1)
             difference = s[starts + length] + np.uint64(PRIME) - s[starts]
             out = (out << np.uint64(31)) | _reduce(_reduce(difference) * inverse[starts])
         return out
 
     def span(self, start: int, length: int) -> int:
-        return int(self.spans(np.array([start]), length)[0])
+        """The hash of one span, as spans gives it."""
+        out = 0
+        for inverse, s in zip(INVERSES, self.sums, strict=True):
+            out = out << 31 | (int(s[start + length]) - int(s[start])) * pow(inverse, start, PRIME) % PRIME
+        return out
 
     def windows(self) -> np.ndarray:
         """Mixed hashes of all spans of WIDTH characters."""
@@ -87,8 +92,8 @@ class PrefixHashes:
         if count <= 0:
             return np.zeros(0, np.uint64)
         out = np.zeros(count, np.uint64)
-        for b, s in zip(BASES, self.sums, strict=True):
-            inverse = powers(pow(b, -1, PRIME), count)
+        for b, s in zip(INVERSES, self.sums, strict=True):
+            inverse = powers(b, count)
             out = (out << np.uint64(31)) | _reduce(_reduce(s[WIDTH:] + np.uint64(PRIME) - s[:-WIDTH]) * inverse)
         return _mixed(out)
 
