@@ -71,19 +71,25 @@ def codec(path: str, pattern: str) -> tuple:
     return _codecs[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_offsets: bool = False) -> DataFrame:
-    """Columns ``keep`` with n_tokens, ids (little-endian unsigned 32-bit integers) and, if asked, offsets.
+def decoded_bytes(by_id: list[bytes], ids: np.ndarray) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(by_id.__getitem__, ids.tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_offsets: bool = False, with_check: bool = False) -> DataFrame:
+    """Columns ``keep`` with n_tokens, ids (little-endian unsigned 32-bit integers) and, if asked, offsets and round_trip.
 
     offsets holds a start and an end for each id in characters of the text; ids that
-    share a split character have that character's span.
+    share a split character have that character's span. round_trip tells whether decoding the ids gives the text's bytes.
     """
     source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = [source.schema[name] for name in keep]
-    extra = ", n_tokens long, ids binary" + ", offsets array<int>" * with_offsets
+    extra = ", n_tokens long, ids binary" + ", offsets array<int>" * with_offsets + ", round_trip boolean" * with_check
     names = list(keep)
+    added = ["n_tokens", "ids", *["offsets"] * with_offsets, *["round_trip"] * with_check]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _ = codec(path, pattern)
+        tokenizer, by_id = codec(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
@@ -94,7 +100,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                 columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 if with_offsets:
                     columns.append(pa.array([[n for pair in x.offsets for n in pair] for x in found], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids", "offsets"][: len(columns)])
+                if with_check:
+                    columns.append(pa.array([decoded_bytes(by_id, x) == t.encode() for x, t in zip(ids, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return small_batches(source).mapInArrow(run, schema + extra)
@@ -110,7 +118,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
-                out = [b"".join(map(by_id.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(at_ids).to_pylist()]
+                out = [decoded_bytes(by_id, np.frombuffer(x or b"", "<u4")) for x in part.column(at_ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     schema = ", ".join(f"`{name}` {source.schema[name].dataType.simpleString()}" for name in names)

@@ -23,13 +23,14 @@ tables give empty tables; other columns are dropped.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lamina.llm.batches import small_batches
 from lamina.llm.components import connected_components
@@ -136,19 +137,19 @@ def dense_links(known: DataFrame, radius: int) -> DataFrame:
     return met.filter("u <> v").select("u", "v")
 
 
-def far_links(known: DataFrame, segments: list[tuple[str, int, int, int]], radius: int, apart: bool = False) -> DataFrame:
-    """Edges u, v between fingerprints of known(fp, component, ...) that meet in a segment and differ in at most ``radius`` bits of fp.
+def far_links(known: DataFrame, segments: list[tuple[str, int, int, int]], radius: int, columns: tuple[str, ...] = ("fp",), apart: bool = False) -> DataFrame:
+    """Edges u, v between fingerprints of known(*columns, component) that meet in a segment and differ in at most ``radius`` bits of all columns.
 
     A segment is (column, first bit, width, ball radius). Left out are edges within a component that is the main
     one of a crowded table entry; with ``apart``, all edges within a component.
     """
-    entry = known.select("fp", "component", F.explode(F.array(*[_keys(segments, i) for i in range(len(segments))])).alias("key"))
+    entry = known.select(*columns, "component", F.explode(F.array(*[_keys(segments, i) for i in range(len(segments))])).alias("key"))
     probe = None
     for i, (_, _, width, ball) in enumerate(segments):
         masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, ball)])
-        part = known.select("fp", "component", _keys(segments, i).alias("own"), F.explode(masks).alias("mask"))
+        part = known.select(*columns, "component", _keys(segments, i).alias("own"), F.explode(masks).alias("mask"))
         # Of two different segments the smaller one asks for the larger: each pair is met once.
-        part = part.withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).filter("key >= own").select("fp", "component", "key")
+        part = part.withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).filter("key >= own").select(*columns, "component", "key")
         probe = part if probe is None else probe.unionByName(part)
 
     sizes = entry.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
@@ -159,13 +160,13 @@ def far_links(known: DataFrame, segments: list[tuple[str, int, int, int]], radiu
     )
     number = crowded.count()
     crowd = F.broadcast(crowded) if number <= BROADCAST_ROWS else crowded
-    a = probe.select("key", F.col("fp").alias("u"), F.col("component").alias("cu"))
-    b = entry.select("key", F.col("fp").alias("v"), F.col("component").alias("cv"))
-    near = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
+    a = probe.select("key", F.col("component").alias("cu"), *[F.col(c).alias(f"u_{c}") for c in columns])
+    b = entry.select("key", F.col("component").alias("cv"), *[F.col(c).alias(f"v_{c}") for c in columns])
+    near = (F.col("u_fp") != F.col("v_fp")) & (distance(columns, "u_", "v_") <= radius)
     differ = F.col("cu") != F.col("cv")
 
     def links(left: DataFrame, right: DataFrame, also: Column) -> DataFrame:
-        return left.join(right, (left["key"] == right["key"]) & near & also).select("u", "v")
+        return left.join(right, (left["key"] == right["key"]) & near & also).select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v"))
 
     plain = (lambda left, right: links(left, right, differ)) if apart else (lambda left, right: links(left.drop("cu"), right.drop("cv"), F.lit(True)))
     if not number:
@@ -177,6 +178,11 @@ def far_links(known: DataFrame, segments: list[tuple[str, int, int, int]], radiu
     return sparse.unionByName(others).unionByName(strays)
 
 
+def distance(columns: tuple[str, ...], one: str, other: str) -> Column:
+    """Bits in which the columns with one prefix and with the other differ."""
+    return reduce(Column.__add__, [F.bit_count(F.col(one + c).bitwiseXOR(F.col(other + c))) for c in columns])
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id that the document reaches by links, itself included."""
     marked = cut_lineage(fingerprints(docs, words, seed, text=text))
@@ -198,8 +204,8 @@ def _grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFr
     return marked.join(merged.join(least, "whole").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: For similarity: lanes of 64 bits, segments of a lane, bits of a segment, bits that lane 0 may differ in.
-LANES, PARTS, PART_BITS, LANE_RADIUS = 4, 3, 20, 16
+#: For similarity: lanes of 64 bits, segments of a lane, bits of a segment.
+LANES, PARTS, PART_BITS = 4, 3, 20
 
 
 def allowed_bits(similarity: float, bits: int = BITS * LANES) -> int:
@@ -213,12 +219,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     A share of 0.8 stands for ten of 64 bits, too many for exact balls, and 64 bits tell it badly. So the fingerprint has
     LANES lanes of 64 bits, cut into segments of PART_BITS, and the ball around each segment is one bit: two texts at the
-    limit meet in some segment nine times in ten, more similar ones nearly always. Candidates must agree in all but
-    LANE_RADIUS bits of lane 0, then the complete distance over all lanes decides (allowed_bits). Before the table
-    look-up, fingerprints that share a segment are linked to their neighbours in order, so that large groups are one
-    component each, within which nothing is compared again.
+    limit meet in some segment nine times in ten, more similar ones nearly always. The complete distance over all lanes
+    decides (allowed_bits). Before the table look-up, fingerprints that share a segment are linked to their neighbours in
+    order, so that large groups are few components, and no link within one is told again.
     """
-    columns = ["fp", *[f"w{i}" for i in range(1, LANES)]]
+    columns = ("fp", *[f"w{i}" for i in range(1, LANES)])
     marked = cut_lineage(fingerprints(docs, words, seed, text=text, lanes=LANES))
     # Texts that agree in all of lane 0 are one node; its other lanes are those of its first document.
     lanes = F.min_by(F.struct(*columns[1:]), "doc_id").alias("w")
@@ -227,19 +232,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     most = allowed_bits(similarity)
     segments = [(c, PART_BITS * j, PART_BITS, 1) for c in columns for j in range(PARTS)]
 
-    def distance(u: str, v: str) -> Column:
-        return sum((F.bit_count(F.col(f"{u}{c}").bitwiseXOR(F.col(f"{v}{c}"))) for c in columns[1:]), F.bit_count(F.col(f"{u}fp").bitwiseXOR(F.col(f"{v}fp"))))
-
-    from pyspark.sql import Window as W
-
     entry = distinct.select(*columns, F.explode(F.array(*[_keys(segments, i) for i in range(len(segments))])).alias("key"))
     before = F.lag(F.struct(*columns)).over(W.partitionBy("key").orderBy("fp"))
     beside = entry.withColumn("b", before).filter("b is not null").select(*columns, *[F.col(f"b.{c}").alias(f"b_{c}") for c in columns])
-    beside = beside.filter(distance("", "b_") <= most).select(F.col("fp").alias("u"), F.col("b_fp").alias("v"))
+    beside = beside.filter(distance(columns, "", "b_") <= most).select(F.col("fp").alias("u"), F.col("b_fp").alias("v"))
     dense = connected_components(dense_links(distinct.select("fp"), 2).unionByName(beside))
     known = cut_lineage(distinct.join(dense.withColumnRenamed("node", "fp"), "fp", "left").select(*columns, F.coalesce("component", "fp").alias("component")))
-    far = cut_lineage(far_links(known, segments, LANE_RADIUS, apart=True).distinct())
-    sides = [known.select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "uv"]
-    pairs = far.join(sides[0], F.col("u") == F.col("u_fp")).join(sides[1], F.col("v") == F.col("v_fp")).filter(distance("u_", "v_") <= most)
+    far = far_links(known, segments, most, columns, apart=True)
     stars = known.filter("fp <> component").select(F.col("fp").alias("u"), F.col("component").alias("v"))
-    return _grouped(marked, distinct, pairs.select("u", "v").unionByName(stars))
+    return _grouped(marked, distinct, far.unionByName(stars))
