@@ -58,6 +58,11 @@ def is_valid(text: Column) -> Column:
     return text.rlike(PREFERRED) | text.rlike(VALID)
 
 
+def thin_seven(character: Column, ink_ratio: Column, most: float = 0.48) -> Column:
+    """A seven whose ink is no wider than this share of its height is a one."""
+    return F.when((character == "7") & (ink_ratio <= most), "1").otherwise(character)
+
+
 def format_score(text: Column, two_line: Column, top_count: Column) -> Column:
     """Additive plausibility of a reading; two-line plates are judged by their lines."""
     size = F.length(text)

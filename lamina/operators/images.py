@@ -11,13 +11,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from lamina.functions import geometry, pixels, plates
 from lamina.operators import evaluation
 
 IMAGE = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
+#: Share of characters whose place forced them to another class, above which a reading is weak.
+FORCED = 0.25
+
 
 def unpacked(image) -> np.ndarray | None:
     """The array of an image value; None for a null or unreadable one."""
@@ -135,8 +138,6 @@ def detected(images: DataFrame, key: str) -> DataFrame:
 
     found = images.select(key, "image").mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, x1 int, y1 int, x2 int, y2 int, conf double, area long")
     aspect = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    from pyspark.sql import Window as W
-
     nth = F.row_number().over(W.partitionBy(key).orderBy(F.desc("area"), "y1", "x1"))
     return found.filter(aspect.between(1.2, 5.5) & (F.col("area") > 5000) & (F.col("conf") > 0.25)).withColumn("ordinal", nth).filter("ordinal <= 20")
 
@@ -257,16 +258,94 @@ def synthetic_plates(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return rows.mapInPandas(run, schema).select("plate_id", "label", "two_line", "image")
 
 
+def noise_images(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """image_id, image of things that are no plates: noise, a flat tone or a slope in turn."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i in pdf["image_id"]:
+                rng = np.random.default_rng((seed, i))
+                slope = np.add.outer(np.arange(96), np.arange(128)) * 255 // 222
+                out.append((rng.integers(0, 256, (96, 128)), np.full((96, 128), rng.integers(0, 256)), slope)[i % 3].astype(np.uint8))
+            yield pdf.assign(image=[packed(x) for x in out])
+
+    ids = spark.range(n).withColumnRenamed("id", "image_id")
+    return ids.mapInPandas(run, T.StructType([T.StructField("image_id", T.LongType()), T.StructField("image", IMAGE)]))
+
+
+def augmented(glyphs: DataFrame, copies: int, seed: int = 0) -> DataFrame:
+    """label, px of ``copies`` variants of each glyph(glyph_id, label, px): turned, shifted, blurred, speckled, cut to black and white."""
+    rows = glyphs.select("label", "px", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"), "glyph_id")
+    rows = rows.withColumn("seed", F.pmod(F.xxhash64(F.lit(seed), "glyph_id", "copy"), F.lit(1 << 31)))
+
+    def vary(px: bytes, seed: int) -> bytes:
+        rng = np.random.default_rng(seed)
+        image = pixels.resize(pixels.rotate(np.frombuffer(px, np.uint8).reshape(32, 32), float(rng.uniform(-4, 4)), 0), 32, 32)
+        image = np.roll(image, rng.integers(-2, 3, 2), (0, 1)).astype(np.float64)
+        if rng.random() < 0.5:
+            image = pixels.shifted(image, 1).mean(0)
+        return ((image + rng.normal(0, 15, image.shape) > 127) * np.uint8(255)).astype(np.uint8).tobytes()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"label": pdf["label"], "px": [vary(p, s) for p, s in zip(pdf["px"], pdf["seed"], strict=True)]})
+
+    return rows.mapInPandas(run, "label string, px binary")
+
+
+def pixel_statistics(glyphs: DataFrame, *keys: str) -> DataFrame:
+    """Mean pixel and share of ink (above 127) of the glyphs of each group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            arrays = [np.frombuffer(p, np.uint8) for p in pdf["px"]]
+            yield pdf[list(keys)].assign(mean=[float(a.mean()) for a in arrays], ink=[float((a > 127).mean()) for a in arrays])
+
+    kinds = ", ".join(f"{k} {glyphs.schema[k].dataType.simpleString()}" for k in keys)
+    return glyphs.select(*keys, "px").mapInPandas(run, f"{kinds}, mean double, ink double").groupBy(*keys).agg(F.avg("mean").alias("mean"), F.avg("ink").alias("ink"), F.count("*").alias("n"))
+
+
+def mean_images(glyphs: DataFrame) -> DataFrame:
+    """label, pixels: the mean image of each class; each task sums up before the shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for label, px in zip(pdf["label"], pdf["px"], strict=True):
+                sums.setdefault(label, np.zeros(1025))[:] += np.append(np.frombuffer(px, np.uint8), 1)
+        yield pd.DataFrame({"label": list(sums), "sums": [list(v) for v in sums.values()]})
+
+    parts = glyphs.select("label", "px").mapInPandas(run, "label string, sums array<double>").select("label", F.posexplode("sums").alias("at", "v"))
+    whole = parts.groupBy("label", "at").agg(F.sum("v").alias("v")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("p"))
+    count = F.element_at("p", -1)["v"]
+    return whole.select("label", F.transform(F.slice("p", 1, 1024), lambda x: x.v / count).alias("pixels"))
+
+
+def sampled(images: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows drawn with replacement: hashed draws joined to the rows' numbers, so a seed gives the same sample."""
+    total = images.count()
+    if not total:
+        return images.withColumn("draw", F.lit(0).cast("long")).limit(0)
+    part = images.select(key, F.spark_partition_id().alias("part"))
+    sizes = {r["part"]: r["n"] for r in part.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts, at = {}, 0
+    for number in sorted(sizes):
+        starts[number], at = at, at + sizes[number]
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("part"))
+    numbered = images.withColumn("part", F.spark_partition_id()).withColumn("number", start + F.row_number().over(W.partitionBy("part").orderBy(key)) - 1)
+    draws = images.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("number"))
+    return draws.join(numbered, "number").drop("number", "part")
+
+
 def recognised(crops: DataFrame, model, method: str, *keys: str) -> DataFrame:
-    """Keys, plate_type, top_count, raw and corrected text, score, and whether it is a valid plate.
+    """Keys, plate_type, top_count, raw and corrected text, score, the share of characters forced by their place, and validity.
 
     ``model`` scores glyph features (lamina.operators.classifiers): rows with scores over the class set.
     Characters are held to digits or letters by their place before the grammar sees the text.
     """
     glyphs = featured(segmented(crops, *keys), method)
     scored = model.scored(glyphs)
-    from pyspark.sql import Window as W
-
     plate = W.partitionBy(*keys)
     scored = scored.withColumns({
         "at": F.row_number().over(plate.orderBy("line", "place")) - 1, "top_count": F.sum((F.col("line") == 0).cast("int")).over(plate), "n": F.count("*").over(plate),
@@ -278,10 +357,10 @@ def recognised(crops: DataFrame, model, method: str, *keys: str) -> DataFrame:
     allowed = F.when(F.col("at") == 2, letters).when(two & (F.col("at") == 3) & (F.col("top_count") >= 4), either).otherwise(digits)
     free = F.array_position("scores", F.array_max("scores")) - 1
     index = F.when(F.get(allowed, free.cast("int")), free).otherwise(geometry.constrained_argmax(F.col("scores"), allowed))
-    character = F.substring(F.lit(plates.CLASSES), (index + 1).cast("int"), F.lit(1))
-    read = scored.select(*keys, "plate_type", "top_count", F.struct("at", character.alias("c")).alias("p"))
+    character = plates.thin_seven(F.substring(F.lit(plates.CLASSES), (index + 1).cast("int"), F.lit(1)), F.col("w") / F.col("h"))
+    read = scored.select(*keys, "plate_type", "top_count", (free != index).cast("double").alias("forced"), F.struct("at", character.alias("c")).alias("p"))
     text = F.concat_ws("", F.transform(F.array_sort(F.collect_list("p")), lambda p: p.c))
-    rows = read.groupBy(*keys).agg(F.first("plate_type").alias("plate_type"), F.first("top_count").alias("top_count"), text.alias("raw"))
+    rows = read.groupBy(*keys).agg(F.first("plate_type").alias("plate_type"), F.first("top_count").alias("top_count"), F.avg("forced").alias("forced"), text.alias("raw"))
     fixed = rows.withColumn("text", plates.corrected(F.col("raw")))
     score = plates.format_score(F.col("text"), F.col("plate_type") == "2line", F.col("top_count").cast("int"))
     return fixed.withColumn("score", score).withColumn("valid", plates.is_valid(F.col("text")))
@@ -290,15 +369,15 @@ def recognised(crops: DataFrame, model, method: str, *keys: str) -> DataFrame:
 def recognised_with_rescue(crops: DataFrame, model, method: str, key: str) -> DataFrame:
     """As recognised; weak readings get a second pass over variants, and the best reading of each key stays.
 
-    Variants are the deskewed, the enhanced and the upside-down crop. The order is validity, score, length; the
-    earlier variant wins ties.
+    Variants are the deskewed, the enhanced and the upside-down crop. The order is validity, few forced characters,
+    score, length; the earlier variant wins ties.
     """
     first = recognised(crops, model, method, key).withColumn("variant", F.lit(0)).persist()
-    weak = first.filter((F.length("text") < 7) | (~F.col("valid") & (F.col("score") < 10))).select(key)
+    weak = first.filter((F.length("text") < 7) | (~F.col("valid") & (F.col("score") < 10)) | (F.col("forced") > FORCED)).select(key)
     missing = crops.select(key).join(first.select(key), key, "left_anti")
     again = crops.join(weak.unionByName(missing).distinct(), key, "left_semi")
     variants = [deskewed(again), enhanced_plates(again), with_image(again, lambda image: np.ascontiguousarray(image[::-1, ::-1]))]
     out = first
     for number, variant in enumerate(variants, 1):
         out = out.unionByName(recognised(variant, model, method, key).withColumn("variant", F.lit(number)))
-    return evaluation.best_of(out, key, [F.desc("valid"), F.desc("score"), F.desc(F.length("text")), F.col("variant")])
+    return evaluation.best_of(out, key, [F.desc("valid"), F.col("forced") > FORCED, F.desc("score"), F.col("forced"), F.desc(F.length("text")), F.col("variant")])

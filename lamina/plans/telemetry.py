@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from lamina.functions import geometry, plates, statistics
 from lamina.operators import monitoring
@@ -43,8 +43,6 @@ def metrics_by_day(spark, sf_dir):
         F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("ok"), F.count_if(F.col("event_type") == "error").alias("errors"),
         F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.max("value").alias("slowest"),
     )
-    from pyspark.sql import Window as W
-
     past = W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)  # a row a day
     baseline = F.sum("cents").over(past) / F.sum("n").over(past)
     return per.select(
@@ -100,7 +98,7 @@ states AS (SELECT moment, alertname, active, since, CASE WHEN NOT active THEN 'i
 
 
 def alert_states(spark, sf_dir):
-    return monitoring.alert_states(evaluations(spark, sf_dir), 7200, "alertname").select(F.col("at").alias("moment"), "alertname", "active", "since", "state")
+    return monitoring.alert_states(evaluations(spark, sf_dir), 7200, "alertname").select(F.col("at").alias("moment"), "alertname", "active", F.coalesce("since", F.lit(-1)).alias("since"), "state")
 
 
 def firing(spark, sf_dir):
@@ -161,8 +159,6 @@ def alert_flatten(spark, sf_dir):
 
 def counter_increase(spark, sf_dir):
     """A counter of each user's events that restarts after every tenth."""
-    from pyspark.sql import Window as W
-
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
     return monitoring.counter_increase(table(spark, sf_dir, "events").select("user_id", "event_id", (n % 10).alias("v")), "v", "event_id", "user_id")
 
@@ -197,8 +193,6 @@ def weighted_median(spark, sf_dir):
 
 def islands(spark, sf_dir):
     """Runs of successive days on which a user was active."""
-    from pyspark.sql import Window as W
-
     days = table(spark, sf_dir, "events").select("user_id", F.floor(monitoring.bucket_start(F.col("ts"), DAY) / DAY).cast("long").alias("day")).distinct()
     island = F.col("day") - F.row_number().over(W.partitionBy("user_id").orderBy("day"))
     return days.withColumn("island", island).groupBy("user_id", "island").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("days")).drop("island")
@@ -241,7 +235,7 @@ UNION ALL SELECT run, predictions, 'p95_latency', p95_latency, 90.0, 'performanc
 UNION ALL SELECT run, predictions, 'error_rate', error_rate, 0.0008, 'performance' FROM metrics WHERE error_rate > 0.0008
 UNION ALL SELECT run, predictions, 'brightness_drift', brightness_drift, 0.05, 'drift' FROM metrics WHERE brightness_drift > 0.05 AND predictions >= 20)
 SELECT run, metric, round_even(value, 4)::DOUBLE AS value, threshold::DOUBLE AS threshold, kind FROM rules""",
-    "alert_states": STATES_SQL + " SELECT moment, alertname, active, since, state FROM states",
+    "alert_states": STATES_SQL + " SELECT moment, alertname, active, coalesce(since, -1) AS since, state FROM states",
     "alert_inhibit": FIRING_SQL + " SELECT * FROM firing f WHERE severity NOT IN ('warning', 'info') OR NOT EXISTS (SELECT 1 FROM firing e WHERE e.alertname = 'High_error' AND e.moment = f.moment)",
     "firing_count": FIRING_SQL + " SELECT severity, count(*) AS n, count(DISTINCT alertname) AS alerts FROM firing GROUP BY 1",
     "alert_notifications": FIRING_SQL.replace("WITH ev", "WITH RECURSIVE ev") + """, f AS (SELECT *, CASE severity WHEN 'critical' THEN 3600 WHEN 'info' THEN 43200 ELSE 14400 END AS rep FROM firing),

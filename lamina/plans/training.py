@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from lamina.functions import geometry
 from lamina.operators import evaluation, learning
@@ -67,8 +67,6 @@ def reject_reasons(spark, sf_dir):
 
 def versions(spark, sf_dir):
     """Each customer's orders as versions of a model, the accuracy told from the price."""
-    from pyspark.sql import Window as W
-
     nth = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     accuracy = F.floor(F.col("o_totalprice") * 100).cast("long") % 2000 / 10000 + 0.8
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), nth.cast("long").alias("version"), F.round(accuracy, 4).alias("accuracy"))
@@ -85,7 +83,8 @@ def promotions(spark, sf_dir):
 
 
 def latest_alias(spark, sf_dir):
-    return learning.production_alias(learning.promotions(versions(spark, sf_dir), 0.9))
+    found = learning.production_alias(learning.promotions(versions(spark, sf_dir), 0.9))
+    return found.withColumn("production", F.coalesce("production", F.lit(-1)))
 
 
 def model_consistency(spark, sf_dir):
@@ -94,7 +93,8 @@ def model_consistency(spark, sf_dir):
     served = suppliers.filter("s_suppkey % 4 <> 0").select("s_suppkey", (F.col("s_suppkey") % 5).alias("served"))
     registered = suppliers.filter("s_suppkey % 6 <> 0").select("s_suppkey", (F.col("s_nationkey") % 5).cast("long").alias("registered"))
     out = served.join(registered, "s_suppkey", "full")
-    return out.withColumn("consistent", F.coalesce(F.col("served") == F.col("registered"), F.lit(False)))
+    out = out.withColumn("consistent", F.coalesce(F.col("served") == F.col("registered"), F.lit(False)))
+    return out.na.fill(-1, ["served", "registered"])
 
 
 def fold_interval(spark, sf_dir):
@@ -191,9 +191,9 @@ SELECT v.query, vote, round(dist, 6) AS fifth FROM v JOIN n ON v.query = n.query
     "pseudo_labels": _REASONS + " SELECT * FROM o",
     "reject_reasons": _REASONS + " SELECT reason, count(*) AS n FROM o GROUP BY reason",
     "promotions": VERSIONS_SQL + " SELECT * FROM promoted",
-    "latest_alias": VERSIONS_SQL + " SELECT name, max(version) AS latest, max(CASE WHEN promoted THEN version END) AS production, max_by(accuracy, version) FILTER (promoted) AS accuracy FROM promoted GROUP BY name",
+    "latest_alias": VERSIONS_SQL + " SELECT name, max(version) AS latest, coalesce(max(CASE WHEN promoted THEN version END), -1) AS production, max_by(accuracy, version) FILTER (promoted) AS accuracy FROM promoted GROUP BY name",
     "model_consistency": """WITH a AS (SELECT s_suppkey, s_suppkey % 5 AS served FROM supplier WHERE s_suppkey % 4 <> 0), b AS (SELECT s_suppkey, (s_nationkey % 5)::BIGINT AS registered FROM supplier WHERE s_suppkey % 6 <> 0)
-SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, served, registered, coalesce(served = registered, FALSE) AS consistent FROM a FULL JOIN b ON a.s_suppkey = b.s_suppkey""",
+SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, coalesce(served, -1) AS served, coalesce(registered, -1) AS registered, coalesce(served = registered, FALSE) AS consistent FROM a FULL JOIN b ON a.s_suppkey = b.s_suppkey""",
     "fold_interval": f"""WITH {_FOLDS}, s AS (SELECT label, fold, avg(embedding[1]::DOUBLE) AS score FROM f GROUP BY ALL)
 SELECT label, count(*) AS folds, round(avg(score), 7) AS mean, round(stddev_samp(score), 7) AS deviation, round(2.776 * stddev_samp(score) / sqrt(5), 7) AS half_width FROM s GROUP BY label""",
     "constrained_argmax": """WITH s AS (SELECT vec_id, [x::DOUBLE for x in embedding[1:31]] AS s FROM embeddings), h AS (SELECT vec_id, s, CASE WHEN vec_id % 3 = 2 THEN s[11:31] ELSE s[1:10] END AS a FROM s),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
 def write_details(scored: DataFrame, path: str) -> None:
@@ -19,8 +19,6 @@ def write_fold_scores(scores: DataFrame, path: str) -> None:
 
 def write_by_class(glyphs: DataFrame, path: str) -> None:
     """Glyph bytes under a folder of their label, each with a number within the label that makes names unique."""
-    from pyspark.sql import Window as W
-
     nth = F.row_number().over(W.partitionBy("label").orderBy("glyph_id"))
     glyphs.withColumn("name", F.format_string("%s_%06d", F.col("label"), nth)).write.mode("overwrite").partitionBy("label").parquet(path)
 

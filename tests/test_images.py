@@ -123,3 +123,34 @@ def test_null_images_give_no_rows(spark):
     assert images.enhanced_plates(rows).first()["image"] is None
     bad = images.decoded(spark.createDataFrame([(1, bytearray(b"x")), (2, None)], "id long, data binary")).collect()
     assert [r["error"] for r in bad] == ["undecodable"] * 2
+
+
+def test_augmented_and_mean_images(spark):
+    glyphs = images.synthetic_glyphs(spark, 2)
+    more = images.augmented(glyphs, 3)
+    assert more.count() == 3 * glyphs.count() and more.select("px").distinct().count() > glyphs.count()
+    stats = {r["label"]: r for r in images.pixel_statistics(glyphs, "label").collect()}
+    assert len(stats) == 31 and all(0 < r["ink"] < 1 and r["n"] == 2 for r in stats.values())
+    means = {r["label"]: r["pixels"] for r in images.mean_images(glyphs).collect()}
+    assert abs(np.mean(means["A"]) - stats["A"]["mean"]) < 1e-6 and len(means["A"]) == 1024
+
+
+def test_noise_and_sampling(spark):
+    noise = images.noise_images(spark, 9)
+    assert images.input_statistics(noise).filter("width = 128 and brightness between 0 and 255").count() == 9
+    drawn = images.sampled(noise, 50, "image_id", seed=3)
+    assert drawn.count() == 50 and drawn.select("image_id").distinct().count() <= 9
+    assert images.sampled(noise.limit(0), 5, "image_id").count() == 0
+
+
+def test_thin_sevens_are_ones(spark):
+    from lamina.functions import plates
+
+    rows = spark.createDataFrame([("7", 0.4), ("7", 0.6), ("8", 0.1)], "c string, r double").select(plates.thin_seven(F.col("c"), F.col("r")).alias("c")).collect()
+    assert [r["c"] for r in rows] == ["1", "7", "8"]
+
+
+def test_grid_search_prefers_the_better_machine(spark):
+    glyphs = images.featured(images.synthetic_glyphs(spark, 9, seed=5), "wavelet").filter("label in ('0', '1', 'A', 'B')")
+    best, score = classifiers.grid_search(glyphs, [{"gamma": 1e6}, {"c": 10.0}], folds=2)
+    assert best == {"c": 10.0} and score > 0.8
