@@ -205,10 +205,10 @@ def _grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFr
 
 
 #: For similarity: lanes of 64 bits, segments of a lane, bits of a segment.
-LANES, PARTS, PART_BITS = 4, 3, 20
+LANES, PARTS, PART_BITS = 3, 3, 20
 
 
-def allowed_bits(similarity: float, bits: int = BITS * LANES) -> int:
+def allowed_bits(similarity: float, bits: int) -> int:
     """Bits that texts with this share of common shingles differ in, and 1.28 deviations more: nine in ten such pairs are within."""
     p = acos(2 * similarity / (1 + similarity)) / pi
     return int(bits * p + 1.28 * sqrt(bits * p * (1 - p)))
@@ -219,7 +219,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     A share of 0.8 stands for ten of 64 bits, too many for exact balls, and 64 bits tell it badly. So the fingerprint has
     LANES lanes of 64 bits, cut into segments of PART_BITS, and the ball around each segment is one bit: two texts at the
-    limit meet in some segment nine times in ten, more similar ones nearly always. The complete distance over all lanes
+    limit meet in some segment eight times in ten, more similar ones nearly always. The complete distance over all lanes
     decides (allowed_bits). Before the table look-up, fingerprints that share a segment are linked to their neighbours in
     order, so that large groups are few components, and no link within one is told again.
     """
@@ -229,7 +229,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     lanes = F.min_by(F.struct(*columns[1:]), "doc_id").alias("w")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.coalesce(lanes, F.first(F.struct(*columns[1:]))).alias("w"))
     distinct = cut_lineage(distinct.select("fp", "first", "w.*"))
-    most = allowed_bits(similarity)
+    most = allowed_bits(similarity, BITS * LANES)
     segments = [(c, PART_BITS * j, PART_BITS, 1) for c in columns for j in range(PARTS)]
 
     entry = distinct.select(*columns, F.explode(F.array(*[_keys(segments, i) for i in range(len(segments))])).alias("key"))
