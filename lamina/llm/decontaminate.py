@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Every document's word n-grams are looked up among the benchmark's. Around its hits a
    document gives passages, as long as the longest item on either side.
-2. Of every BLOCK successive n-grams of an item the one that the corpus has least often is
-   a seed, so frequent phrases aren't followed where a rarer n-gram stands near, yet every
-   stretch of an item has its seed. A join on seeds pairs passages with items.
+2. A passage and an item with any n-gram in common are a pair, however frequent the n-gram
+   is: an edited copy may hold only n-grams that other copies hold, too. Pairs with too few
+   words in common to reach the similarity aren't aligned.
 3. Each pair is aligned word by word (local alignment with gaps). The score, divided by that
    of a perfect copy, is the similarity; edited and paraphrased copies lose in proportion.
 
@@ -22,14 +22,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lamina.llm.batches import small_batches
 from lamina.llm.features import plain_words
 from lamina.session import cut_lineage
 
-#: Words of an n-gram; successive n-grams of an item of which one is a seed.
-N, BLOCK = 4, 4
+#: Words of an n-gram.
+N = 4
 #: Similarity from which a document counts as contaminated.
 SIMILARITY = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -132,12 +132,14 @@ def passages(docs: DataFrame, known: Known, longest: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, start int, text string, hits array<long>")
 
 
-def rare_seeds(found: DataFrame, hits: DataFrame) -> DataFrame:
-    """gram, item: of each BLOCK successive n-grams of an item the one that hits(gram) has least often, but has."""
-    often = hits.groupBy("gram").agg(F.count("*").alias("often"))
-    least = W.partitionBy("item", F.floor(F.col("at") / BLOCK)).orderBy("often", "at")
-    ranked = found.join(often, "gram").withColumn("nth", F.row_number().over(least))
-    return ranked.filter("nth = 1").select("gram", "item").distinct()
+def shared_pairs(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """passage, item: every pair that has an n-gram in common."""
+    return hits.join(found.select("gram", "item").distinct(), "gram").select("passage", "item").distinct()
+
+
+def can_reach(item: list[bytes], passage: set[bytes], similarity: float) -> bool:
+    """Whether an alignment can have this similarity: no word scores more than MATCH, and only those in both texts score."""
+    return sum(w in passage for w in item) >= similarity * max(1, len(item))
 
 
 def align(item: list[bytes], passage: list[bytes]) -> tuple[int, int]:
@@ -165,16 +167,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     known, longest = known_grams(found)
     stretch = cut_lineage(passages(docs, known, longest).withColumn("passage", F.monotonically_increasing_id()))
     hits = stretch.select("passage", F.explode("hits").alias("gram"))
-    seeds = rare_seeds(found, hits)
-    pairs = hits.join(seeds, "gram").select("passage", "item").distinct()
+    pairs = shared_pairs(found, hits)
     pairs = pairs.join(stretch.select("passage", "doc_id", "start", F.col("text").alias("own")), "passage").join(items, "item")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, ends = [], []
             for start, own, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                words = plain_words(text.lower())
-                best, end = align(words, own.encode().split())
+                words, passage = plain_words(text.lower()), own.encode().split()
+                best, end = align(words, passage) if can_reach(words, set(passage), similarity) else (0, 0)
                 scores.append(best / (MATCH * max(1, len(words))))
                 ends.append(start + end)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array(ends, pa.int64())], ["doc_id", "item_id", "similarity", "end_word"])

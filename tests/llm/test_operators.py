@@ -287,6 +287,19 @@ def test_edited_benchmark_items_are_found(spark, empty):
     assert decontaminate.contaminated(empty, benchmark).count() == 0
 
 
+@pytest.mark.parametrize("step", [6, 8])
+def test_edited_copies_are_found_beside_exact_ones(spark, step):
+    """Exact copies make the n-grams that an edit broke the rarest of their block; the edited copy holds none of those."""
+    rng = random.Random(step)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(48))) for i in range(20)]
+    rows = [(i, t) for i, t in items] + [(100 + i, t) for i, t in items]
+    for i, t in items:
+        rows.append((200 + i, " ".join("edit" if k % step == step - 1 else w for k, w in enumerate(t.split()))))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert found == {(i + shift, i) for i, _ in items for shift in (0, 100, 200)}
+
+
 def test_alignment_scores_match_the_full_table():
     rng = random.Random(3)
     for _ in range(40):
