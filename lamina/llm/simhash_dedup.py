@@ -205,7 +205,7 @@ def _grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFr
 
 
 #: For similarity: lanes of 64 bits, segments of a lane, bits of a segment.
-LANES, PARTS, PART_BITS = 3, 3, 20
+LANES, PARTS, PART_BITS = 4, 3, 20
 
 
 def allowed_bits(similarity: float, bits: int) -> int:
@@ -219,7 +219,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     A share of 0.8 stands for ten of 64 bits, too many for exact balls, and 64 bits tell it badly. So the fingerprint has
     LANES lanes of 64 bits, cut into segments of PART_BITS, and the ball around each segment is one bit: two texts at the
-    limit meet in some segment eight times in ten, more similar ones nearly always. The complete distance over all lanes
+    limit meet in some segment more than eight times in ten, more similar ones nearly always. The complete distance over all lanes
     decides (allowed_bits). Before the table look-up, fingerprints that share a segment are linked to their neighbours in
     order, so that large groups are few components, and no link within one is told again.
     """

@@ -78,3 +78,21 @@ def test_similar_documents_are_found_by_share_of_shingles(spark):
     assert len({found[a] for a, _ in pairs}) == len(pairs)
     assert found[500] == found[501] == found[502] == 500 and found[503] == found[504] == 503
     assert simhash_dedup.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def edited_pairs(spark, n, changes):
+    """n pairs of 200 words with as many isolated changes, each of which breaks five shingles."""
+    rng, rows = random.Random(9), []
+    for i in range(n):
+        words = text(rng, 200).split()
+        rows.append((2 * i, " ".join(words)))
+        for at in rng.sample(range(10, 190, 10), changes):
+            words[at] = f"other{rng.random()}"
+        rows.append((2 * i + 1, " ".join(words)))
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return np.mean([found[2 * i] == found[2 * i + 1] for i in range(n)])
+
+
+def test_pairs_close_to_the_limit_are_mostly_found(spark):
+    share = edited_pairs(spark, 400, 4)  # 176 of 216 shingles
+    assert share > 0.87, share
