@@ -41,6 +41,8 @@ BITS = 64
 CROWDED = 64
 #: Keys of crowded entries (16 bytes each) that are broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of shingle sets that are broadcast to count common shingles; more of them are joined by a shuffle.
+HELD = 1 << 25
 
 
 def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
@@ -152,6 +154,11 @@ def far_links(known: DataFrame, segments: list[tuple[str, int, int, int]], radiu
         part = part.withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).filter("key >= own").select(*columns, "component", "key")
         probe = part if probe is None else probe.unionByName(part)
 
+    return meetings(entry, probe, columns, columns, radius, apart)
+
+
+def meetings(entry: DataFrame, probe: DataFrame, columns: tuple[str, ...], bits: tuple[str, ...], radius: int, apart: bool = False) -> DataFrame:
+    """Edges u, v between the first of ``columns`` of probe and entry(*columns, component, key) under one key, at most ``radius`` of ``bits`` apart."""
     sizes = entry.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
     crowded = cut_lineage(
         entry.join(sizes.select("key"), "key", "left_semi")
@@ -162,11 +169,11 @@ def far_links(known: DataFrame, segments: list[tuple[str, int, int, int]], radiu
     crowd = F.broadcast(crowded) if number <= BROADCAST_ROWS else crowded
     a = probe.select("key", F.col("component").alias("cu"), *[F.col(c).alias(f"u_{c}") for c in columns])
     b = entry.select("key", F.col("component").alias("cv"), *[F.col(c).alias(f"v_{c}") for c in columns])
-    near = (F.col("u_fp") != F.col("v_fp")) & (distance(columns, "u_", "v_") <= radius)
+    near = (F.col(f"u_{columns[0]}") != F.col(f"v_{columns[0]}")) & (distance(bits, "u_", "v_") <= radius)
     differ = F.col("cu") != F.col("cv")
 
     def links(left: DataFrame, right: DataFrame, also: Column) -> DataFrame:
-        return left.join(right, (left["key"] == right["key"]) & near & also).select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v"))
+        return left.join(right, (left["key"] == right["key"]) & near & also).select(F.col(f"u_{columns[0]}").alias("u"), F.col(f"v_{columns[0]}").alias("v"))
 
     plain = (lambda left, right: links(left, right, differ)) if apart else (lambda left, right: links(left.drop("cu"), right.drop("cv"), F.lit(True)))
     if not number:
@@ -196,22 +203,82 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     return _grouped(marked, distinct, far.unionByName(stars))
 
 
-def _grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of marked(doc_id, fp) by edges(u, v) between the fingerprints of distinct(fp, first)."""
-    whole = connected_components(edges).withColumnRenamed("node", "fp")
-    merged = distinct.join(whole, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("whole"))
+def _grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame, node: str = "fp") -> DataFrame:
+    """doc_id, fp, component_id of marked(doc_id, fp, node) by edges(u, v) between the nodes of distinct(node, first)."""
+    whole = connected_components(edges).withColumnRenamed("node", node)
+    merged = distinct.join(whole, node, "left").select(node, "first", F.coalesce("component", node).alias("whole"))
     least = merged.groupBy("whole").agg(F.min("first").alias("component_id"))
-    return marked.join(merged.join(least, "whole").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(merged.join(least, "whole").select(node, "component_id"), node).select("doc_id", "fp", "component_id")
 
 
 #: For similarity: lanes of 64 bits, segments of a lane, bits of a segment.
 LANES, PARTS, PART_BITS = 4, 3, 20
 
 
-def allowed_bits(similarity: float, bits: int) -> int:
-    """Bits that texts with this share of common shingles differ in, and 1.28 deviations more: nine in ten such pairs are within."""
+def allowed_bits(similarity: float, bits: int, deviations: float) -> int:
+    """Bits that texts with this share of common shingles differ in, and some deviations more."""
     p = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * p + 1.28 * sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
+
+
+def within(pairs: DataFrame, prints: DataFrame, columns: tuple[str, ...], most: int) -> DataFrame:
+    """Those of the pairs u, v, once each, whose prints(node, *columns) differ in at most ``most`` bits."""
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    for side in "uv":
+        pairs = pairs.join(prints.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+    return cut_lineage(pairs.filter(distance(columns, "u_", "v_") <= most).select("u", "v"))
+
+
+def shingle_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """node, held: the sorted distinct shingle hashes of texts(node, text), 8 bytes each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(shingle_hashes(t.as_py(), words, seed)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["node", "held"])
+
+    return small_batches(texts.select("node", "text")).mapInArrow(run, "node long, held binary")
+
+
+def share_reached(one: bytes, other: bytes, similarity: float) -> bool:
+    """Whether two sets of shingle_sets have this Jaccard similarity."""
+    if min(len(one), len(other)) < similarity * max(len(one), len(other)):
+        return False
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """Those of the pairs u, v whose texts(node, text) have this share of common shingles, counted.
+
+    Sets of up to HELD bytes together are sent to every task, so that many pairs of few texts move no text; more are joined.
+    """
+    spark = pairs.sparkSession
+    asked = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    few = asked.count() <= BROADCAST_ROWS
+    texts = texts.join(F.broadcast(asked) if few else asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = cut_lineage(shingle_sets(texts, words, seed))
+    if (sets.agg(F.sum(F.length("held") + 64)).first()[0] or 0) <= HELD:
+        shared = spark.sparkContext.broadcast({r["node"]: bytes(r["held"]) for r in sets.toLocalIterator()})
+
+        def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            for batch in batches:
+                keep = [share_reached(held[u], held[v], similarity) for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        spread = pairs.select("u", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "u", "v")
+        return cut_lineage(spread.mapInArrow(look, "u long, v long"))
+    for side in "uv":
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("held").alias(f"{side}_held")), side)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [share_reached(a.as_py(), b.as_py(), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut_lineage(small_batches(pairs.select("u", "v", "u_held", "v_held")).mapInArrow(run, "u long, v long"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, text: str = "text") -> DataFrame:
@@ -219,25 +286,36 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     A share of 0.8 stands for ten of 64 bits, too many for exact balls, and 64 bits tell it badly. So the fingerprint has
     LANES lanes of 64 bits, cut into segments of PART_BITS, and the ball around each segment is one bit: two texts at the
-    limit meet in some segment more than eight times in ten, more similar ones nearly always. The complete distance over all lanes
-    decides (allowed_bits). Before the table look-up, fingerprints that share a segment are linked to their neighbours in
-    order, so that large groups are few components, and no link within one is told again.
+    limit meet in some segment more than eight times in ten, more similar ones nearly always. The look-up carries the lane
+    of its segment only; the complete distance over all lanes follows for those near in that lane, and then the shingles of
+    both texts are counted: only they decide. Before the look-up, fingerprints that share a segment are
+    compared with their neighbours in order, so that large groups are few components, and no link within one is told again.
     """
     columns = ("fp", *[f"w{i}" for i in range(1, LANES)])
-    marked = cut_lineage(fingerprints(docs, words, seed, text=text, lanes=LANES))
-    # Texts that agree in all of lane 0 are one node; its other lanes are those of its first document.
-    lanes = F.min_by(F.struct(*columns[1:]), "doc_id").alias("w")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.coalesce(lanes, F.first(F.struct(*columns[1:]))).alias("w"))
-    distinct = cut_lineage(distinct.select("fp", "first", "w.*"))
-    most = allowed_bits(similarity, BITS * LANES)
+    own = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select("doc_id", own.alias("text"), F.xxhash64(own).alias("node"))  # equal texts are one node
+    marked = cut_lineage(fingerprints(texts, words, seed, keep=("doc_id", "node"), lanes=LANES))
+    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct(*columns)).alias("w"))
+    distinct = cut_lineage(distinct.select("node", "first", "w.*"))
+    most, lane_most = allowed_bits(similarity, BITS * LANES, 2.5), allowed_bits(similarity, BITS, 1.5)
     segments = [(c, PART_BITS * j, PART_BITS, 1) for c in columns for j in range(PARTS)]
 
-    entry = distinct.select(*columns, F.explode(F.array(*[_keys(segments, i) for i in range(len(segments))])).alias("key"))
-    before = F.lag(F.struct(*columns)).over(W.partitionBy("key").orderBy("fp"))
-    beside = entry.withColumn("b", before).filter("b is not null").select(*columns, *[F.col(f"b.{c}").alias(f"b_{c}") for c in columns])
-    beside = beside.filter(distance(columns, "", "b_") <= most).select(F.col("fp").alias("u"), F.col("b_fp").alias("v"))
-    dense = connected_components(dense_links(distinct.select("fp"), 2).unionByName(beside))
-    known = cut_lineage(distinct.join(dense.withColumnRenamed("node", "fp"), "fp", "left").select(*columns, F.coalesce("component", "fp").alias("component")))
-    far = far_links(known, segments, most, columns, apart=True)
-    stars = known.filter("fp <> component").select(F.col("fp").alias("u"), F.col("component").alias("v"))
-    return _grouped(marked, distinct, far.unionByName(stars))
+    def counted(pairs: DataFrame) -> DataFrame:
+        return alike(within(pairs, distinct, columns, most), texts.select("node", "text"), words, similarity, seed)
+
+    def entries(known: DataFrame, *keep: str) -> DataFrame:
+        keys = [F.struct(_keys(segments, i).alias("key"), F.col(segments[i][0]).alias("lane")) for i in range(len(segments))]
+        return known.select(*keep, F.explode(F.array(*keys)).alias("e")).select(*keep, "e.key", "e.lane")
+
+    before = F.lag(F.struct("node", "lane")).over(W.partitionBy("key").orderBy("lane", "node"))
+    beside = entries(distinct, "node").withColumn("b", before).filter(F.bit_count(F.col("lane").bitwiseXOR(F.col("b.lane"))) <= lane_most)
+    dense = connected_components(counted(beside.select(F.col("node").alias("u"), F.col("b.node").alias("v"))))
+    known = cut_lineage(distinct.join(dense, "node", "left").select("node", *columns, F.coalesce("component", "node").alias("component")))
+    entry = entries(known, "node", "component")
+    masks = F.array(*[F.lit(m).cast("long") for m in _masks(PART_BITS, 1)])
+    # Of two different segments the smaller one asks for the larger: each pair is met once.
+    probe = entry.withColumn("mask", F.explode(masks)).withColumn("asked", F.col("key").bitwiseXOR(F.col("mask"))).filter("asked >= key")
+    probe = probe.select("node", "component", F.col("asked").alias("key"), "lane")
+    far = counted(meetings(entry, probe, ("node", "lane"), ("lane",), lane_most, apart=True))
+    stars = known.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return _grouped(marked, distinct, far.unionByName(stars), "node")

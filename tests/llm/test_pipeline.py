@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 import corpus_pipeline
@@ -96,3 +97,9 @@ def edited_pairs(spark, n, changes):
 def test_pairs_close_to_the_limit_are_mostly_found(spark):
     share = edited_pairs(spark, 400, 4)  # 176 of 216 shingles
     assert share > 0.87, share
+
+
+@pytest.mark.parametrize("held", [1 << 25, 0])
+def test_pairs_below_the_limit_are_never_linked(spark, held, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "HELD", held, raising=False)
+    assert edited_pairs(spark, 400, 5) == 0  # 171 of 221 shingles
