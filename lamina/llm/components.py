@@ -6,6 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from lamina.session import cut_lineage
 
+#: Rows of one key from which its facts are sent to all tasks instead of its rows to one, and the most facts that are sent.
+ROWS_OF_A_KEY, SENT_KEYS = 256, 200_000
+
+
+def join_crowded(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts(*keys, n, ...), one fact a key, without moving the rows of frequent keys.
+
+    ``n`` says how many rows a fact's key has, ``total`` how many rows there are, so at most total / ROWS_OF_A_KEY and
+    never more than SENT_KEYS facts are broadcast. Both frames are read twice: they should be cached or cut.
+    """
+    most = max(ROWS_OF_A_KEY, -(-total // SENT_KEYS))
+    many = F.broadcast(facts.filter(F.col(n) > most))
+    few = rows.join(many.select(*keys), keys, "left_anti").join(facts.filter(F.col(n) <= most), keys, how)
+    return rows.join(many, keys).unionByName(few)
+
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -9,7 +9,8 @@
    of a perfect copy, is the similarity; edited and paraphrased copies lose in proportion.
 
 Words: lower case, ASCII punctuation dropped. Defined results: null and
-empty texts have no words and match nothing, nor do items of fewer than N words; a passage
+empty texts have no words and match nothing; an item of fewer than N words is found where
+a document has all of its words in a row (an edit would leave too little to tell); a passage
 in several places of a document counts once, with its best alignment; items with the same
 item_id are aligned each and the best counts; repeated documents come out once for each
 doc_id and item. Empty tables give empty tables; other columns are dropped.
@@ -34,16 +35,16 @@ N = 4
 SIMILARITY = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Benchmark n-grams that are sent to every task (8 bytes each); beyond that only a bit table of BITS bits is.
-SENT, BITS = 2_000_000, 1 << 26
+SENT, BITS, PIECES = 2_000_000, 1 << 26, 8
 
 
 def grams(words: list[bytes], n: int = N) -> np.ndarray:
-    """Signed 64-bit hashes of a text's word n-grams, in order."""
+    """Signed 64-bit hashes of a text's word n-grams, in order; of other lengths than N they differ."""
     if len(words) < n:
         return np.zeros(0, np.int64)
     x = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
-    out = np.zeros(len(words) - n + 1, np.uint64)
+    out = np.full(len(words) - n + 1, N - n, np.uint64)
     for k in range(n):
         out = out * np.uint64(0xBF58476D1CE4E5B9) + x[k : len(words) - n + 1 + k]
     out ^= out >> np.uint64(31)
@@ -77,34 +78,37 @@ def benchmark_grams(items: DataFrame) -> DataFrame:
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = plain_words(text.lower())
-                found = grams(words)
+                found = grams(words, min(N, max(1, len(words))))
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found), pa.array([len(words)] * len(found), pa.int32())], ["item", "at", "gram", "words"])
 
     return small_batches(items.select("item", "text")).mapInArrow(run, "item long, at int, gram long, words int")
 
 
-def known_grams(found: DataFrame) -> tuple[Known, int]:
-    """The look-up table of the benchmark's n-grams, and its longest item's words."""
+def known_grams(found: DataFrame) -> tuple[Known, int, list[int]]:
+    """The look-up table of the benchmark's n-grams, its longest item's words, and the lengths of n-grams in it."""
     distinct = found.select("gram").distinct()
     number, longest = distinct.count(), found.agg(F.max("words")).first()[0] or 0
+    lengths = sorted(r["n"] for r in found.select(F.least("words", F.lit(N)).alias("n")).distinct().collect())
     table = np.zeros(BITS // 8, np.uint8)
     if number <= SENT:
-        hashes = np.array(sorted(r["gram"] for r in distinct.collect()), np.int64)
+        hashes = np.sort(distinct.toArrow().column(0).to_numpy())
         at = Known.places(hashes)
         np.bitwise_or.at(table, at >> np.uint64(3), (1 << (at & np.uint64(7))).astype(np.uint8))
-        return Known(hashes, table), longest
+        return Known(hashes, table), longest, lengths
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = Known.places(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(3)).astype(np.int64)), pa.array(1 << (at & np.uint64(7)).astype(np.int32))], ["byte", "bit"])
 
-    for row in distinct.mapInArrow(run, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        table[row["byte"]] = row["bits"]
-    return Known(None, table), longest
+    bits = distinct.mapInArrow(run, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+    for part in range(PIECES):  # BITS / 8 / PIECES rows at most at a time
+        piece = bits.filter(F.col("byte") % PIECES == part).toArrow()
+        table[piece.column("byte").to_numpy()] = piece.column("bits").to_numpy().astype(np.uint8)
+    return Known(None, table), longest, lengths
 
 
-def passages(docs: DataFrame, known: Known, longest: int) -> DataFrame:
+def passages(docs: DataFrame, known: Known, longest: int, lengths: list[int]) -> DataFrame:
     """doc_id, start, text (words), hits (n-grams) of every stretch around hits; overlapping stretches are one."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -114,16 +118,19 @@ def passages(docs: DataFrame, known: Known, longest: int) -> DataFrame:
             ids, starts, texts, hits = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = plain_words(text.as_py().lower())
-                found = grams(words)
-                at = known.hits(found)
-                if not len(at):
+                met = [(at, found[at]) for n in lengths for found in [grams(words, n)] for at in [known.hits(found)] if len(at)]
+                if not met:
                     continue
-                for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * longest) + 1):
+                at, found = np.concatenate([a for a, _ in met]), np.concatenate([g for _, g in met])
+                order = np.argsort(at, kind="stable")
+                at, found = at[order], found[order]
+                cuts = np.flatnonzero(np.diff(at) > 2 * longest) + 1
+                for part, own in zip(np.split(at, cuts), np.split(found, cuts), strict=True):
                     start = max(0, int(part[0]) - longest)
                     ids.append(doc_id)
                     starts.append(start)
                     texts.append(b" ".join(words[start : int(part[-1]) + N + longest]).decode("utf-8", "replace"))
-                    hits.append(np.unique(found[part]))
+                    hits.append(np.unique(own))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(starts, pa.int32()), pa.array(texts), pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "start", "text", "hits"])
 
@@ -164,8 +171,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("item", F.monotonically_increasing_id())
     items = cut_lineage(items)
     found = cut_lineage(benchmark_grams(items))
-    known, longest = known_grams(found)
-    stretch = cut_lineage(passages(docs, known, longest).withColumn("passage", F.monotonically_increasing_id()))
+    known, longest, lengths = known_grams(found)
+    stretch = cut_lineage(passages(docs, known, longest, lengths).withColumn("passage", F.monotonically_increasing_id()))
     hits = stretch.select("passage", F.explode("hits").alias("gram"))
     pairs = shared_pairs(found, hits)
     pairs = pairs.join(stretch.select("passage", "doc_id", "start", F.col("text").alias("own")), "passage").join(items, "item")
@@ -175,7 +182,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             scores, ends = [], []
             for start, own, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 words, passage = plain_words(text.lower()), own.encode().split()
-                best, end = align(words, passage) if can_reach(words, set(passage), similarity) else (0, 0)
+                needed = similarity if len(words) >= N else 1.0
+                best, end = align(words, passage) if can_reach(words, set(passage), needed) else (0, 0)
+                best = best if best >= needed * MATCH * len(words) else 0
                 scores.append(best / (MATCH * max(1, len(words))))
                 ends.append(start + end)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array(ends, pa.int64())], ["doc_id", "item_id", "similarity", "end_word"])

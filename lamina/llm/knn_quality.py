@@ -11,7 +11,9 @@ their similarity.
 Defined results: a null text counts as empty; a text without a byte pair has no
 similarity to anything and gets the prior share of label 1; without learnable labels the
 score is 0.5 for all. Labels that are null or of a null or unknown doc_id teach nothing;
-a doc_id that carries several labels teaches each. Ties between neighbours fall to the
+a doc_id that carries several labels teaches each, and one that several rows carry is
+learned from one of them. Other columns are dropped, whatever their names; ``keep`` may
+not hold score or predicted (an error). Ties between neighbours fall to the
 one earlier in the sample's hash order. Empty tables give empty tables.
 """
 
@@ -29,27 +31,41 @@ from lamina.llm.features import ngram_counts
 
 #: Hashed n-grams, latent axes, neighbours that vote.
 WIDTH, AXES, NEIGHBOURS = 2048, 48, 15
+#: Tasks that add up the other tasks' document frequencies.
+ADDERS = 16
 #: Length of the axis that holds the share of repeated words, beside latent coordinates of length 1.
 REPEATS = 1.5
 #: Labelled rows that the model learns from at most, half of them of either label where there are enough.
 SAMPLE = 4000
 
 
+def unclashing(keep: tuple[str, ...], *added: str) -> None:
+    """Columns that are kept must not be named like those that are added."""
+    if clash := sorted(set(keep) & {*added, "__text"}):
+        raise ValueError(f"columns to keep have names of the result: {clash}")
+
+
 def crc_remainder(column: str, divisor: int):
     """crc32 of a column's text modulo ``divisor``; a null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """text, label of at most ``most`` labelled rows in hash order, up to half of them of label 0 and of label 1."""
-    known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
+    """doc_id, text, label of at most ``most`` labelled rows in hash order, up to half of them of label 0 and of label 1.
+
+    A doc_id counts once for each label it has. Where several rows carry it, the one whose text has the least hash is taken.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = known.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id", "label")
     chosen = None
     for value in (0, 1):
         part = known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(most // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # The sample is bounded by ``most`` rows, whatever the size of the corpus.
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    # ``most`` rows at most are broadcast, whatever the size of the corpus; copies of a doc_id meet in a combined aggregation.
+    met = own.join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -64,9 +80,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             rows += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([seen], pa.list_(pa.int64()))], ["rows", "seen"])
 
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(WIDTH, np.int64), 0
+        for batch in batches:
+            seen += batch.column(1).flatten().to_numpy().reshape(-1, WIDTH).sum(0)
+            rows += sum(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([seen], pa.list_(pa.int64()))], ["rows", "seen"])
+
+    # Each task gives one vector; a few tasks add these up, so the driver sees few rows whatever the number of tasks.
     parts = small_batches(texts).mapInArrow(run, "rows long, seen array<long>")
-    total = parts.agg(F.sum("rows").alias("rows"), *[F.sum(F.element_at("seen", i + 1)).alias(f"s{i}") for i in range(WIDTH)]).first()
-    return np.array([x or 0 for x in total[1:]], np.float64), total[0] or 0
+    sums = parts.repartition(ADDERS).mapInArrow(add, "rows long, seen array<long>").collect()
+    return np.sum([r["seen"] for r in sums], axis=0).astype(np.float64), sum(r["rows"] for r in sums)
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -118,6 +142,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
 
     ``corpus`` (docs unless given) holds the labelled texts and the document frequencies.
     """
+    unclashing(keep, "score", "predicted")
     corpus = docs if corpus is None else corpus
     seen, rows = document_frequencies(corpus)
     idf = np.log((1 + rows) / (1 + seen)).astype(np.float32) + np.float32(1)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lamina.llm.components import join_crowded
 from lamina.session import cut_lineage
 
 #: Rows that a bucket of a two-level rank is meant to hold.
@@ -85,7 +86,7 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame
         take = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("to") + 1)
         rooms = F.element_at(F.array(*[F.lit(max(1, q // 4)) for q in quotas]), F.col("to") + 1)
         draw = lambda *c: F.pmod(F.xxhash64(F.lit(turn), *c), F.lit(1_000_003)) / 1_000_003.0
-        moved = labels.join(wish, ["hub", "shard"], "left")
+        moved = join_crowded(labels, wish, ["hub", "shard"], "n", sum(loads.values()), "left")
         goes = F.col("to").isNotNull() & (F.when(F.col("whole") <= rooms, draw("hub")).otherwise(draw("node")) < take)
         labels = cut_lineage(moved.select("node", "hub", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")))
         held.unpersist(), wish.unpersist()
@@ -120,8 +121,9 @@ def balanced(labels: DataFrame, quotas: list[int], buckets: int) -> DataFrame:
         classes = classes.select("shard", "class", "total", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("start"))
         lead = by_size.join(F.broadcast(classes), ["shard", "class"])  # at most 64 rows a shard
         small = F.col("start") + F.col("nth") * F.col("class")
-        lead = lead.select("shard", "hub", "start", "class", F.when(F.col("class") < 64, small).alias("hub_start"))
-        linked = ranked(labels.filter("linked").join(lead, ["shard", "hub"]), ["shard", "hub"], order, 64, "nth_row")
+        lead = cut_lineage(lead.select("shard", "hub", "rows", "start", "class", F.when(F.col("class") < 64, small).alias("hub_start")))
+        led = join_crowded(labels.filter("linked"), lead, ["shard", "hub"], "rows", sum(found.values()))
+        linked = ranked(led.drop("rows"), ["shard", "hub"], order, max(64, buckets), "nth_row")
         big = ranked(linked.filter("class = 64"), ["shard"], order, buckets, "nth_big")
         place = linked.filter("class < 64").select("node", "hub", "linked", "shard", (F.col("hub_start") + F.col("nth_row")).alias("place"))
         place = place.unionByName(big.select("node", "hub", "linked", "shard", (F.col("start") + F.col("nth_big")).alias("place")))
@@ -147,8 +149,9 @@ def shard_by_links(nodes: DataFrame, shards: int, rounds: int = 8) -> DataFrame:
     total = members.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     buckets = max(1, total // (shards * BUCKET_ROWS))
-    shared = members.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub", F.lit(True).alias("linked"))
-    members = members.join(shared, "hub", "left").select("node", "hub", F.coalesce("linked", F.lit(False)).alias("linked")).persist()
+    shared = members.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").persist()
+    linked = F.col("n").isNotNull().alias("linked")
+    members = join_crowded(members, shared, ["hub"], "n", total, "left").select("node", "hub", linked).persist()
     linked = propagate(members.filter("linked").select("node", "hub"), quotas, rounds)
     # Rows without a link fill what is left, in proportion.
     loads = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -159,7 +162,7 @@ def shard_by_links(nodes: DataFrame, shards: int, rounds: int = 8) -> DataFrame:
     loose = members.filter("not linked").withColumn("shard", F.least(into, F.lit(shards - 1)).cast("int"))
     labels = loose.select("node", "hub", "linked", "shard").unionByName(linked.select("node", "hub", F.lit(True).alias("linked"), "shard"))
     even = balanced(cut_lineage(labels), quotas, buckets)
-    members.unpersist()
+    members.unpersist(), shared.unpersist()
     return ranked(cut_lineage(even), ["shard"], [F.xxhash64("node")], buckets, "slot").select("node", "shard", "slot")
 
 

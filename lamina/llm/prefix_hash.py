@@ -13,7 +13,8 @@ Defined results: a null text counts as empty; equal texts have equal fingerprint
 likeness of two empty texts is 1, of an empty and another text 0; a text shorter than the
 width is one span. Documents follow each other by descending doc_id (nulls last, equal
 ids by text), and the last is followed by the first; a single document follows itself.
-Empty tables give empty tables; other columns are dropped.
+A doc_id that is no integer counts as null. Empty tables give empty tables; other columns
+are dropped.
 """
 
 from __future__ import annotations
@@ -200,30 +201,54 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2 + [pa.int64()], strict=True)], names)
 
 
+def cut_cells(cuts: list[int]) -> tuple[list[tuple[int, int, list[int]]], int]:
+    """(cell, cuts above it, cuts within it) of each cell, and how many low bits of a rank a cell leaves out.
+
+    A cell is a rank without its low bits; there are at most about four for each cut, and one more on either side. So the
+    number of cuts above a rank takes one look-up and, mostly, no comparison.
+    """
+    low, high = min(cuts), max(cuts)
+    shift = 0
+    while (high >> shift) - (low >> shift) > 4 * len(cuts):
+        shift += 1
+    held: dict[int, list[int]] = {c: [] for c in range(max(-(1 << 63), (low >> shift) - 1), min(1 << 63, (high >> shift) + 2))}
+    for cut in cuts:
+        held[cut >> shift].append(cut)
+    cells, above = [], 0
+    for cell in sorted(held, reverse=True):
+        cells.append((cell, above, held[cell]))
+        above += len(held[cell])
+    return cells, shift
+
+
 def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """FIELDS of every document: its fingerprint, its edited text's and the likenesses to that and to the next text.
 
-    doc_id is dealt into ranges at quantiles. Each range also gets the first document of the range that
+    doc_id, an integer, is dealt into ranges at quantiles. Each range also gets the first document of the range that
     follows, so texts move once and a task holds two texts at a time besides its batch. What the
-    driver sees is one row a range.
+    driver sees is one row a range; the tables it sends (cells of ranks, first ranks) have a few rows for each range, and no
+    expression grows with their number. Documents of one doc_id (which should be one) stay in one range.
     """
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    rank = F.coalesce(F.expr("try_cast(doc_id as long)"), F.lit(-(1 << 63)))
     keyed = docs.select("doc_id", rank.alias("__rank"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    cuts = keyed.agg(F.percentile_approx("__rank", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    above = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c > F.col("__rank"))) if cuts else F.lit(0)
-    keyed = keyed.withColumn("__bucket", above)
-    heads = {r["__bucket"]: r["head"] for r in keyed.groupBy("__bucket").agg(F.max("__rank").alias("head")).collect()}
+    ranks = keyed.select("__rank")
+    cuts = ranks.agg(F.percentile_approx("__rank", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
+    cuts = sorted(set(cuts or []))
+    cells, shift = cut_cells(cuts or [0])
+    table = F.broadcast(spark.createDataFrame(cells, "__cell long, __above int, __cuts array<long>"))
+    lowest, highest = cells[-1][0], cells[0][0]
+    cell = F.greatest(F.lit(lowest), F.least(F.lit(highest), F.shiftright("__rank", shift)))
+    above = F.col("__above") + F.when(F.size("__cuts") > 0, F.size(F.filter("__cuts", lambda c: c > F.col("__rank")))).otherwise(0)
+    bucketed = lambda rows: rows.withColumn("__cell", cell).join(table, "__cell").withColumn("__bucket", above).drop("__cell", "__above", "__cuts")
+    heads = {r["__bucket"]: r["head"] for r in bucketed(ranks).groupBy("__bucket").agg(F.max("__rank").alias("head")).collect()}
     order = sorted(heads)
-    before = [(heads[b], order[i - 1]) for i, b in enumerate(order)]
-    copies = F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("ahead")))
-    if before:
-        leads = F.create_map(*[F.lit(x) for pair in before for x in pair])
-        also = F.array(F.struct(F.element_at(leads, F.col("__rank")).alias("b"), F.lit(True).alias("ahead")))
-        copies = F.when(F.col("__rank").isin([h for h, _ in before]), F.concat(copies, also)).otherwise(copies)
-    dealt = keyed.select(F.explode(copies).alias("c"), "doc_id", "__rank", "__text").select("c.b", "c.ahead", "doc_id", "__rank", "__text")
-    dealt = dealt.repartitionById(max(1, len(order)), F.col("b") % max(1, len(order))) if order else dealt
+    leads = spark.createDataFrame([(heads[b], order[i - 1]) for i, b in enumerate(order)], "__rank long, __lead int")
+    dealt = bucketed(keyed).join(F.broadcast(leads), "__rank", "left")
+    own = F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("ahead"))
+    also = F.struct(F.col("__lead").alias("b"), F.lit(True).alias("ahead"))
+    dealt = dealt.select(F.explode(F.when(F.col("__lead").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("c"), "doc_id", "__rank", "__text")
+    dealt = dealt.select("c.b", "c.ahead", "doc_id", "__rank", "__text").repartitionById(max(1, len(order)), F.col("b") % max(1, len(order)))
     dealt = small_batches(dealt).sortWithinPartitions("b", "ahead", F.desc("__rank"), "__text")
-    return dealt.select("b", "ahead", F.col("doc_id").cast("long").alias("doc_id"), "__text").mapInArrow(_pairs, FIELDS)
+    return dealt.select("b", "ahead", F.expr("try_cast(doc_id as long)").alias("doc_id"), "__text").mapInArrow(_pairs, FIELDS)

@@ -8,13 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lamina.llm import bpe_codec, decontaminate, knn_quality, label_shards, prefix_hash, recurrent_lm, simhash_dedup, token_counts, toxic_cnn, url_lists
-from lamina.session import cut_lineage, table
+from lamina.session import shared_root, table
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder, which driver and executors share."""
-    cut_lineage(spark.range(0))  # sets a folder where the session has none
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the application's checkpoint folder, which driver and executors share and which ends with the application."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +23,9 @@ def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document through a new digest cache."""
-    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), shared_folder(spark, "token-counts"), public_tokenizers.path("byte_bpe_50k.json"))
+    """Tokens of every document through the digest cache that the setting lamina.token.cache names, or a new one where it is unset."""
+    cache = spark.conf.get("lamina.token.cache", None) or shared_folder(spark, "token-counts")
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), cache, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 

@@ -41,8 +41,6 @@ from lamina.llm.batches import small_batches
 WORDS, CLASS, ENDINGS = 1024, 32, 32
 #: Units of the state, tokens of a window, windows' rows at most, rounds of training.
 UNITS, WINDOW, ROWS, ROUNDS = 16, 16, 256, 3
-#: Of so many successive tokens one is a training target; all are read.
-TARGETS = 2
 #: Words whose counts every task holds, at most.
 HEAD = 1 << 17
 #: Tokens that a task scores at once, rows that it advances together.
@@ -206,26 +204,31 @@ class Network:
             back = logits @ self.out.T
             grads[2] += h.T @ logits
             grads[3] += logits.sum(0)
+        # Rows of one class together: a product for each class, all else at once.
         order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            own = order[bounds[c] : bounds[c + 1]]
-            if not len(own):
-                continue
-            state = h[own]
-            inner = state @ self.inner[c]
-            inner += self.inner_bias[c]
-            member, some = ids[own] - c * CLASS, np.arange(len(own))
-            chosen = inner[some, member]
-            np.exp(inner, out=inner)
-            mass = inner.sum(1)
-            logp[own] += chosen - np.log(mass)
-            if grads is not None:
-                inner /= mass[:, None]
-                inner[some, member] -= 1
-                back[own] += inner @ self.inner[c].T
-                grads[4][c] += state.T @ inner
-                grads[5][c] += inner.sum(0)
+        bounds = np.searchsorted(classes[order], np.arange(self.classes + 1)).tolist()
+        order = order[: bounds[-1]]
+        if not len(order):
+            return logp, back
+        states, inner = h[order], np.empty((len(order), CLASS), h.dtype)
+        filled = [(c, slice(bounds[c], bounds[c + 1])) for c in range(self.classes) if bounds[c] < bounds[c + 1]]
+        for c, own in filled:
+            np.matmul(states[own], self.inner[c], out=inner[own])
+            inner[own] += self.inner_bias[c]
+        rows, member = rows[: len(order)], ids[order] % CLASS
+        chosen = inner[rows, member]
+        np.exp(inner, out=inner)
+        mass = inner.sum(1)
+        logp[order] += chosen - np.log(mass)
+        if grads is not None:
+            inner /= mass[:, None]
+            inner[rows, member] -= 1
+            more = np.empty_like(states)
+            for c, own in filled:
+                np.matmul(inner[own], self.inner[c].T, out=more[own])
+                grads[4][c] += states[own].T @ inner[own]
+            back[order] += more
+            grads[5][[c for c, _ in filled]] += np.add.reduceat(inner, [own.start for _, own in filled])
         return logp, back
 
 
@@ -236,38 +239,47 @@ class Trainer:
         self.network, self.t = network, 0
         self.m, self.v = [np.zeros_like(p) for p in network.values()], [np.zeros_like(p) for p in network.values()]
 
-    def window(self, h: np.ndarray, ids: np.ndarray, keep: np.ndarray, offset: int) -> np.ndarray:
-        """One window: ids and keep (0 where a text starts) by step and row; the state after it."""
+    def window(self, h: np.ndarray, ids: np.ndarray, keep: np.ndarray, told: np.ndarray | None = None) -> np.ndarray:
+        """One window: ids and keep (0 where a text starts) by step and row; the state after it.
+
+        Every token is a target, but for those that ``told`` marks False (they fill up the last window of a row).
+        """
         net, steps, rows = self.network, len(ids), ids.shape[1]
-        before, saved = np.empty((steps, rows, UNITS), np.float32), []
+        before = np.empty((steps, rows, UNITS), h.dtype)
+        z, r, un, n = (np.empty_like(before) for _ in range(4))
         for t in range(steps):
-            h = h * keep[t][:, None]
-            before[t] = h
-            h, kept = net.step(h, ids[t])
-            saved.append(kept)
+            np.multiply(h, keep[t][:, None], out=before[t])
+            h, (z[t], r[t], un[t], n[t]) = net.step(before[t], ids[t])
         grads = [np.zeros_like(p) for p in net.values()]
-        at = np.arange(offset % TARGETS, steps, TARGETS)
-        _, back = net.outputs(before[at].reshape(-1, UNITS), ids[at].reshape(-1), grads)
-        direct = np.zeros_like(before)
-        direct[at] = back.reshape(len(at), rows, UNITS)
-        gates, hidden = np.empty((steps, rows, 3 * UNITS), np.float32), np.empty((steps, rows, 3 * UNITS), np.float32)
-        dh = np.zeros((rows, UNITS), np.float32)
+        if told is None or told.all():
+            _, back = net.outputs(before.reshape(-1, UNITS), ids.reshape(-1), grads)
+            direct, targets = back.reshape(steps, rows, UNITS), steps * rows
+        else:
+            _, back = net.outputs(before[told], ids[told], grads)
+            direct, targets = np.zeros_like(before), len(back)
+            direct[told] = back
+        # What a state's gradient becomes in each gate, for all steps at once.
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), un * r * (1 - r)
+        gates, hidden = np.empty((steps, rows, 3 * UNITS), h.dtype), np.empty((steps, rows, 3 * UNITS), h.dtype)
+        back_through, dh = np.ascontiguousarray(net.recurrent.T), np.zeros((rows, UNITS), h.dtype)
         for t in range(steps - 1, -1, -1):
-            z, r, un, n = saved[t]
-            dn = dh * (1 - z) * (1 - n * n)
             g, k = gates[t], hidden[t]
-            g[:, :UNITS] = dh * (before[t] - n) * z * (1 - z)
-            g[:, UNITS : 2 * UNITS] = dn * un * r * (1 - r)
+            dn = dh * by_n[t]
+            np.multiply(dh, by_z[t], out=k[:, :UNITS])
+            np.multiply(dn, by_r[t], out=k[:, UNITS : 2 * UNITS])
+            np.multiply(dn, r[t], out=k[:, 2 * UNITS :])
+            g[:, : 2 * UNITS] = k[:, : 2 * UNITS]
             g[:, 2 * UNITS :] = dn
-            k[:, : 2 * UNITS] = g[:, : 2 * UNITS]
-            k[:, 2 * UNITS :] = dn * r
-            dh = (dh * z + k @ net.recurrent.T + direct[t]) * keep[t][:, None]
+            dh = dh * z[t]
+            dh += k @ back_through
+            dh += direct[t]
+            dh *= keep[t][:, None]
         flat = ids.reshape(-1)
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
         grads[0][flat[order[first]]] = np.add.reduceat(gates.reshape(-1, 3 * UNITS)[order], first)
         grads[1] += before.reshape(-1, UNITS).T @ hidden.reshape(-1, 3 * UNITS)
-        self.descend(grads, rows * len(at))
+        self.descend(grads, targets)
         return h
 
     def descend(self, grads: list[np.ndarray], targets: int) -> None:
@@ -283,14 +295,20 @@ class Trainer:
 
 
 def train_part(network: Network, ids: np.ndarray, rows: int, keep: np.ndarray) -> None:
-    """Trains on one long row of tokens, cut into ``rows`` rows that advance together."""
-    length = len(ids) // rows
-    if length < 2:
-        return
-    ids, keep = ids[: rows * length].reshape(rows, length).T, keep[: rows * length].reshape(rows, length).T
+    """Trains on one long row of tokens, cut into up to ``rows`` rows that advance together; every token is a target once.
+
+    The last row is filled up with tokens that are read after all others and are no targets.
+    """
+    rows = max(1, min(rows, len(ids)))
+    length = -(-len(ids) // rows)
+    rows = -(-len(ids) // length)
+    told = np.arange(rows * length) < len(ids)
+    by_row = lambda x: np.resize(x, rows * length).reshape(rows, length).T
+    ids, keep, told = by_row(ids), by_row(keep), told.reshape(rows, length).T
     trainer, h = Trainer(network), np.zeros((rows, UNITS), np.float32)
-    for w, at in enumerate(range(0, length, WINDOW)):
-        h = trainer.window(h, np.ascontiguousarray(ids[at : at + WINDOW]), keep[at : at + WINDOW], w)
+    for at in range(0, length, WINDOW):
+        part = slice(at, at + WINDOW)
+        h = trainer.window(h, np.ascontiguousarray(ids[part]), keep[part], told[part])
 
 
 class Reader:

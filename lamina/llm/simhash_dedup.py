@@ -33,12 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lamina.llm.batches import small_batches
-from lamina.llm.components import connected_components
+from lamina.llm.components import connected_components, join_crowded
 from lamina.session import cut_lineage
 
 BITS = 64
 #: Table entries with more fingerprints than this are compared only across components.
 CROWDED = 64
+#: Members of a crowded entry beside its main component that one task compares with others.
+STRANGERS = 1_000
 #: Keys of crowded entries (16 bytes each) that are broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Bytes of shingle sets that are broadcast to count common shingles; more of them are joined by a shuffle.
@@ -57,14 +59,18 @@ def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """Bit b is set if more than half of the hashes have it; 0 without hashes."""
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, from bit 63 down to bit 0."""
     n = len(hashes)
     rows = np.zeros((-(-n // 255) * 255,), ">u8")
     rows[:n] = hashes
     bits = np.unpackbits(rows.view(np.uint8)).reshape(-1, 255, BITS)
-    counts = bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is set if more than half of the hashes have it; 0 without hashes."""
+    return int.from_bytes(np.packbits(bit_counts(hashes) * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprint(text: str, words: int, seed: int) -> int:
@@ -72,6 +78,25 @@ def fingerprint(text: str, words: int, seed: int) -> int:
     return majority(shingle_hashes(text, words, seed))
 
 
+class Segments:
+    """How similarity's lanes are cut: ``parts`` segments of ``bits`` bits a lane, ``flips`` weak bits of each that a look-up tries."""
+
+    def __init__(self, lanes: int, parts: int, bits: int, flips: int):
+        self.lanes, self.parts, self.bits, self.flips = lanes, parts, bits, flips
+
+    def weak(self, margins: np.ndarray) -> np.ndarray:
+        """Places of the ``flips`` bits with the smallest margins in each segment, 5 bits a place; margins run from bit 63 down."""
+        cut = margins[:, ::-1][:, : self.parts * self.bits].reshape(-1, self.bits)
+        places = np.argpartition(cut, self.flips - 1, axis=1)[:, : self.flips]
+        return (places << (5 * np.arange(self.flips))).sum(1)
+
+
+def segments_for(n: int) -> Segments:
+    """Segments for n texts: keys as many as texts where that is possible, so that strangers seldom share one."""
+    bits = max(20, min(32, int(n).bit_length()))
+    return Segments(4, 3, bits, 4) if bits <= 21 else Segments(8, 2, bits, 6)
+
+
 def lane(hashes: np.ndarray, number: int) -> np.ndarray:
     """Hashes of another lane: lane 0 are the hashes themselves."""
     if not number:
@@ -81,21 +106,28 @@ def lane(hashes: np.ndarray, number: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, words: int, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lanes: int = 1) -> DataFrame:
-    """Columns ``keep``, fp, the fingerprint as a signed long, and w1, w2, ... of further lanes."""
+def fingerprints(docs: DataFrame, words: int, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lanes: int = 1, segments: Segments | None = None) -> DataFrame:
+    """Columns ``keep``, fp, the fingerprint as a signed long, and w1, w2, ... of further lanes; with ``segments`` their weak bits."""
     source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     names = [*keep, "fp", *[f"w{i}" for i in range(1, lanes)]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.zeros((lanes, batch.num_rows), np.uint64)
+            values, weak = np.zeros((lanes, batch.num_rows), np.uint64), []
             for i, text in enumerate(batch.column(len(keep))):
                 hashes = shingle_hashes(text.as_py(), words, seed)
-                values[:, i] = [majority(lane(hashes, n)) for n in range(lanes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(v.view(np.int64)) for v in values]], names)
+                counts = np.array([bit_counts(lane(hashes, n)) for n in range(lanes)]) * 2
+                values[:, i] = np.packbits(counts > len(hashes), axis=1).view(">u8")[:, 0]
+                if segments:
+                    weak.append(segments.weak(np.abs(counts - len(hashes))))
+            columns = [*batch.columns[:-1], *[pa.array(v.view(np.int64)) for v in values]]
+            if segments:
+                columns.append(pa.array(weak, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, [*names, *["weak"] * bool(segments)])
 
     schema = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in keep)
-    return small_batches(source).mapInArrow(run, schema + ", ".join(f"{name} long" for name in names[len(keep) :]))
+    schema += ", ".join(f"{name} long" for name in names[len(keep) :]) + ", weak array<long>" * bool(segments)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def segment_plan(n: int, radius: int) -> list[tuple[int, int, int]]:
@@ -163,7 +195,7 @@ def meetings(entry: DataFrame, probe: DataFrame, columns: tuple[str, ...], bits:
     crowded = cut_lineage(
         entry.join(sizes.select("key"), "key", "left_semi")
         .groupBy("key", "component").agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / STRANGERS).alias("parts"))
     )
     number = crowded.count()
     crowd = F.broadcast(crowded) if number <= BROADCAST_ROWS else crowded
@@ -180,8 +212,12 @@ def meetings(entry: DataFrame, probe: DataFrame, columns: tuple[str, ...], bits:
         return plain(a, b)
     sparse = plain(a.join(crowd, "key", "left_anti"), b.join(crowd, "key", "left_anti"))
     a, b = a.join(crowd, "key"), b.join(crowd, "key")
-    others = links(a.drop("main"), b.filter("cv <> main").drop("main"), differ)
-    strays = links(a.filter("cu <> main").drop("main"), b.filter("cv = main").drop("main"), differ)
+    # Members beside the main component meet all others: those that ask are dealt to parts of STRANGERS members, each with those that answer.
+    dealt = lambda rows: rows.withColumn("key", F.struct("key", F.pmod(F.xxhash64(next(c for c in rows.columns if c[:2] in ("u_", "v_"))), F.greatest("parts", F.lit(1))).alias("part")))
+    spread = lambda rows: rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)) - 1))).withColumn("key", F.struct("key", "part")).drop("part")
+    bare = lambda rows: rows.drop("main", "parts")
+    others = links(bare(dealt(a)), bare(spread(b.filter("cv <> main"))), differ)
+    strays = links(bare(spread(a.filter("cu <> main"))), bare(dealt(b.filter("cv = main"))), differ)
     return sparse.unionByName(others).unionByName(strays)
 
 
@@ -206,13 +242,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
 def _grouped(marked: DataFrame, distinct: DataFrame, edges: DataFrame, node: str = "fp") -> DataFrame:
     """doc_id, fp, component_id of marked(doc_id, fp, node) by edges(u, v) between the nodes of distinct(node, first)."""
     whole = connected_components(edges).withColumnRenamed("node", node)
-    merged = distinct.join(whole, node, "left").select(node, "first", F.coalesce("component", node).alias("whole"))
-    least = merged.groupBy("whole").agg(F.min("first").alias("component_id"))
-    return marked.join(merged.join(least, "whole").select(node, "component_id"), node).select("doc_id", "fp", "component_id")
-
-
-#: For similarity: lanes of 64 bits, segments of a lane, bits of a segment.
-LANES, PARTS, PART_BITS = 4, 3, 20
+    linked = cut_lineage(distinct.join(whole, node).select(node, "first", "component"))
+    least = cut_lineage(linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    named = join_crowded(linked.select(node, "component"), least, ["component"], "n", linked.count()).select(node, "component_id")
+    alone = distinct.join(whole, node, "left_anti").select(node, F.col("first").alias("component_id"))
+    # Texts of one fingerprint are rows of one key: those of frequent ones stay where they are.
+    sizes = marked.groupBy(node).agg(F.count("*").alias("n"))
+    facts = cut_lineage(named.unionByName(alone).join(sizes, node))
+    return join_crowded(marked, facts, [node], "n", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def allowed_bits(similarity: float, bits: int, deviations: float) -> int:
@@ -281,41 +318,66 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, see
     return cut_lineage(small_batches(pairs.select("u", "v", "u_held", "v_held")).mapInArrow(run, "u long, v long"))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, text: str = "text") -> DataFrame:
+#: Rows of one segment's value that are sorted together at most, before the look-up.
+SORTED = 50_000
+
+
+def beside(entry: DataFrame, most: int) -> DataFrame:
+    """Pairs u, v of entry(node, key, lane) that follow each other in the order of their lanes under a key, at most ``most`` bits apart.
+
+    They only make large groups few components before the look-up, so a key with more than SORTED rows may be cut anywhere.
+    """
+    high = F.shiftrightunsigned("lane", 52)
+    rows = entry.select("node", "key", "lane", high.alias("high"))
+    sizes = rows.groupBy("key", "high").agg(F.count("*").alias("n")).filter(F.col("n") > SORTED)  # one row of SORTED at most: broadcast
+    sizes = cut_lineage(sizes.select("key", "high", F.ceil(F.col("n") / SORTED).alias("parts")))
+    parts = F.lit(0)
+    if sizes.count():
+        rows = rows.join(F.broadcast(sizes), ["key", "high"], "left")
+        parts = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    before = F.lag(F.struct("node", "lane")).over(W.partitionBy("key", "high", "part").orderBy("lane", "node"))
+    rows = rows.withColumn("part", parts).withColumn("b", before)
+    return rows.filter(F.bit_count(F.col("lane").bitwiseXOR(F.col("b.lane"))) <= most).select(F.col("node").alias("u"), F.col("b.node").alias("v"))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, text: str = "text", segments: Segments | None = None) -> DataFrame:
     """doc_id, fp and component_id, with links at a share of common word shingles instead of a few bits.
 
     A share of 0.8 stands for ten of 64 bits, too many for exact balls, and 64 bits tell it badly. So the fingerprint has
-    LANES lanes of 64 bits, cut into segments of PART_BITS, and the ball around each segment is one bit: two texts at the
-    limit meet in some segment more than eight times in ten, more similar ones nearly always. The look-up carries the lane
+    several lanes of 64 bits, cut into segments. Bits that a few other shingles turn are those with the smallest
+    majorities, so the ball around a segment flips its weakest bits only, in all combinations: of texts at the limit, 98 in 100
+    meet in some segment, more similar ones nearly always. The look-up carries the lane
     of its segment only; the complete distance over all lanes follows for those near in that lane, and then the shingles of
     both texts are counted: only they decide. Before the look-up, fingerprints that share a segment are
     compared with their neighbours in order, so that large groups are few components, and no link within one is told again.
     """
-    columns = ("fp", *[f"w{i}" for i in range(1, LANES)])
+    segments = segments or segments_for(docs.count())
+    columns = ("fp", *[f"w{i}" for i in range(1, segments.lanes)])
     own = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select("doc_id", own.alias("text"), F.xxhash64(own).alias("node"))  # equal texts are one node
-    marked = cut_lineage(fingerprints(texts, words, seed, keep=("doc_id", "node"), lanes=LANES))
-    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct(*columns)).alias("w"))
+    marked = cut_lineage(fingerprints(texts, words, seed, keep=("doc_id", "node"), lanes=segments.lanes, segments=segments))
+    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct(*columns, "weak")).alias("w"))
     distinct = cut_lineage(distinct.select("node", "first", "w.*"))
-    most, lane_most = allowed_bits(similarity, BITS * LANES, 2.5), allowed_bits(similarity, BITS, 1.5)
-    segments = [(c, PART_BITS * j, PART_BITS, 1) for c in columns for j in range(PARTS)]
+    marked = marked.select("doc_id", "node", "fp")
+    most, lane_most = allowed_bits(similarity, BITS * segments.lanes, 3), allowed_bits(similarity, BITS, 1.5)
+    cuts = [(c, segments.bits * j, segments.bits, 1) for c in columns for j in range(segments.parts)]
 
     def counted(pairs: DataFrame) -> DataFrame:
         return alike(within(pairs, distinct, columns, most), texts.select("node", "text"), words, similarity, seed)
 
     def entries(known: DataFrame, *keep: str) -> DataFrame:
-        keys = [F.struct(_keys(segments, i).alias("key"), F.col(segments[i][0]).alias("lane")) for i in range(len(segments))]
-        return known.select(*keep, F.explode(F.array(*keys)).alias("e")).select(*keep, "e.key", "e.lane")
+        keys = [F.struct(_keys(cuts, i).alias("key"), F.col(cuts[i][0]).alias("lane"), F.element_at("weak", i + 1).alias("weak")) for i in range(len(cuts))]
+        return known.select(*keep, F.explode(F.array(*keys)).alias("e")).select(*keep, "e.*")
 
-    before = F.lag(F.struct("node", "lane")).over(W.partitionBy("key").orderBy("lane", "node"))
-    beside = entries(distinct, "node").withColumn("b", before).filter(F.bit_count(F.col("lane").bitwiseXOR(F.col("b.lane"))) <= lane_most)
-    dense = connected_components(counted(beside.select(F.col("node").alias("u"), F.col("b.node").alias("v"))))
-    known = cut_lineage(distinct.join(dense, "node", "left").select("node", *columns, F.coalesce("component", "node").alias("component")))
+    dense = connected_components(counted(beside(entries(distinct, "node"), lane_most)))
+    known = cut_lineage(distinct.join(dense, "node", "left").select("node", *columns, "weak", F.coalesce("component", "node").alias("component")))
     entry = entries(known, "node", "component")
-    masks = F.array(*[F.lit(m).cast("long") for m in _masks(PART_BITS, 1)])
-    # Of two different segments the smaller one asks for the larger: each pair is met once.
-    probe = entry.withColumn("mask", F.explode(masks)).withColumn("asked", F.col("key").bitwiseXOR(F.col("mask"))).filter("asked >= key")
-    probe = probe.select("node", "component", F.col("asked").alias("key"), "lane")
-    far = counted(meetings(entry, probe, ("node", "lane"), ("lane",), lane_most, apart=True))
+    masks = [F.lit(0).cast("long")]
+    for i in range(segments.flips):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("weak", 5 * i).bitwiseAND(F.lit(31)).cast("int"))
+        masks += [m.bitwiseXOR(bit) for m in masks]
+    probe = entry.select("node", "component", "key", "lane", F.explode(F.array(*masks)).alias("mask"))
+    probe = probe.select("node", "component", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "lane")
+    far = counted(meetings(entry.drop("weak"), probe, ("node", "lane"), ("lane",), lane_most, apart=True))
     stars = known.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     return _grouped(marked, distinct, far.unionByName(stars), "node")

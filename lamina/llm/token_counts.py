@@ -2,8 +2,10 @@
 
 Content is keyed by the SHA-256 of its normalised text and by a digest of the
 tokenizer's file and settings. Only distinct texts whose key the cache lacks are
-encoded; their counts are appended to the cache (Parquet, one row per key), and
-every document takes its count from there.
+encoded; their counts are appended to the cache (Parquet, one row per key, a folder for
+each tokenizer version, so that no other version's rows are read), and every document
+takes its count from there. A cache that grew by many small appends is made small again
+by ``compact_cache``.
 
 Defined results: a null text counts as empty (0 tokens); copies share one
 count; an empty table gives an empty table; other columns are dropped. The
@@ -106,7 +108,13 @@ def count_tokens(
                 counts = count([unpack(x).decode() for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], ["digest", "version", "n_tokens"])
 
-    small_batches(misses).mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    small_batches(misses).mapInArrow(run, CACHE_SCHEMA).write.mode("append").partitionBy("version").parquet(cache_path)
     stored = read_cache(spark, cache_path, version)
     lengths = docs.select(*keep, digest, F.octet_length(content).cast("long").alias("n_bytes"))
     return lengths.join(stored, "digest").select(*keep, "n_bytes", "n_tokens")
+
+
+def compact_cache(spark: SparkSession, cache_path: str, compacted_path: str, rows_a_file: int = 5_000_000) -> None:
+    """Writes the cache anew at another place: one row a key, few files a version."""
+    cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).dropDuplicates(["version", "digest"])
+    cache.write.partitionBy("version").option("maxRecordsPerFile", rows_a_file).parquet(compacted_path)

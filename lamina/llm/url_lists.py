@@ -19,6 +19,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lamina.session import cut_lineage
+
+#: Askers from which a pattern's entries are sent to them, and patterns or entries that are sent at most.
+FREQUENT, SENT_ROWS = 10_000, 200_000
+
 #: Scheme, optional user, host; a port, path, query or fragment ends the host.
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)"
 
@@ -41,14 +46,38 @@ def intervals(entries: DataFrame) -> DataFrame:
     return log.select("list", "pattern", "action", F.col("dated").alias("valid_from"), following.alias("valid_to"))
 
 
+def met_entries(asked: DataFrame, holds: DataFrame) -> DataFrame:
+    """host, fetched, list, action, long of asked(host, fetched, pattern) and the intervals that hold.
+
+    A pattern under which a large share of all hosts ask, such as a top-level domain, would put them into one task. There
+    are at most as many of those as asked rows / FREQUENT. Their entries, mostly none, are sent to the rows instead
+    while they are few; the rows of all other patterns are joined by a shuffle.
+    """
+
+    def join(left: DataFrame, right: DataFrame) -> DataFrame:
+        on = (left["pattern"] == right["pattern"]) & (left["fetched"] >= right["valid_from"]) & (right["valid_to"].isNull() | (left["fetched"] < right["valid_to"]))
+        return left.join(right, on).select("host", "fetched", "list", "action", F.length(left["pattern"]).alias("long"))
+
+    frequent = cut_lineage(asked.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") > FREQUENT).select("pattern"))
+    number = frequent.count()
+    if not 0 < number <= SENT_ROWS:
+        return join(asked, holds)
+    few = F.broadcast(frequent)
+    sent = cut_lineage(holds.join(few, "pattern", "left_semi"))
+    often = asked.join(few, "pattern", "left_semi")
+    often = join(often, F.broadcast(sent) if sent.count() <= SENT_ROWS else sent)
+    return often.unionByName(join(asked.join(few, "pattern", "left_anti"), holds))
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Columns ``keep`` with host, fetched, blocked and lists (those that block, comma-joined) of captures(url, fetched)."""
+    if clash := sorted(set(keep) & {"host", "fetched", "blocked", "lists"}):
+        raise ValueError(f"columns to keep have names of the result: {clash}")
     seen = captures.select(*keep, host(F.col("url")).alias("host"), "fetched")
     moments = seen.select("host", "fetched").filter("host <> '' and fetched is not null").distinct()
     asked = moments.select("host", "fetched", F.explode(parents(F.col("host"))).alias("pattern"))
     holds = intervals(entries).filter("action <> 'remove'")
-    on = (asked["pattern"] == holds["pattern"]) & (asked["fetched"] >= holds["valid_from"]) & (holds["valid_to"].isNull() | (asked["fetched"] < holds["valid_to"]))
-    met = asked.join(holds, on).select("host", "fetched", "list", "action", F.length(asked["pattern"]).alias("long"))
+    met = met_entries(asked, holds)
     said = met.groupBy("host", "fetched", "list").agg(F.max_by("action", "long").alias("action"))
     blocked = said.filter("action = 'block'").groupBy("host", "fetched").agg(F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"))
     out = seen.join(blocked, ["host", "fetched"], "left")

@@ -76,7 +76,7 @@ def test_token_counts_use_and_fill_the_cache(spark, docs, empty, tmp_path):
         assert spark.read.parquet(cache).count() == len(set(texts.values()))
     # What the cache says is taken: the second run did not encode anew.
     version = token_counts.tokenizer_version(path)
-    spark.createDataFrame([(bytearray(hashlib.sha256(b"planted").digest()), version, 77)], token_counts.CACHE_SCHEMA).write.mode("append").parquet(cache)
+    spark.createDataFrame([(bytearray(hashlib.sha256(b"planted").digest()), version, 77)], token_counts.CACHE_SCHEMA).write.mode("append").partitionBy("version").parquet(cache)
     assert token_counts.count_tokens(spark.createDataFrame([(1, "planted")], "doc_id long, text string"), cache, path).first()["n_tokens"] == 77
     assert token_counts.count_tokens(empty, cache, path).count() == 0
 
@@ -282,7 +282,7 @@ def test_edited_benchmark_items_are_found(spark, empty):
     rows += [(100 + i, " ".join(noise(300)), "x") for i in range(20)] + [(200, None, "x"), (201, "", "x"), (202, "too short", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
     found = decontaminate.contaminated(docs, benchmark).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(12)}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(12)} | {(202, 12)}
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
     assert decontaminate.contaminated(empty, benchmark).count() == 0
 
@@ -377,16 +377,17 @@ def test_gradients_match_differences():
         setattr(net, name, (value + rng.normal(0, 0.1, value.shape)).astype(np.float64))
     ids, keep = rng.integers(0, 60, (4, 5)).astype(np.int32), np.ones((4, 5))
     keep[2, 1] = 0
+    told = np.ones((4, 5), bool)
+    told[3, 4] = False
     trainer, seen = recurrent_lm.Trainer(net), []
     trainer.descend = lambda grads, targets: seen.append(grads)
-    trainer.window(np.zeros((5, recurrent_lm.UNITS)), ids, keep, 0)
+    trainer.window(np.zeros((5, recurrent_lm.UNITS)), ids, keep, told)
 
     def loss():
         h, total = np.zeros((5, recurrent_lm.UNITS)), 0.0
         for t in range(4):
             h = h * keep[t][:, None]
-            if t % recurrent_lm.TARGETS == 0:
-                total -= net.outputs(h, ids[t])[0].sum()
+            total -= net.outputs(h, ids[t])[0][told[t]].sum()
             h, _ = net.step(h, ids[t])
         return total
 
