@@ -94,7 +94,7 @@ class Segments:
 def segments_for(n: int) -> Segments:
     """Segments for n texts: keys as many as texts where that is possible, so that strangers seldom share one."""
     bits = max(20, min(32, int(n).bit_length()))
-    return Segments(4, 3, bits, 4) if bits <= 21 else Segments(8, 2, bits, 6)
+    return Segments(5, 3, bits, 3) if bits <= 21 else Segments(8, 2, bits, 6)
 
 
 def lane(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -190,11 +190,15 @@ def far_links(known: DataFrame, segments: list[tuple[str, int, int, int]], radiu
 
 
 def meetings(entry: DataFrame, probe: DataFrame, columns: tuple[str, ...], bits: tuple[str, ...], radius: int, apart: bool = False) -> DataFrame:
-    """Edges u, v between the first of ``columns`` of probe and entry(*columns, component, key) under one key, at most ``radius`` of ``bits`` apart."""
+    """Edges u, v between the first of ``columns`` of probe and entry(*columns, component, key) under one key, at most ``radius`` of ``bits`` apart.
+
+    A null component is a node of its own.
+    """
+    own = F.coalesce("component", F.col(columns[0]))
     sizes = entry.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
     crowded = cut_lineage(
         entry.join(sizes.select("key"), "key", "left_semi")
-        .groupBy("key", "component").agg(F.count("*").alias("n"))
+        .groupBy("key", own.alias("component")).agg(F.count("*").alias("n"))
         .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / STRANGERS).alias("parts"))
     )
     number = crowded.count()
@@ -202,7 +206,8 @@ def meetings(entry: DataFrame, probe: DataFrame, columns: tuple[str, ...], bits:
     a = probe.select("key", F.col("component").alias("cu"), *[F.col(c).alias(f"u_{c}") for c in columns])
     b = entry.select("key", F.col("component").alias("cv"), *[F.col(c).alias(f"v_{c}") for c in columns])
     near = (F.col(f"u_{columns[0]}") != F.col(f"v_{columns[0]}")) & (distance(bits, "u_", "v_") <= radius)
-    differ = F.col("cu") != F.col("cv")
+    cu, cv = F.coalesce("cu", F.col(f"u_{columns[0]}")), F.coalesce("cv", F.col(f"v_{columns[0]}"))
+    differ = cu != cv
 
     def links(left: DataFrame, right: DataFrame, also: Column) -> DataFrame:
         return left.join(right, (left["key"] == right["key"]) & near & also).select(F.col(f"u_{columns[0]}").alias("u"), F.col(f"v_{columns[0]}").alias("v"))
@@ -216,8 +221,8 @@ def meetings(entry: DataFrame, probe: DataFrame, columns: tuple[str, ...], bits:
     dealt = lambda rows: rows.withColumn("key", F.struct("key", F.pmod(F.xxhash64(next(c for c in rows.columns if c[:2] in ("u_", "v_"))), F.greatest("parts", F.lit(1))).alias("part")))
     spread = lambda rows: rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)) - 1))).withColumn("key", F.struct("key", "part")).drop("part")
     bare = lambda rows: rows.drop("main", "parts")
-    others = links(bare(dealt(a)), bare(spread(b.filter("cv <> main"))), differ)
-    strays = links(bare(spread(a.filter("cu <> main"))), bare(dealt(b.filter("cv = main"))), differ)
+    others = links(bare(dealt(a)), bare(spread(b.filter(cv != F.col("main")))), differ)
+    strays = links(bare(spread(a.filter(cu != F.col("main")))), bare(dealt(b.filter(cv == F.col("main")))), differ)
     return sparse.unionByName(others).unionByName(strays)
 
 
@@ -318,6 +323,87 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, see
     return cut_lineage(small_batches(pairs.select("u", "v", "u_held", "v_held")).mapInArrow(run, "u long, v long"))
 
 
+#: Bytes of shingle sets that one block of a cluster holds, about.
+BLOCK = 1 << 22
+
+
+def linked_within(one: list[np.ndarray], other: list[np.ndarray] | None, similarity: float) -> list[tuple[int, int]]:
+    """(i, j): links between two blocks of shingle sets, or within one (other is None), as few as join what is alike.
+
+    All pairs are compared, by lists of the sets that hold each shingle; of those that reach the similarity only such
+    are told as join what earlier ones have not.
+    """
+    sets = one if other is None else [*one, *other]
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    owner, values = owner[order], flat[order]
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    keys, ends = values[starts], np.append(starts[1:], len(values))
+    sizes, parent, links = np.array([len(x) for x in sets]), list(range(len(sets))), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, own in enumerate(one):
+        at = np.searchsorted(keys, own)
+        both = np.zeros(len(sets), np.int64)
+        for k in at.tolist():
+            both[owner[starts[k] : ends[k]]] += 1
+        both[: i + 1 if other is None else len(one)] = 0
+        for j in np.flatnonzero((both > 0) & (both >= similarity * (sizes[i] + sizes - both))).tolist():
+            if (a := root(i)) != (b := root(j)):
+                parent[b] = a
+                links.append((i, j if other is None else j - len(one)))
+    return links
+
+
+def cluster_links(clusters: DataFrame, texts: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """Edges u, v that join the components of each cluster wherever texts of two components reach the similarity.
+
+    clusters(node, cluster, component): a cluster is a set of texts that look alike by their fingerprints; its components
+    are linked already. Clusters of several components are cut into blocks of about BLOCK bytes of shingle sets, by component
+    where these are large, and blocks are compared in pairs, except those of one component. So a large cluster
+    costs comparisons in blocks, but never a row for a pair of texts.
+    """
+    mixed = clusters.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("cluster")
+    members = cut_lineage(clusters.join(mixed, "cluster", "left_semi"))
+    few = F.broadcast(members.select("node")) if members.count() <= BROADCAST_ROWS else members.select("node")
+    own = texts.join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = cut_lineage(shingle_sets(own, words, seed).join(members, "node"))
+    weight = (F.octet_length("held") + 64).cast("long")
+    parts = sets.groupBy("cluster", "component").agg(F.sum(weight).alias("bytes"))
+    parts = parts.withColumn("pure", F.when(F.col("bytes") >= BLOCK // 2, F.col("component")))
+    # How many blocks: of each large component, and of all small ones together.
+    blocks = cut_lineage(parts.groupBy("cluster", "pure").agg(F.ceil(F.sum("bytes") / BLOCK).alias("blocks")))
+    listed = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cluster", F.struct("pure", "block").alias("block"))
+    pairs = listed.join(listed.withColumnRenamed("block", "with"), "cluster").filter((F.col("block") <= F.col("with")) & ~(F.coalesce(F.col("block.pure") == F.col("with.pure"), F.lit(False))))
+    pairs = cut_lineage(pairs.select("cluster", F.struct("cluster", "block", "with").alias("pair"), "block", "with"))
+    side = pairs.select("cluster", "pair", "block", F.lit(False).alias("right")).unionByName(pairs.filter("block <> with").select("cluster", "pair", F.col("with").alias("block"), F.lit(True).alias("right")))
+    large = cut_lineage(parts.filter("pure is not null").select("cluster", "component", "pure"))
+    dealt = sets.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, ["cluster", "component"], "left")
+    here = dealt["cluster"].eqNullSafe(blocks["cluster"]) & dealt["pure"].eqNullSafe(blocks["pure"])
+    dealt = dealt.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks, here).select(
+        dealt["cluster"], "node", "held", F.struct(dealt["pure"], F.pmod(F.xxhash64("node"), "blocks").alias("block")).alias("block"))
+    rows = dealt.join(side, ["cluster", "block"]).select("pair", "right", "node", "held")
+
+    def compare(table: pa.Table) -> pa.Table:
+        right = np.array(table.column("right").to_pylist(), bool)
+        nodes = np.array(table.column("node").to_pylist(), np.int64)
+        held = [np.frombuffer(x, np.uint64) for x in table.column("held").to_pylist()]
+        if right.any():
+            one, two = np.flatnonzero(~right), np.flatnonzero(right)
+            found = [(one[i], two[j]) for i, j in linked_within([held[i] for i in one], [held[i] for i in two], similarity)]
+        else:
+            found = linked_within(held, None, similarity)
+        return pa.table({"u": pa.array([nodes[i] for i, _ in found], pa.int64()), "v": pa.array([nodes[j] for _, j in found], pa.int64())})
+
+    return cut_lineage(rows.groupBy("pair").applyInArrow(compare, "u long, v long"))
+
+
 #: Rows of one segment's value that are sorted together at most, before the look-up.
 SORTED = 50_000
 
@@ -349,7 +435,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     meet in some segment, more similar ones nearly always. The look-up carries the lane
     of its segment only; the complete distance over all lanes follows for those near in that lane, and then the shingles of
     both texts are counted: only they decide. Before the look-up, fingerprints that share a segment are
-    compared with their neighbours in order, so that large groups are few components, and no link within one is told again.
+    compared with their neighbours in order. Those near by all lanes form clusters; within a cluster texts are compared
+    in blocks, all of them, so that a large group of copies costs no row for a pair, and the look-up passes over it.
     """
     segments = segments or segments_for(docs.count())
     columns = ("fp", *[f"w{i}" for i in range(1, segments.lanes)])
@@ -362,15 +449,25 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     most, lane_most = allowed_bits(similarity, BITS * segments.lanes, 3), allowed_bits(similarity, BITS, 1.5)
     cuts = [(c, segments.bits * j, segments.bits, 1) for c in columns for j in range(segments.parts)]
 
-    def counted(pairs: DataFrame) -> DataFrame:
-        return alike(within(pairs, distinct, columns, most), texts.select("node", "text"), words, similarity, seed)
+    def near(pairs: DataFrame) -> DataFrame:
+        return within(pairs, distinct, columns, most)
+
+    def alike_of(pairs: DataFrame) -> DataFrame:
+        return alike(pairs, texts.select("node", "text"), words, similarity, seed)
 
     def entries(known: DataFrame, *keep: str) -> DataFrame:
-        keys = [F.struct(_keys(cuts, i).alias("key"), F.col(cuts[i][0]).alias("lane"), F.element_at("weak", i + 1).alias("weak")) for i in range(len(cuts))]
+        own = [~(((1 << width) - 1) << at) for _, at, width, _ in cuts]  # the lane without its segment, which the key tells
+        keys = [F.struct(_keys(cuts, i).alias("key"), F.col(cuts[i][0]).bitwiseAND(F.lit(own[i]).cast("long")).alias("lane"), F.element_at("weak", i + 1).alias("weak")) for i in range(len(cuts))]
         return known.select(*keep, F.explode(F.array(*keys)).alias("e")).select(*keep, "e.*")
 
-    dense = connected_components(counted(beside(entries(distinct, "node"), lane_most)))
-    known = cut_lineage(distinct.join(dense, "node", "left").select("node", *columns, "weak", F.coalesce("component", "node").alias("component")))
+    following = near(beside(entries(distinct, "node"), lane_most))
+    fine = connected_components(alike_of(following))
+    coarse = connected_components(following).withColumnRenamed("component", "cluster")
+    clusters = coarse.join(fine, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
+    clusters = cut_lineage(clusters)
+    inner = cluster_links(clusters, texts.select("node", "text"), words, similarity, seed)
+    # A component of the look-up is a cluster: all within one are compared already. Null: a text of its own.
+    known = cut_lineage(distinct.join(coarse, "node", "left").select("node", *columns, "weak", F.col("cluster").alias("component")))
     entry = entries(known, "node", "component")
     masks = [F.lit(0).cast("long")]
     for i in range(segments.flips):
@@ -378,6 +475,6 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         masks += [m.bitwiseXOR(bit) for m in masks]
     probe = entry.select("node", "component", "key", "lane", F.explode(F.array(*masks)).alias("mask"))
     probe = probe.select("node", "component", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "lane")
-    far = counted(meetings(entry.drop("weak"), probe, ("node", "lane"), ("lane",), lane_most, apart=True))
-    stars = known.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return _grouped(marked, distinct, far.unionByName(stars), "node")
+    far = alike_of(near(meetings(entry.drop("weak"), probe, ("node", "lane"), ("lane",), lane_most, apart=True)))
+    stars = clusters.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return _grouped(marked, distinct, far.unionByName(stars).unionByName(inner), "node")

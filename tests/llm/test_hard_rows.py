@@ -269,3 +269,26 @@ def test_all_stages_take_odd_rows(spark, tmp_path):
     planted(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(r["round_trip"] for r in out) and {r["doc_id"] for r in out} >= set(range(120)) | {900, 902}
+
+
+def test_blocks_of_a_cluster_link_what_counting_links(spark, monkeypatch):
+    """One template with more and more changes: components as by comparing all pairs, with one and with many blocks."""
+    rng, base = random.Random(5), words(random.Random(5), 150)
+    texts = [" ".join(w if rng.random() > share else rng.choice(WORDS) for w in base) for share in [0.005, 0.01, 0.02, 0.04, 0.06] for _ in range(24)]
+    sets = [t.split() for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), PAIR)
+    for block in (1 << 22, 1 << 13):
+        monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+        found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(docs).collect()}
+        assert [found[i] for i in range(len(sets))] == [root(i) for i in range(len(sets))]
