@@ -22,6 +22,15 @@ def join_crowded(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, tot
     return rows.join(many, keys).unionByName(few)
 
 
+#: Short rows (ids, links) of one task, about; fewer of them are not dealt to more tasks.
+ROWS_A_TASK = 200_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """The frame in as many partitions as its number of short rows asks for: small tables leave few files behind."""
+    return df.coalesce(rows // ROWS_A_TASK + 1)
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -36,6 +45,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     edges = cut_lineage(edges)
     before = _signature(edges)
+    edges = gathered(edges, before[0])
     while before[0]:
         # Large star: a node's larger neighbours move to the smallest node around it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,7 +54,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours move to the smallest of these.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = cut_lineage(small)
+        edges = cut_lineage(gathered(small, before[0]))
         after = _signature(edges)
         if after == before:
             break

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lamina.llm.batches import small_batches
-from lamina.llm.components import connected_components, join_crowded
+from lamina.llm.components import connected_components, gathered, join_crowded
 from lamina.session import cut_lineage
 
 BITS = 64
@@ -371,19 +371,21 @@ def cluster_links(clusters: DataFrame, texts: DataFrame, words: int, similarity:
     """
     mixed = clusters.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("cluster")
     members = cut_lineage(clusters.join(mixed, "cluster", "left_semi"))
-    few = F.broadcast(members.select("node")) if members.count() <= BROADCAST_ROWS else members.select("node")
+    number = members.count()
+    members = gathered(members, number)
+    few = F.broadcast(members.select("node")) if number <= BROADCAST_ROWS else members.select("node")
     own = texts.join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = cut_lineage(shingle_sets(own, words, seed).join(members, "node"))
     weight = (F.octet_length("held") + 64).cast("long")
     parts = sets.groupBy("cluster", "component").agg(F.sum(weight).alias("bytes"))
     parts = parts.withColumn("pure", F.when(F.col("bytes") >= BLOCK // 2, F.col("component")))
     # How many blocks: of each large component, and of all small ones together.
-    blocks = cut_lineage(parts.groupBy("cluster", "pure").agg(F.ceil(F.sum("bytes") / BLOCK).alias("blocks")))
+    blocks = cut_lineage(gathered(parts.groupBy("cluster", "pure").agg(F.ceil(F.sum("bytes") / BLOCK).alias("blocks")), number))
     listed = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cluster", F.struct("pure", "block").alias("block"))
     pairs = listed.join(listed.withColumnRenamed("block", "with"), "cluster").filter((F.col("block") <= F.col("with")) & ~(F.coalesce(F.col("block.pure") == F.col("with.pure"), F.lit(False))))
-    pairs = cut_lineage(pairs.select("cluster", F.struct("cluster", "block", "with").alias("pair"), "block", "with"))
+    pairs = cut_lineage(gathered(pairs, number).select("cluster", F.struct("cluster", "block", "with").alias("pair"), "block", "with"))
     side = pairs.select("cluster", "pair", "block", F.lit(False).alias("right")).unionByName(pairs.filter("block <> with").select("cluster", "pair", F.col("with").alias("block"), F.lit(True).alias("right")))
-    large = cut_lineage(parts.filter("pure is not null").select("cluster", "component", "pure"))
+    large = cut_lineage(gathered(parts.filter("pure is not null"), number).select("cluster", "component", "pure"))
     dealt = sets.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, ["cluster", "component"], "left")
     here = dealt["cluster"].eqNullSafe(blocks["cluster"]) & dealt["pure"].eqNullSafe(blocks["pure"])
     dealt = dealt.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks, here).select(
