@@ -76,3 +76,48 @@ def margin(scores: Column, own: Column) -> Column:
     """Own score less the best of the others."""
     others = F.filter(F.transform(scores, lambda s, i: F.when(i != own, s)), lambda s: s.isNotNull())
     return F.get(scores, own) - F.array_max(others)
+
+
+def middle(values: Column) -> Column:
+    """Median of a non-empty array."""
+    v, n = F.array_sort(values), F.size(values)
+    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2.0
+
+
+def spread(values: Column) -> Column:
+    """Population deviation of a non-empty array."""
+    n = F.size(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
+    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+
+
+def line_score(boxes: Column, height: Column, width: Column, low: int, high: int) -> Column:
+    """How much an array of boxes(x, w, h) looks like a line of ``low`` to ``high`` characters.
+
+    Fixed values: the weights, which results must agree with.
+    """
+    n, w, h = F.size(boxes), boxes["w"].cast("array<double>"), boxes["h"].cast("array<double>")
+    tall, wide = F.greatest(F.lit(1.0), middle(h)), F.greatest(F.lit(1.0), middle(w))
+    count = F.when(n.between(low, high), 35.0 - F.abs((low + high) / 2.0 - n)).otherwise(20.0 - F.least(F.abs(n - low), F.abs(n - high)) * 7.0)
+    size = F.when(tall.between(height * 0.35, height * 0.92), 8.0).otherwise(-8.0)
+    uneven = F.least(F.lit(8.0), spread(w) / wide * 3.0) + F.least(F.lit(8.0), spread(h) / tall * 3.0)
+
+    def fault(b: Column) -> Column:
+        edge = (b["x"] <= 1) | (b["x"] + b["w"] >= width - 1)
+        small = F.when(b["w"] * b["h"] < height * width * 0.006, 3.0).otherwise(0.0)
+        return small + F.when(edge & (b["w"] < width * 0.07), 4.0).otherwise(0.0) + F.when(b["h"] < tall * 0.45, 4.0).otherwise(0.0)
+
+    faults = F.aggregate(F.transform(boxes, fault), F.lit(0.0), lambda a, x: a + x)
+    return F.when(n == 0, -50.0).otherwise(count + size - uneven - faults)
+
+
+def character_shaped(box: Column, height: Column, width: Column, narrow: float, broad: float, low: float) -> Column:
+    """Whether a component(w, h, area) has a character's share of its line: width between two shares, height above one, 30 pixels at least."""
+    return (box["w"] >= width * narrow) & (box["w"] <= width * broad) & (box["h"] >= height * low) & (box["area"] >= 30)
+
+
+def edge_artefact(box: Column, height: Column, width: Column) -> Column:
+    """Whether a box(x, w, h) is a piece of the frame: it touches a side and is tall and thin."""
+    touches = (box["x"] <= 1) | (box["x"] + box["w"] >= width - 1)
+    thin = (box["h"] > height * 0.72) & (box["w"] < width * 0.08)
+    return touches & (thin | (box["w"] / F.greatest(F.lit(1.0), box["h"].cast("double")) < 0.13))

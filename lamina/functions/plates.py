@@ -129,3 +129,13 @@ def alert_line(status: Column, severity: Column, name: Column, summary: Column)
 def shown(value: Column) -> Column:
     """Four decimals, n/a for null."""
     return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.4f", value))
+
+
+def done_early(valid: Column, score: Column) -> Column:
+    """A reading that is valid and scores 12 or more needs no second look."""
+    return F.coalesce(valid & (score >= 12), F.lit(False))
+
+
+def needs_fallback(valid: Column, score: Column, characters: Column, angle: Column) -> Column:
+    """A reading to try anew: turned by more than 15 degrees, of fewer than seven characters, or not valid and below 10."""
+    return (F.abs(F.coalesce(angle, F.lit(0.0))) > 15) | (characters < 7) | (~F.coalesce(valid, F.lit(False)) & (F.coalesce(score, F.lit(0.0)) < 10))

@@ -106,3 +106,11 @@ def fold_interval(scores: DataFrame, *keys: str) -> DataFrame:
     """Mean, sample deviation and half width of the 95 % interval over scores(fold, score)."""
     out = scores.groupBy(*keys).agg(F.count("*").alias("folds"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("deviation"))
     return out.withColumn("half_width", statistics.t_interval(F.col("folds"), F.col("deviation")))
+
+
+def served_models(services: DataFrame, aliases: DataFrame) -> DataFrame:
+    """services(service, name, alias, has_local) with source and version: the registry's version of the alias, else the local model, else none."""
+    known = aliases.select("name", "alias", F.col("version").cast("string").alias("version"))
+    found = services.join(known, ["name", "alias"], "left")
+    source = F.when(F.col("version").isNotNull(), "registry").when(F.col("has_local"), "local").otherwise("none")
+    return found.select("service", source.alias("source"), "version")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lamina.functions import statistics
+from lamina.functions.sliding import SlidingLog
 
 
 def bucket_start(ts: Column, seconds: int) -> Column:
@@ -77,41 +81,47 @@ def uninhibited(alerts: DataFrame, source: str, targets: list[str]) -> DataFrame
 
 
 def notifications(firing: DataFrame, repeat: Column, *keys: str) -> DataFrame:
-    """firing(at) with sent: the first of a group, then whenever ``repeat`` seconds have passed since the last one sent."""
-    runs = firing.groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("times"), F.first(repeat).alias("repeat"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("sent"))
+    """firing(at) with sent: the first of a group, then whenever ``repeat`` seconds have passed since the last one sent.
+
+    Rows are sorted within tasks and read once; a task remembers one time, whatever the length of a group.
+    """
+    rows = firing.select(*keys, "at", repeat.cast("long").alias("__repeat"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "at")
 
-    def step(state: Column, at: Column) -> Column:
-        due = state["last"].isNull() | (at - state["last"] >= F.col("repeat"))
-        return F.struct(F.when(due, at).otherwise(state["last"]).alias("last"), F.when(due, F.concat(state["sent"], F.array(at))).otherwise(state["sent"]).alias("sent"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = last = None
+        for batch in batches:
+            sent = []
+            for *own, at, wait in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                due = own != group or at >= last + wait
+                group, last = own, at if due else last
+                sent.append(due)
+            yield batch.select([*keys, "at"]).filter(pa.array(sent, pa.bool_()))
 
-    return runs.select(*keys, F.explode(F.aggregate("times", start, step)["sent"]).alias("at"))
+    return rows.mapInArrow(run, rows.select(*keys, "at").schema)
 
 
 def rate_limited(requests: DataFrame, client: str, at: str, window: float, most: int, *keep: str) -> DataFrame:
     """requests with allowed and retry_after of a sliding log per client.
 
-    The log is greedy: refused requests are not recorded, so only the last ``most`` allowed times matter. A
-    client's requests are cut into sessions at gaps of a window, which the log can't see across, and each
-    session is folded in order.
+    The log is greedy: refused requests are not recorded, so only the last ``most`` allowed times matter. Requests are
+    sorted within tasks by client and time and read once, so a client of any length costs a task ``most`` times of memory.
     """
-    w = W.partitionBy(client).orderBy(at, *keep)
-    opens = F.coalesce(F.col(at) - F.lag(at).over(w) >= window, F.lit(True)).cast("int")
-    dealt = requests.select(client, at, *keep).withColumn("session", F.sum(opens).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    item = F.struct(F.col(at).alias("at"), *[F.col(k) for k in keep])
-    sessions = dealt.groupBy(client, "session").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    verdict = F.struct(F.lit(True).alias("allowed"), F.lit(0).cast("int").alias("retry_after"))
-    start = F.struct(F.array().cast("array<double>").alias("log"), F.slice(F.array(verdict), 1, 0).alias("out"))
+    rows = requests.select(client, F.col(at).cast("double").alias(at), *keep)
+    rows = rows.repartition(client).sortWithinPartitions(client, at, *keep)
+    schema = T.StructType([*rows.schema, T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.IntegerType())])
 
-    def step(state: Column, x: Column) -> Column:
-        log = F.filter(state["log"], lambda t: x["at"] - t < window)
-        full = F.size(log) >= most
-        wait = F.greatest(F.lit(1), F.floor(window - (x["at"] - F.get(log, F.lit(0)))).cast("int") + 1)
-        said = F.struct((~full).alias("allowed"), F.when(full, wait).otherwise(0).cast("int").alias("retry_after"))
-        return F.struct(F.when(full, log).otherwise(F.concat(log, F.array(x["at"]))).alias("log"), F.concat(state["out"], F.array(said)).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, whose = SlidingLog(window, most), None
+        for batch in batches:
+            waits = []
+            for name, now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != whose:
+                    log, whose = SlidingLog(window, most), name
+                waits.append(log.wait(now))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([not w for w in waits], pa.bool_()), pa.array(waits, pa.int32())], schema.names)
 
-    folded = sessions.select(client, F.explode(F.arrays_zip(F.col("items").alias("i"), F.aggregate("items", start, step)["out"].alias("v"))).alias("r"))
-    return folded.select(client, "r.i.*", "r.v.*")
+    return rows.mapInArrow(run, schema)
 
 
 def exposition(counts: DataFrame, metric: str, label: str, column: str, value: str) -> DataFrame:
@@ -140,3 +150,17 @@ def upload_status(data: Column, encoded: Column, most: int) -> Column:
     """HTTP status of a base64 upload: 400 empty or not base64, 413 too large, else 200."""
     shape = encoded.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(encoded) % 4 == 0)
     return F.when(F.coalesce(F.length(encoded), F.lit(0)) == 0, 400).when(F.floor(F.length(encoded) * 3 / 4) > most, 413).when(~shape, 400).otherwise(200)
+
+
+def availability_violations(runs: DataFrame) -> DataFrame:
+    """run, metric, value, threshold, kind of runs(run, api_up, health, canary_status, canary_detail) that show a service not available.
+
+    ``health`` is a struct with model_loaded, null where nothing answered; a canary that was merely limited breaks no rule.
+    """
+    row = lambda metric, value, threshold: F.struct(F.lit(metric).alias("metric"), value.alias("value"), F.lit(threshold).alias("threshold"))
+    checks = F.array(
+        F.when(F.col("api_up") == 0, row("api_up", F.lit("0"), "1")),
+        F.when(F.col("health").isNotNull() & ~F.coalesce("health.model_loaded", F.lit(False)), row("model_loaded", F.lit("false"), "true")),
+        F.when(F.col("canary_status") == "error", row("canary_prediction", F.col("canary_detail"), "HTTP 200")),
+    )
+    return runs.select("run", F.explode(F.array_compact(checks)).alias("v")).select("run", "v.*", F.lit("availability").alias("kind"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lamina.functions import geometry, plates
-from lamina.operators import evaluation
+from lamina.operators import evaluation, learning
 from lamina.session import table
 
 LETTERS = "ABCDEFGHKLMNPRSTUVXYZ"
@@ -183,8 +183,8 @@ def best_box(spark, sf_dir):
 def group_median_filter(spark, sf_dir):
     """Lines whose quantity is within half and one and a half times the median of their order."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
-    middle = rows.groupBy("l_orderkey").agg(F.percentile("q", 0.5).alias("median"))
-    return rows.join(middle, "l_orderkey").filter("q between 0.5 * median and 1.5 * median").select("l_orderkey", "l_linenumber", "q", "median")
+    rows = rows.withColumn("median", F.percentile("q", 0.5).over(W.partitionBy("l_orderkey")))  # one shuffle
+    return rows.filter("q between 0.5 * median and 1.5 * median").select("l_orderkey", "l_linenumber", "q", "median")
 
 
 def reading_order(spark, sf_dir):
@@ -196,9 +196,46 @@ def reading_order(spark, sf_dir):
     return rows.withColumn("split", split).select("l_orderkey", F.concat_ws("", F.transform(ordered, lambda i: i.ch.cast("string"))).alias("text"), counts["top"].alias("top"), counts["bottom"].alias("bottom"))
 
 
+def line_boxes(spark, sf_dir):
+    """Each order's lines as character boxes in a line of 32 by 160 pixels."""
+    q = F.col("l_quantity").cast("int")
+    box = F.struct(((F.col("l_linenumber") - 1) * 24).cast("int").alias("x"), (3 + q % 19).alias("w"), (6 + q % 27).alias("h"), (q % 40 + 5).alias("area"), F.col("l_linenumber").cast("int").alias("n"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", box.alias("box"))
+
+
+def line_scores(spark, sf_dir):
+    """How much each order's boxes look like a line of three to five characters."""
+    lines = line_boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
+    return lines.select("l_orderkey", F.round(geometry.line_score(F.col("boxes"), F.lit(32), F.lit(160), 3, 5), 6).alias("score"), F.size("boxes").alias("n"))
+
+
+def component_filters(spark, sf_dir):
+    """Boxes by whether they are shaped like characters, and whether they are pieces of the frame."""
+    rows, box = line_boxes(spark, sf_dir), F.col("box")
+    return rows.select("l_orderkey", "box.n", geometry.character_shaped(box, F.lit(32), F.lit(160), 0.03, 0.12, 0.4).alias("character"), geometry.edge_artefact(box, F.lit(32), F.lit(160)).alias("artefact"))
+
+
+def crop_decisions(spark, sf_dir):
+    """Which readings, told from order lines, end the search and which need another crop."""
+    q = F.col("l_quantity").cast("int")
+    text = F.concat(F.lpad((F.col("l_partkey") % 100).cast("string"), 2, "0"), F.when(q % 3 == 0, "A").otherwise("?"), F.col("l_suppkey").cast("string"), F.col("l_orderkey").cast("string"))
+    angle = F.when(q % 7 != 0, F.col("l_linenumber") * 7.0 - 25)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"), angle.alias("angle"), (q / 2.0).alias("score"))
+    valid = plates.is_valid(F.col("text"))
+    return rows.select("l_orderkey", "l_linenumber", plates.done_early(valid, F.col("score")).alias("done"), plates.needs_fallback(valid, F.col("score"), F.length("text"), F.col("angle")).alias("again"))
+
+
+def served_models(spark, sf_dir):
+    """Nations as services: every third has no production version, every second a local model."""
+    rows = table(spark, sf_dir, "nation")
+    aliases = rows.filter("n_nationkey % 3 <> 0").select(F.col("n_name").alias("name"), F.lit("production").alias("alias"), (F.col("n_nationkey") * 2 + 1).alias("version"))
+    services = rows.select(F.col("n_nationkey").alias("service"), F.col("n_name").alias("name"), F.lit("production").alias("alias"), (F.col("n_nationkey") % 2 == 0).alias("has_local"))
+    return learning.served_models(services, aliases)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (plate_correct, plate_format_score, ocr_eval, eval_detail, eval_by_group, confusion_counts, confusion_table, class_report, macro_scores, fairness_groups, pair_confusion, class_equity, text_helpers, best_candidate, best_box, group_median_filter, reading_order)
+    for f in (plate_correct, plate_format_score, ocr_eval, eval_detail, eval_by_group, confusion_counts, confusion_table, class_report, macro_scores, fairness_groups, pair_confusion, class_equity, text_helpers, best_candidate, best_box, group_median_filter, reading_order, line_scores, component_filters, crop_decisions, served_models)
 }
 
 _DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
@@ -249,4 +286,17 @@ WHERE q BETWEEN 0.5 * median AND 1.5 * median""",
     "reading_order": """WITH s AS (SELECT l_orderkey, (min(l_quantity::DOUBLE) + max(l_quantity::DOUBLE)) / 2 AS split FROM lineitem GROUP BY 1)
 SELECT l_orderkey, string_agg(l_linenumber::INT::VARCHAR, '' ORDER BY l_quantity::DOUBLE >= split, l_extendedprice::DOUBLE, l_linenumber) AS text, count_if(l_quantity::DOUBLE < split)::INT AS top, count_if(l_quantity::DOUBLE >= split)::INT AS bottom
 FROM lineitem JOIN s USING (l_orderkey) GROUP BY l_orderkey""",
+    "line_scores": """WITH b AS (SELECT l_orderkey, (l_linenumber - 1) * 24 AS x, 3 + l_quantity::INT % 19 AS w, 6 + l_quantity::INT % 27 AS h FROM lineitem),
+m AS (SELECT l_orderkey, count(*) AS n, greatest(1.0, median(h)) AS tall, greatest(1.0, median(w)) AS wide, stddev_pop(w) AS sw, stddev_pop(h) AS sh FROM b GROUP BY 1),
+f AS (SELECT l_orderkey, sum(CASE WHEN w * h < 32 * 160 * 0.006 THEN 3 ELSE 0 END + CASE WHEN (x <= 1 OR x + w >= 159) AND w < 160 * 0.07 THEN 4 ELSE 0 END + CASE WHEN h < tall * 0.45 THEN 4 ELSE 0 END) AS faults FROM b JOIN m USING (l_orderkey) GROUP BY 1)
+SELECT l_orderkey, round((CASE WHEN n BETWEEN 3 AND 5 THEN 35.0 - abs(4.0 - n) ELSE 20.0 - least(abs(n - 3), abs(n - 5)) * 7.0 END + CASE WHEN tall BETWEEN 32 * 0.35 AND 32 * 0.92 THEN 8 ELSE -8 END
+  - least(8.0, sw / wide * 3.0) - least(8.0, sh / tall * 3.0) - faults)::DOUBLE, 6) AS score, n::INT AS n FROM m JOIN f USING (l_orderkey)""",
+    "component_filters": """WITH b AS (SELECT l_orderkey, l_linenumber::INT AS n, (l_linenumber - 1) * 24 AS x, 3 + l_quantity::INT % 19 AS w, 6 + l_quantity::INT % 27 AS h, l_quantity::INT % 40 + 5 AS area FROM lineitem)
+SELECT l_orderkey, n, w >= 160 * 0.03::DOUBLE AND w <= 160 * 0.12::DOUBLE AND h >= 32 * 0.4::DOUBLE AND area >= 30 AS character,
+  (x <= 1 OR x + w >= 159) AND ((h > 32 * 0.72::DOUBLE AND w < 160 * 0.08::DOUBLE) OR w / greatest(1.0, h)::DOUBLE < 0.13::DOUBLE) AS artefact FROM b""",
+    "crop_decisions": """WITH r AS (SELECT l_orderkey, l_linenumber, lpad((l_partkey % 100)::VARCHAR, 2, '0') || CASE WHEN l_quantity::INT % 3 = 0 THEN 'A' ELSE '?' END || l_suppkey || l_orderkey AS t,
+  CASE WHEN l_quantity::INT % 7 <> 0 THEN l_linenumber * 7.0 - 25 ELSE 0 END AS angle, l_quantity::INT / 2 AS score FROM lineitem),
+v AS (SELECT *, regexp_matches(t, '^[0-9]{2}[A-Z][0-9]{4,6}$') OR regexp_matches(t, '^[0-9]{2}[A-Z][A-Z0-9]?[0-9]{3,5}$') AS valid FROM r)
+SELECT l_orderkey, l_linenumber, valid AND score >= 12 AS done, abs(angle) > 15 OR length(t) < 7 OR (NOT valid AND score < 10) AS again FROM v""",
+    "served_models": """SELECT n_nationkey AS service, CASE WHEN n_nationkey % 3 <> 0 THEN 'registry' WHEN n_nationkey % 2 = 0 THEN 'local' ELSE 'none' END AS source, CASE WHEN n_nationkey % 3 <> 0 THEN (n_nationkey * 2 + 1)::VARCHAR END AS version FROM nation""",
 }

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from lamina.functions import geometry, plates, statistics
-from lamina.operators import monitoring
+from lamina.operators import monitoring, series
 from lamina.session import table
 
 BOUNDS = [1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0]
 DAY = 86_400
+RANGES = {"1h": 3600, "24h": DAY, "7d": 7 * DAY}
 
 
 def metric_rate(spark, sf_dir):
@@ -170,11 +171,12 @@ def exposition(spark, sf_dir):
 
 def upload_checks(spark, sf_dir):
     """Uploads made of conversation turns: some empty, some broken, some too large."""
-    text = F.substring("text", F.lit(1), (F.length("text") % 200).cast("int"))
-    data = F.when(F.col("turn") % 5 == 4, "").otherwise(F.base64(text.cast("binary")))
-    sent = F.when(F.col("conv_id") % 9 == 0, F.concat(F.regexp_replace(data, "[\r\n]", ""), F.lit("!"))).otherwise(F.regexp_replace(data, "[\r\n]", ""))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"), sent.alias("sent"))
-    return rows.select("conv_id", "turn", monitoring.upload_status(F.col("text"), F.col("sent"), 150).alias("status"), F.length("sent").alias("sent_length"))
+    data = F.when(F.col("turn") % 5 == 4, "").otherwise(F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", ""))
+    sent = F.when(F.col("conv_id") % 9 == 0, F.concat(data, F.lit("!"))).otherwise(data)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", sent.alias("sent"))
+    rows = rows.withColumn("status", monitoring.upload_status(F.col("text"), F.col("sent"), 300))
+    decoded = F.when(F.col("status") == 200, F.length(F.unbase64("sent")))
+    return rows.select("conv_id", "turn", "status", F.length("sent").alias("sent_length"), decoded.alias("image_bytes"))
 
 
 def summary_text(spark, sf_dir):
@@ -187,8 +189,12 @@ def weighted_median(spark, sf_dir):
     dx, dy = F.col("value") - 20, (F.col("event_id") % 41) - 20.0
     angle = geometry.folded_angle(dx, dy)
     rows = table(spark, sf_dir, "events").select("user_id", F.round(angle, 6).alias("value"), F.round(F.sqrt(dx * dx + dy * dy)).alias("weight")).filter("abs(value) <= 35")
-    pairs = rows.groupBy("user_id").agg(F.collect_list(F.struct("value", "weight")).alias("p"))
-    return pairs.select("user_id", geometry.weighted_median(F.col("p")).alias("angle"))
+    # One row for each angle first; the median is where the running weight reaches half, so no list of a user is held.
+    steps = rows.groupBy("user_id", "value").agg(F.sum("weight").alias("weight"))
+    user = W.partitionBy("user_id")
+    run, whole = F.sum("weight").over(user.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), F.sum("weight").over(user)
+    reached = steps.select("user_id", "value", (run >= whole / 2).alias("reached")).filter("reached")
+    return reached.groupBy("user_id").agg(F.min("value").alias("angle"))
 
 
 def islands(spark, sf_dir):
@@ -205,11 +211,45 @@ def simulator_stats(spark, sf_dir):
     return stats.join(monitoring.nearest_rank(rows, "value", {"p50": 0.5, "p95": 0.95}, "day"), "day")
 
 
+def samples(spark, sf_dir):
+    """Events as metric samples: one request each, and its value in hundredths as brightness."""
+    rows = table(spark, sf_dir, "events")
+    labels = F.create_map(F.lit("type"), F.col("event_type"), F.lit("part"), (F.col("user_id") % 4).cast("string"))
+    ts = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("ts")
+    both = F.array(F.struct(F.lit("api_requests_total").alias("name"), F.lit(1).cast("long").alias("value")), F.struct(F.lit("brightness").alias("name"), F.round(F.col("value") * 100).cast("long").alias("value")))
+    return rows.select(ts, labels.alias("labels"), F.explode(both).alias("s")).select("ts", "s.name", "labels", "s.value")
+
+
+def range_increases(spark, sf_dir):
+    """Requests but errors of two parts over 1 h, 24 h and 7 d, by type and hour."""
+    chosen = series.selected(samples(spark, sf_dir), "api_requests_total", [("type", "!=", "error"), ("part", "=~", "0|2")])
+    ranged = series.over_ranges(series.in_steps(chosen, 3600, "type"), 3600, RANGES, "type")
+    return ranged.select("type", "step", *[F.col(f"total_{r}").alias(f"increase_{r}") for r in RANGES], F.round(F.col("total_24h") / RANGES["24h"], 9).alias("rate_24h"))
+
+
+def window_drift(spark, sf_dir):
+    """Brightness of the last hour against the last day, by part."""
+    chosen = series.selected(samples(spark, sf_dir), "brightness", [("type", "!~", "err.*"), ("part", "!=", "3")])
+    ranged = series.over_ranges(series.in_steps(chosen, 3600, "part"), 3600, RANGES, "part")
+    return series.drift(ranged, "1h", "24h", "part").select("part", "step", F.round("drift", 9).alias("drift"))
+
+
+def availability(spark, sf_dir):
+    """Runs of every sixth hour with a probe, a health answer and a canary, told from the hour."""
+    hour = F.floor(monitoring.bucket_start(F.col("ts"), 21_600) / 21_600).cast("long")
+    runs = table(spark, sf_dir, "events").select(hour.alias("run")).distinct()
+    by = lambda n: F.col("run") % n
+    return monitoring.availability_violations(runs.select(
+        "run", F.when(by(7) == 0, 0).when(by(5) != 0, 1).alias("api_up"), F.when(by(4) != 0, F.struct((by(6) != 1).alias("model_loaded"))).alias("health"),
+        F.when(by(3) == 0, "error").when(by(3) == 1, "limited").alias("canary_status"), F.concat(F.lit("code "), by(10).cast("string")).alias("canary_detail"),
+    ))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         metric_rate, status_by_label, hist_buckets, hist_quantile, nearest_rank, drift_ratio, success_rate_guarded, violations, alert_states, alert_inhibit, firing_count, alert_notifications,
-        last_alerts, rate_limit, json_props, prometheus_values, alert_flatten, counter_increase, exposition, upload_checks, summary_text, weighted_median, islands, simulator_stats,
+        last_alerts, rate_limit, json_props, prometheus_values, alert_flatten, counter_increase, exposition, upload_checks, summary_text, weighted_median, islands, simulator_stats, range_increases, window_drift, availability,
     )
 }
 
@@ -255,8 +295,9 @@ UNION ALL SELECT event_id, 'resolved', 'unknown', 'none', '', NULL, '[RESOLVED]
     "counter_increase": """WITH c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) % 10 AS v FROM events), l AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM c)
 SELECT user_id, sum(CASE WHEN b IS NULL THEN 0 WHEN v < b THEN v ELSE v - b END)::BIGINT AS increase, count(*) AS samples FROM l GROUP BY 1""",
     "exposition": """SELECT 'api_requests_total{type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type""",
-    "upload_checks": """WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE to_base64(encode(substr(text, 1, length(text) % 200))) END || CASE WHEN conv_id % 9 = 0 THEN '!' ELSE '' END AS sent FROM conversations)
-SELECT conv_id, turn, CASE WHEN length(sent) = 0 THEN 400 WHEN floor(length(sent) * 3 / 4) > 150 THEN 413 WHEN NOT regexp_matches(sent, '^[A-Za-z0-9+/]*={0,2}$') OR length(sent) % 4 <> 0 THEN 400 ELSE 200 END::INT AS status, length(sent)::INT AS sent_length FROM s""",
+    "upload_checks": """WITH s AS (SELECT conv_id, turn, text, CASE WHEN turn % 5 = 4 THEN '' ELSE to_base64(encode(text)) END || CASE WHEN conv_id % 9 = 0 THEN '!' ELSE '' END AS sent FROM conversations),
+c AS (SELECT *, CASE WHEN length(sent) = 0 THEN 400 WHEN floor(length(sent) * 3 / 4) > 300 THEN 413 WHEN NOT regexp_matches(sent, '^[A-Za-z0-9+/]*={0,2}$') OR length(sent) % 4 <> 0 THEN 400 ELSE 200 END::INT AS status FROM s)
+SELECT conv_id, turn, status, length(sent)::INT AS sent_length, CASE WHEN status = 200 THEN octet_length(encode(text)) END::INT AS image_bytes FROM c""",
     "summary_text": METRICS_SQL + " SELECT run, 'success_rate ' || printf('%.4f', success_rate) || ' drift ' || CASE WHEN brightness_drift > 0 THEN printf('%.4f', brightness_drift) ELSE 'n/a' END AS summary FROM metrics",
     "weighted_median": """WITH a AS (SELECT user_id, value - 20 AS dx, (event_id % 41) - 20.0::DOUBLE AS dy FROM events), d AS (SELECT user_id, dx, dy, degrees(atan2(dy, dx)) AS g FROM a),
 r AS (SELECT user_id, round(CASE WHEN g < -45 THEN g + 90 WHEN g > 45 THEN g - 90 ELSE g END, 6) AS v, round(sqrt(dx * dx + dy * dy)) AS w FROM d),
@@ -267,4 +308,14 @@ SELECT user_id, min(day) AS first, max(day) AS last, count(*) AS days FROM i GRO
     "simulator_stats": """WITH r AS (SELECT floor(epoch_us(ts) / 86400000000)::BIGINT * 86400 AS day, count_if(event_type <> 'error')::BIGINT AS ok, count_if(event_type = 'error')::BIGINT AS failed,
   count_if((props->>'$.k')::INT < 50)::BIGINT AS matches, list_sort(list(value)) AS v FROM events GROUP BY 1)
 SELECT day, ok, failed, matches, v[floor(0.5 * len(v))::INT + 1] AS p50, v[floor(0.95 * len(v))::INT + 1] AS p95, len(v)::BIGINT AS n FROM r""",
+    "range_increases": """WITH s AS (SELECT event_type AS type, epoch_us(ts) // 3600000000 * 3600 AS step, count(*) AS n FROM events WHERE event_type <> 'error' AND user_id % 4 IN (0, 2) GROUP BY 1, 2)
+SELECT type, step, sum(n) OVER (PARTITION BY type ORDER BY step RANGE BETWEEN 0 PRECEDING AND CURRENT ROW)::BIGINT AS increase_1h, sum(n) OVER d::BIGINT AS increase_24h,
+  sum(n) OVER (PARTITION BY type ORDER BY step RANGE BETWEEN 601200 PRECEDING AND CURRENT ROW)::BIGINT AS increase_7d, round(sum(n) OVER d / 86400, 9) AS rate_24h
+FROM s WINDOW d AS (PARTITION BY type ORDER BY step RANGE BETWEEN 82800 PRECEDING AND CURRENT ROW)""",
+    "window_drift": """WITH s AS (SELECT (user_id % 4)::VARCHAR AS part, epoch_us(ts) // 3600000000 * 3600 AS step, sum(round(value * 100)::BIGINT) AS c, count(*) AS n FROM events WHERE NOT starts_with(event_type, 'err') AND user_id % 4 <> 3 GROUP BY 1, 2)
+SELECT part, step, round(abs(1 - (c / n) / (sum(c) OVER d / sum(n) OVER d)), 9) AS drift FROM s WINDOW d AS (PARTITION BY part ORDER BY step RANGE BETWEEN 82800 PRECEDING AND CURRENT ROW)""",
+    "availability": """WITH r AS (SELECT DISTINCT epoch_us(ts) // 21600000000 AS run FROM events)
+SELECT run, 'api_up' AS metric, '0' AS value, '1' AS threshold, 'availability' AS kind FROM r WHERE run % 7 = 0
+UNION ALL SELECT run, 'model_loaded', 'false', 'true', 'availability' FROM r WHERE run % 4 <> 0 AND run % 6 = 1
+UNION ALL SELECT run, 'canary_prediction', 'code ' || run % 10, 'HTTP 200', 'availability' FROM r WHERE run % 3 = 0""",
 }

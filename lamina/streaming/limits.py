@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lamina.functions.sliding import SlidingLog
+
 
 def rate_limited(requests: DataFrame, client: str, at: str, event: str, window: float, most: int) -> DataFrame:
     """client, event, allowed, retry_after of a stream of requests; the log of allowed times is the client's state.
@@ -20,18 +22,12 @@ def rate_limited(requests: DataFrame, client: str, at: str, event: str, window:
         if state.hasTimedOut:
             state.remove()
             return
-        log = list(state.get[0]) if state.exists else []
+        log = SlidingLog(window, most, state.get[0] if state.exists else ())
         rows = pd.concat(list(batches)).sort_values(["at", "event"], kind="stable")
-        out = []
-        for now, name in zip(rows["at"], rows["event"], strict=True):
-            log = [t for t in log if now - t < window]
-            full = len(log) >= most
-            out.append((key[0], name, not full, max(1, int(window - (now - log[0])) + 1) if full else 0))
-            if not full:
-                log.append(now)
-        state.update((log,))
+        waits = rows["at"].map(log.wait)
+        state.update((list(log.admitted),))
         state.setTimeoutDuration(int(window * 1000))
-        yield pd.DataFrame(out, columns=["client", "event", "allowed", "retry_after"])
+        yield pd.DataFrame({"client": key[0], "event": rows["event"], "allowed": waits == 0, "retry_after": waits})
 
     rows = requests.select(F.col(client).alias("client"), F.col(at).alias("at"), F.col(event).alias("event"))
     kinds = dict(rows.dtypes)

@@ -1,28 +1,39 @@
+import heapq
+import json
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import statistics
-from lamina.operators import learning, monitoring
+from lamina.operators import learning, monitoring, series
 
 
-def payload(value):
-    return '{"status":"success","data":{"result":[{"value":[1,"%s"]}]}}' % value
+def answer(*values, status="success"):
+    return json.dumps({"status": status, "data": {"result": [{"value": [0, v]} for v in values]}})
 
 
-@pytest.mark.parametrize(("body", "value"), [(payload("42.5"), 42.5), ('{"status":"success","data":{"result":[]}}', None), (payload("NaN"), None), (payload("+Inf"), None), ('{"status":"error"}', None), (payload("x"), None)])
-def test_prometheus_value(spark, body, value):
-    assert spark.createDataFrame([(body,)], "b string").select(monitoring.prometheus_value(F.col("b")).alias("v")).first()["v"] == value
+def test_prometheus_value(spark):
+    wanted = {answer("0.125"): 0.125, answer("-3", "8"): -3.0, answer(): None, answer("nan"): None, answer("-Infinity"): None, answer("7", status="failed"): None, answer("seven"): None, "no json": None}
+    rows = spark.createDataFrame([(body,) for body in wanted], "b string").select("b", monitoring.prometheus_value(F.col("b")).alias("v"))
+    assert {r["b"]: r["v"] for r in rows.collect()} == wanted
 
 
-RULES = [("success_rate", "<", 0.5, "drift", True), ("p95", ">", 3.0, "performance", True), ("errors", ">", 0.1, "performance", False)]
+RULES = [("yield", "<", 0.25, "quality", True), ("wait", ">", 12.0, "speed", True), ("faults", ">", 3.0, "health", False)]
+#: predictions, yield, wait, faults -> broken rules
+RUNS = {
+    "on the limits": ((20.0, 0.25, 12.0, 3.0), ""), "all beyond": ((21.0, 0.2, 12.5, 4.0), "faults wait yield"), "too few": ((19.0, 0.0, 99.0, 3.5), "faults"),
+    "nothing known": ((None, None, None, None), ""), "no volume": ((None, 0.0, 50.0, 9.0), "faults"),
+}
 
 
-@pytest.mark.parametrize(("row", "broken"), [((100.0, 0.9, 1.0, 0.0), set()), ((100.0, 0.4, 4.2, 0.2), {"success_rate", "p95", "errors"}), ((3.0, 0.1, 9.0, 0.2), {"errors"}), ((None, 0.1, 9.0, None), set()), ((50.0, None, None, 0.1), set())])
-def test_rules(spark, row, broken):
-    rows = spark.createDataFrame([("r", *row)], "run string, predictions double, success_rate double, p95 double, errors double")
-    assert {r["metric"] for r in monitoring.rule_violations(rows, RULES, 20).collect()} == broken
+def test_rules(spark):
+    rows = spark.createDataFrame([(name, *row) for name, (row, _) in RUNS.items()], "run string, predictions double, yield double, wait double, faults double")
+    found = {name: [] for name in RUNS}
+    for r in monitoring.rule_violations(rows, RULES, 20).collect():
+        found[r["run"]].append(r["metric"])
+    assert {name: " ".join(sorted(v)) for name, v in found.items()} == {name: broken for name, (_, broken) in RUNS.items()}
 
 
 def test_alert_waits_for_its_hold(spark):
@@ -32,16 +43,19 @@ def test_alert_waits_for_its_hold(spark):
 
 
 def test_rate_limit_is_greedy(spark):
+    """Against seats that are taken for a window: who finds one free is let in, others wait for the next that is given back."""
     rng = random.Random(1)
-    rows = [(c, float(rng.randint(0, 400)), i) for i, c in enumerate(rng.choice("ab") for _ in range(300))]
-    expected, logs = {}, {}
-    for c, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
-        log = logs[c] = [x for x in logs.get(c, []) if t - x < 60]
-        expected[i] = (len(log) < 5, 0 if len(log) < 5 else max(1, int(60 - (t - log[0])) + 1))
-        if len(log) < 5:
-            log.append(t)
+    rows = [(rng.choice("ab"), rng.randint(0, 1600) / 4, i) for i in range(300)]
+    expected = {}
+    for client in "ab":
+        seats = [-math.inf] * 5  # when each is free again
+        for _, now, i in sorted((r for r in rows if r[0] == client), key=lambda r: r[1:]):
+            soonest = heapq.heappop(seats)
+            expected[i] = (True, 0) if soonest <= now else (False, max(1, math.floor(soonest - now) + 1))
+            heapq.heappush(seats, now + 60 if soonest <= now else soonest)
     out = monitoring.rate_limited(spark.createDataFrame(rows, "client string, at double, i long"), "client", "at", 60.0, 5, "i").collect()
     assert {r["i"]: (r["allowed"], r["retry_after"]) for r in out} == expected
+    assert monitoring.rate_limited(spark.createDataFrame([], "client string, at double, i long"), "client", "at", 60.0, 5, "i").count() == 0
 
 
 def test_bucket_quantile(spark):
@@ -51,10 +65,11 @@ def test_bucket_quantile(spark):
     assert got == {"a": 1.5, "b": 2.0}
 
 
-@pytest.mark.parametrize(("history", "accuracy", "promoted"), [([], 0.85, False), ([], 0.91, True), ([0.9293], 0.9006, False), ([0.93], 0.93, True)])
-def test_promotion(spark, history, accuracy, promoted):
-    rows = spark.createDataFrame([("m", i, a) for i, a in enumerate([*history, accuracy])], "name string, version long, accuracy double")
-    assert learning.promotions(rows, 0.9).orderBy(F.desc("version")).first()["promoted"] is promoted
+def test_promotion(spark):
+    """Versions of one name in turn: a gate of 0.8, and no worse than the champion so far."""
+    steps = [(0.79, False), (0.8, True), (0.95, True), (0.9, False), (0.95, True), (0.2, False)]
+    rows = spark.createDataFrame([("m", i, a) for i, (a, _) in enumerate(steps)], "name string, version long, accuracy double")
+    assert [r["promoted"] for r in learning.promotions(rows, 0.8).orderBy("version").collect()] == [p for _, p in steps]
 
 
 def test_gate_fails_the_job(spark):
@@ -71,3 +86,14 @@ def test_alert_flattening_defaults(spark):
     body = '{"alerts":[{"status":"firing","labels":{"alertname":"APIDown","severity":"critical"},"annotations":{"summary":"down"}},{"labels":{}}]}'
     rows = monitoring.flattened_alerts(spark.createDataFrame([(body,)], "b string"), "b").collect()
     assert [(r["status"], r["alertname"], r["severity"], r["summary"]) for r in rows] == [("firing", "APIDown", "critical", "down"), ("unknown", "unknown", "none", "")]
+
+
+def test_selectors_match_whole_labels(spark):
+    rows = spark.createDataFrame([(1, "m", {"a": "xy"}), (2, "m", {"a": "x"}), (3, "m", {}), (4, "n", {"a": "x"})], "ts long, name string, labels map<string,string>").withColumn("value", F.col("ts"))
+    ask = lambda *m: sorted(r["ts"] for r in series.selected(rows, "m", list(m)).collect())
+    assert ask() == [1, 2, 3] and ask(("a", "=", "x")) == [2] and ask(("a", "!=", "x")) == [1, 3] and ask(("a", "=~", "x|z")) == [2] and ask(("a", "!~", "x.")) == [2, 3] and ask(("a", "=", "")) == [3]
+
+
+def test_notifications_repeat(spark):
+    rows = spark.createDataFrame([(k, t) for k, ts in {"a": [0, 5, 10, 21, 40], "b": [3, 4]}.items() for t in ts], "k string, at long")
+    assert sorted(map(tuple, monitoring.notifications(rows, F.lit(20), "k").collect())) == [("a", 0), ("a", 21), ("b", 3)]
