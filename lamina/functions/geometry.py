@@ -121,3 +121,14 @@ def edge_artefact(box: Column, height: Column, width: Column) -> Column:
     touches = (box["x"] <= 1) | (box["x"] + box["w"] >= width - 1)
     thin = (box["h"] > height * 0.72) & (box["w"] < width * 0.08)
     return touches & (thin | (box["w"] / F.greatest(F.lit(1.0), box["h"].cast("double")) < 0.13))
+
+
+def trimmed(boxes: Column, width: Column, least: int) -> Column:
+    """Boxes(x, w) from left to right without narrow pieces at either end of the line, but never fewer than ``least``."""
+    n, narrow = F.size(boxes), middle(boxes["w"].cast("array<double>")) * 0.65
+    run = lambda ends: F.coalesce(F.nullif(F.array_position(ends, F.lit(False)), F.lit(0)) - 1, F.size(ends))  # noqa: E731  how many are True before the first False
+    left = run(F.transform(boxes, lambda b: (b["x"] <= width * 0.03) & (b["w"] < narrow)))
+    right = run(F.transform(F.reverse(boxes), lambda b: (b["x"] + b["w"] >= width * 0.97) & (b["w"] < narrow)))
+    front = F.least(left, F.greatest(n - least, F.lit(0)))
+    back = F.least(right, F.greatest(n - front - least, F.lit(0)))
+    return F.slice(boxes, (front + 1).cast("int"), (n - front - back).cast("int"))

@@ -139,3 +139,23 @@ def done_early(valid: Column, score: Column) -> Column:
 def needs_fallback(valid: Column, score: Column, characters: Column, angle: Column) -> Column:
     """A reading to try anew: turned by more than 15 degrees, of fewer than seven characters, or not valid and below 10."""
     return (F.abs(F.coalesce(angle, F.lit(0.0))) > 15) | (characters < 7) | (~F.coalesce(valid, F.lit(False)) & (F.coalesce(score, F.lit(0.0)) < 10))
+
+
+def sample_label(path: Column) -> Column:
+    """Class of a sample's file: its folder where that is a class, else the first character of its name; null where neither is."""
+    folder = F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
+    first = F.upper(F.regexp_extract(path, "([^/])[^/]*$", 1))
+    single = f"^[{CLASSES}]$"
+    return F.when(folder.rlike(single), folder).when(first.rlike(single), first)
+
+
+def recovered_pair(metadata: Column, blocks: list[str], names: list[str], default: int) -> Column:
+    """A pair of whole numbers in a JSON text: from the first block it has, under the first name that the block has.
+
+    One number stands for both; what is neither a number nor a list of two gives the default.
+    """
+    first = lambda text, keys: F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in keys])
+    found = first(first(F.lower(metadata), blocks), names)  # names in any case
+    listed = F.from_json(found, "array<int>")
+    one = F.when(found.rlike("^-?[0-9]+$"), found).try_cast("int")
+    return F.coalesce(F.when(F.size(listed) == 2, listed), F.when(one.isNotNull(), F.array(one, one)), F.array(F.lit(default), F.lit(default)))

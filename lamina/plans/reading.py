@@ -233,9 +233,35 @@ def served_models(spark, sf_dir):
     return learning.served_models(services, aliases)
 
 
+def trimmed_lines(spark, sf_dir):
+    """Each order's boxes in a line that ends at the last one, without narrow pieces at its ends, three at least."""
+    lines = line_boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
+    kept = geometry.trimmed(F.col("boxes"), F.size("boxes") * 24 - 12, 3)
+    return lines.select("l_orderkey", F.concat_ws("", F.transform(kept["n"], lambda i: i.cast("string"))).alias("kept"))
+
+
+def sample_labels(spark, sf_dir):
+    """Classes of sample files whose folders and names are told from parts."""
+    key = F.col("p_partkey")
+    folder = F.when(key % 3 == 0, F.substring(F.lit(LETTERS), (key % 20 + 1).cast("int"), F.lit(1))).when(key % 3 == 1, "I").otherwise("mixed")
+    path = F.concat(F.lit("/data/"), folder, F.lit("/"), F.substring(F.lit("qKo7-z"), (key % 6 + 1).cast("int"), F.lit(1)), key.cast("string"), F.lit(".png"))
+    return table(spark, sf_dir, "part").select("p_partkey", plates.sample_label(path).alias("label"))
+
+
+def recovered_settings(spark, sf_dir):
+    """Cell sizes from model descriptions of several spellings."""
+    size = (F.col("p_partkey") % 9 + 2).cast("string")
+    text = F.element_at(F.array(
+        F.concat(F.lit('{"hog":{"pixels_per_cell":['), size, F.lit(",6]}}")), F.concat(F.lit('{"feature":{"cell_size":'), size, F.lit("}}")), F.concat(F.lit('{"features":{"cell":'), size, F.lit("},\"hog\":{}}")),
+        F.lit('{"hog":{"cell":"wide"}}'), F.lit("not json"), F.lit('{"hog":{"cell":[1,2,3]}}'),
+    ), (F.col("p_partkey") % 6 + 1).cast("int"))
+    pair = plates.recovered_pair(text, ["hog", "feature", "features"], ["pixels_per_cell", "cell_size", "cell"], 8)
+    return table(spark, sf_dir, "part").select("p_partkey", pair[0].alias("across"), pair[1].alias("down"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (plate_correct, plate_format_score, ocr_eval, eval_detail, eval_by_group, confusion_counts, confusion_table, class_report, macro_scores, fairness_groups, pair_confusion, class_equity, text_helpers, best_candidate, best_box, group_median_filter, reading_order, line_scores, component_filters, crop_decisions, served_models)
+    for f in (plate_correct, plate_format_score, ocr_eval, eval_detail, eval_by_group, confusion_counts, confusion_table, class_report, macro_scores, fairness_groups, pair_confusion, class_equity, text_helpers, best_candidate, best_box, group_median_filter, reading_order, line_scores, component_filters, crop_decisions, served_models, trimmed_lines, sample_labels, recovered_settings)
 }
 
 _DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
@@ -299,4 +325,13 @@ SELECT l_orderkey, n, w >= 160 * 0.03::DOUBLE AND w <= 160 * 0.12::DOUBLE AND h
 v AS (SELECT *, regexp_matches(t, '^[0-9]{2}[A-Z][0-9]{4,6}$') OR regexp_matches(t, '^[0-9]{2}[A-Z][A-Z0-9]?[0-9]{3,5}$') AS valid FROM r)
 SELECT l_orderkey, l_linenumber, valid AND score >= 12 AS done, abs(angle) > 15 OR length(t) < 7 OR (NOT valid AND score < 10) AS again FROM v""",
     "served_models": """SELECT n_nationkey AS service, CASE WHEN n_nationkey % 3 <> 0 THEN 'registry' WHEN n_nationkey % 2 = 0 THEN 'local' ELSE 'none' END AS source, CASE WHEN n_nationkey % 3 <> 0 THEN (n_nationkey * 2 + 1)::VARCHAR END AS version FROM nation""",
+    "trimmed_lines": """WITH b AS (SELECT l_orderkey, l_linenumber::INT AS n, (l_linenumber - 1) * 24 AS x, 3 + l_quantity::INT % 19 AS w, 6 + l_quantity::INT % 27 AS h, l_quantity::INT % 40 AS area FROM lineitem),
+m AS (SELECT l_orderkey, count(*) AS c, median(w) * 0.65::DOUBLE AS narrow, count(*) * 24 - 12 AS width FROM b GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY x, w, h, area) AS r FROM b JOIN m USING (l_orderkey)),
+f AS (SELECT *, bool_and(x <= width * 0.03::DOUBLE AND w < narrow) OVER (PARTITION BY l_orderkey ORDER BY r) AS lead, bool_and(x + w >= width * 0.97::DOUBLE AND w < narrow) OVER (PARTITION BY l_orderkey ORDER BY r DESC) AS trail FROM o),
+g AS (SELECT l_orderkey, least(count_if(lead), greatest(any_value(c) - 3, 0)) AS front, count_if(trail) AS back FROM f GROUP BY 1)
+SELECT l_orderkey, string_agg(n, '' ORDER BY r) AS kept FROM f JOIN g USING (l_orderkey) WHERE r > front AND r <= c - least(back, greatest(c - front - 3, 0)) GROUP BY 1""",
+    "sample_labels": """WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN substr('ABCDEFGHKLMNPRSTUVXYZ', (p_partkey % 20 + 1)::INT, 1) END AS folder, upper(substr('qKo7-z', (p_partkey % 6 + 1)::INT, 1)) AS first FROM part)
+SELECT p_partkey, coalesce(folder, CASE WHEN first IN ('K', '7', 'Z') THEN first END) AS label FROM p""",
+    "recovered_settings": """SELECT p_partkey, CASE WHEN p_partkey % 6 < 2 THEN p_partkey % 9 + 2 ELSE 8 END::INT AS across, CASE p_partkey % 6 WHEN 0 THEN 6 WHEN 1 THEN p_partkey % 9 + 2 ELSE 8 END::INT AS down FROM part""",
 }
