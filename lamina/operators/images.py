@@ -18,6 +18,8 @@ from lamina.operators import evaluation
 
 IMAGE = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
+#: Rows that are ranked together when rows are numbered, about.
+BUCKET_ROWS = 100_000
 #: Share of characters whose place forced them to another class, above which a reading is weak.
 FORCED = 0.25
 
@@ -323,19 +325,21 @@ def mean_images(glyphs: DataFrame) -> DataFrame:
 
 
 def sampled(images: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """n rows drawn with replacement: hashed draws joined to the rows' numbers, so a seed gives the same sample."""
+    """n rows drawn with replacement: hashed draws joined to the rows' numbers, so a seed gives the same sample.
+
+    A row's number is its rank by the hash bucket of ``key`` and then by ``key``, which must be unique: it doesn't depend
+    on how the rows are partitioned, now or when a task is run again.
+    """
     total = images.count()
     if not total:
         return images.withColumn("draw", F.lit(0).cast("long")).limit(0)
-    part = images.select(key, F.spark_partition_id().alias("part"))
-    sizes = {r["part"]: r["n"] for r in part.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    starts, at = {}, 0
-    for number in sorted(sizes):
-        starts[number], at = at, at + sizes[number]
-    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("part"))
-    numbered = images.withColumn("part", F.spark_partition_id()).withColumn("number", start + F.row_number().over(W.partitionBy("part").orderBy(key)) - 1)
+    dealt = images.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(total // BUCKET_ROWS + 1)))
+    before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
+    starts = dealt.groupBy("__bucket").agg(F.count("*").alias("n")).select("__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(W.partitionBy("__bucket").orderBy(key)) - 1
+    numbered = dealt.withColumn("__place", place).join(starts, "__bucket").withColumn("number", F.col("__start") + F.col("__place"))
     draws = images.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("number"))
-    return draws.join(numbered, "number").drop("number", "part")
+    return draws.join(numbered, "number").drop("number", "__bucket", "__start", "__place")
 
 
 def recognised(crops: DataFrame, model, method: str, *keys: str) -> DataFrame:

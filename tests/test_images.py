@@ -154,3 +154,10 @@ def test_grid_search_prefers_the_better_machine(spark):
     glyphs = images.featured(images.synthetic_glyphs(spark, 9, seed=5), "wavelet").filter("label in ('0', '1', 'A', 'B')")
     best, score = classifiers.grid_search(glyphs, [{"gamma": 1e6}, {"c": 10.0}], folds=2)
     assert best == {"c": 10.0} and score > 0.8
+
+
+def test_samples_don_t_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(images, "BUCKET_ROWS", 7)
+    rows = spark.range(50).select(F.col("id").alias("name"))
+    drawn = [sorted(map(tuple, images.sampled(rows.repartition(k), 200, "name", 3).select("draw", "name").collect())) for k in (1, 6)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 200 and len({name for _, name in drawn[0]}) > 40
