@@ -206,7 +206,9 @@ def line_boxes(spark, sf_dir):
 def line_scores(spark, sf_dir):
     """How much each order's boxes look like a line of three to five characters."""
     lines = line_boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
-    return lines.select("l_orderkey", F.round(geometry.line_score(F.col("boxes"), F.lit(32), F.lit(160), 3, 5), 6).alias("score"), F.size("boxes").alias("n"))
+    median = lambda side: F.greatest(F.lit(1.0), geometry.middle(F.col(f"boxes.{side}").cast("array<double>"))).alias(side)
+    lines = lines.select("l_orderkey", "boxes", median("h"), median("w"))
+    return lines.select("l_orderkey", F.round(geometry.line_score(F.col("boxes"), F.col("h"), F.col("w"), F.lit(32), F.lit(160), 3, 5), 6).alias("score"), F.size("boxes").alias("n"))
 
 
 def component_filters(spark, sf_dir):
