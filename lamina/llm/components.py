@@ -15,11 +15,13 @@ def join_crowded(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, tot
 
     ``n`` says how many rows a fact's key has, ``total`` how many rows there are, so at most total / ROWS_OF_A_KEY and
     never more than SENT_KEYS facts are broadcast. Both frames are read twice: they should be cached or cut.
+    The result has no more partitions than a shuffle: a union adds up those of its sides, and rounds would pile them up.
     """
     most = max(ROWS_OF_A_KEY, -(-total // SENT_KEYS))
     many = F.broadcast(facts.filter(F.col(n) > most))
     few = rows.join(many.select(*keys), keys, "left_anti").join(facts.filter(F.col(n) <= most), keys, how)
-    return rows.join(many, keys).unionByName(few)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(many, keys).unionByName(few).coalesce(partitions)
 
 
 #: Short rows (ids, links) of one task, about; fewer of them are not dealt to more tasks.
