@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round is two aggregations that combine before their shuffle and two joins whose
     other side has one row a node, so Spark can split a node with very many links. The
-    edges in between are cut from their lineage by a checkpoint. No edge: no row.
+    edges in between are cut from their lineage by a checkpoint. Few edges stay in few tasks
+    before each shuffle, as every task leaves files. No edge: no row.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     edges = cut_lineage(edges)
@@ -52,11 +53,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Large star: a node's larger neighbours move to the smallest node around it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = gathered(gathered(large, before[0]).distinct(), before[0])
         # Small star: a node and its smaller neighbours move to the smallest of these.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = cut_lineage(gathered(small, before[0]))
+        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = cut_lineage(gathered(gathered(small, before[0]).distinct(), before[0]))
         after = _signature(edges)
         if after == before:
             break

@@ -428,6 +428,30 @@ def beside(entry: DataFrame, most: int) -> DataFrame:
     return rows.filter(F.bit_count(F.col("lane").bitwiseXOR(F.col("b.lane"))) <= most).select(F.col("node").alias("u"), F.col("b.node").alias("v"))
 
 
+#: Members from which a cluster is met as a whole, and about how many of its lanes stand in one row for that.
+LARGE, LANES = 64, 1_000
+
+
+def guests_of(entry: DataFrame, probe: DataFrame, crowds: DataFrame, most: int) -> DataFrame:
+    """node, cluster: nodes outside a large cluster that meet one of its members under a key, at most ``most`` bits from it in that lane.
+
+    crowds(component, n) are the large clusters. Their lanes under a key are gathered into rows of about LANES, so a node costs a row for each
+    key and LANES members, not one for each member. Either side may ask, as in the look-up.
+    """
+
+    def met(asking: DataFrame, held: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LANES))
+        lanes = held.join(crowds, "component").groupBy("key", F.col("component").alias("cluster"), part.alias("part")).agg(F.collect_set("lane").alias("lanes"))
+        lanes = cut_lineage(lanes.drop("part"))
+        number = lanes.count()
+        lanes = gathered(lanes, number)
+        found = asking.select("node", "component", "key", "lane").join(F.broadcast(lanes) if number <= BROADCAST_ROWS else lanes, "key")
+        close = F.exists("lanes", lambda x: F.bit_count(x.bitwiseXOR(F.col("lane"))) <= most)
+        return found.filter((F.coalesce("component", "node") != F.col("cluster")) & close).select("node", "cluster")
+
+    return cut_lineage(met(probe, entry).unionByName(met(entry, probe)).distinct())
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, text: str = "text", segments: Segments | None = None) -> DataFrame:
     """doc_id, fp and component_id, with links at a share of common word shingles instead of a few bits.
 
@@ -439,6 +463,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     both texts are counted: only they decide. Before the look-up, fingerprints that share a segment are
     compared with their neighbours in order. Those near by all lanes form clusters; within a cluster texts are compared
     in blocks, all of them, so that a large group of copies costs no row for a pair, and the look-up passes over it.
+    Texts of elsewhere that meet a large cluster are compared with it in the same way.
     """
     segments = segments or segments_for(docs.count())
     columns = ("fp", *[f"w{i}" for i in range(1, segments.lanes)])
@@ -447,6 +472,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     marked = cut_lineage(fingerprints(texts, words, seed, keep=("doc_id", "node"), lanes=segments.lanes, segments=segments))
     distinct = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first(F.struct(*columns, "weak")).alias("w"))
     distinct = cut_lineage(distinct.select("node", "first", "w.*"))
+    number, cases = distinct.count(), segments.lanes * segments.parts << segments.flips
+    distinct = gathered(distinct, number * cases // 8)
     marked = marked.select("doc_id", "node", "fp")
     most, lane_most = allowed_bits(similarity, BITS * segments.lanes, 3), allowed_bits(similarity, BITS, 1.5)
     cuts = [(c, segments.bits * j, segments.bits, 1) for c in columns for j in range(segments.parts)]
@@ -469,7 +496,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     clusters = cut_lineage(clusters)
     inner = cluster_links(clusters, texts.select("node", "text"), words, similarity, seed)
     # A component of the look-up is a cluster: all within one are compared already. Null: a text of its own.
-    known = cut_lineage(distinct.join(coarse, "node", "left").select("node", *columns, "weak", F.col("cluster").alias("component")))
+    known = distinct.join(coarse, "node", "left").select("node", *columns, "weak", F.col("cluster").alias("component"))
+    known = cut_lineage(gathered(known, number * cases))  # as many tasks as its probes ask for
     entry = entries(known, "node", "component")
     masks = [F.lit(0).cast("long")]
     for i in range(segments.flips):
@@ -477,6 +505,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         masks += [m.bitwiseXOR(bit) for m in masks]
     probe = entry.select("node", "component", "key", "lane", F.explode(F.array(*masks)).alias("mask"))
     probe = probe.select("node", "component", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "lane")
-    far = alike_of(near(meetings(entry.drop("weak"), probe, ("node", "lane"), ("lane",), lane_most, apart=True)))
+    # What meets a large cluster joins its comparison in blocks; only the others are told pair by pair.
+    crowds = cut_lineage(clusters.groupBy(F.col("cluster").alias("component")).agg(F.count("*").alias("n")).filter(F.col("n") >= LARGE))
+    crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds
+    guests = guests_of(entry, probe, crowds, lane_most)
+    hosts = clusters.join(crowds.select(F.col("component").alias("cluster")), "cluster", "left_semi").select("node", "cluster", F.col("cluster").alias("component"))
+    taken = cluster_links(hosts.unionByName(guests.withColumn("component", F.col("node"))), texts.select("node", "text"), words, similarity, seed)
+    entry, probe = (rows.join(crowds, "component", "left_anti") for rows in (entry, probe))
+    far = alike_of(near(meetings(entry.drop("weak"), probe, ("node", "lane"), ("lane",), lane_most, apart=True))).unionByName(taken)
     stars = clusters.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     return _grouped(marked, distinct, far.unionByName(stars).unionByName(inner), "node")
