@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lamina.functions import statistics
+from lamina.operators import ranks
 
-#: Query vectors that one pass over the data takes along.
+#: Query vectors that are broadcast, and that a block holds beyond that.
 QUERIES_AT_ONCE = 20_000
+#: Rows that a chunk holds where queries come in blocks.
+ROWS_AT_ONCE = 50_000
 
 
 def data_gate(rows: DataFrame, vector: str, label: str, low: float, high: float, classes: int) -> DataFrame:
@@ -30,12 +33,15 @@ def require(checked: DataFrame, column: str, message: str) -> DataFrame:
 
 def stratified_folds(rows: DataFrame, label: str, order: list[Column], folds: int) -> DataFrame:
     """``rows`` with fold: within each class dealt round robin in the given order."""
-    return rows.withColumn("fold", (F.row_number().over(W.partitionBy(label).orderBy(*order)) - 1) % folds)
+    placed = ranks.running(rows, [label], order)
+    return placed.select(*rows.columns, ((F.col("__end") - 1) % folds).cast("int").alias("fold"))
 
 
 def stratified_split(rows: DataFrame, label: str, order: list[Column], test: float = 0.2) -> DataFrame:
-    """``rows`` with is_test: the last part of each class in the given order."""
-    return rows.withColumn("is_test", F.percent_rank().over(W.partitionBy(label).orderBy(*order)) > 1 - test)
+    """``rows`` with is_test: the last part of each class in the given order; the only row of a class is none."""
+    placed = ranks.running(rows, [label], order)
+    share = (F.col("__end") - 1) / F.greatest(F.col("__total") - 1, F.lit(1))
+    return placed.select(*rows.columns, (share > 1 - test).alias("is_test"))
 
 
 def standard_scale(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -49,31 +55,45 @@ def standard_scale(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
     """query, key, distance, label of the k rows nearest to each query but itself; ties fall to the smaller key.
 
-    Queries go along in blocks of QUERIES_AT_ONCE; every task keeps k rows a query, and these are merged.
+    Up to QUERIES_AT_ONCE queries are broadcast. More are dealt into blocks, the rows into chunks, and a task compares one
+    block with one chunk; nothing of either table passes the driver. Every task keeps k rows a query, and these are merged.
     """
-    spark, asked, out = rows.sparkSession, queries.select(key, vector).orderBy(key), None
-    total = queries.count()
-    for start in range(0, max(total, 1), QUERIES_AT_ONCE):
-        block = asked.offset(start).limit(QUERIES_AT_ONCE).collect()
-        shared = spark.sparkContext.broadcast((np.array([r[key] for r in block]), np.array([r[vector] for r in block], np.float64)))
-
-        def run(batches, shared=shared):
-            names, points = shared.value
+    asked, held = queries.select(F.col(key).alias("query"), F.col(vector).alias("point")), rows.select(key, vector, label)
+
+    def closest(names: np.ndarray, points: np.ndarray, pdf: pd.DataFrame):
+        if not len(pdf) or not len(names):
+            return
+        data, ids = np.stack(pdf[vector].to_numpy()).astype(np.float64), pdf[key].to_numpy()
+        for i in range(0, len(names), 256):
+            # Differences, not the expanded square: equal vectors are at distance 0 exactly.
+            distance = np.stack([((data - p) ** 2).sum(1) for p in points[i : i + 256]])
+            distance[names[i : i + 256, None] == ids[None, :]] = np.inf
+            order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
+            near = np.take_along_axis(distance, order, 1)
+            found = pd.DataFrame({"query": np.repeat(names[i : i + 256], order.shape[1]), key: ids[order].ravel(), "distance": near.ravel(), label: pdf[label].to_numpy()[order].ravel()})
+            yield found[np.isfinite(found["distance"])]
+
+    schema, total = f"query long, {key} long, distance double, {label} int", asked.count()
+    if total <= QUERIES_AT_ONCE:
+        taken = asked.collect()
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([r["query"] for r in taken]), np.array([r["point"] for r in taken], np.float64)))
+
+        def run(batches):
             for pdf in batches:
-                if not len(pdf) or not len(names):
-                    continue
-                data, ids = np.stack(pdf[vector].to_numpy()).astype(np.float64), pdf[key].to_numpy()
-                for i in range(0, len(names), 256):
-                    # Differences, not the expanded square: equal vectors are at distance 0 exactly.
-                    distance = np.stack([((data - p) ** 2).sum(1) for p in points[i : i + 256]])
-                    distance[names[i : i + 256, None] == ids[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
-                    near = np.take_along_axis(distance, order, 1)
-                    found = pd.DataFrame({"query": np.repeat(names[i : i + 256], order.shape[1]), key: ids[order].ravel(), "distance": near.ravel(), label: pdf[label].to_numpy()[order].ravel()})
-                    yield found[np.isfinite(found["distance"])]
-
-        part = rows.select(key, vector, label).mapInPandas(run, f"query long, {key} long, distance double, {label} int")
-        out = part if out is None else out.unionByName(part)
+                yield from closest(*shared.value, pdf)
+
+        out = held.mapInPandas(run, schema)
+    else:
+        blocks, chunks = -(-total // QUERIES_AT_ONCE), max(1, -(-held.count() // ROWS_AT_ONCE))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        left = asked.withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("__chunk", every(chunks))
+        right = held.withColumn("__chunk", F.pmod(F.xxhash64(key), F.lit(chunks))).withColumn("__block", every(blocks))
+
+        def meet(some: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = list(closest(some["query"].to_numpy(), np.array(some["point"].tolist(), np.float64), pdf))
+            return pd.concat(parts) if parts else pd.DataFrame({"query": [], key: [], "distance": [], label: []})
+
+        out = left.groupBy("__block", "__chunk").cogroup(right.groupBy("__block", "__chunk")).applyInPandas(meet, schema)
     nth = F.row_number().over(W.partitionBy("query").orderBy("distance", key))
     return out.withColumn("nth", nth).filter(F.col("nth") <= k)
 
@@ -86,7 +106,14 @@ def majority(neighbours: DataFrame, label: str) -> DataFrame:
 
 def first_of_class(rows: DataFrame, label: str, order: list[Column], most: int) -> DataFrame:
     """``rows`` with nth within the class; those up to ``most`` are what a capped scan in this order keeps."""
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy(label).orderBy(*order))).withColumn("kept", F.col("nth") <= most)
+    placed = ranks.running(rows, [label], order)
+    return placed.select(*rows.columns, F.col("__end").alias("nth"), (F.col("__end") <= most).alias("kept"))
+
+
+def top_of_class(rows: DataFrame, label: str, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each class with nth; the filter follows the rank, so tasks cut their rows before the shuffle."""
+    nth = F.row_number().over(W.partitionBy(label).orderBy(*order))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= most)
 
 
 def promotions(versions: DataFrame, gate: float) -> DataFrame:

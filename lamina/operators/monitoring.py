@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from lamina.functions import statistics
 from lamina.functions.sliding import SlidingLog
+from lamina.operators import ranks
 
 
 def bucket_start(ts: Column, seconds: int) -> Column:
@@ -35,10 +36,16 @@ def bucket_quantiles(buckets: DataFrame, q: float, *keys: str) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, value: str, qs: dict[str, float], *keys: str) -> DataFrame:
-    """The values at place floor(q n) of each key's ordered values, by rank and not by interpolation."""
-    ordered, whole = W.partitionBy(*keys).orderBy(value), W.partitionBy(*keys)
-    ranked = values.select(*keys, value, (F.row_number().over(ordered) - 1).alias("place"), F.count("*").over(whole).alias("n"))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("place") == F.floor(F.lit(q) * F.col("n")), F.col(value))).alias(name) for name, q in qs.items()], F.max("n").alias("n"))
+    """The values at place floor(q n) of each key's ordered values, by rank and not by interpolation.
+
+    Equal values are counted first and places come from running counts in two levels, so neither a frequent value nor a
+    frequent key has to fit one task.
+    """
+    counted = values.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    placed = ranks.running(counted, list(keys), [F.col(value)], "__n")
+    place = lambda q: F.floor(F.lit(q) * F.col("__total"))
+    holds = lambda q: (place(q) < F.col("__end")) & (place(q) >= F.col("__end") - F.col("__n"))
+    return placed.groupBy(*keys).agg(*[F.max(F.when(holds(q), F.col(value))).alias(name) for name, q in qs.items()], F.max("__total").alias("n"))
 
 
 def counter_increase(samples: DataFrame, value: str, order: str, *keys: str) -> DataFrame:

@@ -142,7 +142,7 @@ def largest_polygon(spark, sf_dir):
 def top_samples(spark, sf_dir):
     """The four longest documents of each source, as a contact sheet takes them."""
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return learning.first_of_class(rows, "source", [F.desc("n_chars"), F.col("doc_id")], 4).filter("kept").select("source", "doc_id", "n_chars", F.col("nth").cast("int").alias("nth"))
+    return learning.top_of_class(rows, "source", [F.desc("n_chars"), F.col("doc_id")], 4).select("source", "doc_id", "n_chars", "nth")
 
 
 def distinct_variants(spark, sf_dir):
