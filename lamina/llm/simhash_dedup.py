@@ -432,16 +432,16 @@ def beside(entry: DataFrame, most: int) -> DataFrame:
 LARGE, LANES = 64, 1_000
 
 
-def guests_of(entry: DataFrame, probe: DataFrame, crowds: DataFrame, most: int) -> DataFrame:
+def guests_of(entry: DataFrame, probe: DataFrame, most: int) -> DataFrame:
     """node, cluster: nodes outside a large cluster that meet one of its members under a key, at most ``most`` bits from it in that lane.
 
-    crowds(component, n) are the large clusters. Their lanes under a key are gathered into rows of about LANES, so a node costs a row for each
+    n is the size of a row's large cluster, else null. The lanes of such clusters under a key are gathered into rows of about LANES, so a node costs a row for each
     key and LANES members, not one for each member. Either side may ask, as in the look-up.
     """
 
     def met(asking: DataFrame, held: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LANES))
-        lanes = held.join(crowds, "component").groupBy("key", F.col("component").alias("cluster"), part.alias("part")).agg(F.collect_set("lane").alias("lanes"))
+        lanes = held.filter("n is not null").groupBy("key", F.col("component").alias("cluster"), part.alias("part")).agg(F.collect_set("lane").alias("lanes"))
         lanes = cut_lineage(lanes.drop("part"))
         number = lanes.count()
         lanes = gathered(lanes, number)
@@ -497,21 +497,23 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     inner = cluster_links(clusters, texts.select("node", "text"), words, similarity, seed)
     # A component of the look-up is a cluster: all within one are compared already. Null: a text of its own.
     known = distinct.join(coarse, "node", "left").select("node", *columns, "weak", F.col("cluster").alias("component"))
+    # What meets a large cluster joins its comparison in blocks; only the others are told pair by pair.
+    crowds = clusters.groupBy(F.col("cluster").alias("component")).agg(F.count("*").alias("n"))
+    crowds = cut_lineage(gathered(crowds.filter(F.col("n") >= LARGE), number))
+    crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds
+    known = known.join(crowds, "component", "left")
     known = cut_lineage(gathered(known, number * cases))  # as many tasks as its probes ask for
-    entry = entries(known, "node", "component")
+    entry = entries(known, "node", "component", "n")
     masks = [F.lit(0).cast("long")]
     for i in range(segments.flips):
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("weak", 5 * i).bitwiseAND(F.lit(31)).cast("int"))
         masks += [m.bitwiseXOR(bit) for m in masks]
-    probe = entry.select("node", "component", "key", "lane", F.explode(F.array(*masks)).alias("mask"))
-    probe = probe.select("node", "component", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "lane")
-    # What meets a large cluster joins its comparison in blocks; only the others are told pair by pair.
-    crowds = cut_lineage(clusters.groupBy(F.col("cluster").alias("component")).agg(F.count("*").alias("n")).filter(F.col("n") >= LARGE))
-    crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds
-    guests = guests_of(entry, probe, crowds, lane_most)
+    probe = entry.select("node", "component", "n", "key", "lane", F.explode(F.array(*masks)).alias("mask"))
+    probe = probe.select("node", "component", "n", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "lane")
+    guests = guests_of(entry, probe, lane_most)
     hosts = clusters.join(crowds.select(F.col("component").alias("cluster")), "cluster", "left_semi").select("node", "cluster", F.col("cluster").alias("component"))
     taken = cluster_links(hosts.unionByName(guests.withColumn("component", F.col("node"))), texts.select("node", "text"), words, similarity, seed)
-    entry, probe = (rows.join(crowds, "component", "left_anti") for rows in (entry, probe))
+    entry, probe = (rows.filter("n is null") for rows in (entry, probe))
     far = alike_of(near(meetings(entry.drop("weak"), probe, ("node", "lane"), ("lane",), lane_most, apart=True))).unionByName(taken)
     stars = clusters.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     return _grouped(marked, distinct, far.unionByName(stars).unionByName(inner), "node")
