@@ -116,6 +116,16 @@ def top_of_class(rows: DataFrame, label: str, order: list[Column], most: int) ->
     return rows.withColumn("nth", nth).filter(F.col("nth") <= most)
 
 
+def zipped(rows: DataFrame, crops: str, text: str, *keep: str) -> DataFrame:
+    """keep, place, crop, label of the crops (an array in reading order) beside the characters of their text.
+
+    Rows whose text has another number of characters give nothing, as nobody knows which crop is which; nor do null texts.
+    """
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    both = F.zip_with(crops, letters, lambda crop, label: F.struct(crop.alias("crop"), label.alias("label")))
+    return rows.filter(F.size(crops) == F.length(text)).select(*keep, F.posexplode(both).alias("place", "pair")).select(*keep, "place", "pair.*")
+
+
 def promotions(versions: DataFrame, gate: float) -> DataFrame:
     """versions(name, version, accuracy) with promoted: passes the gate and is no worse than the champion before it."""
     passing = F.when(F.col("accuracy") >= gate, F.col("accuracy"))

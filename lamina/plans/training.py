@@ -159,11 +159,19 @@ def union_labels(spark, sf_dir):
     return classes.select("lang", F.concat_ws(",", F.array_sort(F.array_except("even", "third"))).alias("only_even"), F.concat_ws(",", F.array_sort(F.array_intersect("even", "third"))).alias("both"), F.concat_ws(",", F.array_sort(F.array_union("even", "third"))).alias("all"))
 
 
+def zipped_crops(spark, sf_dir):
+    """Order lines as the crops of a plate, beside the characters of a text of one to seven."""
+    crops = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("int"))).alias("crops"))
+    text = F.substring(F.lit("51F1234"), F.lit(1), (F.col("o_custkey") % 7 + 1).cast("int"))
+    rows = crops.join(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return learning.zipped(rows, "crops", "text", "l_orderkey")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         data_gate, label_balance, stratified_split, stratified_folds, standardize, knn_vote, pseudo_labels, reject_reasons, promotions, latest_alias, model_consistency, fold_interval,
-        constrained_argmax, polygon_boxes, corner_order, largest_polygon, top_samples, distinct_variants, union_labels,
+        constrained_argmax, polygon_boxes, corner_order, largest_polygon, top_samples, distinct_variants, union_labels, zipped_crops,
     )
 }
 
@@ -210,6 +218,9 @@ SELECT vec_id, """ + ", ".join(f"round({a}s[{c}], 6) AS {c}_{a}" for c in ("tl",
     "distinct_variants": """WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity::INT + 10 AS h, l_partkey % 5 * 20 + 20 AS w, round(l_discount::DOUBLE * 100) / 10 AS angle, l_returnflag = 'R' AS enhance FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY h, w, angle, enhance ORDER BY l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY h, w, angle, enhance) AS n FROM v WHERE h >= 18 AND w >= 35)
 SELECT h, w, angle, enhance, l_orderkey, l_linenumber, n FROM r WHERE k = 1""",
+    "zipped_crops": """WITH c AS (SELECT l_orderkey, list(l_linenumber::INT ORDER BY l_linenumber) AS crops FROM lineitem GROUP BY 1),
+z AS (SELECT l_orderkey, crops, substr('51F1234', 1, (o_custkey % 7 + 1)::INT) AS text FROM c JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, unnest(range(len(crops)))::INT AS place, unnest(crops) AS crop, unnest(string_split(text, '')) AS label FROM z WHERE len(crops) = length(text)""",
     "union_labels": """WITH s AS (SELECT lang, source, bool_or(doc_id % 2 = 0) AS even, bool_or(doc_id % 3 = 0) AS third FROM documents GROUP BY ALL)
 SELECT lang, coalesce(string_agg(source, ',' ORDER BY source) FILTER (even AND NOT third), '') AS only_even, coalesce(string_agg(source, ',' ORDER BY source) FILTER (even AND third), '') AS both,
   coalesce(string_agg(source, ',' ORDER BY source) FILTER (even OR third), '') AS all FROM s GROUP BY lang""",
