@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import bpe_codec, decontaminate, knn_quality, label_shards, prefix_hash, recurrent_lm, simhash_dedup, token_counts, toxic_cnn, url_lists
+from lamina.llm import bpe_codec, decontaminate, filter_audit, knn_quality, label_shards, prefix_hash, recurrent_lm, simhash_dedup, source_divergence, token_counts, toxic_cnn, url_lists
 from lamina.session import shared_root, table
 
 
@@ -97,6 +97,16 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of all pairs of sources of a language, and the terms that stand out in each source."""
+    return source_divergence.divergence_audit(table(spark, sf_dir, "documents"), least=3, most=200)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters by language: what each step keeps, removes and shares with the others."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_recurrent_lm": op1_recurrent_lm,
     "op2_token_counts": op2_token_counts,
@@ -108,6 +118,8 @@ QUERIES = {
     "op8_toxic_cnn": op8_toxic_cnn,
     "op9_url_lists": op9_url_lists,
     "op10_bpe_codec": op10_bpe_codec,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: DuckDB's form of url_lists.HOST, of a list of parent domains, and of the log above.
@@ -140,4 +152,77 @@ SELECT page_id, c.host, c.fetched::DATE::VARCHAR AS fetched, lists IS NOT NULL A
 FROM captures c LEFT JOIN blocked b ON c.host = b.host AND c.fetched = b.fetched
 """
 
-ORACLES: dict[str, str] = {"op9_url_lists": _URL_SQL}
+_DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+tokens AS (
+  SELECT row, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM docs),
+kept AS (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (
+  SELECT g.lang, g.source, coalesce(max(v), 0) AS v, coalesce(sum(n), 0) AS total
+  FROM groups g LEFT JOIN sizes s ON g.lang = s.lang LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (t.total + t.v) AS HUGEINT) AS p
+  FROM totals t JOIN kept k ON t.lang = k.lang LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+whole AS (
+  SELECT c.lang, c.term, CAST(1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1) // (max(l.total) + max(l.v)) AS HUGEINT) AS q
+  FROM counts c JOIN (SELECT lang, sum(total) AS total, max(v) AS v FROM totals GROUP BY lang) l ON c.lang = l.lang GROUP BY c.lang, c.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+all_pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (
+  SELECT s.lang, s.source, s.term AS item, (p - q) * (p - q) // q AS value
+  FROM shares s JOIN whole w ON s.lang = w.lang AND s.term = w.term WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM all_pairs
+  UNION ALL
+  SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms) t WHERE rank <= 200)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""
+
+_FILTERS_SQL = r"""
+WITH least AS (SELECT coalesce(text, '') AS text, min(doc_id) AS first FROM documents GROUP BY coalesce(text, '')),
+docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+flags AS (
+  SELECT d.doc_id, part,
+         CAST(len(words) < 100 AS INTEGER)
+         + CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INTEGER) * 2
+         + CAST(100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 10 * length(d.text) AS INTEGER) * 4
+         + CAST(regexp_matches(d.text, '[#$%&*|]') AS INTEGER) * 8
+         + CAST(d.doc_id > first AS INTEGER) * 16 AS mask,
+         CAST(coalesce(quality = 1, false) AS INTEGER) AS good, CAST(coalesce(toxic = 1, false) AS INTEGER) AS toxic
+  FROM docs d JOIN least l ON d.text = l.text LEFT JOIN labels b ON d.doc_id = b.doc_id),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(letter, bit)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a JOIN letters b ON a.bit <> b.bit JOIN letters c ON c.bit NOT IN (a.bit, b.bit)
+  JOIN letters d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN letters e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+steps AS (
+  SELECT filter_order, CAST(s.step AS INTEGER) AS step, bits[s.step] AS bit, CAST(coalesce(list_sum(bits[1:s.step - 1]), 0) AS INTEGER) AS before
+  FROM orders, (VALUES (1), (2), (3), (4), (5)) s(step)),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, mask),
+found AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (before + bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM found
+"""
+
+ORACLES: dict[str, str] = {"op9_url_lists": _URL_SQL, "op12_source_divergence": _DIVERGENCE_SQL, "op13_filter_audit": _FILTERS_SQL}
