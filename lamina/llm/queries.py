@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamina.llm import bpe_codec, decontaminate, filter_audit, knn_quality, label_shards, prefix_hash, recurrent_lm, simhash_dedup, source_divergence, token_counts, toxic_cnn, url_lists
+from lamina.llm import bpe_codec, decontaminate, filter_audit, knn_quality, label_shards, prefix_hash, recurrent_lm, simhash_dedup, source_divergence, suffix_merge, token_counts, toxic_cnn, url_lists
 from lamina.session import shared_root, table
 
 
@@ -97,6 +97,11 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 400 bytes that start anywhere else too."""
+    return suffix_merge.without_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergences of all pairs of sources of a language, and the terms that stand out in each source."""
     return source_divergence.divergence_audit(table(spark, sf_dir, "documents"), least=3, most=200)
@@ -118,6 +123,7 @@ QUERIES = {
     "op8_toxic_cnn": op8_toxic_cnn,
     "op9_url_lists": op9_url_lists,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_suffix_merge": op11_suffix_merge,
     "op12_source_divergence": op12_source_divergence,
     "op13_filter_audit": op13_filter_audit,
 }
