@@ -44,12 +44,15 @@ from lamina.session import cut_lineage, remove_folder, shared_root
 #: Bytes that an anchor's hash covers, and how far around it no hash is smaller.
 GRAM, AROUND = 8, 24
 #: Bytes after an anchor within which its short run of phrases ends, for strings of 400; shorter strings take a share.
-SHORT = 192
+SHORT = 160
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 4 << 20
-PRIME = (1 << 31) - 1
-#: Bases of the string hashes, a fixed pair of large numbers.
-BASES = (1_205_783_713, 1_743_921_637)
+#: An odd base modulo 2**64 and its inverse; bytes stand for fixed 64-bit values drawn from a seed.
+BASE = 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 1 << 64)
+VALUES = np.random.default_rng(400).integers(1, 1 << 63, 256).astype(np.uint64)
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 NONE = np.uint32(0xFFFFFFFF)
 
 _powers: dict[int, np.ndarray] = {}
@@ -85,50 +88,40 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo PRIME, kept by the worker and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64, kept by the worker and grown by doubling."""
     found = _powers.get(base, np.ones(1, np.uint64))
     while len(found) < n:
-        found = np.concatenate((found, reduced(found * np.uint64(pow(base, len(found), PRIME)))))
+        found = np.concatenate((found, found * np.uint64(pow(base, len(found), 1 << 64))))
     _powers[base] = found
     return found[:n]
 
 
-def reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo PRIME for x below 2**63."""
-    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
-    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
-    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
-
-
 def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """62-bit hashes of all strings of ``length`` bytes of one text."""
+    """64-bit polynomial hashes of all strings of ``length`` bytes; only strings of one block are ever compared by them."""
     n = len(data)
-    out = np.zeros(n - length + 1, np.uint64)
-    values = data.astype(np.uint64) + np.uint64(1)
-    for base in BASES:
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(reduced(values * powers(base, n)), out=sums[1:])
-        sums = reduced(sums)
-        inverse = powers(pow(base, -1, PRIME), n - length + 1)
-        out = (out << np.uint64(31)) | reduced(reduced(sums[length:] + np.uint64(PRIME) - sums[:-length]) * inverse)
-    return out
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(VALUES[data] * powers(BASE, n), out=sums[1:])
+    return (sums[length:] - sums[:-length]) * powers(INVERSE, n - length + 1)
+
+
+def bounds(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the texts of a shard start and end in its bytes."""
+    starts = np.concatenate(([0], np.cumsum(lengths + AROUND + GRAM)[:-1]))
+    return starts, starts + lengths
 
 
 class Shard:
     """The texts of a shard with their anchors, phrases and runs."""
 
-    def __init__(self, blob: bytes, lengths: bytes, copies: bytes, length: int):
+    def __init__(self, row: dict, length: int):
         self.length = length
         self.short = SHORT * length // 400
-        self.lengths = np.frombuffer(lengths, np.int64)
-        self.copies = np.frombuffer(copies, np.int8)
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        self.raw = raw
-        gap = AROUND + GRAM
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths + gap)[:-1]))
-        self.ends = self.starts + self.lengths
-        self.data = np.frombuffer(raw, np.uint8)
-        self.at = anchors(self.data, self.starts, self.ends)
+        self.lengths = np.frombuffer(row["lengths"], np.int64)
+        self.copies = np.frombuffer(row["copies"], np.int8)
+        self.raw = zstandard.ZstdDecompressor().decompress(row["blob"])
+        self.starts, self.ends = bounds(self.lengths)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.at = np.frombuffer(row["anchors"], np.int32).astype(np.int64)
         #: Text of each anchor; the last anchor of a text has no phrase, as no anchor ends it.
         self.text = np.searchsorted(self.starts, self.at, "right") - 1
         n = len(self.at)
@@ -164,7 +157,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), pa.array([x[0] for x in seen.values()], pa.binary()), pa.array([x[1] for x in seen.values()], pa.int64())], ["digest", "packed", "copies"])
 
 
-SHARDS = "shard long, digests binary, lengths binary, copies binary, blob binary"
+SHARDS = "shard long, digests binary, lengths binary, copies binary, blob binary, anchors binary"
 
 
 def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +168,11 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         between = bytes(AROUND + GRAM)
-        cells = (number, b"".join(h[0] for h in held), np.array([len(h[1]) for h in held], np.int64).tobytes(), np.array([min(2, h[2]) for h in held], np.int8).tobytes(), pack(b"".join(x for h in held for x in (h[1], between))))
-        return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], ["shard", "digests", "lengths", "copies", "blob"])
+        raw = b"".join(x for h in held for x in (h[1], between))
+        lengths = np.array([len(h[1]) for h in held], np.int64)
+        at = anchors(np.frombuffer(raw, np.uint8), *bounds(lengths)).astype(np.int32)
+        cells = (number, b"".join(h[0] for h in held), lengths.tobytes(), np.array([min(2, h[2]) for h in held], np.int8).tobytes(), pack(raw), at.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], ["shard", "digests", "lengths", "copies", "blob", "anchors"])
 
     for batch in batches:
         for digest, packed, copies in zip(*(batch.column(c).to_pylist() for c in ("digest", "packed", "copies")), strict=True):
@@ -190,8 +186,8 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-STATE = "shard long, active long, idx binary, symbol binary, need binary, short binary, long binary, copies binary, block binary, short_block binary, long_block binary, speaks binary"
-KINDS = {"idx": np.int32, "symbol": np.int64, "need": np.int16, "short": np.int16, "long": np.int16, "copies": np.int8, "block": np.int64, "short_block": np.int64, "long_block": np.int64, "speaks": np.int8}
+STATE = "shard long, active long, idx binary, symbol binary, need binary, short binary, long binary, copies binary, block binary, short_block binary, long_block binary, speaks binary, alone binary"
+KINDS = {"idx": np.int32, "symbol": np.int64, "need": np.int16, "short": np.int16, "long": np.int16, "copies": np.int8, "block": np.int64, "short_block": np.int64, "long_block": np.int64, "speaks": np.int8, "alone": np.int8}
 
 
 class Suffixes:
@@ -231,20 +227,22 @@ class Suffixes:
         new[1:] = (symbols[1:] != symbols[:-1]) | (blocks[1:] != blocks[:-1])
         return before, np.cumsum(new) - 1, symbols[new], blocks[new]
 
-    def refined(self, depth: int, before: np.ndarray, at: np.ndarray, found: dict[int, tuple[int, bool]], pairs: int) -> None:
-        """Moves suffixes to their blocks of this depth; found: pair -> (block, whether its first member is in this shard)."""
-        starts, leads = np.zeros(pairs, np.int64), np.zeros(pairs, bool)
-        for pair, (block, lead) in found.items():
-            starts[pair], leads[pair] = block, lead
-        block = np.zeros_like(self.block)
-        block[before] = starts[at]
-        self.block = block
-        lead = np.zeros(len(block), bool)
-        lead[before] = leads[at]
-        self.settle(depth, lead)
-
-    def settle(self, depth: int, lead: np.ndarray) -> None:
-        self.short_block = np.where(self.short == depth, self.block, self.short_block)
+    def refined(self, depth: int, before: np.ndarray, at: np.ndarray, found: pa.Table, pairs: int) -> None:
+        """Moves suffixes to their blocks of this depth; found tells of a pair its block, whether its first member is here and whether it is the only one."""
+        which = found.column("at").to_numpy()
+        told = {}
+        for name, kind in (("block", np.int64), ("lead", bool), ("alone", bool)):
+            by_pair = np.zeros(pairs, kind)
+            by_pair[which] = found.column(name).to_numpy()
+            told[name] = np.zeros(len(self.block), kind)
+            told[name][before] = by_pair[at]
+        self.block = told["block"]
+        self.settle(depth, told["lead"], told["alone"])
+
+    def settle(self, depth: int, lead: np.ndarray, alone: np.ndarray) -> None:
+        here = self.short == depth
+        self.short_block = np.where(here, self.block, self.short_block)
+        self.alone = np.where(here, alone, self.alone).astype(np.int8)
         ends = (self.long == depth) & (self.block > 0)
         self.long_block = np.where(ends, self.block, self.long_block)
         here = np.flatnonzero(ends & lead)
@@ -253,75 +251,101 @@ class Suffixes:
         self.speaks = speaks
 
 
-def _first_suffixes(shard: Shard, found: dict[bytes, tuple[int, bool]]) -> Suffixes:
+def _first_suffixes(shard: Shard, found: pa.Table) -> Suffixes:
     """Suffixes by their first phrase alone: the blocks are the symbols' buckets."""
     digests, at = np.unique(shard.digests(), return_inverse=True)
-    raw = digests.astype("S16").tobytes()
-    told = [found.get(raw[16 * i : 16 * i + 16], (0, False)) for i in range(len(digests))]
+    told = np.frombuffer(b"".join(found.column("digest").to_pylist()), "S16")
+    where = np.searchsorted(digests, told)
     n = len(shard.at)
-    symbol, lead = np.zeros(n, np.int64), np.zeros(n, bool)
-    symbol[shard.phrase] = np.array([t[0] for t in told], np.int64)[at]
-    lead[shard.phrase] = np.array([t[1] for t in told], bool)[at]
+    full = {}
+    for name, kind in (("symbol", np.int64), ("lead", bool), ("alone", bool)):
+        by_digest = np.zeros(len(digests), kind)
+        by_digest[where] = found.column(name).to_numpy()
+        full[name] = np.zeros(n, kind)
+        full[name][shard.phrase] = by_digest[at]
     short, long = shard.runs()
     index = np.arange(n)
     # A suffix is followed as deep as its own runs go, and as the runs of the suffixes before it need.
     need = np.maximum.accumulate(np.maximum(short, long) + index) - index if n else index
+    symbol = full["symbol"]
     kept = np.flatnonzero(symbol > 0)
     zero = np.zeros(len(kept), np.int64)
-    out = Suffixes(idx=kept, symbol=symbol[kept], need=need[kept], short=short[kept], long=long[kept], copies=shard.copies[shard.text[kept]], block=symbol[kept], short_block=zero, long_block=zero, speaks=zero)
-    out.settle(1, lead[kept])
+    out = Suffixes(idx=kept, symbol=symbol[kept], need=need[kept], short=short[kept], long=long[kept], copies=shard.copies[shard.text[kept]], block=symbol[kept], short_block=zero, long_block=zero, speaks=zero, alone=zero)
+    out.settle(1, full["lead"][kept], full["alone"][kept])
     return out
 
 
-def _strings(shard: Shard, suffixes: Suffixes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(where, at, blocks, hashes, weights): per text its certain strings and those to be counted, and the distinct counted ones.
+def _between(size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Marks of the places from low to high, both included; ranges may overlap, empty ones count for nothing."""
+    some = low <= high
+    steps = np.zeros(size + 1, np.int32)
+    np.add.at(steps, low[some], 1)
+    np.add.at(steps, high[some] + 1, -1)
+    return np.cumsum(steps[:size]) > 0
+
+
+def _strings(shard: Shard, suffixes: Suffixes) -> tuple[np.ndarray, ...]:
+    """(certain, counted, at, blocks, hashes, weights) of the strings of a shard, which stand for their starts in its bytes.
 
-    where holds (text, certain, counted, first ordinal): certain says of each string whether its block is shared; counted
-    are the starts of strings whose number of occurrences must be told by block and hash.
+    ``certain`` marks strings that lie within a shared long run. ``counted`` are the starts of those whose number of
+    occurrences must be told by block and hash: what no shared run decides, and what speaks for the decided ones where
+    an undecided string could equal them. ``at`` says which of the distinct (block, hash) each of them has.
     """
-    length, n = shard.length, len(shard.at)
+    length, n, size = shard.length, len(shard.at), len(shard.data)
     short, _ = shard.runs()
-    full = {name: np.zeros(n, kind) for name, kind in (("short_block", np.int64), ("long_block", np.int64), ("speaks", bool))}
+    full = {name: np.zeros(n, kind) for name, kind in (("short_block", np.int64), ("long_block", np.int64), ("speaks", bool), ("alone", bool))}
     for name, values in full.items():
         values[suffixes.idx] = getattr(suffixes, name)
     reach = length - shard.short - AROUND - GRAM
-    where, blocks, hashes, weights = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    done = 0
-    bounds = np.searchsorted(shard.text, np.arange(len(shard.lengths) + 1))
-    for text in range(len(shard.lengths)):
-        count = int(shard.lengths[text]) - length + 1
-        first, last = bounds[text], bounds[text + 1]
-        at = shard.at[first:last] - shard.starts[text]
-        starts = np.arange(count)
-        lead = np.searchsorted(at, starts + AROUND)
-        inside = lead < len(at)
-        lead = np.minimum(lead, max(0, len(at) - 1))
-        if len(at):
-            usable = inside & (at[lead] - starts <= reach) & (short[first:last][lead] > 0)
-            block = np.where(usable, full["short_block"][first:last][lead], 0)
-            own = np.searchsorted(at, starts, "right") - 1
-            certain = (own >= 0) & (full["long_block"][first:last][own] > 0)
-            silent = certain & ~full["speaks"][first:last][own]
-        else:
-            usable = np.zeros(count, bool)
-            block, certain, silent = np.zeros(count, np.int64), usable, usable
-        counted = np.flatnonzero((~usable | (block > 0)) & ~silent)
-        where.append((text, certain, counted, done))
-        done += len(counted)
-        if len(counted):
-            low, high = int(counted[0]), int(counted[-1]) + length
-            data = shard.data[shard.starts[text] + low : shard.starts[text] + high]
-            hashes.append(string_hashes(data, length)[counted - low].astype(np.int64))
-            blocks.append(block[counted])
-            weights.append(np.where(certain[counted] | (shard.copies[text] > 1), 2, 1))
-    blocks, hashes, weights = map(np.concatenate, (blocks, hashes, weights))
+    stop = shard.ends - length
+    # Strings that are led by each anchor with a short run: from the one before it on, if the run lies within the string.
+    runs = np.flatnonzero(short > 0)
+    place, text = shard.at[runs], shard.text[runs]
+    first = np.ones(len(runs), bool)
+    first[1:] = text[1:] != text[:-1]
+    low = np.where(first, shard.starts[text], np.append(0, place[:-1])[: len(runs)] - AROUND + 1)
+    low = np.maximum(low, shard.starts[text])
+    high = np.minimum(place - AROUND, stop[text])
+    shared = full["short_block"][runs] > 0
+    # All short runs within a string must be shared: it ends before the next one that isn't.
+    lone = np.append(np.where(shared, size + length, place), size + length)
+    lone_text = np.append(text, -1)
+    following = np.minimum.accumulate(np.where(shared, len(runs), np.arange(len(runs)))[::-1])[::-1] if len(runs) else np.zeros(0, np.int64)
+    limit = np.where(lone_text[following] == text, lone[following] - reach - 1, size)
+    # And those without such an anchor.
+    last = np.searchsorted(text, np.arange(len(shard.lengths)), "right") - 1
+    some = (last >= 0) & (text[np.maximum(last, 0)] == np.arange(len(shard.lengths))) if len(runs) else np.zeros(len(shard.lengths), bool)
+    tail = np.where(some, np.maximum(place[np.maximum(last, 0)] - AROUND + 1, shard.starts) if len(runs) else shard.starts, shard.starts)
+    open_low, open_high = np.maximum(low, place - reach), np.minimum(high, limit)
+    wanted = _between(size, np.concatenate((open_low[shared], low, tail)), np.concatenate((open_high[shared], np.minimum(high, place - reach - 1), stop)))
+    sure = np.flatnonzero(full["long_block"] > 0)
+    certain = _between(size, shard.at[sure], shard.after[sure] - 1)
+    dumb = sure[~full["speaks"][sure]]
+    silent = _between(size, shard.at[dumb], shard.after[dumb] - 1)
+    single = shared & full["alone"][runs]
+    silent |= certain & _between(size, open_low[single], open_high[single])
+    counted = np.flatnonzero(wanted & ~silent)
+    blocks, hashes, of = np.zeros(len(counted), np.int64), np.zeros(len(counted), np.int64), np.searchsorted(shard.starts, counted, "right") - 1
+    if len(runs):
+        lead = np.searchsorted(place, counted + AROUND)
+        inside = lead < len(runs)
+        lead = np.minimum(lead, len(runs) - 1)
+        led = inside & (text[lead] == of) & (place[lead] - counted <= reach)
+        blocks = np.where(led, full["short_block"][runs][lead], 0)
+    # Strings more than a length apart are hashed apart.
+    cuts = np.flatnonzero((np.diff(counted) > length) | (np.diff(of) > 0)) + 1
+    for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(counted)).tolist(), strict=True):
+        if a < b:
+            begin = int(counted[a])
+            hashes[a:b] = string_hashes(shard.data[begin : int(counted[b - 1]) + length], length)[counted[a:b] - begin].view(np.int64)
+    weights = np.where(certain[counted] | (shard.copies[of] > 1), 2, 1)
     order = np.lexsort((hashes, blocks))
     new = np.ones(len(order), bool)
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (blocks[order][1:] != blocks[order][:-1])
     at = np.zeros(len(order), np.int64)
     at[order] = np.cumsum(new) - 1
     total = np.bincount(at, weights, int(new.sum())).astype(np.int64) if len(order) else np.zeros(0, np.int64)
-    return where, at, blocks[order][new], hashes[order][new], np.minimum(total, 2)
+    return certain, counted, at, blocks[order][new], hashes[order][new], np.minimum(total, 2)
 
 
 FOUND = "digest binary, n_removed long, n_spans long, kept_sha256 string, copies long"
@@ -342,7 +366,13 @@ class Merge:
         self.shards = self._kept(small_batches(distinct).mapInArrow(_shards, SHARDS), "shards")
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
+        """The frame written to the shared folder and read again; its shuffle files go when it is written, as nothing reads them any more."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.folder}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def symbols(self) -> DataFrame:
@@ -352,22 +382,23 @@ class Merge:
         def phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    shard = Shard(row["blob"], row["lengths"], row["copies"], length)
+                    shard = Shard(row, length)
                     found, at = np.unique(shard.digests(), return_inverse=True)
                     counts = np.bincount(at, shard.copies[shard.text[shard.phrase]], len(found)).astype(np.int64)
+                    places = np.bincount(at, minlength=len(found)).astype(np.int64)
                     raw = pa.Array.from_buffers(pa.binary(16), len(found), [None, pa.py_buffer(found.astype("S16").tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["shard"], np.int64)), raw, pa.array(counts)], ["shard", "digest", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["shard"], np.int64)), raw, pa.array(counts), pa.array(places)], ["shard", "digest", "n", "places"])
 
-        pairs = small_batches(self.shards).mapInArrow(phrases, "shard long, digest binary, n long").repartition("digest")
+        pairs = small_batches(self.shards).mapInArrow(phrases, "shard long, digest binary, n long, places long").repartition("digest")
         same = W.partitionBy("digest")
-        twice = pairs.withColumn("total", F.sum("n").over(same)).withColumn("least", F.min("shard").over(same)).filter("total > 1")
+        twice = pairs.withColumn("total", F.sum("n").over(same)).withColumn("least", F.min("shard").over(same)).withColumn("places", F.sum("places").over(same)).filter("total > 1")
         twice = self._kept(twice.withColumn("part", F.spark_partition_id()), "phrases")
         # Where a bucket starts: after the suffixes of the parts before it, then those of the smaller symbols in its part.
         parts = twice.groupBy("part").agg(F.sum("n").alias("n"))
         base = parts.select("part", (F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).alias("base"))
         below = F.sum("n").over(W.partitionBy("part").orderBy("digest").rangeBetween(W.unboundedPreceding, W.currentRow)) - F.col("total")
         placed = twice.withColumn("below", below).join(F.broadcast(base), "part")
-        return placed.select("shard", "digest", (F.col("base") + F.col("below")).alias("symbol"), (F.col("least") == F.col("shard")).alias("lead"))
+        return placed.select("shard", "digest", (F.col("base") + F.col("below")).alias("symbol"), (F.col("least") == F.col("shard")).alias("lead"), (F.col("places") == 1).alias("alone"))
 
     def merged(self) -> DataFrame:
         """The suffixes of each shard (STATE) when no block is left to refine."""
@@ -375,9 +406,8 @@ class Merge:
 
         def begin(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
-            shard = Shard(row["blob"], row["lengths"], row["copies"], length)
-            found = dict(zip(right.column("digest").to_pylist(), zip(right.column("symbol").to_pylist(), right.column("lead").to_pylist(), strict=True), strict=True))
-            return _first_suffixes(shard, found).row(row["shard"])
+            shard = Shard(row, length)
+            return _first_suffixes(shard, right).row(row["shard"])
 
         state = self._kept(self.shards.groupBy("shard").cogroup(self.symbols().groupBy("shard")).applyInArrow(begin, STATE), "depth-1")
         remove_folder(self.spark, f"{self.folder}/phrases")
@@ -397,31 +427,31 @@ class Merge:
                     suffixes = Suffixes.read(row)
                     before, at, symbols, blocks = suffixes.asked(depth)
                     counts = np.bincount(at, suffixes.copies[before], len(symbols)).astype(np.int64)
-                    columns = [np.full(len(symbols), row["shard"], np.int64), np.arange(len(symbols)), symbols, blocks, counts]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "at", "symbol", "block", "n"])
+                    places = np.bincount(at, minlength=len(symbols)).astype(np.int64)
+                    columns = [np.full(len(symbols), row["shard"], np.int64), np.arange(len(symbols)), symbols, blocks, counts, places]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "at", "symbol", "block", "n", "places"])
 
         def answer(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
             suffixes = Suffixes.read(row)
             before, at, symbols, _ = suffixes.asked(depth)
-            found = dict(zip(right.column("at").to_pylist(), zip(right.column("block").to_pylist(), right.column("lead").to_pylist(), strict=True), strict=True))
-            suffixes.refined(depth, before, at, found, len(symbols))
+            suffixes.refined(depth, before, at, right, len(symbols))
             return suffixes.row(row["shard"])
 
-        pairs = small_batches(state).mapInArrow(ask, "shard long, at long, symbol long, block long, n long").repartition("symbol")
+        pairs = small_batches(state).mapInArrow(ask, "shard long, at long, symbol long, block long, n long, places long").repartition("symbol")
         same, bucket = W.partitionBy("symbol", "block"), W.partitionBy("symbol").orderBy("block").rangeBetween(W.unboundedPreceding, W.currentRow)
-        joined = pairs.withColumn("total", F.sum("n").over(same)).withColumn("least", F.min("shard").over(same)).withColumn("upto", F.sum("n").over(bucket))
-        blocks = joined.filter("total > 1").select("shard", "at", (F.col("symbol") + F.col("upto") - F.col("total")).alias("block"), (F.col("least") == F.col("shard")).alias("lead"))
+        joined = pairs.withColumn("total", F.sum("n").over(same)).withColumn("least", F.min("shard").over(same)).withColumn("upto", F.sum("n").over(bucket)).withColumn("places", F.sum("places").over(same))
+        blocks = joined.filter("total > 1").select("shard", "at", (F.col("symbol") + F.col("upto") - F.col("total")).alias("block"), (F.col("least") == F.col("shard")).alias("lead"), (F.col("places") == 1).alias("alone"))
         return state.groupBy("shard").cogroup(blocks.groupBy("shard")).applyInArrow(answer, STATE)
 
     def removed(self) -> DataFrame:
         """FOUND for each text that loses bytes."""
         length = self.length
-        state = self.merged().select("shard", "idx", "symbol", "need", "short", "long", "copies", "block", "short_block", "long_block", "speaks")
+        state = self.merged().select("shard", "idx", "symbol", "need", "short", "long", "copies", "block", "short_block", "long_block", "speaks", "alone")
 
         def count(left: pa.Table, right: pa.Table) -> pa.Table:
             row, suffixes = left.to_pylist()[0], Suffixes.read(right.to_pylist()[0])
-            _, _, blocks, hashes, weights = _strings(Shard(row["blob"], row["lengths"], row["copies"], length), suffixes)
+            *_, blocks, hashes, weights = _strings(Shard(row, length), suffixes)
             columns = [np.full(len(blocks), row["shard"], np.int64), np.arange(len(blocks), dtype=np.int32), blocks, hashes, weights.astype(np.int32)]
             return pa.table([pa.array(c) for c in columns], ["shard", "at", "block", "hash", "n"])
 
@@ -432,28 +462,24 @@ class Merge:
 
         def cut(left: pa.Table, right: pa.Table) -> pa.Table:
             row, found = left.to_pylist()[0], right.drop_columns(["told"]).to_pylist()[0]
-            shard = Shard(row["blob"], row["lengths"], row["copies"], length)
-            where, at, blocks, _, _ = _strings(shard, Suffixes.read(found))
+            shard = Shard(row, length)
+            certain, counted, at, blocks, _, _ = _strings(shard, Suffixes.read(found))
             repeated = np.zeros(len(blocks), bool)
             told = right.column("told").combine_chunks()[0]
             if told.is_valid:
                 repeated[np.asarray(told.values)] = True
+            starts = certain
+            starts[counted] |= repeated[at]
+            twice = np.flatnonzero(shard.copies > 1)
+            starts |= _between(len(starts), shard.starts[twice], shard.ends[twice] - length)
+            begins = np.flatnonzero(starts)
+            gone = _between(len(starts), begins, begins + length - 1)
             out: list[tuple] = []
-            for text, certain, counted, first in where:
-                n, copies = int(shard.lengths[text]), int(shard.copies[text])
-                starts = certain.copy()
-                starts[counted] |= repeated[at[first : first + len(counted)]]
-                if copies > 1:
-                    starts[:] = True
-                if not starts.any():
-                    continue
-                steps = np.zeros(n + 1, np.int32)
-                steps[: len(starts)] += starts
-                steps[length : length + len(starts)] -= starts
-                gone = np.cumsum(steps[:n]) > 0
+            for text in np.unique(np.searchsorted(shard.starts, begins, "right") - 1).tolist():
+                here = gone[shard.starts[text] : shard.ends[text]]
                 data = shard.data[shard.starts[text] : shard.ends[text]]
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((row["digests"][32 * text : 32 * text + 32], int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest(), copies))
+                spans = int(here[0]) + int((here[1:] & ~here[:-1]).sum())
+                out.append((row["digests"][32 * text : 32 * text + 32], int(here.sum()), spans, hashlib.sha256(data[~here].tobytes()).hexdigest(), int(shard.copies[text])))
             names = ["digest", "n_removed", "n_spans", "kept_sha256", "copies"]
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             columns = zip(*out, strict=True) if out else [()] * 5
