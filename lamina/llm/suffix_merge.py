@@ -17,7 +17,7 @@ they are counted by block and hash of the string.
 
 Texts move once, as zstd frames, one for each distinct text; what then crosses shuffles are pairs of numbers, at most one
 row for each shard and pair, so a passage that a third of all texts hold is no hot key. Strings without a usable anchor (long
-gaps, periodic text) are counted by their hash alone.
+gaps, periodic text) are counted by two hashes.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all bytes; of two or more equal texts that are not
 shorter all bytes go. Rows count by their texts, so null or repeated doc_ids make no difference. Texts are read whole: one
@@ -47,9 +47,8 @@ GRAM, AROUND = 8, 24
 SHORT = 160
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 4 << 20
-#: An odd base modulo 2**64 and its inverse; bytes stand for fixed 64-bit values drawn from a seed.
-BASE = 0xD6E8FEB86659FD93
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Two odd bases modulo 2**64; bytes stand for fixed 64-bit values drawn from a seed.
+BASE, OTHER = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 VALUES = np.random.default_rng(400).integers(1, 1 << 63, 256).astype(np.uint64)
 #: Spark's setting that removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -96,12 +95,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return found[:n]
 
 
-def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
+def string_hashes(data: np.ndarray, length: int, base: int = BASE) -> np.ndarray:
     """64-bit polynomial hashes of all strings of ``length`` bytes; only strings of one block are ever compared by them."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(VALUES[data] * powers(BASE, n), out=sums[1:])
-    return (sums[length:] - sums[:-length]) * powers(INVERSE, n - length + 1)
+    np.cumsum(VALUES[data] * powers(base, n), out=sums[1:])
+    return (sums[length:] - sums[:-length]) * powers(pow(base, -1, 1 << 64), n - length + 1)
 
 
 def bounds(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,16 +110,18 @@ def bounds(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """The texts of a shard with their anchors, phrases and runs."""
+    """The texts of a shard, or only where they lie, with their anchors, phrases and runs."""
 
     def __init__(self, row: dict, length: int):
         self.length = length
         self.short = SHORT * length // 400
         self.lengths = np.frombuffer(row["lengths"], np.int64)
         self.copies = np.frombuffer(row["copies"], np.int8)
-        self.raw = zstandard.ZstdDecompressor().decompress(row["blob"])
         self.starts, self.ends = bounds(self.lengths)
-        self.data = np.frombuffer(self.raw, np.uint8)
+        self.size = int(self.ends[-1]) + AROUND + GRAM
+        if "blob" in row:
+            self.raw = zstandard.ZstdDecompressor().decompress(row["blob"])
+            self.data = np.frombuffer(self.raw, np.uint8)
         self.at = np.frombuffer(row["anchors"], np.int32).astype(np.int64)
         #: Text of each anchor; the last anchor of a text has no phrase, as no anchor ends it.
         self.text = np.searchsorted(self.starts, self.at, "right") - 1
@@ -186,8 +187,8 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-STATE = "shard long, active long, idx binary, symbol binary, need binary, short binary, long binary, copies binary, block binary, short_block binary, long_block binary, speaks binary, alone binary"
-KINDS = {"idx": np.int32, "symbol": np.int64, "need": np.int16, "short": np.int16, "long": np.int16, "copies": np.int8, "block": np.int64, "short_block": np.int64, "long_block": np.int64, "speaks": np.int8, "alone": np.int8}
+STATE = "shard long, active long, idx binary, symbol binary, need binary, short binary, long binary, copies binary, block binary, short_block binary, long_block binary, speaks binary"
+KINDS = {"idx": np.int32, "symbol": np.int64, "need": np.int16, "short": np.int16, "long": np.int16, "copies": np.int8, "block": np.int64, "short_block": np.int64, "long_block": np.int64, "speaks": np.int8}
 
 
 class Suffixes:
@@ -228,21 +229,19 @@ class Suffixes:
         return before, np.cumsum(new) - 1, symbols[new], blocks[new]
 
     def refined(self, depth: int, before: np.ndarray, at: np.ndarray, found: pa.Table, pairs: int) -> None:
-        """Moves suffixes to their blocks of this depth; found tells of a pair its block, whether its first member is here and whether it is the only one."""
+        """Moves suffixes to their blocks of this depth; found tells of a pair its block and whether its first member is here."""
         which = found.column("at").to_numpy()
         told = {}
-        for name, kind in (("block", np.int64), ("lead", bool), ("alone", bool)):
+        for name, kind in (("block", np.int64), ("lead", bool)):
             by_pair = np.zeros(pairs, kind)
             by_pair[which] = found.column(name).to_numpy()
             told[name] = np.zeros(len(self.block), kind)
             told[name][before] = by_pair[at]
         self.block = told["block"]
-        self.settle(depth, told["lead"], told["alone"])
+        self.settle(depth, told["lead"])
 
-    def settle(self, depth: int, lead: np.ndarray, alone: np.ndarray) -> None:
-        here = self.short == depth
-        self.short_block = np.where(here, self.block, self.short_block)
-        self.alone = np.where(here, alone, self.alone).astype(np.int8)
+    def settle(self, depth: int, lead: np.ndarray) -> None:
+        self.short_block = np.where(self.short == depth, self.block, self.short_block)
         ends = (self.long == depth) & (self.block > 0)
         self.long_block = np.where(ends, self.block, self.long_block)
         here = np.flatnonzero(ends & lead)
@@ -258,7 +257,7 @@ def _first_suffixes(shard: Shard, found: pa.Table) -> Suffixes:
     where = np.searchsorted(digests, told)
     n = len(shard.at)
     full = {}
-    for name, kind in (("symbol", np.int64), ("lead", bool), ("alone", bool)):
+    for name, kind in (("symbol", np.int64), ("lead", bool)):
         by_digest = np.zeros(len(digests), kind)
         by_digest[where] = found.column(name).to_numpy()
         full[name] = np.zeros(n, kind)
@@ -270,8 +269,8 @@ def _first_suffixes(shard: Shard, found: pa.Table) -> Suffixes:
     symbol = full["symbol"]
     kept = np.flatnonzero(symbol > 0)
     zero = np.zeros(len(kept), np.int64)
-    out = Suffixes(idx=kept, symbol=symbol[kept], need=need[kept], short=short[kept], long=long[kept], copies=shard.copies[shard.text[kept]], block=symbol[kept], short_block=zero, long_block=zero, speaks=zero, alone=zero)
-    out.settle(1, full["lead"][kept], full["alone"][kept])
+    out = Suffixes(idx=kept, symbol=symbol[kept], need=need[kept], short=short[kept], long=long[kept], copies=shard.copies[shard.text[kept]], block=symbol[kept], short_block=zero, long_block=zero, speaks=zero)
+    out.settle(1, full["lead"][kept])
     return out
 
 
@@ -284,16 +283,15 @@ def _between(size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:size]) > 0
 
 
-def _strings(shard: Shard, suffixes: Suffixes) -> tuple[np.ndarray, ...]:
-    """(certain, counted, at, blocks, hashes, weights) of the strings of a shard, which stand for their starts in its bytes.
+def _open_strings(shard: Shard, suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(certain, open, blocks); strings stand for their starts in the shard's bytes.
 
-    ``certain`` marks strings that lie within a shared long run. ``counted`` are the starts of those whose number of
-    occurrences must be told by block and hash: what no shared run decides, and what speaks for the decided ones where
-    an undecided string could equal them. ``at`` says which of the distinct (block, hash) each of them has.
+    ``certain`` marks strings that lie within a shared long run. ``open`` are those that may be repeated and are not spoken
+    for by another member of such a run, ``blocks`` those of the short runs that lead them, 0 where no anchor can.
     """
-    length, n, size = shard.length, len(shard.at), len(shard.data)
+    length, n, size = shard.length, len(shard.at), shard.size
     short, _ = shard.runs()
-    full = {name: np.zeros(n, kind) for name, kind in (("short_block", np.int64), ("long_block", np.int64), ("speaks", bool), ("alone", bool))}
+    full = {name: np.zeros(n, kind) for name, kind in (("short_block", np.int64), ("long_block", np.int64), ("speaks", bool))}
     for name, values in full.items():
         values[suffixes.idx] = getattr(suffixes, name)
     reach = length - shard.short - AROUND - GRAM
@@ -322,22 +320,41 @@ def _strings(shard: Shard, suffixes: Suffixes) -> tuple[np.ndarray, ...]:
     certain = _between(size, shard.at[sure], shard.after[sure] - 1)
     dumb = sure[~full["speaks"][sure]]
     silent = _between(size, shard.at[dumb], shard.after[dumb] - 1)
-    single = shared & full["alone"][runs]
-    silent |= certain & _between(size, open_low[single], open_high[single])
-    counted = np.flatnonzero(wanted & ~silent)
-    blocks, hashes, of = np.zeros(len(counted), np.int64), np.zeros(len(counted), np.int64), np.searchsorted(shard.starts, counted, "right") - 1
+    open_at = np.flatnonzero(wanted & ~silent)
+    blocks = np.zeros(len(open_at), np.int64)
     if len(runs):
-        lead = np.searchsorted(place, counted + AROUND)
+        lead = np.searchsorted(place, open_at + AROUND)
         inside = lead < len(runs)
         lead = np.minimum(lead, len(runs) - 1)
-        led = inside & (text[lead] == of) & (place[lead] - counted <= reach)
+        of = np.searchsorted(shard.starts, open_at, "right") - 1
+        led = inside & (text[lead] == of) & (place[lead] - open_at <= reach)
         blocks = np.where(led, full["short_block"][runs][lead], 0)
+    return certain, open_at, blocks
+
+
+def _strings(shard: Shard, suffixes: Suffixes, needed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(certain, counted, at, blocks, hashes, weights): the open strings whose occurrences must be told by block and hash.
+
+    A certain string is counted only where its block is ``needed``, as an undecided string of that block may equal it.
+    ``at`` says which of the distinct (block, hash) each counted string has. Strings without a leading anchor have a second
+    hash in place of the block, as there may be very many of them.
+    """
+    length = shard.length
+    certain, counted, blocks = _open_strings(shard, suffixes)
+    stays = ~certain[counted] | (blocks == 0) | np.isin(blocks, needed)
+    counted, blocks = counted[stays], blocks[stays]
+    of = np.searchsorted(shard.starts, counted, "right") - 1
+    hashes = np.zeros(len(counted), np.int64)
     # Strings more than a length apart are hashed apart.
     cuts = np.flatnonzero((np.diff(counted) > length) | (np.diff(of) > 0)) + 1
     for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(counted)).tolist(), strict=True):
         if a < b:
             begin = int(counted[a])
-            hashes[a:b] = string_hashes(shard.data[begin : int(counted[b - 1]) + length], length)[counted[a:b] - begin].view(np.int64)
+            data = shard.data[begin : int(counted[b - 1]) + length]
+            hashes[a:b] = string_hashes(data, length)[counted[a:b] - begin].view(np.int64)
+            free = np.flatnonzero(blocks[a:b] == 0)
+            if len(free):
+                blocks[a + free] = -1 - (string_hashes(data, length, OTHER)[counted[a + free] - begin] >> np.uint64(1)).astype(np.int64)
     weights = np.where(certain[counted] | (shard.copies[of] > 1), 2, 1)
     order = np.lexsort((hashes, blocks))
     new = np.ones(len(order), bool)
@@ -385,20 +402,19 @@ class Merge:
                     shard = Shard(row, length)
                     found, at = np.unique(shard.digests(), return_inverse=True)
                     counts = np.bincount(at, shard.copies[shard.text[shard.phrase]], len(found)).astype(np.int64)
-                    places = np.bincount(at, minlength=len(found)).astype(np.int64)
                     raw = pa.Array.from_buffers(pa.binary(16), len(found), [None, pa.py_buffer(found.astype("S16").tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["shard"], np.int64)), raw, pa.array(counts), pa.array(places)], ["shard", "digest", "n", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["shard"], np.int64)), raw, pa.array(counts)], ["shard", "digest", "n"])
 
-        pairs = small_batches(self.shards).mapInArrow(phrases, "shard long, digest binary, n long, places long").repartition("digest")
+        pairs = small_batches(self.shards).mapInArrow(phrases, "shard long, digest binary, n long").repartition("digest")
         same = W.partitionBy("digest")
-        twice = pairs.withColumn("total", F.sum("n").over(same)).withColumn("least", F.min("shard").over(same)).withColumn("places", F.sum("places").over(same)).filter("total > 1")
+        twice = pairs.withColumn("total", F.sum("n").over(same)).withColumn("least", F.min("shard").over(same)).filter("total > 1")
         twice = self._kept(twice.withColumn("part", F.spark_partition_id()), "phrases")
         # Where a bucket starts: after the suffixes of the parts before it, then those of the smaller symbols in its part.
         parts = twice.groupBy("part").agg(F.sum("n").alias("n"))
         base = parts.select("part", (F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).alias("base"))
         below = F.sum("n").over(W.partitionBy("part").orderBy("digest").rangeBetween(W.unboundedPreceding, W.currentRow)) - F.col("total")
         placed = twice.withColumn("below", below).join(F.broadcast(base), "part")
-        return placed.select("shard", "digest", (F.col("base") + F.col("below")).alias("symbol"), (F.col("least") == F.col("shard")).alias("lead"), (F.col("places") == 1).alias("alone"))
+        return placed.select("shard", "digest", (F.col("base") + F.col("below")).alias("symbol"), (F.col("least") == F.col("shard")).alias("lead"))
 
     def merged(self) -> DataFrame:
         """The suffixes of each shard (STATE) when no block is left to refine."""
@@ -427,9 +443,8 @@ class Merge:
                     suffixes = Suffixes.read(row)
                     before, at, symbols, blocks = suffixes.asked(depth)
                     counts = np.bincount(at, suffixes.copies[before], len(symbols)).astype(np.int64)
-                    places = np.bincount(at, minlength=len(symbols)).astype(np.int64)
-                    columns = [np.full(len(symbols), row["shard"], np.int64), np.arange(len(symbols)), symbols, blocks, counts, places]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "at", "symbol", "block", "n", "places"])
+                    columns = [np.full(len(symbols), row["shard"], np.int64), np.arange(len(symbols)), symbols, blocks, counts]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "at", "symbol", "block", "n"])
 
         def answer(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
@@ -438,32 +453,53 @@ class Merge:
             suffixes.refined(depth, before, at, right, len(symbols))
             return suffixes.row(row["shard"])
 
-        pairs = small_batches(state).mapInArrow(ask, "shard long, at long, symbol long, block long, n long, places long").repartition("symbol")
+        pairs = small_batches(state).mapInArrow(ask, "shard long, at long, symbol long, block long, n long").repartition("symbol")
         same, bucket = W.partitionBy("symbol", "block"), W.partitionBy("symbol").orderBy("block").rangeBetween(W.unboundedPreceding, W.currentRow)
-        joined = pairs.withColumn("total", F.sum("n").over(same)).withColumn("least", F.min("shard").over(same)).withColumn("upto", F.sum("n").over(bucket)).withColumn("places", F.sum("places").over(same))
-        blocks = joined.filter("total > 1").select("shard", "at", (F.col("symbol") + F.col("upto") - F.col("total")).alias("block"), (F.col("least") == F.col("shard")).alias("lead"), (F.col("places") == 1).alias("alone"))
+        joined = pairs.withColumn("total", F.sum("n").over(same)).withColumn("least", F.min("shard").over(same)).withColumn("upto", F.sum("n").over(bucket))
+        blocks = joined.filter("total > 1").select("shard", "at", (F.col("symbol") + F.col("upto") - F.col("total")).alias("block"), (F.col("least") == F.col("shard")).alias("lead"))
         return state.groupBy("shard").cogroup(blocks.groupBy("shard")).applyInArrow(answer, STATE)
 
+    def needed(self, state: DataFrame) -> DataFrame:
+        """The state with the short blocks whose certain strings must be counted: some string of the block is undecided."""
+        length = self.length
+
+        def sort_out(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            certain, open_at, blocks = _open_strings(Shard(row, length), Suffixes.read(right.to_pylist()[0]))
+            sure = certain[open_at]
+            columns = [np.unique(blocks[(blocks > 0) & (sure == kind)]) for kind in (True, False)]
+            both = np.concatenate(columns)
+            return pa.table([pa.array(np.full(len(both), row["shard"], np.int64)), pa.array(both), pa.array(np.arange(len(both)) >= len(columns[0]))], ["shard", "block", "unsure"])
+
+        places = self.shards.select("shard", "lengths", "copies", "anchors")
+        rows = places.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(sort_out, "shard long, block long, unsure boolean").repartition("block")
+        asked = rows.withColumn("asked", F.max("unsure").over(W.partitionBy("block"))).filter("asked and not unsure")
+        return self._kept(state.join(asked.groupBy("shard").agg(F.collect_list("block").alias("needed")), "shard", "left"), "needed")
+
     def removed(self) -> DataFrame:
         """FOUND for each text that loses bytes."""
         length = self.length
-        state = self.merged().select("shard", "idx", "symbol", "need", "short", "long", "copies", "block", "short_block", "long_block", "speaks", "alone")
+        state = self.needed(self.merged().drop("active"))
 
         def count(left: pa.Table, right: pa.Table) -> pa.Table:
-            row, suffixes = left.to_pylist()[0], Suffixes.read(right.to_pylist()[0])
-            *_, blocks, hashes, weights = _strings(Shard(row, length), suffixes)
+            row = left.to_pylist()[0]
+            *_, blocks, hashes, weights = _strings(Shard(row, length), *read(right))
             columns = [np.full(len(blocks), row["shard"], np.int64), np.arange(len(blocks), dtype=np.int32), blocks, hashes, weights.astype(np.int32)]
             return pa.table([pa.array(c) for c in columns], ["shard", "at", "block", "hash", "n"])
 
+        def read(state: pa.Table) -> tuple[Suffixes, np.ndarray]:
+            needed = state.column("needed").combine_chunks()[0]
+            return Suffixes.read(state.select(list(KINDS)).to_pylist()[0]), np.asarray(needed.values) if needed.is_valid else np.zeros(0, np.int64)
+
         counted = self.shards.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(count, "shard long, at int, block long, hash long, n int")
         twice = counted.repartition("hash").withColumn("total", F.sum("n").over(W.partitionBy("hash", "block"))).filter("total > 1")
         told = twice.groupBy("shard").agg(F.collect_list("at").alias("told"))
         state = self._kept(state.join(told, "shard", "left"), "told")
 
         def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-            row, found = left.to_pylist()[0], right.drop_columns(["told"]).to_pylist()[0]
+            row = left.to_pylist()[0]
             shard = Shard(row, length)
-            certain, counted, at, blocks, _, _ = _strings(shard, Suffixes.read(found))
+            certain, counted, at, blocks, _, _ = _strings(shard, *read(right))
             repeated = np.zeros(len(blocks), bool)
             told = right.column("told").combine_chunks()[0]
             if told.is_valid:
@@ -496,7 +532,7 @@ def without_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> D
     """
     merge = Merge(docs, length, text)
     found = merge._kept(merge.removed(), "found")
-    for name in ("shards", "told"):
+    for name in ("shards", "needed", "told"):
         remove_folder(docs.sparkSession, f"{merge.folder}/{name}")
     content = F.coalesce(F.col(text), F.lit(""))
     rows = cut_lineage(docs.select("doc_id", F.unhex(F.sha2(content, 256)).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes")))
