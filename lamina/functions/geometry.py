@@ -91,14 +91,17 @@ def spread(values: Column) -> Column:
     return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
 
 
-def line_score(boxes: Column, tall: Column, wide: Column, height: Column, width: Column, low: int, high: int) -> Column:
-    """How much an array of boxes(x, w, h) of a line looks like ``low`` to ``high`` characters.
+def line_score(boxes: Column, tall: Column, wide: Column, height: Column, width: Column, low: int | Column | None, high: int | Column | None) -> Column:
+    """How much an array of boxes(x, w, h) of a line looks like ``low`` to ``high`` characters, or like any line where they are None.
 
     ``tall`` and ``wide`` are the boxes' median height and width (1 at least), as columns of their own: they are asked for with
     every box. Fixed values: the weights, which results must agree with.
     """
     n, w, h = F.size(boxes), boxes["w"].cast("array<double>"), boxes["h"].cast("array<double>")
-    count = F.when(n.between(low, high), 35.0 - F.abs((low + high) / 2.0 - n)).otherwise(20.0 - F.least(F.abs(n - low), F.abs(n - high)) * 7.0)
+    if low is None or high is None:
+        count = F.when(n.between(3, 6), 25.0 - F.abs(4.5 - n)).otherwise(10.0 - F.abs(5 - n) * 4.0)
+    else:
+        count = F.when(n.between(low, high), 35.0 - F.abs((low + high) / 2.0 - n)).otherwise(20.0 - F.least(F.abs(n - low), F.abs(n - high)) * 7.0)
     size = F.when(tall.between(height * 0.35, height * 0.92), 8.0).otherwise(-8.0)
     uneven = F.least(F.lit(8.0), spread(w) / wide * 3.0) + F.least(F.lit(8.0), spread(h) / tall * 3.0)
 

@@ -226,26 +226,6 @@ def row_split(mask: np.ndarray) -> int:
     return low + int(profile[low:high].argmin())
 
 
-def character_boxes(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Boxes of a text line's characters from left to right: parts of plausible height and width, wide ones cut at their emptiest column."""
-    h, w = mask.shape
-    found = sorted((x, y, bw, bh) for x, y, bw, bh, n in components(mask) if bh >= 0.4 * h and bw <= 0.5 * w and n >= 12 and bw * bh < 0.5 * h * w)
-    if not found:
-        return []
-    usual = float(np.median([b[3] for b in found]))
-    out = []
-    for x, y, bw, bh in found:
-        if bh < 0.6 * usual:
-            continue
-        if bw > 1.1 * bh:  # two characters that touch
-            columns = mask[y : y + bh, x : x + bw].sum(0)
-            cut = bw // 4 + int(columns[bw // 4 : max(bw // 4 + 1, 3 * bw // 4)].argmin())
-            out += [(x, y, cut, bh), (x + cut, y, bw - cut, bh)]
-        else:
-            out.append((x, y, bw, bh))
-    return out
-
-
 def glyph(mask: np.ndarray, size: int = 32, pad: float = 0.15) -> np.ndarray:
     """Ink of one character, centred with its aspect on a square, bright on dark."""
     inner = max(1, int(round(size * (1 - 2 * pad))))

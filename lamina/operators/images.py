@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from lamina.functions import geometry, pixels, plates
+from lamina.functions import geometry, lines, pixels, plates
 from lamina.operators import evaluation
 
 IMAGE = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("data", T.BinaryType())])
@@ -180,28 +180,91 @@ def input_statistics(images: DataFrame) -> DataFrame:
     return images.mapInPandas(run, schema).withColumn("width", F.col("image.width")).drop("image")
 
 
-def segmented(crops: DataFrame, *keys: str) -> DataFrame:
-    """Keys, plate_type, line, place, x, y, w, h, px (32 by 32 bytes) of every character in reading order."""
+PARTS = "parts array<struct<x:int,y:int,w:int,h:int,area:int>>, ink array<array<struct<a:int,b:int>>>"
+
+
+def column_runs(mask: np.ndarray) -> list[list[dict]]:
+    """The runs of ink of each pixel column, rows a to b - 1."""
+    steps = np.diff(np.pad(mask.astype(np.int8), ((1, 1), (0, 0))), axis=0).T
+    column, first = np.nonzero(steps == 1)
+    last = np.nonzero(steps == -1)[1]
+    out: list[list[dict]] = [[] for _ in range(mask.shape[1])]
+    for x, a, b in zip(column.tolist(), first.tolist(), last.tolist(), strict=True):
+        out[x].append({"a": a, "b": b})
+    return out
+
+
+def text_lines(crops: DataFrame, *keys: str) -> DataFrame:
+    """Keys, plate_type, line, top, height, width, mask (packed bits by row), parts and ink of the text lines of plates."""
     kinds = ", ".join(f"{k} {crops.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "plate_type", "line", "top", "height", "width", "mask", "parts", "ink"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for *names, value in zip(*(pdf[k] for k in keys), pdf["image"], strict=True):
+            for *own, value in zip(*(pdf[k] for k in keys), pdf["image"], strict=True):
                 image = unpacked(value)
                 if image is None:
                     continue
-                gray = pixels.to_gray(image)
-                mask = pixels.ink(gray)
+                mask = pixels.ink(pixels.to_gray(image))
                 two = image.shape[1] / image.shape[0] <= 2.5
                 split = pixels.row_split(mask) if two else 0
-                lines = [(0, mask[:split]), (split, mask[split:])] if two and split else [(0, mask)]
-                for line, (top, part) in enumerate(lines):
-                    for place, (x, y, w, h) in enumerate(pixels.character_boxes(part)):
-                        out.append((*names, "2line" if two else "1line", line, place, x, top + y, w, h, pixels.glyph(part[y : y + h, x : x + w]).tobytes()))
+                for line, (top, part) in enumerate([(0, mask[:split]), (split, mask[split:])] if two and split else [(0, mask)]):
+                    boxes = [dict(zip(("x", "y", "w", "h", "area"), c, strict=True)) for c in sorted(pixels.components(part))]
+                    out.append((*own, "2line" if two else "1line", line, top, *part.shape, np.packbits(part).tobytes(), boxes, column_runs(part)))
+            yield pd.DataFrame(out, columns=names)
+
+    return crops.select(*keys, "image").mapInPandas(run, f"{kinds}, plate_type string, line int, top int, height int, width int, mask binary, {PARTS}")
+
+
+def line_boxes(rows: DataFrame) -> DataFrame:
+    """``rows`` of text_lines with boxes: the best of three segmentations of each line.
+
+    They are the parts with strokes merged, the parts that are shaped like characters, and the runs of the projection. Each
+    loses pieces of the frame, has its wide boxes split while the line has fewer characters than it may, and is scored
+    against the number of characters that its line should have; the first of the best stays. Nothing is shuffled.
+    """
+    h, w = F.col("height"), F.col("width")
+    one, upper = F.col("plate_type") == "1line", F.col("line") == 0
+    rows = rows.withColumns({"__low": F.when(one, 7).when(upper, 3).otherwise(4), "__high": F.when(one, 9).when(upper, 4).otherwise(6)})
+    # The least and largest shares of width and height of a character in each way.
+    grown = F.filter("parts", lambda b: (b["area"] >= 12) & (b["h"] >= h * 0.12) & (b["w"] <= w * 0.5) & (b["w"] * b["h"] < h * w * 0.5))
+    shaped = F.filter("parts", lambda b: geometry.character_shaped(b, h, w, 0.012, 0.50, 0.18))
+    found = [lines.merged_strokes(lines.without_frame(grown, h, w), h, w), F.transform(shaped, lambda b: lines.box(b["x"], b["y"], b["w"], b["h"])), lines.projected(F.col("ink"), h, w, 0.010, 0.34, 0.18)]
+    names = range(len(found))
+    rows = rows.withColumns({f"__b{i}": lines.without_frame(f, h, w) for i, f in enumerate(found)})
+    side = lambda i, s: F.col(f"__b{i}.{s}").cast("array<double>")
+    usual = lambda i, s: F.when(F.size(f"__b{i}") > 0, geometry.middle(side(i, s))).otherwise(0.0)
+    rows = rows.withColumns({f"__u{i}": usual(i, "w") for i in names})
+    rows = rows.withColumns({f"__b{i}": lines.split_budget(F.col(f"__b{i}"), F.col("__high"), lambda b, i=i: lines.halves(F.col("ink"), b, F.col(f"__u{i}"), h, w)) for i in names})
+    rows = rows.withColumns({f"__b{i}": lines.without_frame(F.col(f"__b{i}"), h, w) for i in names})
+    rows = rows.withColumns({f"__{s}{i}": F.greatest(F.lit(1.0), usual(i, s)) for i in names for s in "wh"})
+    rows = rows.withColumns({f"__s{i}": geometry.line_score(F.col(f"__b{i}"), F.col(f"__h{i}"), F.col(f"__w{i}"), h, w, F.col("__low"), F.col("__high")) for i in names})
+    best = F.greatest(*[f"__s{i}" for i in names])
+    chosen = F.coalesce(*[F.when(F.col(f"__s{i}") == best, F.col(f"__b{i}")) for i in names])
+    rows = rows.withColumn("boxes", F.when(one, geometry.trimmed(chosen, w, 9)).otherwise(chosen))
+    return rows.select(*[c for c in rows.columns if not c.startswith("__")])
+
+
+def segmented(crops: DataFrame, *keys: str) -> DataFrame:
+    """Keys, plate_type, line, place, x, y, w, h, px (32 by 32 bytes) of every character in reading order.
+
+    Kernels find the ink of the lines and cut out glyphs; which boxes are characters is decided by columns in between.
+    """
+    rows = line_boxes(text_lines(crops, *keys)).select(*keys, "plate_type", "line", "top", "height", "width", "mask", "boxes")
+    kinds = ", ".join(f"{k} {crops.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *own, kind, line, top, height, width, mask, boxes in pdf.itertuples(index=False, name=None):
+                part = np.unpackbits(np.frombuffer(mask, np.uint8), count=height * width).reshape(height, width).astype(bool)
+                for place, b in enumerate(boxes):
+                    x, y, w, h = (int(b[s]) for s in "xywh")
+                    out.append((*own, kind, line, place, x, top + y, w, h, pixels.glyph(part[y : y + h, x : x + w]).tobytes()))
             yield pd.DataFrame(out, columns=[*keys, "plate_type", "line", "place", "x", "y", "w", "h", "px"])
 
-    return crops.select(*keys, "image").mapInPandas(run, f"{kinds}, plate_type string, line int, place int, x int, y int, w int, h int, px binary")
+    return rows.mapInPandas(run, f"{kinds}, plate_type string, line int, place int, x int, y int, w int, h int, px binary")
 
 
 def featured(glyphs: DataFrame, method: str) -> DataFrame:

@@ -81,9 +81,10 @@ def alert_states(evaluations: DataFrame, hold: int, *keys: str) -> DataFrame:
 
 
 def uninhibited(alerts: DataFrame, source: str, targets: list[str]) -> DataFrame:
-    """Alerts(at, alertname, severity) less those of a target severity while the source alert fires."""
+    """Alerts(at, alertname, severity) less those of a target severity while the source alert fires; no severity is no target."""
     firing = alerts.filter(F.col("alertname") == source).select("at").distinct()
-    targeted, others = alerts.filter(F.col("severity").isin(targets)), alerts.filter(~F.col("severity").isin(targets))
+    target = F.coalesce(F.col("severity").isin(targets), F.lit(False))
+    targeted, others = alerts.filter(target), alerts.filter(~target)
     return targeted.join(firing, "at", "left_anti").unionByName(others)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from lamina.functions import geometry, plates
+from lamina.functions import geometry, lines, plates
 from lamina.operators import evaluation, learning
 from lamina.session import table
 
@@ -242,6 +242,45 @@ def trimmed_lines(spark, sf_dir):
     return lines.select("l_orderkey", F.concat_ws("", F.transform(kept["n"], lambda i: i.cast("string"))).alias("kept"))
 
 
+def _listed(boxes):
+    return F.concat_ws(",", F.transform(boxes, lambda b: F.concat_ws(":", *[b[n].cast("string") for n in "xywh"])))
+
+
+def stroke_merges(spark, sf_dir):
+    """Each order's lines as strokes in a line of 40 by 100 pixels, those of one character merged."""
+    q = F.col("l_quantity").cast("int")
+    box = F.struct(((F.col("l_linenumber") - 1) * 12).cast("int").alias("x"), (F.col("l_partkey") % 18).cast("int").alias("y"), (3 + q % 19).alias("w"), (6 + q % 27).alias("h"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    return rows.select("l_orderkey", _listed(lines.merged_strokes(F.col("boxes"), F.lit(40), F.lit(100))).alias("merged"))
+
+
+def drawn_ink(spark, sf_dir):
+    """Each order as a line of 28 by 56 pixels: a slot of eight columns for each of its lines, with one run of ink in most columns."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("slot"), F.col("l_quantity").cast("int").alias("q")).groupBy("l_orderkey", "slot").agg(F.max("q").alias("q"))
+    rows = items.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("slot", "q"))).alias("by"))
+    run = lambda q, c: F.struct((q % 10).alias("a"), (q % 10 + 1 + (q + c) % 17).alias("b"))
+    column = lambda q, c: F.when(q.isNotNull() & ((q + 3 * (c % 8)) % 5 != 0), F.array(run(q, c))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    ink = F.transform(F.sequence(F.lit(0), F.lit(55)), lambda c: column(F.col("by")[F.floor(c / 8).cast("int") + 1], c))
+    return rows.select("l_orderkey", ink.alias("ink"))
+
+
+def projected_lines(spark, sf_dir):
+    """Boxes of the runs of ink in each order's line."""
+    boxes = lines.projected(F.col("ink"), F.lit(28), F.lit(56), 0.03, 0.3, 0.28)
+    return drawn_ink(spark, sf_dir).select("l_orderkey", _listed(boxes).alias("boxes"))
+
+
+def split_lines(spark, sf_dir):
+    """Boxes of two slots each in an order's line, cut at their valleys until there are six."""
+    rows = drawn_ink(spark, sf_dir)
+    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(40), F.lit(16)), lambda x: lines.tight(F.col("ink"), x, x + 16, F.lit(0), F.lit(28))), lambda b: b.isNotNull())
+    rows = rows.withColumn("pairs", pairs)
+    usual = F.when(F.size("pairs") > 0, geometry.middle(F.col("pairs.w").cast("array<double>")) / 2).otherwise(0.0)
+    rows = rows.withColumn("usual", usual)
+    cut = lines.split_budget(F.col("pairs"), F.lit(6), lambda b: lines.halves(F.col("ink"), b, F.col("usual"), F.lit(28), F.lit(56)))
+    return rows.select("l_orderkey", _listed(cut).alias("boxes"))
+
+
 def sample_labels(spark, sf_dir):
     """Classes of sample files whose folders and names are told from parts."""
     key = F.col("p_partkey")
@@ -263,7 +302,7 @@ def recovered_settings(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (plate_correct, plate_format_score, ocr_eval, eval_detail, eval_by_group, confusion_counts, confusion_table, class_report, macro_scores, fairness_groups, pair_confusion, class_equity, text_helpers, best_candidate, best_box, group_median_filter, reading_order, line_scores, component_filters, crop_decisions, served_models, trimmed_lines, sample_labels, recovered_settings)
+    for f in (plate_correct, plate_format_score, ocr_eval, eval_detail, eval_by_group, confusion_counts, confusion_table, class_report, macro_scores, fairness_groups, pair_confusion, class_equity, text_helpers, best_candidate, best_box, group_median_filter, reading_order, line_scores, component_filters, crop_decisions, served_models, trimmed_lines, stroke_merges, projected_lines, split_lines, sample_labels, recovered_settings)
 }
 
 _DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
@@ -333,6 +372,26 @@ o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY x, w, h, are
 f AS (SELECT *, bool_and(x <= width * 0.03::DOUBLE AND w < narrow) OVER (PARTITION BY l_orderkey ORDER BY r) AS lead, bool_and(x + w >= width * 0.97::DOUBLE AND w < narrow) OVER (PARTITION BY l_orderkey ORDER BY r DESC) AS trail FROM o),
 g AS (SELECT l_orderkey, least(count_if(lead), greatest(any_value(c) - 3, 0)) AS front, count_if(trail) AS back FROM f GROUP BY 1)
 SELECT l_orderkey, string_agg(n, '' ORDER BY r) AS kept FROM f JOIN g USING (l_orderkey) WHERE r > front AND r <= c - least(back, greatest(c - front - 3, 0)) GROUP BY 1""",
+    "stroke_merges": """WITH RECURSIVE b AS (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 18, l_quantity::INT % 19, l_quantity::INT % 27) AS r, CAST((l_linenumber - 1) * 12 AS INTEGER) AS x1, CAST(l_partkey % 18 AS INTEGER) AS y1,
+         CAST((l_linenumber - 1) * 12 + 3 + l_quantity::INT % 19 AS INTEGER) AS x2, CAST(l_partkey % 18 + 6 + l_quantity::INT % 27 AS INTEGER) AS y2 FROM lineitem),
+m AS (SELECT l_orderkey, r, 1 AS g, x1, y1, x2, y2 FROM b WHERE r = 1
+  UNION ALL
+  SELECT l_orderkey, r, g + CASE WHEN same THEN 0 ELSE 1 END, CASE WHEN same THEN least(px1, x1) ELSE x1 END, CASE WHEN same THEN least(py1, y1) ELSE y1 END, CASE WHEN same THEN greatest(px2, x2) ELSE x2 END, CASE WHEN same THEN greatest(py2, y2) ELSE y2 END
+  FROM (SELECT b.l_orderkey, b.r, m.g, b.x1, b.y1, b.x2, b.y2, m.x1 AS px1, m.y1 AS py1, m.x2 AS px2, m.y2 AS py2,
+          (least(m.x2, b.x2) > greatest(m.x1, b.x1) AND least(m.y2, b.y2) - greatest(m.y1, b.y1) > -3.2) OR (b.x1 - m.x2 <= 2 AND least(m.y2, b.y2) - greatest(m.y1, b.y1) > 4.8) AS same
+        FROM m JOIN b ON b.l_orderkey = m.l_orderkey AND b.r = m.r + 1) s),
+f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, g ORDER BY r DESC) AS last FROM m)
+SELECT l_orderkey, coalesce(string_agg(CASE WHEN x2 - x1 >= 1.8 AND y2 - y1 >= 10 THEN x1 || ':' || y1 || ':' || (x2 - x1) || ':' || (y2 - y1) END, ',' ORDER BY g), '') AS merged FROM f WHERE last = 1 GROUP BY l_orderkey""",
+    "projected_lines": """WITH i AS (SELECT l_orderkey, l_linenumber, max(l_quantity::INT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber),
+c AS (
+  SELECT l_orderkey, (l_linenumber - 1) * 8 + k AS x, q % 10 AS a, q % 10 + 1 + (q + (l_linenumber - 1) * 8 + k) % 17 AS b
+  FROM i, range(8) t(k) WHERE (q + 3 * k) % 5 <> 0),
+g AS (SELECT *, x - row_number() OVER (PARTITION BY l_orderkey ORDER BY x) AS island FROM c WHERE b - a > 1.4),
+f AS (SELECT l_orderkey, min(x) AS x, min(a) AS y, count(*) AS w, max(b) - min(a) AS h FROM g GROUP BY l_orderkey, island),
+o AS (SELECT DISTINCT l_orderkey FROM lineitem)
+SELECT o.l_orderkey, coalesce(string_agg(x || ':' || y || ':' || w || ':' || h, ',' ORDER BY x), '') AS boxes
+FROM o LEFT JOIN f ON o.l_orderkey = f.l_orderkey AND w BETWEEN 56 * 0.03 AND 56 * 0.3 AND h >= 28 * 0.28 GROUP BY o.l_orderkey""",
     "sample_labels": """WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN substr('ABCDEFGHKLMNPRSTUVXYZ', (p_partkey % 20 + 1)::INT, 1) END AS folder, upper(substr('qKo7-z', (p_partkey % 6 + 1)::INT, 1)) AS first FROM part)
 SELECT p_partkey, coalesce(folder, CASE WHEN first IN ('K', '7', 'Z') THEN first END) AS label FROM p""",
     "recovered_settings": """SELECT p_partkey, CASE WHEN p_partkey % 6 < 2 THEN p_partkey % 9 + 2 ELSE 8 END::INT AS across, CASE p_partkey % 6 WHEN 0 THEN 6 WHEN 1 THEN p_partkey % 9 + 2 ELSE 8 END::INT AS down FROM part""",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +43,29 @@ def shared_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Spark's setting that removes a query's shuffle files when the query ends.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that end within leave no shuffle files: for results that are written, so that nothing reads those files again.
+
+    Without it they stay until the driver happens to collect its garbage, and the rounds of an iterative job pile them up.
+    """
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SWEEP, before) if before is not None else spark.conf.unset(SWEEP)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder."""
+    """Checkpoint into the shared folder; the shuffle files that led to it go."""
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with swept_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
