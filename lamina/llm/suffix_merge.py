@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lamina.llm.batches import small_batches
 from lamina.llm.components import join_crowded
-from lamina.session import cut_lineage, remove_folder, shared_root
+from lamina.session import cut_lineage, remove_folder, shared_root, swept_shuffles
 
 #: Bytes that an anchor's hash covers, and how far around it no hash is smaller.
 GRAM, AROUND = 8, 24
@@ -50,8 +50,6 @@ SHARD_BYTES = 4 << 20
 #: Two odd bases modulo 2**64; bytes stand for fixed 64-bit values drawn from a seed.
 BASE, OTHER = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 VALUES = np.random.default_rng(400).integers(1, 1 << 63, 256).astype(np.uint64)
-#: Spark's setting that removes the shuffle files of a query when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 NONE = np.uint32(0xFFFFFFFF)
 
 _powers: dict[int, np.ndarray] = {}
@@ -384,12 +382,8 @@ class Merge:
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         """The frame written to the shared folder and read again; its shuffle files go when it is written, as nothing reads them any more."""
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with swept_shuffles(self.spark):
             df.write.parquet(f"{self.folder}/{name}")
-        finally:
-            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def symbols(self) -> DataFrame:
