@@ -271,13 +271,13 @@ def projected_lines(spark, sf_dir):
 
 
 def split_lines(spark, sf_dir):
-    """Boxes of two slots each in an order's line, cut at their valleys until there are six."""
+    """Boxes of two slots each in an order's line, cut at their valleys until there are four."""
     rows = drawn_ink(spark, sf_dir)
     pairs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(40), F.lit(16)), lambda x: lines.tight(F.col("ink"), x, x + 16, F.lit(0), F.lit(28))), lambda b: b.isNotNull())
     rows = rows.withColumn("pairs", pairs)
     usual = F.when(F.size("pairs") > 0, geometry.middle(F.col("pairs.w").cast("array<double>")) / 2).otherwise(0.0)
     rows = rows.withColumn("usual", usual)
-    cut = lines.split_budget(F.col("pairs"), F.lit(6), lambda b: lines.halves(F.col("ink"), b, F.col("usual"), F.lit(28), F.lit(56)))
+    cut = lines.split_budget(F.col("pairs"), F.lit(4), lambda b: lines.halves(F.col("ink"), b, F.col("usual"), F.lit(28), F.lit(56)))
     return rows.select("l_orderkey", _listed(cut).alias("boxes"))
 
 
@@ -392,6 +392,36 @@ f AS (SELECT l_orderkey, min(x) AS x, min(a) AS y, count(*) AS w, max(b) - min(a
 o AS (SELECT DISTINCT l_orderkey FROM lineitem)
 SELECT o.l_orderkey, coalesce(string_agg(x || ':' || y || ':' || w || ':' || h, ',' ORDER BY x), '') AS boxes
 FROM o LEFT JOIN f ON o.l_orderkey = f.l_orderkey AND w BETWEEN 56 * 0.03 AND 56 * 0.3 AND h >= 28 * 0.28 GROUP BY o.l_orderkey""",
+    "split_lines": """WITH i AS (SELECT l_orderkey, l_linenumber, max(l_quantity::INT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber),
+k AS (
+  SELECT l_orderkey, (l_linenumber - 1) // 2 AS p, (l_linenumber - 1) * 8 + k AS x, q % 10 AS a, q % 10 + 1 + (q + (l_linenumber - 1) * 8 + k) % 17 AS b
+  FROM i, range(8) t(k) WHERE (q + 3 * k) % 5 <> 0 AND l_linenumber <= 6),
+o AS (SELECT l_orderkey, p, min(x) AS x, min(a) AS y, max(x) - min(x) + 1 AS w, max(b) - min(a) AS h FROM k GROUP BY l_orderkey, p),
+u AS (SELECT l_orderkey, median(w)::DOUBLE / 2 AS usual, count(*) AS n FROM o GROUP BY l_orderkey),
+cells AS (SELECT o.l_orderkey, o.p, t.j, coalesce(k.b - k.a, 0) AS n FROM o JOIN range(16) t(j) ON t.j < o.w LEFT JOIN k ON k.l_orderkey = o.l_orderkey AND k.p = o.p AND k.x = o.x + t.j),
+smooth AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey, p ORDER BY j ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM cells),
+least AS (
+  SELECT o.l_orderkey, o.p, CAST(min(s * 100 + j) AS INTEGER) % 100 AS pos FROM o JOIN smooth m ON m.l_orderkey = o.l_orderkey AND m.p = o.p
+  WHERE o.w >= 8 AND j >= greatest(2, floor(o.w * 0.3::DOUBLE)) AND j < least(o.w - 2, floor(o.w * 0.7::DOUBLE)) GROUP BY o.l_orderkey, o.p),
+valley AS (
+  SELECT l.l_orderkey, l.p, any_value(pos) AS pos, max(CASE WHEN j = pos THEN s END) / greatest(5.0, least(max(CASE WHEN j < pos THEN s END), coalesce(max(CASE WHEN j > pos THEN s END), 0)))::DOUBLE AS depth
+  FROM least l JOIN smooth m ON m.l_orderkey = l.l_orderkey AND m.p = l.p GROUP BY l.l_orderkey, l.p),
+wide AS (
+  SELECT o.*, pos FROM o JOIN u ON u.l_orderkey = o.l_orderkey JOIN valley v ON v.l_orderkey = o.l_orderkey AND v.p = o.p
+  WHERE w >= greatest(usual * 1.45::DOUBLE, 56 * 0.09::DOUBLE) AND w / greatest(1, h)::DOUBLE >= 0.62::DOUBLE AND h >= 28 * 0.28::DOUBLE AND (depth <= 0.82::DOUBLE OR w >= usual * 1.85::DOUBLE)),
+half AS (
+  SELECT g.l_orderkey, g.p, CAST(k.x > g.x + g.pos AS INTEGER) AS side, min(k.x) AS x, min(k.a) AS y, max(k.x) - min(k.x) + 1 AS w, max(k.b) - min(k.a) AS h
+  FROM wide g JOIN k ON k.l_orderkey = g.l_orderkey AND k.p = g.p GROUP BY g.l_orderkey, g.p, CAST(k.x > g.x + g.pos AS INTEGER)),
+good AS (SELECT l_orderkey, p FROM half WHERE w > 1 AND h > 1 AND h >= 28 * 0.18::DOUBLE GROUP BY l_orderkey, p HAVING count(*) = 2),
+cut AS (
+  SELECT l_orderkey, p FROM (SELECT g.l_orderkey, g.p, n, row_number() OVER (PARTITION BY g.l_orderkey ORDER BY g.p) AS nth FROM good g JOIN u ON u.l_orderkey = g.l_orderkey) r
+  WHERE n >= 2 AND nth <= 4 - n),
+found AS (
+  SELECT o.l_orderkey, o.x, o.y, o.w, o.h FROM o LEFT JOIN cut c ON c.l_orderkey = o.l_orderkey AND c.p = o.p WHERE c.p IS NULL
+  UNION ALL
+  SELECT f.l_orderkey, f.x, f.y, f.w, f.h FROM half f JOIN cut c ON c.l_orderkey = f.l_orderkey AND c.p = f.p)
+SELECT a.l_orderkey, coalesce(string_agg(x || ':' || y || ':' || w || ':' || h, ',' ORDER BY x), '') AS boxes
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) a LEFT JOIN found f ON f.l_orderkey = a.l_orderkey GROUP BY a.l_orderkey""",
     "sample_labels": """WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN substr('ABCDEFGHKLMNPRSTUVXYZ', (p_partkey % 20 + 1)::INT, 1) END AS folder, upper(substr('qKo7-z', (p_partkey % 6 + 1)::INT, 1)) AS first FROM part)
 SELECT p_partkey, coalesce(folder, CASE WHEN first IN ('K', '7', 'Z') THEN first END) AS label FROM p""",
     "recovered_settings": """SELECT p_partkey, CASE WHEN p_partkey % 6 < 2 THEN p_partkey % 9 + 2 ELSE 8 END::INT AS across, CASE p_partkey % 6 WHEN 0 THEN 6 WHEN 1 THEN p_partkey % 9 + 2 ELSE 8 END::INT AS down FROM part""",
