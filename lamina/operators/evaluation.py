@@ -92,3 +92,19 @@ def with_interval(groups: DataFrame) -> DataFrame:
 def best_of(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key by a lexicographic order that ends in an ordinal, so first-come wins ties."""
     return rows.withColumn("__nth", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("__nth = 1").drop("__nth")
+
+
+def nested_confusion(rates: DataFrame, groups: dict[str, str]) -> DataFrame:
+    """report: one JSON text, for each group of similar characters its pairs "a->b" with confusion_rate, count and total.
+
+    ``rates`` are rows of pair_confusion. Pairs of characters that never occur are left out; a group of which nothing
+    occurs is empty. Groups are given by their characters.
+    """
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(characters).alias("characters")) for name, characters in groups.items()])
+    rows = rates.filter("total > 0").withColumn("group", F.explode(listed))
+    rows = rows.filter(F.col("group.characters").contains(F.col("truth")) & F.col("group.characters").contains(F.col("guess")) & (F.col("truth") != F.col("guess")))
+    entry = F.struct(F.concat("truth", F.lit("->"), "guess").alias("pair"), F.struct(F.col("rate").alias("confusion_rate"), F.col("n").alias("count"), "total").alias("v"))
+    nested = rows.groupBy(F.col("group.name").alias("name")).agg(F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("pairs"))
+    found = nested.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.to_json("pairs").alias("text"))), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))).alias("by"))
+    parts = [F.concat(F.to_json(F.array(F.lit(name))).substr(2, len(name) + 2), F.lit(":"), F.coalesce(F.col("by")[name], F.lit("{}"))) for name in groups]
+    return found.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("report"))

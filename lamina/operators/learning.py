@@ -79,8 +79,13 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, label: s
         shared = rows.sparkSession.sparkContext.broadcast((np.array([r["query"] for r in taken]), np.array([r["point"] for r in taken], np.float64)))
 
         def run(batches):
+            best = None
             for pdf in batches:
-                yield from closest(*shared.value, pdf)
+                parts = [p for p in (best, *closest(*shared.value, pdf)) if p is not None and len(p)]
+                if parts:
+                    best = pd.concat(parts).sort_values(["query", "distance", key], kind="stable").groupby("query").head(k)
+            if best is not None:
+                yield best
 
         out = held.mapInPandas(run, schema)
     else:
