@@ -1,3 +1,6 @@
+import os
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from lamina.operators import monitoring
@@ -29,6 +32,31 @@ def test_stream_alert_states_as_the_batch_does(spark, tmp_path):
     assert {(r["at"], r["state"]) for r in got} == {(r["at"], r["state"]) for r in expected}
 
 
+def in_batches(spark, folder, parts, schema):
+    """A stream that takes one of ``parts`` in each micro-batch."""
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{n}")
+    files = sorted(str(p) for p in Path(folder).glob("*/*.parquet"))
+    for n, file in enumerate(files):
+        os.makedirs(f"{folder}/in", exist_ok=True)
+        os.rename(file, f"{folder}/in/{n}.parquet")
+        os.utime(f"{folder}/in/{n}.parquet", (1_000 + n, 1_000 + n))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def test_clients_are_forgotten_by_event_time_only(spark, tmp_path):
+    schema = "client string, at double, id long"
+    stream = in_batches(spark, tmp_path, [[("a", 0.0, 1), ("a", 1.0, 2)], [("b", 30.0, 3)], [("a", 50.0, 4)], [("b", 5000.0, 5)], [("c", 5001.0, 6)], [("a", 5002.0, 7), ("a", 2.0, 8)]], schema)
+    got = {r["event"]: r["allowed"] for r in drained(limits.rate_limited(stream, "client", "at", "id", 60.0, 2), "forgotten").collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True, 6: True, 7: True}  # 8 is behind the watermark
+
+
+def test_late_evaluations_are_left_out(spark, tmp_path):
+    stream = in_batches(spark, tmp_path, [[("x", 0, True), ("x", 20, True)], [("x", 10, False), ("x", 40, True)]], "alertname string, at long, active boolean")
+    got = {(r["at"], r["state"]) for r in drained(limits.alert_states(stream, 30), "late").collect()}
+    assert got == {(0, "pending"), (20, "pending"), (40, "firing")}
+
+
 def test_windowed_counts_and_alert_log(spark, tmp_path):
     rows = spark.range(100).select(F.timestamp_seconds(F.col("id") * 30).alias("ts"), (F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("value"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
