@@ -10,8 +10,8 @@ MANIFEST = ("image", "label", "plate_crop", "confidence", "note")
 
 
 def read_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ("image", "label")) -> DataFrame:
-    """A CSV manifest, all columns text, absent optional ones null; a missing required column raises."""
-    rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """A CSV manifest, all columns text, absent optional ones null; a missing required column raises. Notes may span lines."""
+    rows = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
     missing = [c for c in required if c not in rows.columns]
     if missing:
         raise ValueError(f"manifest lacks columns: {', '.join(missing)}")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lamina.operators import ranks
 
 
 def write_details(scored: DataFrame, path: str) -> None:
@@ -18,9 +20,12 @@ def write_fold_scores(scores: DataFrame, path: str) -> None:
 
 
 def write_by_class(glyphs: DataFrame, path: str) -> None:
-    """Glyph bytes under a folder of their label, each with a number within the label that makes names unique."""
-    nth = F.row_number().over(W.partitionBy("label").orderBy("glyph_id"))
-    glyphs.withColumn("name", F.format_string("%s_%06d", F.col("label"), nth)).write.mode("overwrite").partitionBy("label").parquet(path)
+    """Glyph bytes under a folder of their label, each with a number within the label that makes names unique.
+
+    Numbers are taken in two levels by range, so a label of very many glyphs is no task of its own.
+    """
+    numbered = ranks.running(glyphs, ["label"], [F.col("glyph_id")])
+    numbered.withColumn("name", F.format_string("%s_%06d", F.col("label"), F.col("__end"))).drop("__end", "__total").write.mode("overwrite").partitionBy("label").parquet(path)
 
 
 def write_report(report: DataFrame, folder: str, run: str) -> None:

@@ -56,3 +56,15 @@ def test_pointer_files_and_sinks(spark, tmp_path):
     assert sinks.box_lines(boxes).first()["value"] == "0 0.500000 0.250000 0.100000 0.200000"
     versions = spark.createDataFrame([("m", 1, 0.9), ("m", 2, 0.8)], "name string, version int, accuracy double")
     assert files.resolve_alias(versions, spark.createDataFrame([("m", "production", 1)], "name string, alias string, version int"), "production").first()["accuracy"] == 0.9
+
+
+def test_notes_of_several_lines_and_numbers_within_a_class(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('image,label,note\na.png,51F1,"first ""line""\nsecond"\nb.png,51F2,\n')
+    rows = {r["image"]: (r["label"], r["note"]) for r in files.read_manifest(spark, str(tmp_path / "m.csv")).collect()}
+    assert rows == {"a.png": ("51F1", 'first "line"\nsecond'), "b.png": ("51F2", None)}
+    glyphs = spark.range(60).selectExpr("id as glyph_id", "if(id % 3 = 0, 'A', 'B') as label", "cast('x' as binary) as px").repartition(4)
+    sinks.write_by_class(glyphs, str(tmp_path / "g"))
+    names = [(r["label"], r["name"], r["glyph_id"]) for r in spark.read.parquet(str(tmp_path / "g")).collect()]
+    for label, n in (("A", 20), ("B", 40)):
+        own = sorted((name, i) for c, name, i in names if c == label)
+        assert [name for name, _ in own] == [f"{label}_{k:06d}" for k in range(1, n + 1)] and [i for _, i in own] == sorted(i for _, i in own)
