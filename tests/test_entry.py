@@ -39,3 +39,8 @@ def test_query_equals_its_oracle(spark, name):
     places = [relation.columns.index(c) for c in columns]
     theirs = sorted((tuple(tidy(r[i]) for i in places) for r in relation.fetchall()), key=str)
     assert ours == theirs
+
+
+def test_entry_imports_without_a_library_of_the_corpus_operators():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'ocr_eval' in q and 'op3_prefix_hash' not in q; assert 'ocr_eval' in e.oracle_sql()"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, check=True, env=os.environ | {"PYTHONPATH": str(ROOT)})
