@@ -135,3 +135,38 @@ def trimmed(boxes: Column, width: Column, least: int) -> Column:
     front = F.least(left, F.greatest(n - least, F.lit(0)))
     back = F.least(right, F.greatest(n - front - least, F.lit(0)))
     return F.slice(boxes, (front + 1).cast("int"), (n - front - back).cast("int"))
+
+
+def binary_score(parts: Column, height: Column, width: Column, fill: Column) -> Column:
+    """How much the components(x, y, w, h, area) of a binarised plate look like its characters.
+
+    ``height`` and ``width`` are those of the inner part whose components they are, ``fill`` is the share of ink in all.
+    Fixed values: the weights and shares, which results must agree with.
+    """
+    whole = (height * width).cast("double")
+    huge = lambda b: (b["area"] > whole * 0.18) | ((b["w"] > width * 0.50) & (b["h"] > height * 0.35))
+    sized = lambda b: (b["area"] >= F.greatest(F.lit(12.0), whole * 0.00045)) & b["h"].between(height * 0.10, height * 0.82) & b["w"].between(width * 0.008, width * 0.30)
+    likely = F.filter(parts, lambda b: ~huge(b) & sized(b) & (b["w"] / F.greatest(F.lit(1), b["h"]) <= 1.9))
+    total = lambda each, of: F.aggregate(F.transform(of, each), F.lit(0.0), lambda a, x: a + x)
+    body = total(lambda b: F.least(F.lit(1.4), b["area"] / F.greatest(F.lit(1.0), whole * 0.025)) + F.least(F.lit(0.4), b["area"] / F.greatest(F.lit(1), b["w"] * b["h"])), likely)
+    edges = total(lambda b: F.when((b["x"] <= 1) | (b["x"] + b["w"] >= width - 1), 0.8).otherwise(0.0), likely)
+    n = F.size(likely)
+    filled = F.when(fill.between(0.035, 0.28), 4.0).when(fill <= 0.40, 1.0).otherwise((fill - 0.40) * -10.0)
+    count = n * 3.0 + F.when(n.between(6, 12), 8.0 - F.abs(8 - F.least(n, F.lit(10)))).when(n == 0, -12.0).otherwise(0.0)
+    return count + body + filled - F.size(F.filter(parts, huge)) * 8.0 - edges
+
+
+def segmentation_score(boxes: Column, two_line: Column, fill: Column, own: Column) -> Column:
+    """How much the characters(y, w, h) found in a binarisation with score ``own`` look like a plate.
+
+    Two-line plates are also judged by how many stand above the middle of the characters' centres. Fixed values: the weights.
+    """
+    n, wide, tall = F.size(boxes), boxes["w"].cast("array<double>"), boxes["h"].cast("array<double>")
+    count = F.when(n.between(7, 9), 40.0 - F.abs(8 - n) * 2.0).when(n.between(5, 10), 18.0 - F.abs(8 - n) * 3.0).when(n > 10, 8.0 - (n - 10) * 3.0).otherwise((5 - n) * -7.0)
+    filled = F.when(fill.between(0.035, 0.30), 5.0).when(fill > 0.42, -12.0 - (fill - 0.42) * 25.0).otherwise(0.0)
+    uneven = lambda side: F.least(F.lit(8.0), spread(side) / F.greatest(F.lit(1.0), middle(side)) * 4.0)
+    lines = line_counts(F.transform(boxes, lambda b: b["y"] + b["h"] / 2.0))
+    top, bottom = lines["top"], lines["bottom"]
+    award = lambda condition, points: F.when(condition, points).otherwise(0.0)
+    split = award(top.between(2, 4), 8.0) + award(bottom.between(4, 6), 8.0) + award(bottom >= top, 3.0)
+    return own * 0.20 + count + filled - F.when(n >= 4, uneven(wide) + uneven(tall)).otherwise(0.0) + F.when(two_line & (n > 0), split).otherwise(0.0)

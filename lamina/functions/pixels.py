@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -189,6 +190,115 @@ def closed(mask: np.ndarray, radius: int = 1) -> np.ndarray:
     return ~spread(~spread(mask, radius), radius)
 
 
+def box_mean(image: np.ndarray, size: int) -> np.ndarray:
+    """Mean of the square of odd side ``size`` around each pixel, edges repeated, from an integral image."""
+    padded = np.pad(image.astype(np.float64), size // 2, mode="edge")
+    sums = np.pad(padded.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    return (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / size**2
+
+
+def extreme(image: np.ndarray, width: int, height: int, pick: Callable) -> np.ndarray:
+    """The largest or least value (``pick`` is np.max or np.min) in the rectangle around each pixel, one axis after the other."""
+    for axis, size in ((0, height), (1, width)):
+        pads = [(size // 2, size - 1 - size // 2) if a == axis else (0, 0) for a in (0, 1)]
+        image = pick(np.lib.stride_tricks.sliding_window_view(np.pad(image, pads, mode="edge"), size, axis=axis), axis=-1)
+    return image
+
+
+def tidy(mask: np.ndarray) -> np.ndarray:
+    """A mask with gaps of one pixel closed and single pixels gone (majority of nine)."""
+    grown = extreme(mask, 2, 2, np.max)
+    return shifted(extreme(grown[::-1, ::-1], 2, 2, np.min)[::-1, ::-1], 1).sum(0) >= 5
+
+
+def binarisations(gray: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """(name, mask) of the ways to part ink from ground, bright ink and dark ink, equal masks once.
+
+    Global thresholds, thresholds by the local mean and by the local mean and deviation, and what is darker or brighter
+    than its surroundings at three scales. Fixed values: window shares, offsets and scales.
+    """
+    h, w = gray.shape
+    smooth = box_mean(gray, 3).astype(np.uint8)
+    better = sharpened(local_contrast(edge_smooth(smooth, 2, 45, 2), 3.0, 4))
+    odd = lambda share, least: max(least, int(min(h, w) * share)) | 1
+    found = []
+    for name, image in (("gray", smooth), ("enhanced", better)):
+        cut = otsu(image)
+        found += [(f"{name}_light", image > cut), (f"{name}_dark", image <= cut)]
+    local = box_mean(better, odd(0.16, 21))
+    found += [("local_light", better > local - 7), ("local_dark", better <= local - 7)]
+    side = odd(0.22, 25)
+    if side < min(h, w):
+        mean = box_mean(better, side)
+        spread_ = np.sqrt(np.maximum(box_mean(better.astype(np.float64) ** 2, side) - mean**2, 0))
+        limit = mean * (1 + 0.18 * (spread_ / 127.5 - 1))
+        found += [("deviation_light", better > limit), ("deviation_dark", better < limit)]
+    for scale in (0.045, 0.065, 0.085):
+        kx, ky = max(15, int(w * scale)), max(7, int(h * scale * 0.55))
+        # One odd window for both steps, so that opening and closing don't move the image.
+        kx, ky = kx | 1, ky | 1
+        shut = extreme(extreme(better, kx, ky, np.max), kx, ky, np.min)
+        open_ = extreme(extreme(better, kx, ky, np.min), kx, ky, np.max)
+        for name, image in (("darker", shut - better), ("brighter", better - open_)):
+            found.append((f"{name}_{scale}", image > otsu(image)))
+    out: dict[bytes, tuple[str, np.ndarray]] = {}
+    for name, mask in found:
+        mask = tidy(mask)
+        out.setdefault(mask.tobytes(), (name, mask))
+    return list(out.values())
+
+
+def first_binarisations(gray: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """The likelier polarity of the global threshold and the other one; bright ink is tried first where the dark pixels are below 80 on average."""
+    smooth = box_mean(gray, 3).astype(np.uint8)
+    cut = otsu(smooth)
+    dark = smooth <= cut
+    pair = [("gray_dark", dark), ("gray_light", ~dark)]
+    below = smooth[smooth < cut]
+    return pair[::-1] if below.size and below.mean() < 80 else pair
+
+
+def bright_regions(gray: np.ndarray, least: int, radius: int = 2) -> list[tuple[int, int, int, int, int]]:
+    """(x, y, w, h, pixels) of the closed regions brighter than ``least``."""
+    return components(closed(gray > least, radius))
+
+
+#: Directions that lines are looked for in, degrees from level.
+DIRECTIONS = np.arange(-35, 35.5, 0.5)
+
+
+def line_votes(gray: np.ndarray, least: float = 0.22) -> list[tuple[float, float]]:
+    """(degrees, votes) of the nearly level lines with edge pixels on at least a share of the width; downwards is positive.
+
+    Edge pixels are those whose vertical gradient is strong and the largest among its neighbours above and below. A vote is
+    an edge pixel within half a pixel of a line, counted over all directions and distances.
+    """
+    smooth = box_mean(gray, 5)
+    slope = np.zeros_like(smooth)
+    slope[1:-1] = np.abs(smooth[2:] - smooth[:-2])
+    ridge = (slope[1:-1] >= slope[:-2]) & (slope[1:-1] > slope[2:]) & (slope[1:-1] > max(12.0, 0.25 * slope.max()))
+    y, x = np.nonzero(ridge)
+    out = []
+    for angle in DIRECTIONS if len(x) else ():
+        turn = np.radians(angle)
+        counts = np.bincount(np.rint(y * np.cos(turn) - x * np.sin(turn)).astype(int) + sum(gray.shape))
+        out += [(float(angle), float(n)) for n in counts[counts >= max(20.0, least * gray.shape[1])]]
+    return out
+
+
+def least_box_angle(mask: np.ndarray) -> float | None:
+    """Direction in degrees, of those above, in which the box around all of a mask is least; the most level wins ties. None for under 20 pixels."""
+    rows = np.flatnonzero(mask.any(1))
+    if mask.sum() < 20:
+        return None
+    # The outermost pixels of each row span the hull.
+    first, last = mask[rows].argmax(1), mask.shape[1] - 1 - mask[rows][:, ::-1].argmax(1)
+    y, x = np.concatenate((rows, rows)), np.concatenate((first, last))
+    turn = np.radians(DIRECTIONS)[:, None]
+    area = np.ptp(y * np.cos(turn) - x * np.sin(turn), axis=1) * np.ptp(x * np.cos(turn) + y * np.sin(turn), axis=1)
+    return float(DIRECTIONS[np.lexsort((np.abs(DIRECTIONS), area.round(6)))[0]])
+
+
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(x, y, w, h, pixels) of the 8-connected parts of a mask, joined from runs of rows by union-find."""
     parent: list[int] = []

@@ -102,25 +102,36 @@ def enhanced_plates(images: DataFrame) -> DataFrame:
     return with_image(images, lambda image: pixels.sharpened(pixels.to_gray(_enhanced(image, 3.0, 4, 1.0))))
 
 
-def skew_angle(gray: np.ndarray) -> float:
-    """Slope of the text's ink in degrees: of the middle of each column of ink, by least squares; 0 for tiny images."""
-    if gray.shape[0] < 20 or gray.shape[1] < 40:
-        return 0.0
-    mask = pixels.ink(gray)
-    columns = np.flatnonzero(mask.any(0))
-    if len(columns) < 8:
-        return 0.0
-    middle = (mask * np.arange(mask.shape[0])[:, None]).sum(0)[columns] / mask.sum(0)[columns]
-    angle = float(np.degrees(np.arctan(np.polyfit(columns, middle, 1)[0])))
-    return angle if abs(angle) <= 35 else 0.0
+def with_skew(images: DataFrame) -> DataFrame:
+    """images with angle, the slope of their lines in degrees: downwards to the right is positive.
 
+    It is the median of the directions of nearly level lines, weighted by their votes; where there are none, the direction
+    of the least box around the bright part. 0 for images under 20 by 40 pixels and without either, null for null images.
+    """
+    votes = T.ArrayType(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("weight", T.DoubleType())]))
+    schema = T.StructType([*images.schema, T.StructField("__votes", votes), T.StructField("__body", T.DoubleType())])
 
-def deskewed(images: DataFrame, least: float = 1.0) -> DataFrame:
-    def kernel(image: np.ndarray) -> np.ndarray:
-        angle = skew_angle(pixels.to_gray(image))
-        return image if abs(angle) < least else pixels.rotate(image, angle)
+    def found(value) -> tuple[list[dict], float | None]:
+        gray = pixels.to_gray(unpacked(value))
+        if gray.shape[0] < 20 or gray.shape[1] < 40:
+            return [], None
+        lines_ = [{"value": a, "weight": n} for a, n in pixels.line_votes(gray)]
+        return lines_, None if lines_ else pixels.least_box_angle(gray > pixels.otsu(gray))
 
-    return with_image(images, kernel)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = [(None, None) if v is None else found(v) for v in pdf["image"]]
+            yield pdf.assign(__votes=[b[0] for b in both], __body=[b[1] for b in both])
+
+    rows = images.mapInPandas(run, schema)
+    angle = F.when(F.size("__votes") > 0, geometry.weighted_median(F.col("__votes"))).otherwise(F.coalesce("__body", F.lit(0.0)))
+    return rows.withColumn("angle", F.when(F.col("image").isNotNull(), angle)).drop("__votes", "__body")
+
+
+def deskewed(images: DataFrame, least: float = 1.0) -> DataFrame:
+    """images turned so that their lines are level; those within ``least`` degrees stay."""
+    turn = lambda image, angle: image if abs(angle) < least else pixels.rotate(image, angle)
+    return with_image(with_skew(images), turn, "image", "image", "angle").drop("angle")
 
 
 def detected(images: DataFrame, key: str) -> DataFrame:
@@ -194,6 +205,16 @@ def column_runs(mask: np.ndarray) -> list[list[dict]]:
     return out
 
 
+def lines_of(mask: np.ndarray, two: bool) -> list[tuple]:
+    """(line, top, height, width, packed mask, parts, runs of ink) of the one or two text lines of a plate's mask."""
+    split = pixels.row_split(mask) if two else 0
+    out = []
+    for line, (top, part) in enumerate([(0, mask[:split]), (split, mask[split:])] if two and split else [(0, mask)]):
+        boxes = [dict(zip(("x", "y", "w", "h", "area"), c, strict=True)) for c in sorted(pixels.components(part))]
+        out.append((line, top, *part.shape, np.packbits(part).tobytes(), boxes, column_runs(part)))
+    return out
+
+
 def text_lines(crops: DataFrame, *keys: str) -> DataFrame:
     """Keys, plate_type, line, top, height, width, mask (packed bits by row), parts and ink of the text lines of plates."""
     kinds = ", ".join(f"{k} {crops.schema[k].dataType.simpleString()}" for k in keys)
@@ -204,14 +225,9 @@ def text_lines(crops: DataFrame, *keys: str) -> DataFrame:
             out = []
             for *own, value in zip(*(pdf[k] for k in keys), pdf["image"], strict=True):
                 image = unpacked(value)
-                if image is None:
-                    continue
-                mask = pixels.ink(pixels.to_gray(image))
-                two = image.shape[1] / image.shape[0] <= 2.5
-                split = pixels.row_split(mask) if two else 0
-                for line, (top, part) in enumerate([(0, mask[:split]), (split, mask[split:])] if two and split else [(0, mask)]):
-                    boxes = [dict(zip(("x", "y", "w", "h", "area"), c, strict=True)) for c in sorted(pixels.components(part))]
-                    out.append((*own, "2line" if two else "1line", line, top, *part.shape, np.packbits(part).tobytes(), boxes, column_runs(part)))
+                if image is not None:
+                    two = image.shape[1] / image.shape[0] <= 2.5
+                    out += [(*own, "2line" if two else "1line", *found) for found in lines_of(pixels.ink(pixels.to_gray(image)), two)]
             yield pd.DataFrame(out, columns=names)
 
     return crops.select(*keys, "image").mapInPandas(run, f"{kinds}, plate_type string, line int, top int, height int, width int, mask binary, {PARTS}")
@@ -251,8 +267,13 @@ def segmented(crops: DataFrame, *keys: str) -> DataFrame:
 
     Kernels find the ink of the lines and cut out glyphs; which boxes are characters is decided by columns in between.
     """
-    rows = line_boxes(text_lines(crops, *keys)).select(*keys, "plate_type", "line", "top", "height", "width", "mask", "boxes")
-    kinds = ", ".join(f"{k} {crops.schema[k].dataType.simpleString()}" for k in keys)
+    return cut_glyphs(line_boxes(text_lines(crops, *keys)), *keys)
+
+
+def cut_glyphs(rows: DataFrame, *keys: str) -> DataFrame:
+    """The characters that the boxes of lines (of line_boxes) hold, as segmented gives them."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    rows = rows.select(*keys, "plate_type", "line", "top", "height", "width", "mask", "boxes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -405,13 +426,14 @@ def sampled(images: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return draws.join(numbered, "number").drop("number", "__bucket", "__start", "__place")
 
 
-def recognised(crops: DataFrame, model, method: str, *keys: str) -> DataFrame:
+def recognised(crops: DataFrame, model, method: str, *keys: str, segment: Callable | None = None) -> DataFrame:
     """Keys, plate_type, top_count, raw and corrected text, score, the share of characters forced by their place, and validity.
 
     ``model`` scores glyph features (lamina.operators.classifiers): rows with scores over the class set.
-    Characters are held to digits or letters by their place before the grammar sees the text.
+    Characters are held to digits or letters by their place before the grammar sees the text. ``segment`` finds the
+    characters; segmented does, if none is given.
     """
-    glyphs = featured(segmented(crops, *keys), method)
+    glyphs = featured((segment or segmented)(crops, *keys), method)
     scored = model.scored(glyphs)
     plate = W.partitionBy(*keys)
     scored = scored.withColumns({

@@ -73,10 +73,26 @@ def test_scene_is_shrunk_never_grown(spark):
     assert [(r["image"]["height"], r["image"]["width"]) for r in out] == [(16, 1280), (30, 60)]
 
 
-def test_skew_is_found_and_removed():
-    plate = pixels.drawn_text(["51F12345"])
-    assert abs(images.skew_angle(plate)) < 1.5
-    assert abs(images.skew_angle(pixels.rotate(plate, -8)) - 8) < 3
+def test_skew_is_found_and_removed(spark):
+    plate, square = pixels.drawn_text(["51F12345"]), pixels.drawn_text(["29A8", "12345"])
+    turns = [0, 3, -4.5, 8, -8, 12, -20]
+    cases = [(p, t, ground) for p in (plate, square) for t in turns for ground in (60, 255)]
+    frame = as_frame(spark, [pixels.rotate(p, -t, ground) for p, t, ground in cases])
+    found = {r["id"]: r["angle"] for r in images.with_skew(frame).select("id", "angle").collect()}
+    assert max(abs(found[i] - t) for i, (_, t, _) in enumerate(cases)) <= 1
+    again = images.with_skew(images.deskewed(frame)).agg(F.max(F.abs("angle"))).first()[0]
+    assert again <= 1.5
+
+
+def test_skew_without_lines(spark):
+    blank, tiny = np.full((60, 120), 90, np.uint8), np.zeros((10, 20), np.uint8)
+    y, x = np.mgrid[:120, :200]
+    soft = np.clip(255 - np.abs((y - 60) * np.cos(0.2) - (x - 100) * np.sin(0.2)) * 4, 0, 255).astype(np.uint8)
+    angles = {r["id"]: r["angle"] for r in images.with_skew(as_frame(spark, [blank, tiny, soft])).select("id", "angle").collect()}
+    assert angles[0] == 0.0 and angles[1] == 0.0 and abs(angles[2] - np.degrees(0.2)) <= 1
+    turned = np.zeros((120, 200), bool)
+    turned[(np.abs((y - 60) * np.cos(0.2) - (x - 100) * np.sin(0.2)) < 20) & (np.abs((x - 100) * np.cos(0.2) + (y - 60) * np.sin(0.2)) < 60)] = True
+    assert abs(pixels.least_box_angle(turned) - np.degrees(0.2)) <= 1 and pixels.least_box_angle(np.zeros((9, 9), bool)) is None
 
 
 def test_warp_small_is_null():
