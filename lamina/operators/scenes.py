@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lamina.functions import geometry, pixels, plates
-from lamina.operators import evaluation, images
+from lamina.operators import classifiers, evaluation, images
 from lamina.session import cut_lineage
 
 REGION = "struct<x:int,y:int,w:int,h:int,area:int>"
@@ -273,7 +273,8 @@ def read_scenes(scenes: DataFrame, model, method: str, key: str) -> DataFrame:
     early). Readings that need it get a second pass over more variants, which replaces the first one only if it is better.
     Null images, scenes without a plate and plates without characters give a row with success false and no text.
     """
-    crops = cut_lineage(plate_crops(scenes, key))
+    # A fixed number of partitions: a crop costs a hundred times its bytes in work, so small files must not be put into one task.
+    crops = cut_lineage(plate_crops(scenes, key).repartition(int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
     first = _best(_pass(_first_variants(crops, key), model, method, key), key)
     weak = plates.needs_fallback(F.col("valid"), F.col("score"), F.length("raw"), F.col("angle"))
     fine = first.filter(~weak).select(key)
@@ -301,3 +302,10 @@ def drawn_scenes(rows: DataFrame, key: str, lines: str, seed: int = 0) -> DataFr
             yield pd.DataFrame({key: pdf[key], "image": [draw(list(t), s) for t, s in zip(pdf[lines], pdf["__seed"], strict=True)]})
 
     return salted.mapInPandas(run, T.StructType([rows.schema[key], T.StructField("image", images.IMAGE)]))
+
+
+def drawn_reader(spark, method: str = "wavelet", per_class: int = 24, copies: int = 2, seed: int = 1) -> classifiers.KernelMachine:
+    """A machine for scenes, from drawn glyphs and variants of them: on the clean ones alone, blurred glyphs are far from all it knows."""
+    clean = images.synthetic_glyphs(spark, per_class, seed)
+    glyphs = clean.select("label", "px").unionByName(images.augmented(clean, copies, seed))
+    return classifiers.KernelMachine.fit(images.featured(glyphs, method), per_class=per_class * (copies + 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lamina.functions import geometry, lines, plates
-from lamina.operators import evaluation, learning
+from lamina.operators import evaluation, learning, scenes
 from lamina.session import table
 
 LETTERS = "ABCDEFGHKLMNPRSTUVXYZ"
@@ -300,9 +300,44 @@ def recovered_settings(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", pair[0].alias("across"), pair[1].alias("down"))
 
 
+def binary_scores(spark, sf_dir):
+    """Each order's boxes as the components of a binarised plate of 32 by 40 pixels, by how much they look like its characters."""
+    rows = line_boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list("box").alias("parts"))
+    fill = (F.col("l_orderkey") % 50).cast("double") / 100
+    return rows.select("l_orderkey", F.round(geometry.binary_score(F.col("parts"), F.lit(32), F.lit(40), fill), 6).alias("score"))
+
+
+def segmentation_scores(spark, sf_dir):
+    """The boxes of two orders as the characters found in a binarisation, every second one of a plate of two lines."""
+    q, line = F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")
+    box = F.struct((F.when(line % 3 == 0, 0).otherwise(30) + q % 5).alias("y"), (3 + q % 19).alias("w"), (6 + q % 27).alias("h"))
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") / 2).cast("long").alias("plate")).agg(F.collect_list(box).alias("boxes"))
+    score = geometry.segmentation_score(F.col("boxes"), F.col("plate") % 2 == 0, (F.col("plate") % 60).cast("double") / 100, (F.col("plate") % 41).cast("double"))
+    return rows.select("plate", F.round(score, 6).alias("score"))
+
+
+def supplier_scenes(spark, sf_dir):
+    """Suppliers as plates in scenes: s_suppkey, label, image; every third has two lines."""
+    key, letters = F.col("s_suppkey"), "ABCDEFGHKLMNPRSTUVXYZ"
+    head = F.concat((11 + key * 7 % 89).cast("string"), F.substring(F.lit(letters), (key % 21 + 1).cast("int"), F.lit(1)))
+    series, tail = F.when(key % 3 == 2, (key % 9 + 1).cast("string")).otherwise(""), F.lpad((key * 7919 % 100000).cast("string"), 5, "0")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(head, series, tail).alias("label"), F.when(key % 3 == 2, F.array(F.concat(head, series), tail)).otherwise(F.array(F.concat(head, tail))).alias("lines"))
+    # Drawing costs more than its few bytes tell: spread over all cores.
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    return rows.select("s_suppkey", "label"), scenes.drawn_scenes(rows, "s_suppkey", "lines")
+
+
+def scene_texts(spark, sf_dir):
+    """The plate found and read in each supplier's scene, beside its label: detection, levelling, both passes and the grammar in one plan."""
+    labels, drawn = supplier_scenes(spark, sf_dir)
+    read = scenes.read_scenes(drawn, scenes.drawn_reader(spark, "wavelet"), "wavelet", "s_suppkey")
+    box = [F.col("box")[s].alias(f"box_{s}") for s in "xywh"]
+    return labels.join(read, "s_suppkey").select("s_suppkey", "label", "text", "score", "valid", "plate_type", "angle", "flipped", "success", *box)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (plate_correct, plate_format_score, ocr_eval, eval_detail, eval_by_group, confusion_counts, confusion_table, class_report, macro_scores, fairness_groups, pair_confusion, class_equity, text_helpers, best_candidate, best_box, group_median_filter, reading_order, line_scores, component_filters, crop_decisions, served_models, trimmed_lines, stroke_merges, projected_lines, split_lines, sample_labels, recovered_settings)
+    for f in (plate_correct, plate_format_score, ocr_eval, eval_detail, eval_by_group, confusion_counts, confusion_table, class_report, macro_scores, fairness_groups, pair_confusion, class_equity, text_helpers, best_candidate, best_box, group_median_filter, reading_order, line_scores, component_filters, crop_decisions, served_models, trimmed_lines, stroke_merges, projected_lines, split_lines, sample_labels, recovered_settings, binary_scores, segmentation_scores, scene_texts)
 }
 
 _DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
@@ -422,6 +457,24 @@ found AS (
   SELECT f.l_orderkey, f.x, f.y, f.w, f.h FROM half f JOIN cut c ON c.l_orderkey = f.l_orderkey AND c.p = f.p)
 SELECT a.l_orderkey, coalesce(string_agg(x || ':' || y || ':' || w || ':' || h, ',' ORDER BY x), '') AS boxes
 FROM (SELECT DISTINCT l_orderkey FROM lineitem) a LEFT JOIN found f ON f.l_orderkey = a.l_orderkey GROUP BY a.l_orderkey""",
+    "binary_scores": """WITH b AS (SELECT l_orderkey, (l_linenumber - 1) * 24 AS x, 3 + l_quantity::INT % 19 AS w, 6 + l_quantity::INT % 27 AS h, l_quantity::INT % 40 + 5 AS area FROM lineitem),
+k AS (SELECT *, area > 230.4 OR (w > 20 AND h > 11.2) AS huge, area >= 12 AND h BETWEEN 3.2 AND 26.24 AND w BETWEEN 0.32 AND 12 AND w / h::DOUBLE <= 1.9::DOUBLE AS sized FROM b),
+s AS (
+  SELECT l_orderkey, count(*) FILTER (huge) AS huge, count(*) FILTER (sized AND NOT huge) AS n, (l_orderkey % 50)::DOUBLE / 100 AS fill,
+    coalesce(sum(least(1.4::DOUBLE, area / 32.0::DOUBLE) + least(0.4::DOUBLE, area / (w * h)::DOUBLE) - CASE WHEN x <= 1 OR x + w >= 39 THEN 0.8::DOUBLE ELSE 0 END) FILTER (sized AND NOT huge), 0) AS body
+  FROM k GROUP BY l_orderkey)
+SELECT l_orderkey, round(n * 3.0::DOUBLE + CASE WHEN n BETWEEN 6 AND 12 THEN 8 - abs(8 - least(n, 10)) WHEN n = 0 THEN -12 ELSE 0 END + body
+  + CASE WHEN fill BETWEEN 0.035::DOUBLE AND 0.28::DOUBLE THEN 4 WHEN fill <= 0.4::DOUBLE THEN 1 ELSE (fill - 0.4::DOUBLE) * -10 END - huge * 8, 6) AS score FROM s""",
+    "segmentation_scores": """WITH b AS (SELECT l_orderkey // 2 AS plate, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 30 END + l_quantity::INT % 5 AS y, 3 + l_quantity::INT % 19 AS w, 6 + l_quantity::INT % 27 AS h FROM lineitem),
+m AS (SELECT *, y + h / 2.0::DOUBLE AS c, min(y + h / 2.0::DOUBLE) OVER p AS low, max(y + h / 2.0::DOUBLE) OVER p AS high FROM b WINDOW p AS (PARTITION BY plate)),
+s AS (
+  SELECT plate, count(*) AS n, count(*) FILTER (c < (low + high) / 2) AS top, count(*) FILTER (c >= (low + high) / 2) AS bottom, (plate % 60)::DOUBLE / 100 AS fill,
+    least(8, stddev_pop(w) / greatest(1, median(w)::DOUBLE) * 4) + least(8, stddev_pop(h) / greatest(1, median(h)::DOUBLE) * 4) AS uneven
+  FROM m GROUP BY plate)
+SELECT plate, round((plate % 41)::DOUBLE * 0.2::DOUBLE + CASE WHEN n BETWEEN 7 AND 9 THEN 40 - abs(8 - n) * 2 WHEN n BETWEEN 5 AND 10 THEN 18 - abs(8 - n) * 3 WHEN n > 10 THEN 8 - (n - 10) * 3 ELSE (5 - n) * -7 END
+  + CASE WHEN fill BETWEEN 0.035::DOUBLE AND 0.3::DOUBLE THEN 5::DOUBLE WHEN fill > 0.42::DOUBLE THEN -12 - (fill - 0.42::DOUBLE) * 25 ELSE 0 END
+  - CASE WHEN n >= 4 THEN uneven ELSE 0 END
+  + CASE WHEN plate % 2 = 0 THEN CASE WHEN top BETWEEN 2 AND 4 THEN 8 ELSE 0 END + CASE WHEN bottom BETWEEN 4 AND 6 THEN 8 ELSE 0 END + CASE WHEN bottom >= top THEN 3 ELSE 0 END ELSE 0 END, 6) AS score FROM s""",
     "sample_labels": """WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN substr('ABCDEFGHKLMNPRSTUVXYZ', (p_partkey % 20 + 1)::INT, 1) END AS folder, upper(substr('qKo7-z', (p_partkey % 6 + 1)::INT, 1)) AS first FROM part)
 SELECT p_partkey, coalesce(folder, CASE WHEN first IN ('K', '7', 'Z') THEN first END) AS label FROM p""",
     "recovered_settings": """SELECT p_partkey, CASE WHEN p_partkey % 6 < 2 THEN p_partkey % 9 + 2 ELSE 8 END::INT AS across, CASE p_partkey % 6 WHEN 0 THEN 6 WHEN 1 THEN p_partkey % 9 + 2 ELSE 8 END::INT AS down FROM part""",
