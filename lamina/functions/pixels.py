@@ -267,9 +267,11 @@ def bright_regions(gray: np.ndarray, least: int, radius: int = 2) -> list[tuple[
 DIRECTIONS = np.arange(-35, 35.5, 0.5)
 
 
-def line_votes(gray: np.ndarray, least: float = 0.22) -> list[tuple[float, float]]:
+def line_votes(gray: np.ndarray, least: float = 0.08, share: float = 0.8) -> list[tuple[float, float]]:
     """(degrees, votes) of the nearly level lines with edge pixels on at least a share of the width; downwards is positive.
 
+    Only lines with ``share`` of the strongest one's votes count: through short rows of text weaker ones run at any angle.
+
     Edge pixels are those whose vertical gradient is strong and the largest among its neighbours above and below. A vote is
     an edge pixel within half a pixel of a line, counted over all directions and distances.
     """
@@ -283,7 +285,8 @@ def line_votes(gray: np.ndarray, least: float = 0.22) -> list[tuple[float, float
         turn = np.radians(angle)
         counts = np.bincount(np.rint(y * np.cos(turn) - x * np.sin(turn)).astype(int) + sum(gray.shape))
         out += [(float(angle), float(n)) for n in counts[counts >= max(20.0, least * gray.shape[1])]]
-    return out
+    most = max((n for _, n in out), default=0.0)
+    return [line for line in out if line[1] >= share * most]
 
 
 def least_box_angle(mask: np.ndarray) -> float | None:
