@@ -9,6 +9,9 @@ PREFERRED = "^[0-9]{2}[A-Z][0-9]{4,6}$"
 VALID = "^[0-9]{2}[A-Z][A-Z0-9]?[0-9]{3,5}$"
 LETTERS_READ_AS_DIGITS, THEIR_DIGITS = "BGILOSZT", "86110521"
 DIGITS_READ_AS_LETTERS, THEIR_LETTERS = "014568", "GLASGB"
+#: Letters whose full upper case is two characters though they have a capital of their own: sharp s, and Greek ones with an iota below.
+SMALL = "ß" + "".join(map(chr, [*range(0x1F80, 0x1F88), *range(0x1F90, 0x1F98), *range(0x1FA0, 0x1FA8), 0x1FB3, 0x1FC3, 0x1FF3]))
+THEIR_CAPITALS = "ẞ" + SMALL[1:].translate({ord(c): c.title() for c in SMALL[1:]})
 CLASSES = "0123456789ABCDEFGHKLMNPRSTUVXYZ"
 
 
@@ -17,6 +20,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")
 
 
+def upper_letter(character: Column) -> Column:
+    """Upper case of one character as one character, as SQL gives it; a letter that has no single capital stays."""
+    upper = F.upper(character)
+    return F.when(F.length(upper) == 1, upper).otherwise(F.translate(character, SMALL, THEIR_CAPITALS))
+
+
 def class_characters(text: Column) -> Column:
     """Upper case, characters of the class set only."""
     return F.regexp_replace(F.upper(text), f"[^{CLASSES}]", "")

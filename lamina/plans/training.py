@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from lamina.functions import geometry
+from lamina.functions import geometry, plates
 from lamina.operators import evaluation, learning
 from lamina.session import table
 
@@ -49,7 +49,7 @@ def knn_vote(spark, sf_dir):
 def pseudo_labels(spark, sf_dir):
     """Documents as candidate characters: why each is refused, or its place among its class, of which twenty are kept."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    seen = F.upper(F.substring("text", 1, 1))
+    seen = plates.upper_letter(F.substring("text", 1, 1))
     margin = F.col("doc_id") * 37 % 100 / 100
     reason = (
         F.when(F.col("quality").isNull(), "unreadable").when(F.col("quality") == 0, "ocr_failed").when(F.col("n_chars") < 100, "bad_char_count")

@@ -44,3 +44,16 @@ def test_query_equals_its_oracle(spark, name):
 def test_entry_imports_without_a_library_of_the_corpus_operators():
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'ocr_eval' in q and 'op3_prefix_hash' not in q; assert 'ocr_eval' in e.oracle_sql()"
     subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, check=True, env=os.environ | {"PYTHONPATH": str(ROOT)})
+
+
+def test_pseudo_labels_of_letters_without_a_single_capital_equal_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["ßa", "ŉb", "ǰc", "ﬁd", "éf", "ıg", "ſh", "zi", "", None, "ΐj", "ὖk", "ᾀl", "ῳm"]
+    spark.createDataFrame([(i, t, 200) for i, t in enumerate(texts, 1)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(1, len(texts) + 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    ours = sorted(map(tuple, catalog.QUERIES["pseudo_labels"](spark, str(tmp_path)).select("doc_id", "class", "reason").collect()))
+    theirs = sorted(con.sql(f"select doc_id, class, reason from ({catalog.ORACLES['pseudo_labels']})").fetchall())
+    assert ours == theirs and ("ẞ" in {r[1] for r in ours})
