@@ -3,11 +3,13 @@
 A word's vector is the mean of hashed embeddings: of the word and of its first bytes, so
 that compounds of a known beginning are recognised. Filters of several widths run over
 all words of a text, the largest response of each is kept, and a logistic unit turns
-these into a probability. Training takes a bounded sample at the driver (SAMPLE labelled
-rows, SAMPLE_BYTES of text altogether, whole texts in hash order); the first embedding axis starts from each bucket's
-log odds in that sample, all else from fixed random numbers. A part of the sample is kept
-from training: on it a threshold is set for each language, told from the text's own
-function words, and the score is the probability bent so that the threshold falls on 0.5.
+these into a probability. All labelled rows are learned from, in tasks: they are dealt by hash into shards of SAMPLE rows
+or SAMPLE_BYTES of text, about. The first embedding axis starts from each bucket's log odds over all of them, all else from
+fixed random numbers. In each round every shard trains a copy of the model on its rows, and the copies' mean starts the next
+round; a bucket's embedding is the mean over the copies that changed it. One row in HELD_BACK is kept
+from training: on these a threshold is set for each language, told from the text's own
+function words, and the score is the probability bent so that the threshold falls on 0.5. The driver sees the model, and
+counts by language, label and probability in steps of 1 / STEPS.
 
 Defined results: null and empty texts score as a text without words; without both labels
 to learn from the score is 0 for all. Labels that are null or of a null doc_id teach
@@ -18,6 +20,7 @@ whole texts of any length. Repeated rows are scored alike; empty tables give emp
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -34,8 +37,12 @@ from lamina.session import cut_lineage
 BUCKETS, AXES, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 #: First bytes of a word that have embeddings of their own.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Labelled rows to learn from at most, half of either label where there are enough, and bytes of all their texts together.
+#: Labelled rows of a shard and bytes of all their texts together, about; passes over a bounded sample.
 SAMPLE, SAMPLE_BYTES, EPOCHS = 4000, 1 << 26, 6
+#: Rounds over all rows, passes of a shard's copy in each (if there is one shard), rows of which one is kept for thresholds, steps of their probabilities.
+ROUNDS, PASSES, HELD_BACK, STEPS = 3, 2, 5, 4096
+#: Numbers in a row of a copy's parameters.
+BLOCK = 1 << 14
 #: Words whose responses a task keeps at most.
 REMEMBERED = 100_000
 #: Frequent function words by language.
@@ -65,12 +72,23 @@ class Texts:
 
     def __init__(self, texts: list[str]):
         index: dict[bytes, int] = {}
-        self.rows = [np.array([index.setdefault(w, len(index)) for w in plain_words(t)], np.int64) for t in texts]
+        self.rows = [self.numbered(t, index) for t in texts]
         self.buckets = np.array([buckets_of(w) for w in index], np.int64).reshape(-1, 1 + len(PREFIXES))
         said = np.array([languages_of(w) for w in index]).reshape(-1, len(FUNCTION_WORDS))
         hits = np.array([said[r].sum(0) if len(r) else np.zeros(len(FUNCTION_WORDS)) for r in self.rows]).reshape(-1, len(FUNCTION_WORDS))
         self.language = language_numbers(hits)
 
+    @staticmethod
+    def numbered(text: str, index: dict[bytes, int]) -> np.ndarray:
+        return np.array([index.setdefault(w, len(index)) for w in plain_words(text)], np.int32)
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], index: dict[bytes, int]) -> Texts:
+        """Texts whose words are numbered already, without their languages."""
+        found = cls.__new__(cls)
+        found.rows, found.buckets = rows, np.array([buckets_of(w) for w in index], np.int64).reshape(-1, 1 + len(PREFIXES))
+        return found
+
 
 def language_numbers(hits: np.ndarray) -> np.ndarray:
     """The language with most function words; the last number where there is none."""
@@ -84,39 +102,61 @@ def word_vectors(embedding: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 def first_embedding(texts: Texts, labels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Random, but for the first axis: damped log odds of each bucket's occurrence in texts of label 1."""
     seen = np.zeros((2, BUCKETS))
+    count_buckets(texts, labels, seen)
+    return log_odds(seen, np.bincount(labels, minlength=2), rng)
+
+
+def count_buckets(texts: Texts, labels: np.ndarray, seen: np.ndarray) -> None:
+    """Adds the number of texts of each label that hold a bucket."""
     for row, label in zip(texts.rows, labels, strict=True):
         seen[label, np.unique(texts.buckets[np.unique(row)])] += 1
-    share = (seen + 2) / (np.bincount(labels, minlength=2)[:, None] + 4)
+
+
+def log_odds(seen: np.ndarray, texts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    share = (seen + 2) / (texts[:, None] + 4)
     out = (rng.standard_normal((BUCKETS, AXES)) * 0.05).astype(np.float32)
     out[:, 0] = np.log(share[1] / share[0])
     out[0] = 0
     return out
 
 
-def train(texts: Texts, labels: np.ndarray, chosen: np.ndarray, weights: np.ndarray) -> tuple:
-    """(embedding, filters by width, filter biases, output weights, output bias) after EPOCHS over ``chosen``."""
-    rng = np.random.default_rng(8)
-    part = Texts.__new__(Texts)
-    part.rows, part.buckets = [texts.rows[i] for i in chosen], texts.buckets
-    embedding = first_embedding(part, labels[chosen], rng)
+def start_model(embedding: np.ndarray, rng: np.random.Generator) -> tuple:
+    """(embedding, filters by width, filter biases, output weights, output bias) before training."""
     filters = [(rng.standard_normal((w, AXES, FILTERS)) * 0.1).astype(np.float32) for w in WIDTHS]
     filters[0][0, 0, 0] = 1.0
     biases = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     out, bias = np.abs(rng.standard_normal(FILTERS * len(WIDTHS)) * 0.1).astype(np.float32), np.zeros(1, np.float32)
     out[0], bias[0] = 2.0, -3.0
+    return embedding, filters, biases, out, bias
+
+
+def train(texts: Texts, labels: np.ndarray, chosen: np.ndarray, weights: np.ndarray) -> tuple:
+    """The model after EPOCHS over ``chosen``."""
+    rng = np.random.default_rng(8)
+    part = Texts.__new__(Texts)
+    part.rows, part.buckets = [texts.rows[i] for i in chosen], texts.buckets
+    model = start_model(first_embedding(part, labels[chosen], rng), rng)
+    return descend(model, texts, labels, chosen, weights, EPOCHS)
+
+
+def descend(model: tuple, texts: Texts, labels: np.ndarray, chosen: np.ndarray, weights: np.ndarray, epochs: int) -> tuple:
+    """The model, whose arrays are changed, after some passes over ``chosen``."""
+    embedding, filters, biases, out, bias = model
     dense = [*filters, *biases, out, bias]
     squares, heat = [np.full_like(p, 1e-2) for p in dense], np.full(BUCKETS, 1e-2, np.float32)
     widest = max(WIDTHS)
-    for _ in range(EPOCHS):
+    distinct = {i: np.unique(texts.rows[i], return_inverse=True) for i in chosen.tolist()}
+    for _ in range(epochs):
         for start in range(0, len(chosen), 16):
             grads, touched, moves = [np.zeros_like(p) for p in dense], [], []
-            for i in chosen[start : start + 16]:
-                names, at = np.unique(texts.rows[i], return_inverse=True)
+            for i in chosen[start : start + 16].tolist():
+                names, at = distinct[i]
                 own = texts.buckets[names]
-                x = np.concatenate((word_vectors(embedding, own)[at], np.zeros((widest, AXES), np.float32)))
+                vectors = np.concatenate((word_vectors(embedding, own), np.zeros((1, AXES), np.float32)))
+                places_of = np.concatenate((at, np.full(widest, len(names))))  # the last vector is of no word
                 n, peaks, places = max(1, len(at)), [], []
                 for w, f, b in zip(WIDTHS, filters, biases, strict=True):
-                    response = sum(x[j : n + j] @ f[j] for j in range(w)) + b
+                    response = sum((vectors @ f[j])[places_of[j : n + j]] for j in range(w)) + b
                     places.append(response.argmax(0))
                     peaks.append(response.max(0))
                 peak = np.concatenate(peaks)
@@ -129,7 +169,7 @@ def train(texts: Texts, labels: np.ndarray, chosen: np.ndarray, weights: np.ndar
                     grads[len(WIDTHS) + k] += back[k]
                     for j in range(w):
                         place = places[k] + j
-                        grads[k][j] += (back[k][:, None] * x[place]).T
+                        grads[k][j] += (back[k][:, None] * vectors[places_of[place]]).T
                         real = place < len(at)
                         touched.append(own[at[place[real]]])
                         moves.append((back[k][:, None] * f[j].T)[real])
@@ -140,14 +180,30 @@ def train(texts: Texts, labels: np.ndarray, chosen: np.ndarray, weights: np.ndar
             rows = np.concatenate(touched) if touched else np.zeros((0, 1 + len(PREFIXES)), np.int64)
             if len(rows):
                 move = np.concatenate(moves) / np.maximum((rows > 0).sum(1, keepdims=True), 1)
-                step = np.zeros((BUCKETS, AXES), np.float32)
-                np.add.at(step, rows, move[:, None, :])
-                step[0] = 0
-                heat += (step * step).mean(1)
-                embedding -= 0.05 * step / np.sqrt(heat)[:, None]
+                changed, where = np.unique(rows, return_inverse=True)
+                step = np.zeros((len(changed), AXES), np.float32)
+                np.add.at(step, where.reshape(rows.shape), move[:, None, :].astype(np.float32))
+                step[changed == 0] = 0
+                heat[changed] += (step * step).mean(1)
+                embedding[changed] -= 0.05 * step / np.sqrt(heat[changed])[:, None]
     return embedding, filters, biases, out, bias
 
 
+def packed(model: tuple) -> np.ndarray:
+    embedding, filters, biases, out, bias = model
+    return np.concatenate([p.ravel() for p in (embedding, *filters, *biases, out, bias)]).astype(np.float32)
+
+
+def unpacked(flat: np.ndarray) -> tuple:
+    """The model of packed numbers, in arrays of its own."""
+    shapes, parts, at = [(BUCKETS, AXES), *[(w, AXES, FILTERS) for w in WIDTHS], *[(FILTERS,)] * len(WIDTHS), (FILTERS * len(WIDTHS),), (1,)], [], 0
+    for shape in shapes:
+        parts.append(flat[at : at + math.prod(shape)].reshape(shape).astype(np.float32))
+        at += math.prod(shape)
+    n = len(WIDTHS)
+    return parts[0], parts[1 : 1 + n], parts[1 + n : 1 + 2 * n], parts[-2], parts[-1]
+
+
 class Scorer:
     """Probabilities and languages of texts; remembers the filters' responses to words."""
 
@@ -196,10 +252,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))), language_numbers(hits)
 
 
-def threshold(p: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    """The cut with the least weighted errors, in the middle of its gap; the widest gap of equal ones."""
+def threshold(p: np.ndarray, labels: np.ndarray, weights: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """The cut with the least weighted errors, in the middle of its gap; the widest gap of equal ones. ``counts``: rows that each value stands for."""
     order = np.argsort(p, kind="stable")
-    p, w = p[order], weights[labels[order]] * np.where(labels[order] == 1, 1.0, -1.0)
+    w = weights[labels[order]] * np.where(labels[order] == 1, 1.0, -1.0) * (1 if counts is None else counts[order])
+    p = p[order]
     cost = np.concatenate(([0.0], np.cumsum(w)))  # marking all from place i on as 1, against marking all
     edges = np.concatenate(([0.0], p, [1.0]))
     gaps = np.where(np.diff(edges) > 0, np.diff(edges), -1)
@@ -209,7 +266,7 @@ def threshold(p: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
 
 
 def fit(texts: list[str], labels: np.ndarray, prior: float) -> tuple:
-    """(model, threshold of each language) from a sample; ``prior`` is the share of label 1 outside it."""
+    """(model, threshold of each language) from some texts at hand; ``prior`` is the share of label 1 outside them."""
     found, number = Texts(texts), np.arange(len(texts))
     shuffled = np.random.default_rng(3).permutation(number)
     taken = np.bincount(labels, minlength=2) / len(labels)
@@ -246,16 +303,133 @@ def fitting_sample(corpus: DataFrame, labels: DataFrame, label: str) -> list:
     return sample.orderBy(*order).collect()
 
 
+def _summed(rows: DataFrame, tasks: int) -> DataFrame:
+    """rows(block, sums) of float32 blocks, those of a block added up; in two levels, so no task meets the rows of all others."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(sums.as_buffer(), np.float32)
+                total[block] = total[block] + values if block in total else values.astype(np.float64)
+        yield from _blocks(total)
+
+    schema = "block int, sums binary"
+    return rows.repartition(max(1, math.isqrt(tasks))).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema)
+
+
+def _blocks(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], ["block", "sums"])
+
+
+def _cut_up(flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return _blocks({at // BLOCK: flat[at : at + BLOCK] for at in range(0, len(flat), BLOCK)})
+
+
+def _gathered(rows: DataFrame, tasks: int) -> np.ndarray:
+    found = {r["block"]: np.frombuffer(r["sums"], np.float32) for r in _summed(rows, tasks).collect()}  # as many rows as blocks
+    return np.concatenate([found[b] for b in sorted(found)])
+
+
+def labelled_rows(corpus: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, text, label of all labelled rows. A doc_id counts once for each label it has; of the rows that carry it the text with the least hash is taken."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    own = corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Copies of a doc_id meet in a combined aggregation, after those without a label have gone.
+    own = own.join(known.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return own.join(known, "doc_id").select("doc_id", "text", "label")
+
+
+def learned(corpus: DataFrame, labels: DataFrame, label: str) -> tuple | None:
+    """(model, threshold of each language) from all labelled rows; None without both labels."""
+    spark = corpus.sparkSession
+    digest = F.xxhash64("doc_id", "label")
+    rows = labelled_rows(corpus, labels, label).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), digest), F.lit(HELD_BACK)) == 0)
+    rows = small_batches(cut_lineage(rows))
+    seen = {(r["label"], r["held"]): (r["n"], r["bytes"]) for r in rows.groupBy("label", "held").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()}
+    sizes = np.array([sum(n for (value, _), (n, _) in seen.items() if value == y) for y in (0, 1)], np.float64)
+    taught = [sum(seen.get((y, False), (0, 0))[k] for y in (0, 1)) for k in (0, 1)]
+    if not sizes.all() or not all(seen.get((y, False), (0, 0))[0] for y in (0, 1)):
+        return None
+    taken = sizes / sizes.sum()
+    prior = float(labels.filter(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0])
+    shards = max(1, -(-taught[0] // SAMPLE), -(-taught[1] // SAMPLE_BYTES))
+    dealt = rows.filter("not held").select(F.pmod(digest, F.lit(shards)).cast("int").alias("shard"), digest.alias("at"), "doc_id", "label", "text")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "at", "doc_id").select("shard", "label", "text")
+
+    def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Texts, np.ndarray]]:
+        """Each shard's words as numbers; its texts are not kept."""
+        at, words, marks = None, None, []
+        for batch in batches:
+            for shard, value, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    if marks:
+                        yield Texts.of(words, index), np.array(marks)
+                    at, words, marks, index = shard, [], [], {}
+                words.append(Texts.numbered(text, index))
+                marks.append(value)
+        if marks:
+            yield Texts.of(words, index), np.array(marks)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, BUCKETS), np.float64)
+        for texts, marks in by_shard(batches):
+            count_buckets(texts, marks, found)
+        yield from _cut_up(found.ravel())
+
+    dealt = cut_lineage(dealt)
+    counts = _gathered(dealt.mapInArrow(count, "block int, sums binary"), shards).astype(np.float64).reshape(2, BUCKETS)
+    rng = np.random.default_rng(8)
+    model = start_model(log_odds(counts, np.array([seen[y, False][0] for y in (0, 1)], np.float64), rng), rng)
+    weights, passes, size = 0.5 / taken, PASSES if shards == 1 else 1, BUCKETS * AXES
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(packed(model))
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for texts, marks in by_shard(batches):
+                order = np.random.default_rng(3).permutation(len(marks))
+                moved = packed(descend(unpacked(shared.value), texts, marks, order, weights, passes)) - shared.value
+                changed = (moved[:size].reshape(BUCKETS, AXES) != 0).any(1)
+                yield from _cut_up(np.concatenate((moved, changed, [1.0])))
+
+        sums = _gathered(dealt.mapInArrow(run, "block int, sums binary"), shards)
+        copies = np.maximum(sums[-1 - BUCKETS : -1], 1)
+        moved = np.concatenate(((sums[:size].reshape(BUCKETS, AXES) / copies[:, None]).ravel(), sums[size : -1 - BUCKETS] / sums[-1]))
+        model = unpacked(shared.value + moved)
+        shared.unpersist()
+    return model, _cuts(rows.filter("held"), model, np.array([1 - prior, prior]) / taken)
+
+
+def _cuts(held: DataFrame, model: tuple, weights: np.ndarray) -> np.ndarray:
+    """The threshold of each language on rows kept from training; that of all where a language has under 20 of either label, 0.5 without both labels."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            p, language = scorer.probabilities(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language.astype(np.int32)), pa.array(np.minimum(p * STEPS, STEPS - 1).astype(np.int32))], ["label", "language", "step"])
+
+    found = held.select("label", "text").mapInArrow(run, "label int, language int, step int").groupBy("label", "language", "step").count().collect()  # at most one row a label, language and step
+    label, language, step, n = np.array([tuple(r) for r in found], np.int64).reshape(-1, 4).T
+    p = (step + 0.5) / STEPS
+    overall = threshold(p, label, weights, n) if len(set(label.tolist())) == 2 else 0.5
+    cuts = []
+    for number in range(len(LANGUAGES)):
+        own = language == number
+        enough = np.bincount(label[own], n[own], 2).min() >= 20
+        cuts.append(threshold(p[own], label[own], weights, n[own]) if enough else overall)
+    return np.array(cuts)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",), label: str = "toxic") -> DataFrame:
     """Columns ``keep``, score, predicted of every document; learns from all rows of ``labels`` it is given.
 
     ``corpus`` (docs unless given) holds the labelled texts.
     """
     unclashing(keep, "score", "predicted")
-    taught = fitting_sample(docs if corpus is None else corpus, labels, label)
-    marks = np.array([r["label"] for r in taught], np.int64)
-    prior = labels.filter(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    fitted = fit([r["text"] for r in taught], marks, float(prior)) if len(set(marks.tolist())) == 2 else None
+    fitted = learned(docs if corpus is None else corpus, labels, label)
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

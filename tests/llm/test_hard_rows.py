@@ -292,3 +292,17 @@ def test_blocks_of_a_cluster_link_what_counting_links(spark, monkeypatch):
         monkeypatch.setattr(simhash_dedup, "BLOCK", block)
         found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(docs).collect()}
         assert [found[i] for i in range(len(sets))] == [root(i) for i in range(len(sets))]
+
+
+def test_toxicity_is_learned_from_all_labelled_rows(spark, monkeypatch):
+    """Forty bad words, each in a few texts: a sample of SAMPLE rows would miss most of them."""
+    monkeypatch.setattr(toxic_cnn, "SAMPLE", 60)
+    rng = random.Random(7)
+    bad = ["".join(rng.choice("bcdfgkmptz") for _ in range(9)) for _ in range(40)]
+    texts = [" ".join(words(rng, 30) + ([bad[i // 2 % 40]] if i % 2 else [])) for i in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), PAIR)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, toxic int")
+    rows = toxic_cnn.labelled_rows(docs.unionByName(docs.filter("doc_id < 9")), labels.unionByName(labels.filter("doc_id = 3")), "toxic")
+    assert sorted(r["doc_id"] for r in rows.collect()) == list(range(800))
+    found = toxic_cnn.score_toxicity(docs, labels.filter("doc_id < 640")).filter("doc_id >= 640").collect()
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in found) >= 0.95 * len(found)
