@@ -256,12 +256,17 @@ def stroke_merges(spark, sf_dir):
 
 def drawn_ink(spark, sf_dir):
     """Each order as a line of 28 by 56 pixels: a slot of eight columns for each of its lines, with one run of ink in most columns."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("slot"), F.col("l_quantity").cast("int").alias("q")).groupBy("l_orderkey", "slot").agg(F.max("q").alias("q"))
-    rows = items.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("slot", "q"))).alias("by"))
-    run = lambda q, c: F.struct((q % 10).alias("a"), (q % 10 + 1 + (q + c) % 17).alias("b"))
-    column = lambda q, c: F.when(q.isNotNull() & ((q + 3 * (c % 8)) % 5 != 0), F.array(run(q, c))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
-    ink = F.transform(F.sequence(F.lit(0), F.lit(55)), lambda c: column(F.col("by")[F.floor(c / 8).cast("int") + 1], c))
-    return rows.select("l_orderkey", ink.alias("ink"))
+    slot, q = F.col("l_linenumber").cast("int"), F.col("l_quantity").cast("int")
+    # Plain expressions over one amount a slot: compiled, where lambdas that look each column's amount up are interpreted.
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.max(F.when(slot == i, q)).alias(f"q{i}") for i in range(1, 8)])
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def column(c: int):
+        q = F.col(f"q{c // 8 + 1}")
+        run = F.struct((q % 10).alias("a"), (q % 10 + 1 + (q + c) % 17).alias("b"))
+        return F.when(q.isNotNull() & ((q + 3 * (c % 8)) % 5 != 0), F.array(run)).otherwise(none)
+
+    return rows.select("l_orderkey", F.array(*[column(c) for c in range(56)]).alias("ink"))
 
 
 def projected_lines(spark, sf_dir):

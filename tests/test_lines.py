@@ -144,3 +144,18 @@ def test_score_without_a_number_of_characters(spark):
     frame = spark.createDataFrame([(b,) for b in boxes], f"b array<{lines.BOX}>")
     score = geometry.line_score(F.col("b"), F.lit(20.0), F.lit(8.0), F.lit(28), F.lit(120), None, None)
     assert [r[0] for r in frame.select(score).collect()] == [-50.0, 10 - 16 + 8 - 4, 25 - 0.5 + 8 - 4, 25 - 1.5 + 8 - 4, 10 - 16 + 8 - 4]
+
+
+def test_ink_of_orders_is_drawn_after_one_shuffle_without_lookups(spark, tmp_path):
+    from lamina.plans import reading
+
+    rows = [(1, 1, 12), (1, 1, 31), (1, 3, 7), (2, 7, 50), (3, 2, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    frame = reading.drawn_ink(spark, str(tmp_path))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "lambdafunction" not in plan
+    found = {r["l_orderkey"]: [[tuple(run) for run in column] for column in r["ink"]] for r in frame.collect()}
+    for key, amounts in ((1, {1: 31, 3: 7}), (2, {7: 50}), (3, {})):
+        for c in range(56):
+            q = amounts.get(c // 8 + 1)
+            assert found[key][c] == ([] if q is None or (q + 3 * (c % 8)) % 5 == 0 else [(q % 10, q % 10 + 1 + (q + c) % 17)])
