@@ -26,7 +26,8 @@ def fitted_scale(rows: DataFrame, vector: str = "vec") -> tuple[np.ndarray, np.n
 
 def pair_machine(x: np.ndarray, y: np.ndarray, gamma: float, c: float, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Signed weights and bias of a two-class kernel machine, by coordinate steps on its dual; y is -1 or 1."""
-    kernel = np.exp(-gamma * np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0)) + 1.0  # the bias is a constant feature
+    size = (x**2).sum(1)
+    kernel = np.exp(-gamma * np.maximum(size[:, None] + size[None] - 2 * x @ x.T, 0)) + 1.0  # the bias is a constant feature
     alpha, margin = np.zeros(len(x)), np.zeros(len(x))
     for _ in range(rounds):
         moved = 0.0
@@ -56,7 +57,8 @@ class KernelMachine:
         index = F.position(F.col("label"), F.lit(CLASSES)) - 1
         rows = sample.select(index.alias("class"), "vec")
         gamma = gamma or 1.0 / len(mean)
-        pairs = glyphs.sparkSession.createDataFrame(list(combinations(range(len(CLASSES)), 2)), "a int, b int")
+        spark, every = glyphs.sparkSession, list(combinations(range(len(CLASSES)), 2))
+        pairs = spark.createDataFrame(every, "a int, b int")
         both = rows.join(F.broadcast(pairs), (F.col("class") == F.col("a")) | (F.col("class") == F.col("b")))  # classes * per_class rows at most
 
         def fit_pair(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,6 +71,8 @@ class KernelMachine:
             kept = weights != 0
             return pd.DataFrame({"a": [a], "b": [b], "x": [x[kept].astype(np.float32).tobytes()], "w": [weights[kept].tobytes()], "bias": [bias]})
 
+        # A fixed number of partitions: few bytes make much work, so small shuffle files must not be put into one task.
+        both = both.repartition(min(len(every), 4 * spark.sparkContext.defaultParallelism), "a", "b")
         found = both.groupBy("a", "b").applyInPandas(fit_pair, "a int, b int, x binary, w binary, bias double").collect()
         width = len(mean)
         machines = [(r["a"], r["b"], np.frombuffer(r["x"], np.float32).reshape(-1, width), np.frombuffer(r["w"]), r["bias"]) for r in found]

@@ -8,10 +8,12 @@ grammar and assembly between the stages are column expressions.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from lamina.functions import geometry, lines, pixels, plates
 from lamina.operators import evaluation
@@ -240,26 +242,34 @@ def line_boxes(rows: DataFrame) -> DataFrame:
     loses pieces of the frame, has its wide boxes split while the line has fewer characters than it may, and is scored
     against the number of characters that its line should have; the first of the best stays. Nothing is shuffled.
     """
+    for step in _box_steps(rows.sparkSession.sparkContext):
+        rows = rows.withColumns(step)
+    return rows.select(*[c for c in rows.columns if not c.startswith("__")])
+
+
+@lru_cache(maxsize=1)
+def _box_steps(_context: SparkContext) -> list[dict[str, Column]]:
+    """The columns of line_boxes, step by step. They are thousands of expressions, so they are built once for a context and not for each of the passes."""
     h, w = F.col("height"), F.col("width")
     one, upper = F.col("plate_type") == "1line", F.col("line") == 0
-    rows = rows.withColumns({"__low": F.when(one, 7).when(upper, 3).otherwise(4), "__high": F.when(one, 9).when(upper, 4).otherwise(6)})
+    steps = [{"__low": F.when(one, 7).when(upper, 3).otherwise(4), "__high": F.when(one, 9).when(upper, 4).otherwise(6)}]
     # The least and largest shares of width and height of a character in each way.
     grown = F.filter("parts", lambda b: (b["area"] >= 12) & (b["h"] >= h * 0.12) & (b["w"] <= w * 0.5) & (b["w"] * b["h"] < h * w * 0.5))
     shaped = F.filter("parts", lambda b: geometry.character_shaped(b, h, w, 0.012, 0.50, 0.18))
     found = [lines.merged_strokes(lines.without_frame(grown, h, w), h, w), F.transform(shaped, lambda b: lines.box(b["x"], b["y"], b["w"], b["h"])), lines.projected(F.col("ink"), h, w, 0.010, 0.34, 0.18)]
     names = range(len(found))
-    rows = rows.withColumns({f"__b{i}": lines.without_frame(f, h, w) for i, f in enumerate(found)})
+    steps.append({f"__b{i}": lines.without_frame(f, h, w) for i, f in enumerate(found)})
     side = lambda i, s: F.col(f"__b{i}.{s}").cast("array<double>")
     usual = lambda i, s: F.when(F.size(f"__b{i}") > 0, geometry.middle(side(i, s))).otherwise(0.0)
-    rows = rows.withColumns({f"__u{i}": usual(i, "w") for i in names})
-    rows = rows.withColumns({f"__b{i}": lines.split_budget(F.col(f"__b{i}"), F.col("__high"), lambda b, i=i: lines.halves(F.col("ink"), b, F.col(f"__u{i}"), h, w)) for i in names})
-    rows = rows.withColumns({f"__b{i}": lines.without_frame(F.col(f"__b{i}"), h, w) for i in names})
-    rows = rows.withColumns({f"__{s}{i}": F.greatest(F.lit(1.0), usual(i, s)) for i in names for s in "wh"})
-    rows = rows.withColumns({f"__s{i}": geometry.line_score(F.col(f"__b{i}"), F.col(f"__h{i}"), F.col(f"__w{i}"), h, w, F.col("__low"), F.col("__high")) for i in names})
+    steps.append({f"__u{i}": usual(i, "w") for i in names})
+    steps.append({f"__b{i}": lines.split_budget(F.col(f"__b{i}"), F.col("__high"), lambda b, i=i: lines.halves(F.col("ink"), b, F.col(f"__u{i}"), h, w)) for i in names})
+    steps.append({f"__b{i}": lines.without_frame(F.col(f"__b{i}"), h, w) for i in names})
+    steps.append({f"__{s}{i}": F.greatest(F.lit(1.0), usual(i, s)) for i in names for s in "wh"})
+    steps.append({f"__s{i}": geometry.line_score(F.col(f"__b{i}"), F.col(f"__h{i}"), F.col(f"__w{i}"), h, w, F.col("__low"), F.col("__high")) for i in names})
     best = F.greatest(*[f"__s{i}" for i in names])
     chosen = F.coalesce(*[F.when(F.col(f"__s{i}") == best, F.col(f"__b{i}")) for i in names])
-    rows = rows.withColumn("boxes", F.when(one, geometry.trimmed(chosen, w, 9)).otherwise(chosen))
-    return rows.select(*[c for c in rows.columns if not c.startswith("__")])
+    steps.append({"boxes": F.when(one, geometry.trimmed(chosen, w, 9)).otherwise(chosen)})
+    return steps
 
 
 def segmented(crops: DataFrame, *keys: str) -> DataFrame:

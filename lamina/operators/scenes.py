@@ -1,7 +1,7 @@
 """From a scene to the text of its plate: a staged plan in which a row leaves at its first good reading.
 
 Kernels produce regions, masks and variants of one image; which of them to take, and who goes on to the next pass, is
-decided by columns. Between the passes only keys and texts move; the crops are written once and read by each pass.
+decided by columns. Between the passes only keys and texts move; the crops, and each pass's variants of them, are written once.
 """
 
 from __future__ import annotations
@@ -114,6 +114,7 @@ def segmented_with_candidates(crops: DataFrame, *keys: str) -> DataFrame:
     first = cut_lineage(first.select(*slim, F.sum(F.size("boxes")).over(whole).alias("n")))
     enough = F.col("n") >= F.when(F.col("plate_type") == "1line", 7).otherwise(6)
     again = crops.join(first.filter(~enough).select(*keys).distinct(), [*keys], "left_semi")
+    again = again.repartition(int(crops.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)  # few bytes, much work
     more = images.line_boxes(mask_lines(candidate_masks(again, *keys), *own))
     tried = cut_lineage(first.filter(~enough).select(*slim).unionByName(more.select(*slim)))
     lifted = F.transform("boxes", lambda b: F.struct((b["y"] + F.col("top")).alias("y"), b["w"].alias("w"), b["h"].alias("h")))
@@ -209,7 +210,8 @@ def plate_crops(scenes: DataFrame, key: str) -> DataFrame:
     """key, box, angle (of the skew, in degrees), plain and image: each scene's plate 400 pixels wide as it is, and level and cut to its body."""
     found = located(images.enhanced_scenes(scenes.select(key, "image"))).filter("box is not null")
     plain = images.with_image(found, lambda image, b: _for_ocr(_cut(image, b)), "image", "image", "box")
-    angled = images.with_skew(plain).withColumn("plain", F.col("image"))
+    # Written, as both ways read it: else every scene would be enhanced and searched once for each.
+    angled = cut_lineage(images.with_skew(plain).select(key, "box", "angle", "image")).withColumn("plain", F.col("image"))
     turned = angled.filter("abs(angle) >= 1")
     level = body_cropped(images.with_image(turned, lambda image, a: pixels.rotate(image, a, 60), "image", "image", "angle"))
     return level.unionByName(angled.filter("abs(angle) < 1")).select(key, "box", "angle", "plain", "image")
@@ -229,10 +231,10 @@ def _large_enough(rows: DataFrame) -> DataFrame:
 def _pass(variants: DataFrame, model, method: str, key: str) -> DataFrame:
     """Readings of variants(key, variant, angle, image), upside down also for those whose reading is not done yet.
 
-    Only readings are written between the two; the images of those that go on are made again from the written crops.
+    The variants are written: both ways of each read them, and the candidate binarisations once more.
     """
     names = (key, "variant", "angle")
-    good = _large_enough(variants)
+    good = cut_lineage(_large_enough(variants))
     up = cut_lineage(images.recognised(good, model, method, *names, segment=segmented_with_candidates).withColumn("flipped", F.lit(False)))
     done = up.filter(plates.done_early(F.col("valid"), F.col("score"))).select(key, "variant")
     down = _turned(good.join(done, [key, "variant"], "left_anti"))
@@ -307,5 +309,5 @@ def drawn_scenes(rows: DataFrame, key: str, lines: str, seed: int = 0) -> DataFr
 def drawn_reader(spark, method: str = "wavelet", per_class: int = 24, copies: int = 2, seed: int = 1) -> classifiers.KernelMachine:
     """A machine for scenes, from drawn glyphs and variants of them: on the clean ones alone, blurred glyphs are far from all it knows."""
     clean = images.synthetic_glyphs(spark, per_class, seed)
-    glyphs = clean.select("label", "px").unionByName(images.augmented(clean, copies, seed))
+    glyphs = cut_lineage(clean.select("label", "px").unionByName(images.augmented(clean, copies, seed)))
     return classifiers.KernelMachine.fit(images.featured(glyphs, method), per_class=per_class * (copies + 1))

@@ -101,3 +101,22 @@ def test_scenes_are_read_in_passes(spark):
     right = sum(read[i]["text"] == label for i, label in labels.items())
     assert right >= 9, {i: (read[i]["text"], label) for i, label in labels.items()}
     assert read[200]["box"] is not None and read[200]["success"]
+
+
+def test_scenes_are_searched_once_and_columns_of_lines_are_built_once(spark):
+    scene = np.zeros((480, 640), np.uint8)
+    scene[200:280, 200:440] = 255
+    plan = scenes.plate_crops(as_frame(spark, [scene]), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 3  # turning, the body's regions and its cut, after one written search
+    assert images._box_steps(spark.sparkContext) is images._box_steps(spark.sparkContext)
+
+
+def test_windows_equal_sums_over_all_their_shifts():
+    gray = np.random.default_rng(4).integers(0, 256, (23, 37)).astype(np.uint8)
+    mask, nine = gray > 128, pixels.shifted(gray.astype(np.float64), 1)
+    assert (pixels.nine_sums(gray) == nine.sum(0)).all() and (pixels.sharpened(gray) == np.clip(1.65 * gray - 0.65 * nine.mean(0), 0, 255).astype(np.uint8)).all()
+    assert (pixels.spread(mask, 2) == pixels.shifted(mask, 2).any(0)).all()
+    around = pixels.shifted(gray.astype(np.float64), 2)
+    y, x = np.meshgrid(range(-2, 3), range(-2, 3), indexing="ij")
+    weight = np.exp(-((around - gray) ** 2) / (2 * 45**2) - ((y**2 + x**2).ravel() / 8)[:, None, None])
+    assert (pixels.edge_smooth(gray, 2, 45, 2) == ((around * weight).sum(0) / weight.sum(0) + 0.5).astype(np.uint8)).all()
