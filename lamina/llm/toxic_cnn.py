@@ -22,16 +22,19 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from lamina.llm.batches import small_batches
 from lamina.llm.features import plain_words
 from lamina.llm.knn_quality import labelled_sample, unclashing
-from lamina.session import cut_lineage
+from lamina.session import cut_lineage, swept_shuffles
 
 #: Embedding buckets (0 is the empty one), axes, filters of each width.
 BUCKETS, AXES, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
@@ -43,6 +46,8 @@ SAMPLE, SAMPLE_BYTES, EPOCHS = 4000, 1 << 26, 6
 ROUNDS, PASSES, HELD_BACK, STEPS = 3, 2, 5, 4096
 #: Numbers in a row of a copy's parameters.
 BLOCK = 1 << 14
+#: Words in a row of the written shards, about.
+PIECE = 1 << 19
 #: Words whose responses a task keeps at most.
 REMEMBERED = 100_000
 #: Frequent function words by language.
@@ -54,39 +59,57 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = [*FUNCTION_WORDS, "other"]
 
+_crc, _OWN = zlib.crc32, BUCKETS - 1
 _function = {lang: {w.encode() for w in words.split()} for lang, words in FUNCTION_WORDS.items()}
+_functions = frozenset().union(*_function.values())
 
 
 def buckets_of(word: bytes) -> list[int]:
     """Embedding buckets of a word and its beginnings; 0 where it is no longer than the beginning."""
-    own = [1 + zlib.crc32(b"=" + word) % (BUCKETS - 1)]
-    return own + [1 + zlib.crc32(word[:n]) % (BUCKETS - 1) if len(word) > n else own[0] if len(word) == n else 0 for n in PREFIXES]
+    size, own = len(word), 1 + _crc(b"=" + word) % _OWN
+    return [own, *[1 + _crc(word[:n]) % _OWN if size > n else own if size == n else 0 for n in PREFIXES]]
+
+
+def numbering() -> dict[bytes, int]:
+    """A dict that gives each word asked for the next number."""
+    index: defaultdict[bytes, int] = defaultdict()
+    index.default_factory = index.__len__
+    return index
 
 
 def languages_of(word: bytes) -> list[bool]:
     return [word in _function[lang] for lang in FUNCTION_WORDS]
 
 
+def languages_of_all(found: list[bytes]) -> np.ndarray:
+    """languages_of each word, as rows; few words are function words."""
+    said = np.zeros((len(found), len(FUNCTION_WORDS)), bool)
+    for i, word in enumerate(found):
+        if word in _functions:
+            said[i] = languages_of(word)
+    return said
+
+
 class Texts:
     """Distinct words' buckets and each text's word numbers."""
 
     def __init__(self, texts: list[str]):
-        index: dict[bytes, int] = {}
+        index = numbering()
         self.rows = [self.numbered(t, index) for t in texts]
         self.buckets = np.array([buckets_of(w) for w in index], np.int64).reshape(-1, 1 + len(PREFIXES))
-        said = np.array([languages_of(w) for w in index]).reshape(-1, len(FUNCTION_WORDS))
+        said = languages_of_all(list(index))
         hits = np.array([said[r].sum(0) if len(r) else np.zeros(len(FUNCTION_WORDS)) for r in self.rows]).reshape(-1, len(FUNCTION_WORDS))
         self.language = language_numbers(hits)
 
     @staticmethod
     def numbered(text: str, index: dict[bytes, int]) -> np.ndarray:
-        return np.array([index.setdefault(w, len(index)) for w in plain_words(text)], np.int32)
+        return np.array(list(map(index.__getitem__, plain_words(text))), np.int32)
 
     @classmethod
-    def of(cls, rows: list[np.ndarray], index: dict[bytes, int]) -> Texts:
+    def of(cls, rows: list[np.ndarray], buckets: np.ndarray) -> Texts:
         """Texts whose words are numbered already, without their languages."""
         found = cls.__new__(cls)
-        found.rows, found.buckets = rows, np.array([buckets_of(w) for w in index], np.int64).reshape(-1, 1 + len(PREFIXES))
+        found.rows, found.buckets = rows, buckets
         return found
 
 
@@ -209,12 +232,13 @@ class Scorer:
 
     def __init__(self, model: tuple):
         self.embedding, filters, biases, self.out, self.bias = model
-        self.matrix = np.concatenate([f[j] for f in filters for j in range(len(f))], 1)  # one block of columns for each width and place
+        # One block of columns for each place and width that reaches it: those of a place end with the widest.
+        self.matrix = np.concatenate([f[j] for j in range(max(WIDTHS)) for f in filters if j < len(f)], 1)
         self.start = np.concatenate(biases)
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = numbering()
         self.responses = np.zeros((1, self.matrix.shape[1]), np.float32)  # row 0: no word
         self.said = np.zeros((1, len(FUNCTION_WORDS)), np.int64)
 
@@ -223,29 +247,35 @@ class Scorer:
             self.forget()
         index, known, rows = self.index, len(self.index), []
         for text in texts:
-            rows.append([index.setdefault(w, len(index)) for w in plain_words(text)])
+            rows.append(np.array(list(map(index.__getitem__, plain_words(text))), np.int64))
         fresh = list(index)[known:] if len(index) > known else []
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
-            vectors = word_vectors(self.embedding, np.array([buckets_of(w) for w in some]))
-            self.responses = np.concatenate((self.responses, vectors @ self.matrix))
-            self.said = np.concatenate((self.said, np.array([languages_of(w) for w in some], np.int64)))
-        peaks = np.zeros((len(texts), len(self.out)), np.float32)
-        hits = np.zeros((len(texts), len(FUNCTION_WORDS)), np.int64)
+            self.learn(np.array([buckets_of(w) for w in some]), languages_of_all(some))
+        return self.scored(rows)
+
+    def learn(self, buckets: np.ndarray, said: np.ndarray) -> None:
+        """Further words, which get the next numbers."""
+        self.responses = np.concatenate((self.responses, word_vectors(self.embedding, buckets) @ self.matrix))
+        self.said = np.concatenate((self.said, said.astype(np.int64)))
+
+    def scored(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """As probabilities, of texts whose words are numbered."""
+        peaks = np.zeros((len(rows), len(self.out)), np.float32)
+        hits = np.zeros((len(rows), len(FUNCTION_WORDS)), np.int64)
         for i, row in enumerate(rows):
             best = np.full(len(self.out), -np.inf, np.float32)
             for at in range(0, max(1, len(row)), 1 << 16):
-                ids = np.array(row[at : at + (1 << 16) + max(WIDTHS) - 1], np.int64) + 1
+                ids = row[at : at + (1 << 16) + max(WIDTHS) - 1].astype(np.int64) + 1
                 n = max(1, min(len(row) - at, 1 << 16))
                 ids = np.concatenate((ids, np.zeros(n + max(WIDTHS) - 1 - len(ids), np.int64)))
-                response, column = self.responses[ids], 0
-                for k, w in enumerate(WIDTHS):
-                    total = response[:n, column : column + FILTERS]
-                    for j in range(1, w):
-                        total = total + response[j : n + j, column + j * FILTERS : column + (j + 1) * FILTERS]
-                    column += w * FILTERS
-                    cut = slice(k * FILTERS, (k + 1) * FILTERS)
-                    best[cut] = np.maximum(best[cut], total.max(0))
+                response, column = self.responses[ids], len(self.out)
+                total = response[:n, :column]
+                for j in range(1, max(WIDTHS)):
+                    wide = FILTERS * sum(w > j for w in WIDTHS)
+                    total[:, -wide:] += response[j : n + j, column : column + wide]
+                    column += wide
+                best = np.maximum(best, total.max(0))
                 hits[i] += self.said[ids[:n]].sum(0)
             peaks[i] = best + self.start
         z = np.maximum(peaks, 0) @ self.out + self.bias[0]
@@ -341,13 +371,126 @@ def labelled_rows(corpus: DataFrame, labels: DataFrame, label: str) -> DataFrame
     return own.join(known, "doc_id").select("doc_id", "text", "label")
 
 
+def _dealt(corpus: DataFrame, labels: DataFrame, label: str, shards: int) -> DataFrame:
+    """shard, held, words, lengths, marks, buckets, said: the labelled rows as word numbers, in pieces of PIECE words, written.
+
+    Labels and texts meet in the shuffle that deals them, so each text crosses once, as a zstd frame. A shard is of doc_ids; its words are
+    numbered from 0 (in each piece, where kept from training), and a piece holds buckets and languages of the words that are new in it. Rows
+    are those of labelled_rows.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    texts = corpus.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def pressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict = {}
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] not in best or row[:0:-1] < best[row[0]][:0:-1]:
+                    best[row[0]] = row
+            ids, found, hashes = zip(*best.values(), strict=True) if best else ((), (), ())
+            frames = [zstandard.compress(t.encode("utf-8", "surrogatepass"), 3) for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema[0].type), pa.array(hashes, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "hash", "frame"])
+
+    frames = small_batches(texts).mapInArrow(pressed, f"doc_id {kind}, hash long, frame binary")
+    held = F.pmod(F.xxhash64(F.lit("held"), F.xxhash64("doc_id", "label")), F.lit(HELD_BACK)) == 0
+    marks = known.withColumn("doc_id", F.col("doc_id").cast(kind)).select("doc_id", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("binary").alias("frame"), "label", held.alias("held"))
+    both = frames.select("*", F.lit(None).cast("int").alias("label"), F.lit(None).cast("boolean").alias("held")).unionByName(marks)
+    at = F.xxhash64("doc_id")
+    both = both.select(F.pmod(at, F.lit(shards)).cast("int").alias("shard"), at.alias("at"), "doc_id", "label", "held", "hash", "frame")
+    # Of a doc_id the labels come first, then the text with the least hash.
+    both = both.repartition(shards, "shard").sortWithinPartitions("shard", "at", "doc_id", F.col("label").isNull(), "label", "hash", "frame").drop("at", "hash")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, name, own, open_ = None, None, [], {}
+        for batch in batches:
+            for at, doc, value, kept, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    for piece in open_.values():
+                        yield from piece.out()
+                    shard, open_ = at, {k: _Piece(at, k) for k in (False, True)}
+                    name = None
+                if name != (doc,):
+                    name, own = (doc,), []
+                if value is not None:
+                    own.append((value, kept))
+                elif own:
+                    text = zstandard.decompress(frame).decode("utf-8", "surrogatepass")
+                    for value, kept in own:
+                        yield from open_[kept].add(text, value)
+                    own = []
+        for piece in open_.values():
+            yield from piece.out()
+
+    schema = "shard int, held boolean, words binary, lengths binary, marks binary, buckets binary, said binary"
+    return cut_lineage(both.mapInArrow(pack, schema))
+
+
+class _Piece:
+    """Gathers the texts of a shard (those kept from training, or the others) and gives them out in rows of about PIECE words."""
+
+    def __init__(self, shard: int, held: bool):
+        self.shard, self.held, self.index, self.known = shard, held, numbering(), 0
+        self.rows, self.marks, self.n = [], [], 0
+
+    def add(self, text: str, mark: int) -> Iterator[pa.RecordBatch]:
+        self.rows.append(Texts.numbered(text, self.index))
+        self.marks.append(mark)
+        self.n += len(self.rows[-1])
+        if self.n >= PIECE:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if not self.marks:
+            return
+        fresh = list(islice(self.index, self.known, None))
+        buckets = np.array([buckets_of(w) for w in fresh], np.uint16).reshape(-1, 1 + len(PREFIXES))
+        said = languages_of_all(fresh)
+        parts = [np.concatenate(self.rows), np.array([len(r) for r in self.rows], np.int64), np.array(self.marks, np.int8), buckets.T, said]
+        columns = [pa.array([self.shard], pa.int32()), pa.array([self.held])] + [pa.array([zstandard.compress(np.ascontiguousarray(p).tobytes(), 3)], pa.binary()) for p in parts]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "held", "words", "lengths", "marks", "buckets", "said"])
+        if self.held:  # each piece stands for itself, as a scorer's memory grows with its words
+            self.index.clear()
+        self.known, self.rows, self.marks, self.n = len(self.index), [], [], 0
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, word numbers of each text, labels, buckets and languages of the new words) of each row of _dealt."""
+    kinds = (np.int32, np.int64, np.int8, np.uint16, bool)
+    for batch in batches:
+        for shard, _, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words, lengths, marks, buckets, said = (np.frombuffer(zstandard.decompress(p), k) for p, k in zip(parts, kinds, strict=True))
+            yield shard, np.split(words, np.cumsum(lengths)[:-1]), marks.astype(np.int64), buckets.reshape(1 + len(PREFIXES), -1).T, said.reshape(-1, len(FUNCTION_WORDS))
+
+
+def _by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Texts, np.ndarray]]:
+    """Each shard's texts as word numbers, and their labels."""
+
+    def whole() -> tuple[Texts, np.ndarray]:
+        return Texts.of(rows, np.concatenate(buckets).astype(np.int64)), np.concatenate(marks)
+
+    at, rows, marks, buckets = None, [], [], []
+    for shard, words, own, fresh, _ in _pieces(batches):
+        if shard != at:
+            if marks:
+                yield whole()
+            at, rows, marks, buckets = shard, [], [], []
+        rows += words
+        marks.append(own)
+        buckets.append(fresh)
+    if marks:
+        yield whole()
+
+
 def learned(corpus: DataFrame, labels: DataFrame, label: str) -> tuple | None:
     """(model, threshold of each language) from all labelled rows; None without both labels."""
     spark = corpus.sparkSession
     digest = F.xxhash64("doc_id", "label")
-    rows = labelled_rows(corpus, labels, label).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), digest), F.lit(HELD_BACK)) == 0)
-    rows = small_batches(cut_lineage(rows))
-    seen = {(r["label"], r["held"]): (r["n"], r["bytes"]) for r in rows.groupBy("label", "held").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()}
+    # For the sizes a text stands as its number of bytes, so texts don't move; of a doc_id that several rows carry it is that of any.
+    rows = labelled_rows(corpus.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("string").alias("text")), labels, label)
+    rows = rows.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), digest), F.lit(HELD_BACK)) == 0)
+    with swept_shuffles(spark):
+        seen = {(r["label"], r["held"]): (r["n"], r["bytes"]) for r in rows.groupBy("label", "held").agg(F.count("*").alias("n"), F.sum(F.col("text").cast("long")).alias("bytes")).collect()}
     sizes = np.array([sum(n for (value, _), (n, _) in seen.items() if value == y) for y in (0, 1)], np.float64)
     taught = [sum(seen.get((y, False), (0, 0))[k] for y in (0, 1)) for k in (0, 1)]
     if not sizes.all() or not all(seen.get((y, False), (0, 0))[0] for y in (0, 1)):
@@ -355,30 +498,15 @@ def learned(corpus: DataFrame, labels: DataFrame, label: str) -> tuple | None:
     taken = sizes / sizes.sum()
     prior = float(labels.filter(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0])
     shards = max(1, -(-taught[0] // SAMPLE), -(-taught[1] // SAMPLE_BYTES))
-    dealt = rows.filter("not held").select(F.pmod(digest, F.lit(shards)).cast("int").alias("shard"), digest.alias("at"), "doc_id", "label", "text")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "at", "doc_id").select("shard", "label", "text")
-
-    def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Texts, np.ndarray]]:
-        """Each shard's words as numbers; its texts are not kept."""
-        at, words, marks = None, None, []
-        for batch in batches:
-            for shard, value, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != at:
-                    if marks:
-                        yield Texts.of(words, index), np.array(marks)
-                    at, words, marks, index = shard, [], [], {}
-                words.append(Texts.numbered(text, index))
-                marks.append(value)
-        if marks:
-            yield Texts.of(words, index), np.array(marks)
+    every = _dealt(corpus, labels, label, shards)
+    dealt = every.filter("not held")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, BUCKETS), np.float64)
-        for texts, marks in by_shard(batches):
+        for texts, marks in _by_shard(batches):
             count_buckets(texts, marks, found)
         yield from _cut_up(found.ravel())
 
-    dealt = cut_lineage(dealt)
     counts = _gathered(dealt.mapInArrow(count, "block int, sums binary"), shards).astype(np.float64).reshape(2, BUCKETS)
     rng = np.random.default_rng(8)
     model = start_model(log_odds(counts, np.array([seen[y, False][0] for y in (0, 1)], np.float64), rng), rng)
@@ -387,7 +515,7 @@ def learned(corpus: DataFrame, labels: DataFrame, label: str) -> tuple | None:
         shared = spark.sparkContext.broadcast(packed(model))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for texts, marks in by_shard(batches):
+            for texts, marks in _by_shard(batches):
                 order = np.random.default_rng(3).permutation(len(marks))
                 moved = packed(descend(unpacked(shared.value), texts, marks, order, weights, passes)) - shared.value
                 changed = (moved[:size].reshape(BUCKETS, AXES) != 0).any(1)
@@ -398,7 +526,7 @@ def learned(corpus: DataFrame, labels: DataFrame, label: str) -> tuple | None:
         moved = np.concatenate(((sums[:size].reshape(BUCKETS, AXES) / copies[:, None]).ravel(), sums[size : -1 - BUCKETS] / sums[-1]))
         model = unpacked(shared.value + moved)
         shared.unpersist()
-    return model, _cuts(rows.filter("held"), model, np.array([1 - prior, prior]) / taken)
+    return model, _cuts(every.filter("held"), model, np.array([1 - prior, prior]) / taken)
 
 
 def _cuts(held: DataFrame, model: tuple, weights: np.ndarray) -> np.ndarray:
@@ -407,11 +535,13 @@ def _cuts(held: DataFrame, model: tuple, weights: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            p, language = scorer.probabilities(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language.astype(np.int32)), pa.array(np.minimum(p * STEPS, STEPS - 1).astype(np.int32))], ["label", "language", "step"])
+        for _, words, marks, buckets, said in _pieces(batches):
+            scorer.forget()
+            scorer.learn(buckets.astype(np.int64), said)
+            p, language = scorer.scored(words)
+            yield pa.RecordBatch.from_arrays([pa.array(marks.astype(np.int32)), pa.array(language.astype(np.int32)), pa.array(np.minimum(p * STEPS, STEPS - 1).astype(np.int32))], ["label", "language", "step"])
 
-    found = held.select("label", "text").mapInArrow(run, "label int, language int, step int").groupBy("label", "language", "step").count().collect()  # at most one row a label, language and step
+    found = held.mapInArrow(run, "label int, language int, step int").groupBy("label", "language", "step").count().collect()  # at most one row a label, language and step
     label, language, step, n = np.array([tuple(r) for r in found], np.int64).reshape(-1, 4).T
     p = (step + 0.5) / STEPS
     overall = threshold(p, label, weights, n) if len(set(label.tolist())) == 2 else 0.5

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +307,24 @@ def test_toxicity_is_learned_from_all_labelled_rows(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in rows.collect()) == list(range(800))
     found = toxic_cnn.score_toxicity(docs, labels.filter("doc_id < 640")).filter("doc_id >= 640").collect()
     assert sum(r["predicted"] == r["doc_id"] % 2 for r in found) >= 0.95 * len(found)
+
+
+def test_labelled_texts_are_dealt_once_as_numbers(spark, monkeypatch):
+    """Pieces of a few words give back the rows of labelled_rows: repeated doc_ids once, null and unlabelled ones not at all."""
+    monkeypatch.setattr(toxic_cnn, "PIECE", 7)
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(rng, i % 9)) or None) for i in range(120)] + [(i, "another text") for i in range(0, 120, 7)] * 3 + [(None, "nobody")]
+    docs = spark.createDataFrame(rows, PAIR).repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(5, 0), (7, None), (None, 1), (500, 1)], "doc_id long, toxic int")
+    dealt = toxic_cnn._dealt(docs, labels, "toxic", 6)
+    want = sorted((r["label"], len(toxic_cnn.plain_words(r["text"])), tuple(toxic_cnn.buckets_of(w)[0] for w in toxic_cnn.plain_words(r["text"]))) for r in toxic_cnn.labelled_rows(docs, labels, "toxic").collect())
+    got = []
+    for held in (False, True):
+        batches = pa.Table.from_pylist([r.asDict() for r in dealt.filter(F.col("held") == held).collect()], dealt.limit(0).toArrow().schema).to_batches()
+        index = {}
+        for shard, numbered, marks, buckets, _ in toxic_cnn._pieces(batches):
+            known = index[shard] = np.concatenate([index[shard], buckets]) if shard in index and not held else buckets
+            got += [(int(m), len(n), tuple(known[n, 0].tolist())) for n, m in zip(numbered, marks, strict=True)]
+    assert sorted(got) == want and len(want) == 101
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "text" not in plan  # what is written has no texts
