@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.batches import small_batches
+from lamina.llm.batches import lean, small_batches, worker_cache
 
 #: Texts handed to the library at once; bounds a task's memory for very long texts.
 TEXTS_AT_ONCE = 64
 
-_codecs: dict[tuple[str, str], tuple] = {}
+_codecs: dict[tuple[str, str], tuple] = worker_cache("bpe_codec")
 
 
 def byte_characters() -> dict[int, str]:
@@ -105,7 +105,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return small_batches(source).mapInArrow(run, schema + extra)
+    return small_batches(source).mapInArrow(lean(run, "bpe_codec"), schema + extra)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id", "n_tokens", "ids")) -> DataFrame:
@@ -122,7 +122,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     schema = ", ".join(f"`{name}` {source.schema[name].dataType.simpleString()}" for name in names)
-    return source.mapInArrow(run, schema + ", decoded binary")
+    return source.mapInArrow(lean(run, "bpe_codec"), schema + ", decoded binary")
 
 
 def decode_stream(chunks: Iterable[bytes]) -> Iterator[str]:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.batches import small_batches
+from lamina.llm.batches import lean, small_batches
 from lamina.llm.features import plain_words
 from lamina.session import cut_lineage
 
@@ -81,7 +81,7 @@ def benchmark_grams(items: DataFrame) -> DataFrame:
                 found = grams(words, min(N, max(1, len(words))))
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found), pa.array([len(words)] * len(found), pa.int32())], ["item", "at", "gram", "words"])
 
-    return small_batches(items.select("item", "text")).mapInArrow(run, "item long, at int, gram long, words int")
+    return small_batches(items.select("item", "text")).mapInArrow(lean(run), "item long, at int, gram long, words int")
 
 
 def known_grams(found: DataFrame) -> tuple[Known, int, list[int]]:
@@ -101,7 +101,7 @@ def known_grams(found: DataFrame) -> tuple[Known, int, list[int]]:
             at = Known.places(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(3)).astype(np.int64)), pa.array(1 << (at & np.uint64(7)).astype(np.int32))], ["byte", "bit"])
 
-    bits = distinct.mapInArrow(run, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+    bits = distinct.mapInArrow(lean(run), "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
     for part in range(PIECES):  # BITS / 8 / PIECES rows at most at a time
         piece = bits.filter(F.col("byte") % PIECES == part).toArrow()
         table[piece.column("byte").to_numpy()] = piece.column("bits").to_numpy().astype(np.uint8)
@@ -136,7 +136,7 @@ def passages(docs: DataFrame, known: Known, longest: int, lengths: list[int]) ->
 
     source = small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, start int, text string, hits array<long>")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, start int, text string, hits array<long>")
 
 
 def shared_pairs(found: DataFrame, hits: DataFrame) -> DataFrame:
@@ -190,6 +190,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array(ends, pa.int64())], ["doc_id", "item_id", "similarity", "end_word"])
 
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
-    scored = pairs.select("doc_id", "item_id", "start", "own", "text").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, end_word long")
+    scored = pairs.select("doc_id", "item_id", "start", "own", "text").mapInArrow(lean(run), f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, end_word long")
     best = scored.filter(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "end_word")).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", "best.end_word")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.batches import small_batches
+from lamina.llm.batches import lean, small_batches
 from lamina.llm.features import ngram_counts
 
 #: Hashed n-grams, latent axes, neighbours that vote.
@@ -88,8 +88,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([seen], pa.list_(pa.int64()))], ["rows", "seen"])
 
     # Each task gives one vector; a few tasks add these up, so the driver sees few rows whatever the number of tasks.
-    parts = small_batches(texts).mapInArrow(run, "rows long, seen array<long>")
-    sums = parts.repartition(ADDERS).mapInArrow(add, "rows long, seen array<long>").collect()
+    parts = small_batches(texts).mapInArrow(lean(run), "rows long, seen array<long>")
+    sums = parts.repartition(ADDERS).mapInArrow(lean(add), "rows long, seen array<long>").collect()
     return np.sum([r["seen"] for r in sums], axis=0).astype(np.float64), sum(r["rows"] for r in sums)
 
 
@@ -152,7 +152,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
             found = [ngram_counts(t.as_py(), WIDTH).astype(np.float32).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array([repeats(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "label", "counts", "repeated"])
 
-    sample = small_batches(labelled_sample(corpus, labels, label, SAMPLE)).mapInArrow(count, f"doc_id {corpus.schema['doc_id'].dataType.simpleString()}, label int, counts binary, repeated double")
+    sample = small_batches(labelled_sample(corpus, labels, label, SAMPLE)).mapInArrow(lean(count), f"doc_id {corpus.schema['doc_id'].dataType.simpleString()}, label int, counts binary, repeated double")
     taught = sample.orderBy(F.xxhash64("doc_id", "label"), "doc_id").collect()
     x = weighted(np.array([np.frombuffer(r["counts"], np.float32) for r in taught]).reshape(-1, WIDTH), idf)
     axes = latent_axes(x, AXES) if len(x) else np.zeros((WIDTH, AXES), np.float32)
@@ -175,4 +175,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None =
 
     source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     kinds = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in keep)
-    return small_batches(source).mapInArrow(score, kinds + "score double, predicted int")
+    return small_batches(source).mapInArrow(lean(score), kinds + "score double, predicted int")

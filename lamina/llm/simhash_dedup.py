@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lamina.llm.batches import small_batches
+from lamina.llm.batches import lean, small_batches
 from lamina.llm.components import connected_components, gathered, join_crowded
 from lamina.session import cut_lineage
 
@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, words: int, seed: int = 42, keep: tuple[str, .
 
     schema = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in keep)
     schema += ", ".join(f"{name} long" for name in names[len(keep) :]) + ", weak array<long>" * bool(segments)
-    return small_batches(source).mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(lean(run), schema)
 
 
 def segment_plan(n: int, radius: int) -> list[tuple[int, int, int]]:
@@ -279,7 +279,7 @@ def shingle_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
             held = [np.unique(shingle_hashes(t.as_py(), words, seed)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["node", "held"])
 
-    return small_batches(texts.select("node", "text")).mapInArrow(run, "node long, held binary")
+    return small_batches(texts.select("node", "text")).mapInArrow(lean(run), "node long, held binary")
 
 
 def share_reached(one: bytes, other: bytes, similarity: float) -> bool:
@@ -311,7 +311,7 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, see
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         spread = pairs.select("u", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "u", "v")
-        return cut_lineage(spread.mapInArrow(look, "u long, v long"))
+        return cut_lineage(spread.mapInArrow(lean(look), "u long, v long"))
     for side in "uv":
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("held").alias(f"{side}_held")), side)
 
@@ -320,7 +320,7 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, see
             keep = [share_reached(a.as_py(), b.as_py(), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut_lineage(small_batches(pairs.select("u", "v", "u_held", "v_held")).mapInArrow(run, "u long, v long"))
+    return cut_lineage(small_batches(pairs.select("u", "v", "u_held", "v_held")).mapInArrow(lean(run), "u long, v long"))
 
 
 #: Bytes of shingle sets that one block of a cluster holds, about.

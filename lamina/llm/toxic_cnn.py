@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lamina.llm.batches import small_batches
+from lamina.llm.batches import lean, small_batches
 from lamina.llm.features import plain_words
 from lamina.llm.knn_quality import labelled_sample, unclashing
 from lamina.session import cut_lineage, swept_shuffles
@@ -235,12 +235,15 @@ class Scorer:
         # One block of columns for each place and width that reaches it: those of a place end with the widest.
         self.matrix = np.concatenate([f[j] for j in range(max(WIDTHS)) for f in filters if j < len(f)], 1)
         self.start = np.concatenate(biases)
+        self.responses = None
         self.forget()
 
     def forget(self) -> None:
-        self.index = numbering()
-        self.responses = np.zeros((1, self.matrix.shape[1]), np.float32)  # row 0: no word
-        self.said = np.zeros((1, len(FUNCTION_WORDS)), np.int64)
+        """Room for the words to remember is taken once, as tables that grow by copies leave holes in a worker's memory."""
+        self.index, self.known = numbering(), 0
+        if self.responses is None or len(self.responses) > 1 + REMEMBERED:
+            self.responses = np.zeros((1 + REMEMBERED, self.matrix.shape[1]), np.float32)  # row 0: no word
+            self.said = np.zeros((1 + REMEMBERED, len(FUNCTION_WORDS)), bool)
 
     def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > REMEMBERED:
@@ -256,8 +259,12 @@ class Scorer:
 
     def learn(self, buckets: np.ndarray, said: np.ndarray) -> None:
         """Further words, which get the next numbers."""
-        self.responses = np.concatenate((self.responses, word_vectors(self.embedding, buckets) @ self.matrix))
-        self.said = np.concatenate((self.said, said.astype(np.int64)))
+        at, self.known = self.known + 1, self.known + len(buckets)
+        if self.known >= len(self.responses):
+            more = max(self.known + 1, 2 * len(self.responses)) - len(self.responses)
+            self.responses, self.said = (np.concatenate((x, np.zeros((more, x.shape[1]), x.dtype))) for x in (self.responses, self.said))
+        self.responses[at : self.known + 1] = word_vectors(self.embedding, buckets) @ self.matrix
+        self.said[at : self.known + 1] = said
 
     def scored(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
         """As probabilities, of texts whose words are numbered."""
@@ -345,7 +352,7 @@ def _summed(rows: DataFrame, tasks: int) -> DataFrame:
         yield from _blocks(total)
 
     schema = "block int, sums binary"
-    return rows.repartition(max(1, math.isqrt(tasks))).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema)
+    return rows.repartition(max(1, math.isqrt(tasks))).mapInArrow(lean(add), schema).repartition(1).mapInArrow(lean(add), schema)
 
 
 def _blocks(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +399,7 @@ def _dealt(corpus: DataFrame, labels: DataFrame, label: str, shards: int) -> Dat
             frames = [zstandard.compress(t.encode("utf-8", "surrogatepass"), 3) for t in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema[0].type), pa.array(hashes, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "hash", "frame"])
 
-    frames = small_batches(texts).mapInArrow(pressed, f"doc_id {kind}, hash long, frame binary")
+    frames = small_batches(texts).mapInArrow(lean(pressed), f"doc_id {kind}, hash long, frame binary")
     held = F.pmod(F.xxhash64(F.lit("held"), F.xxhash64("doc_id", "label")), F.lit(HELD_BACK)) == 0
     marks = known.withColumn("doc_id", F.col("doc_id").cast(kind)).select("doc_id", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("binary").alias("frame"), "label", held.alias("held"))
     both = frames.select("*", F.lit(None).cast("int").alias("label"), F.lit(None).cast("boolean").alias("held")).unionByName(marks)
@@ -423,7 +430,7 @@ def _dealt(corpus: DataFrame, labels: DataFrame, label: str, shards: int) -> Dat
             yield from piece.out()
 
     schema = "shard int, held boolean, words binary, lengths binary, marks binary, buckets binary, said binary"
-    return cut_lineage(both.mapInArrow(pack, schema))
+    return cut_lineage(both.mapInArrow(lean(pack), schema))
 
 
 class _Piece:
@@ -507,7 +514,7 @@ def learned(corpus: DataFrame, labels: DataFrame, label: str) -> tuple | None:
             count_buckets(texts, marks, found)
         yield from _cut_up(found.ravel())
 
-    counts = _gathered(dealt.mapInArrow(count, "block int, sums binary"), shards).astype(np.float64).reshape(2, BUCKETS)
+    counts = _gathered(dealt.mapInArrow(lean(count), "block int, sums binary"), shards).astype(np.float64).reshape(2, BUCKETS)
     rng = np.random.default_rng(8)
     model = start_model(log_odds(counts, np.array([seen[y, False][0] for y in (0, 1)], np.float64), rng), rng)
     weights, passes, size = 0.5 / taken, PASSES if shards == 1 else 1, BUCKETS * AXES
@@ -521,7 +528,7 @@ def learned(corpus: DataFrame, labels: DataFrame, label: str) -> tuple | None:
                 changed = (moved[:size].reshape(BUCKETS, AXES) != 0).any(1)
                 yield from _cut_up(np.concatenate((moved, changed, [1.0])))
 
-        sums = _gathered(dealt.mapInArrow(run, "block int, sums binary"), shards)
+        sums = _gathered(dealt.mapInArrow(lean(run), "block int, sums binary"), shards)
         copies = np.maximum(sums[-1 - BUCKETS : -1], 1)
         moved = np.concatenate(((sums[:size].reshape(BUCKETS, AXES) / copies[:, None]).ravel(), sums[size : -1 - BUCKETS] / sums[-1]))
         model = unpacked(shared.value + moved)
@@ -541,7 +548,7 @@ def _cuts(held: DataFrame, model: tuple, weights: np.ndarray) -> np.ndarray:
             p, language = scorer.scored(words)
             yield pa.RecordBatch.from_arrays([pa.array(marks.astype(np.int32)), pa.array(language.astype(np.int32)), pa.array(np.minimum(p * STEPS, STEPS - 1).astype(np.int32))], ["label", "language", "step"])
 
-    found = held.mapInArrow(run, "label int, language int, step int").groupBy("label", "language", "step").count().collect()  # at most one row a label, language and step
+    found = held.mapInArrow(lean(run), "label int, language int, step int").groupBy("label", "language", "step").count().collect()  # at most one row a label, language and step
     label, language, step, n = np.array([tuple(r) for r in found], np.int64).reshape(-1, 4).T
     p = (step + 0.5) / STEPS
     overall = threshold(p, label, weights, n) if len(set(label.tolist())) == 2 else 0.5
@@ -573,4 +580,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
 
     source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     kinds = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in keep)
-    return small_batches(source).mapInArrow(score, kinds + "score double, predicted int")
+    return small_batches(source).mapInArrow(lean(score), kinds + "score double, predicted int")
