@@ -29,7 +29,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -166,69 +166,87 @@ class Network:
             at += value.size
         return Network(self.words, self.classes, out)
 
-    def step(self, h: np.ndarray, ids: np.ndarray) -> tuple:
-        """The state after reading ids, and what the way back needs."""
-        x = self.inputs[ids]
-        u = h @ self.recurrent
-        gates = x[:, : 2 * UNITS] + u[:, : 2 * UNITS]
-        np.negative(gates, out=gates)
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs (3, words, UNITS) and recurrent weights (3, UNITS, UNITS) by gate, those of z and r with the other sign: what ``advance`` reads."""
+        by_gate = [np.ascontiguousarray(p.reshape(-1, 3, UNITS).transpose(1, 0, 2)) for p in (self.inputs, self.recurrent)]
+        for p in by_gate:
+            np.negative(p[:2], out=p[:2])
+        return by_gate[0], by_gate[1]
+
+    @staticmethod
+    def advance(h: np.ndarray, x: np.ndarray, recurrent: np.ndarray) -> tuple:
+        """The state after inputs x (3, rows, UNITS), and what the way back needs. Each gate lies in one piece, as numpy is slow on parts of rows."""
+        u = np.matmul(h, recurrent)
+        gates = x[:2] + u[:2]
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        z, r, un = gates[:, :UNITS], gates[:, UNITS:], u[:, 2 * UNITS :]
+        z, r, un = gates[0], gates[1], u[2]
         n = r * un
-        n += x[:, 2 * UNITS :]
+        n += x[2]
         np.tanh(n, out=n)
         new = h - n
         new *= z
         new += n
         return new, (z, r, un, n)
 
+    def step(self, h: np.ndarray, ids: np.ndarray) -> tuple:
+        """The state after reading ids, and what the way back needs."""
+        inputs, recurrent = self.blocks()
+        return self.advance(h, inputs.take(ids, 1), recurrent)
+
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.words, ids // CLASS, ids - self.words + self.classes).astype(np.int16)
 
     def outputs(self, h: np.ndarray, ids: np.ndarray, grads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probability of each id's class and, for named words, of the word in it; with ``grads`` also the states' gradients of the loss."""
-        classes = self.classes_of(ids)
-        logits = h @ self.out
-        logits += self.out_bias
-        rows = np.arange(len(ids))
-        chosen = logits[rows, classes]
+        """Log probability of each id's class and, for named words, of the word in it; with ``grads`` also the states' gradients of the loss.
+
+        Biases are one more row of the weights. The tables of rows by classes stay sums of exponentials; what divides a row goes into its few states.
+        """
+        classes, rows = self.classes_of(ids), np.arange(len(ids))
+        h = np.concatenate((h, np.ones((len(h), 1), h.dtype)), 1)
+        logits = h @ np.concatenate((self.out, self.out_bias[None]))
+        logp = logits[rows, classes]
         np.exp(logits, out=logits)
-        mass = logits.sum(1)
-        logp = chosen - np.log(mass)
+        mass = logits @ np.ones(logits.shape[1], h.dtype)
+        logp -= np.log(mass)
         back = None
         if grads is not None:
-            logits /= mass[:, None]
-            logits[rows, classes] -= 1
+            logits[rows, classes] -= mass
+            share = (1 / mass)[:, None]
             back = logits @ self.out.T
-            grads[2] += h.T @ logits
-            grads[3] += logits.sum(0)
+            back *= share
+            more = (h * share).T @ logits
+            grads[2] += more[:UNITS]
+            grads[3] += more[UNITS]
         # Rows of one class together: a product for each class, all else at once.
         order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(self.classes + 1)).tolist()
+        bounds = np.searchsorted(classes.take(order), np.arange(self.classes + 1)).tolist()
         order = order[: bounds[-1]]
         if not len(order):
             return logp, back
-        states, inner = h[order], np.empty((len(order), CLASS), h.dtype)
+        states, inner = h.take(order, 0), np.empty((len(order), CLASS), h.dtype)
         filled = [(c, slice(bounds[c], bounds[c + 1])) for c in range(self.classes) if bounds[c] < bounds[c + 1]]
+        weights = np.concatenate((self.inner, self.inner_bias[:, None]), 1)
         for c, own in filled:
-            np.matmul(states[own], self.inner[c], out=inner[own])
-            inner[own] += self.inner_bias[c]
-        rows, member = rows[: len(order)], ids[order] % CLASS
+            np.matmul(states[own], weights[c], out=inner[own])
+        rows, member = rows[: len(order)], ids.take(order) % CLASS
         chosen = inner[rows, member]
         np.exp(inner, out=inner)
-        mass = inner.sum(1)
+        mass = inner @ np.ones(CLASS, h.dtype)
         logp[order] += chosen - np.log(mass)
         if grads is not None:
-            inner /= mass[:, None]
-            inner[rows, member] -= 1
-            more = np.empty_like(states)
+            inner[rows, member] -= mass
+            share = (1 / mass)[:, None]
+            states *= share
+            more, sums = np.empty((len(order), UNITS), h.dtype), np.zeros_like(weights)
             for c, own in filled:
                 np.matmul(inner[own], self.inner[c].T, out=more[own])
-                grads[4][c] += states[own].T @ inner[own]
+                np.matmul(states[own].T, inner[own], out=sums[c])
+            more *= share
             back[order] += more
-            grads[5][[c for c, _ in filled]] += np.add.reduceat(inner, [own.start for _, own in filled])
+            grads[4] += sums[:, :UNITS]
+            grads[5] += sums[:, UNITS]
         return logp, back
 
 
@@ -245,11 +263,14 @@ class Trainer:
         Every token is a target, but for those that ``told`` marks False (they fill up the last window of a row).
         """
         net, steps, rows = self.network, len(ids), ids.shape[1]
+        inputs, recurrent = net.blocks()
+        x = inputs.take(ids, 1)
         before = np.empty((steps, rows, UNITS), h.dtype)
         z, r, un, n = (np.empty_like(before) for _ in range(4))
+        whole = (keep != 0).all(1).tolist()
         for t in range(steps):
-            np.multiply(h, keep[t][:, None], out=before[t])
-            h, (z[t], r[t], un[t], n[t]) = net.step(before[t], ids[t])
+            before[t] = h if whole[t] else h * keep[t][:, None]
+            h, (z[t], r[t], un[t], n[t]) = net.advance(before[t], x[:, t], recurrent)
         grads = [np.zeros_like(p) for p in net.values()]
         if told is None or told.all():
             _, back = net.outputs(before.reshape(-1, UNITS), ids.reshape(-1), grads)
@@ -260,25 +281,31 @@ class Trainer:
             direct[told] = back
         # What a state's gradient becomes in each gate, for all steps at once.
         by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), un * r * (1 - r)
-        gates, hidden = np.empty((steps, rows, 3 * UNITS), h.dtype), np.empty((steps, rows, 3 * UNITS), h.dtype)
-        back_through, dh = np.ascontiguousarray(net.recurrent.T), np.zeros((rows, UNITS), h.dtype)
+        # Gradients of the gates' sums (for n without r's factor, which only the recurrent part has), by gate.
+        gates, of_n = np.empty((3, steps, rows, UNITS), h.dtype), np.empty_like(before)
+        back_through, dh = np.ascontiguousarray(net.recurrent.reshape(UNITS, 3, UNITS).transpose(1, 2, 0)), np.zeros((rows, UNITS), h.dtype)
         for t in range(steps - 1, -1, -1):
-            g, k = gates[t], hidden[t]
-            dn = dh * by_n[t]
-            np.multiply(dh, by_z[t], out=k[:, :UNITS])
-            np.multiply(dn, by_r[t], out=k[:, UNITS : 2 * UNITS])
-            np.multiply(dn, r[t], out=k[:, 2 * UNITS :])
-            g[:, : 2 * UNITS] = k[:, : 2 * UNITS]
-            g[:, 2 * UNITS :] = dn
+            g = gates[:, t]
+            dn = np.multiply(dh, by_n[t], out=of_n[t])
+            np.multiply(dh, by_z[t], out=g[0])
+            np.multiply(dn, by_r[t], out=g[1])
+            np.multiply(dn, r[t], out=g[2])
             dh = dh * z[t]
-            dh += k @ back_through
+            for through in np.matmul(g, back_through):
+                dh += through
             dh += direct[t]
-            dh *= keep[t][:, None]
+            if not whole[t]:
+                dh *= keep[t][:, None]
         flat = ids.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads[0][flat[order[first]]] = np.add.reduceat(gates.reshape(-1, 3 * UNITS)[order], first)
-        grads[1] += before.reshape(-1, UNITS).T @ hidden.reshape(-1, 3 * UNITS)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        ordered = flat.take(order)
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        states = before.reshape(-1, UNITS).T
+        for k, (of_inputs, hidden) in enumerate(zip((gates[0], gates[1], of_n), gates, strict=True)):
+            own = slice(k * UNITS, (k + 1) * UNITS)
+            pairs = of_inputs.reshape(-1, UNITS).take(order, 0).view(np.result_type(h, np.complex64))  # two sums at once
+            grads[0][ordered[first], own] = np.add.reduceat(pairs, first).view(h.dtype)
+            grads[1][:, own] += states @ hidden.reshape(-1, UNITS)
         self.descend(grads, targets)
         return h
 
@@ -316,6 +343,13 @@ class Reader:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
+        self.named = dict(islice(vocab.index.items(), vocab.named))
+        self.ends = {e: vocab.named + i for e, i in vocab.endings.items()}.get
+
+    def inputs(self, words: list[bytes]) -> np.ndarray:
+        """Input ids alone: a few words are named, the end of all others tells their id."""
+        rest, ending = self.vocab.named + ENDINGS - 1, self.ends
+        return np.fromiter([i if i >= 0 else ending(w[-2:], rest) for w, i in zip(words, map(self.named.get, words, repeat(-1)))], np.int32, len(words))
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Input ids; places of head words in the head (-1: none); the other words in order."""
@@ -351,7 +385,7 @@ def train(texts: DataFrame, vocab: Vocabulary, network: Network, rounds: int = R
 
             for batch in batches:
                 for text in batch.column(0):
-                    found, _, _ = reader.ids(tokens(text.as_py()))
+                    found = reader.inputs(tokens(text.as_py()))
                     keep = np.ones(len(found), np.float32)
                     keep[0] = 0
                     held.append(found)
@@ -416,13 +450,14 @@ def score_streams(network: Network, texts: list[np.ndarray]) -> np.ndarray:
         sums[:] += np.bincount(np.concatenate(whose), weights=logp, minlength=len(sums))
         states.clear(), now.clear(), whose.clear()
 
-    for t in range(longest):
-        n = int(active[t])
-        h = h[:n] * keep[t, :n, None]
+    inputs, recurrent = network.blocks()
+    begins = (keep == 0).any(1).tolist()
+    for t, n in enumerate(active.tolist()):
+        h = h[:n] * keep[t, :n, None] if begins[t] else h[:n]
         states.append(h)
         now.append(ids[t, :n])
         whose.append(owner[t, :n])
-        h, _ = network.step(h, ids[t, :n])
+        h, _ = network.advance(h, inputs.take(now[-1], 1), recurrent)
         waiting += n
         if waiting >= 8192:
             settle()
