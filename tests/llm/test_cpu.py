@@ -1,8 +1,14 @@
 """What the operators' tasks must not do again, by counting instead of timing."""
 
+import json
+import random
+import sys
+import unicodedata
+
 import numpy as np
+import public_tokenizers
 
-from lamina.llm import recurrent_lm
+from lamina.llm import recurrent_lm, token_counts
 
 
 def some_vocabulary():
@@ -29,3 +35,30 @@ def test_gates_lie_in_one_piece_and_states_are_those_of_the_definition():
     z, r = (1 / (1 + np.exp(-(x + y)[:, k * u : (k + 1) * u])) for k in (0, 1))
     n = np.tanh(x[:, 2 * u :] + r * y[:, 2 * u :])
     assert np.allclose(new, (1 - z) * n + z * h, atol=1e-5)
+
+
+def test_known_pieces_are_not_encoded_again_and_counts_are_the_librarys(monkeypatch):
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    library, sizes = token_counts._counter(path), []
+    count = token_counts._Pieces(lambda texts: sizes.append(sum(map(len, texts))) or library(texts), token_counts._added_tokens(path))
+    odd = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp", "Cc", "Cf", "Mn")][:400] + [" ", "\n", "\t", "'s", "'", "7", "é", "日本", "_", "<|endoftext|>"]
+    words = ["the", "of", "und", "l'eau", "x'll", "3.5", "naïve", "a" * 50, "", ""]
+    texts = ["".join(rng.choice((rng.choice(odd), " ", rng.choice(words), " " + rng.choice(words))) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n b ", "a  <|endoftext|>  b", "<|endoftext|>", *(f"a {c}b  {c} {c}{c} b{c} a" for c in odd)]
+    for pieces in (token_counts.PIECES, 20):
+        monkeypatch.setattr(token_counts, "PIECES", pieces)
+        count.known, count.met = {}, set()
+        for at in range(0, len(texts), 64):
+            assert count(texts[at : at + 64]) == library(texts[at : at + 64])
+    monkeypatch.undo()
+    prose = [" ".join(rng.choice(("some", "words", "that", "repeat", "here")) for _ in range(200)) for _ in range(64)]
+    count(prose), count(prose), sizes.clear()
+    assert count(prose) == library(prose) and sum(sizes) < 10 * len(prose)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    made = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    assert token_counts._added_tokens(public_tokenizers.path("piece_bpe_32k.model")) is None
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"pre_tokenizer": None}, {"model": {"type": "WordLevel"}}):
+        (tmp_path / "t.json").write_text(json.dumps(made | change))
+        assert token_counts._added_tokens(str(tmp_path / "t.json")) is None
