@@ -119,7 +119,16 @@ def language_numbers(hits: np.ndarray) -> np.ndarray:
 
 
 def word_vectors(embedding: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    return embedding[buckets].sum(1) / np.maximum((buckets > 0).sum(1, keepdims=True), 1)
+    return vectors_of(embedding, np.ascontiguousarray(buckets.T), np.maximum((buckets > 0).sum(1), 1).astype(embedding.dtype))
+
+
+def vectors_of(embedding: np.ndarray, buckets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Mean embeddings of words whose buckets are columns, of which ``sizes`` are not empty; numpy adds whole tables faster than parts of rows."""
+    found = embedding.take(buckets[0], 0)
+    for own in buckets[1:]:
+        found += embedding.take(own, 0)
+    found /= sizes[:, None]
+    return found
 
 
 def first_embedding(texts: Texts, labels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -167,35 +176,48 @@ def descend(model: tuple, texts: Texts, labels: np.ndarray, chosen: np.ndarray,
     embedding, filters, biases, out, bias = model
     dense = [*filters, *biases, out, bias]
     squares, heat = [np.full_like(p, 1e-2) for p in dense], np.full(BUCKETS, 1e-2, np.float32)
-    widest = max(WIDTHS)
+    widest, columns = max(WIDTHS), FILTERS * len(WIDTHS)
+    # One block of rows for each place and width that reaches it, as in Scorer: the width of each row, its place, its filter among all.
+    blocks = [(k, j) for j in range(widest) for k, w in enumerate(WIDTHS) if j < w]
+    of, shift = np.repeat(np.array(blocks), FILTERS, 0).T
+    of = of * FILTERS + np.tile(np.arange(FILTERS), len(blocks))
+    buckets, every = np.ascontiguousarray(texts.buckets.T), np.arange(columns)
+    sizes = np.maximum((buckets > 0).sum(0), 1).astype(np.float32)
     distinct = {i: np.unique(texts.rows[i], return_inverse=True) for i in chosen.tolist()}
     for _ in range(epochs):
         for start in range(0, len(chosen), 16):
             grads, touched, moves = [np.zeros_like(p) for p in dense], [], []
+            matrix, bases = np.concatenate([filters[k][j].T for k, j in blocks]), np.concatenate(biases)
+            by_place, by_filter = np.zeros(matrix.shape), np.zeros(columns)
             for i in chosen[start : start + 16].tolist():
                 names, at = distinct[i]
-                own = texts.buckets[names]
-                vectors = np.concatenate((word_vectors(embedding, own), np.zeros((1, AXES), np.float32)))
+                own = buckets.take(names, 1)
+                vectors = np.concatenate((vectors_of(embedding, own, sizes.take(names)), np.zeros((1, AXES), np.float32)))
                 places_of = np.concatenate((at, np.full(widest, len(names))))  # the last vector is of no word
-                n, peaks, places = max(1, len(at)), [], []
-                for w, f, b in zip(WIDTHS, filters, biases, strict=True):
-                    response = sum((vectors @ f[j])[places_of[j : n + j]] for j in range(w)) + b
-                    places.append(response.argmax(0))
-                    peaks.append(response.max(0))
-                peak = np.concatenate(peaks)
+                n = max(1, len(at))
+                response, row = (matrix @ vectors.T).take(places_of, 1), columns
+                total = response[:columns, :n]
+                for j in range(1, widest):
+                    wide = FILTERS * sum(w > j for w in WIDTHS)
+                    total[-wide:] += response[row : row + wide, j : n + j]
+                    row += wide
+                places = total.argmax(1)
+                peak = total[every, places] + bases
                 kept = np.maximum(peak, 0)
                 error = (1 / (1 + np.exp(-np.clip(kept @ out + bias[0], -30, 30))) - labels[i]) * weights[labels[i]]
                 grads[-2] += error * kept
                 grads[-1] += error
-                back = (error * out * (peak > 0)).reshape(len(WIDTHS), FILTERS)
-                for k, (w, f) in enumerate(zip(WIDTHS, filters, strict=True)):
-                    grads[len(WIDTHS) + k] += back[k]
-                    for j in range(w):
-                        place = places[k] + j
-                        grads[k][j] += (back[k][:, None] * vectors[places_of[place]]).T
-                        real = place < len(at)
-                        touched.append(own[at[place[real]]])
-                        moves.append((back[k][:, None] * f[j].T)[real])
+                back = error * out * (peak > 0)
+                by_filter += back
+                each, place = back[of][:, None], places[of] + shift
+                by_place += each * vectors.take(places_of.take(place), 0)
+                real = (place < len(at)) & (each[:, 0] != 0)
+                touched.append(own.take(at.take(place[real]), 1).T)
+                moves.append((each * matrix)[real])
+            for row, (k, j) in enumerate(blocks):
+                grads[k][j] = by_place[row * FILTERS : (row + 1) * FILTERS].T
+            for k in range(len(WIDTHS)):
+                grads[len(WIDTHS) + k][:] = by_filter[k * FILTERS : (k + 1) * FILTERS]
             for p, g, s in zip(dense, grads, squares, strict=True):
                 s += g * g
                 p -= 0.05 * g / np.sqrt(s)

@@ -8,7 +8,7 @@ import unicodedata
 import numpy as np
 import public_tokenizers
 
-from lamina.llm import recurrent_lm, token_counts
+from lamina.llm import recurrent_lm, token_counts, toxic_cnn
 
 
 def some_vocabulary():
@@ -62,3 +62,37 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
     for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"pre_tokenizer": None}, {"model": {"type": "WordLevel"}}):
         (tmp_path / "t.json").write_text(json.dumps(made | change))
         assert token_counts._added_tokens(str(tmp_path / "t.json")) is None
+
+
+SIZES = (0, 1, 2, 3, 5, 8, 40, 41, 90, 7)
+
+
+def toxic_case():
+    rng = np.random.default_rng(6)
+    texts = [" ".join([*rng.choice([f"word{i}" for i in range(60)], n), *["scumbag"] * (n % 2)]) for n in SIZES]
+    found, labels = toxic_cnn.Texts(texts), np.array([n % 2 for n in SIZES])
+    return texts, found, labels, toxic_cnn.start_model(toxic_cnn.first_embedding(found, labels, rng), rng)
+
+
+def test_training_makes_vectors_of_distinct_words_in_single_precision(monkeypatch):
+    _, found, labels, model = toxic_case()
+    made, vectors_of = [], toxic_cnn.vectors_of
+    monkeypatch.setattr(toxic_cnn, "vectors_of", lambda *a: made.append(vectors_of(*a)) or made[-1])
+    toxic_cnn.descend(model, found, labels, np.arange(len(labels)), np.ones(2), 2)
+    assert {v.dtype for v in made} == {np.dtype(np.float32)}
+    assert [len(v) for v in made] == [len(set(r.tolist())) for r in found.rows] * 2
+
+
+def test_first_step_of_training_follows_differences_of_the_loss():
+    texts, found, labels, model = toxic_case()
+
+    def loss(places):
+        p, _ = toxic_cnn.Scorer((model[0], model[1], model[2], model[3], places)).probabilities(texts)
+        return -float((labels * np.log(p) + (1 - labels) * np.log(1 - p)).sum())
+
+    before = model[4].copy()
+    slope = (loss(before + np.float32(0.01)) - loss(before - np.float32(0.01))) / 0.02
+    filters, embedding = [f.copy() for f in model[1]], model[0].copy()
+    toxic_cnn.descend(model, found, labels, np.arange(len(labels)), np.ones(2), 1)
+    assert abs(float((before - model[4])[0]) - 0.05 * slope / np.sqrt(1e-2 + slope * slope)) < 1e-3
+    assert all((f != g).any() for f, g in zip(filters, model[1], strict=True)) and (embedding != model[0]).any() and not model[0][0].any()
