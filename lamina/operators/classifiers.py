@@ -16,6 +16,10 @@ from lamina.functions.plates import CLASSES
 from lamina.operators import evaluation, learning
 
 
+#: Rows that are compared with a machine's vectors at a time.
+ROWS = 512
+
+
 def fitted_scale(rows: DataFrame, vector: str = "vec") -> tuple[np.ndarray, np.ndarray]:
     """Mean and population deviation of every component; one row a component reaches the driver."""
     long = rows.select(F.posexplode(vector).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
@@ -47,6 +51,22 @@ class KernelMachine:
 
     def __init__(self, scale, gamma, machines):
         self.scale, self.gamma, self.machines = scale, gamma, machines  # (class, class, vectors, weights, bias)
+        self.shared = self._shared()
+
+    def _shared(self) -> tuple:
+        """Vectors of all machines, each once, with the weight that every machine gives them; biases; what a machine's win and margin add to each class.
+
+        Machines share the vectors of their classes, so that a glyph is compared with each of them once.
+        """
+        places: dict[bytes, int] = {}
+        at = [[places.setdefault(v.tobytes(), len(places)) for v in np.ascontiguousarray(vectors)] for _, _, vectors, _, _ in self.machines]
+        width = self.machines[0][2].shape[1] if self.machines else 0
+        vectors = np.frombuffer(b"".join(places), np.float32).reshape(-1, width) if places else np.zeros((0, len(self.scale[0])), np.float32)
+        weights, first, second = np.zeros((len(places), len(self.machines))), np.zeros((len(self.machines), len(CLASSES))), np.zeros((len(self.machines), len(CLASSES)))
+        for n, (a, b, _, own, _) in enumerate(self.machines):
+            np.add.at(weights[:, n], at[n], own)
+            first[n, a] = second[n, b] = 1
+        return vectors, weights, np.array([m[4] for m in self.machines]), first, second
 
     @classmethod
     def fit(cls, glyphs: DataFrame, c: float = 10.0, gamma: float | None = None, per_class: int = 60) -> KernelMachine:
@@ -80,25 +100,30 @@ class KernelMachine:
 
     def decide(self, x: np.ndarray) -> np.ndarray:
         """Scores by class of rows of features."""
-        x = (x - self.scale[0]) / self.scale[1]
-        wins, sums = np.zeros((len(x), len(CLASSES))), np.zeros((len(x), len(CLASSES)))
-        for a, b, vectors, weights, bias in self.machines:
-            distance = (x**2).sum(1)[:, None] + (vectors**2).sum(1)[None] - 2 * x @ vectors.T
-            margin = np.exp(-self.gamma * np.maximum(distance, 0)) @ weights + bias
-            wins[:, a] += margin > 0
-            wins[:, b] += margin <= 0
-            sums[:, a] += margin
-            sums[:, b] -= margin
-        return wins + sums / (3 * (np.abs(sums) + 1))
+        return self._decided(x, self.scale, self.gamma, self.shared)
+
+    @staticmethod
+    def _decided(x: np.ndarray, scale, gamma: float, shared: tuple) -> np.ndarray:
+        x = (x - scale[0]) / scale[1]
+        vectors, weights, bias, first, second = shared
+        size, turned, out = (vectors**2).sum(1)[None], vectors.T.astype(np.float64), []
+        for part in np.array_split(x, -(-len(x) // ROWS) or 1):
+            distance = (part**2).sum(1)[:, None] + size - 2 * part @ turned
+            margin = np.exp(-gamma * np.maximum(distance, 0)) @ weights + bias
+            won = (margin > 0).astype(np.float64)
+            wins, sums = won @ first + (1 - won) @ second, margin @ (first - second)
+            out.append(wins + sums / (3 * (np.abs(sums) + 1)))
+        return np.concatenate(out)
 
     def scored(self, glyphs: DataFrame) -> DataFrame:
         """glyphs with scores over the class set and the predicted character."""
-        model = glyphs.sparkSession.sparkContext.broadcast(self)
+        known = glyphs.sparkSession.sparkContext.broadcast((self.scale, self.gamma, self.shared))
+        decided = self._decided
         schema = T.StructType([*glyphs.schema, T.StructField("scores", T.ArrayType(T.DoubleType()))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                found = model.value.decide(np.stack(pdf["vec"].to_numpy())) if len(pdf) else np.zeros((0, len(CLASSES)))
+                found = decided(np.stack(pdf["vec"].to_numpy()), *known.value) if len(pdf) else np.zeros((0, len(CLASSES)))
                 yield pdf.assign(scores=list(found))
 
         best = F.array_position("scores", F.array_max("scores"))

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -81,7 +82,7 @@ def decoded(rows: DataFrame, data: str = "data") -> DataFrame:
 def _enhanced(image: np.ndarray, limit: float, tiles: int, gamma: float) -> np.ndarray:
     gray = pixels.to_gray(image)
     better = pixels.edge_smooth(pixels.local_contrast(gray, limit, tiles), 2, 45, 2)
-    better = (255 * (better / 255.0) ** (1 / gamma) + 0.5).astype(np.uint8)
+    better = (255 * (np.arange(256) / 255.0) ** (1 / gamma) + 0.5).astype(np.uint8)[better]
     if image.ndim == 2:
         return better
     gain = better.astype(np.float64) - gray
@@ -198,41 +199,63 @@ PARTS = "parts array<struct<x:int,y:int,w:int,h:int,area:int>>, ink array<array<
 
 def column_runs(mask: np.ndarray) -> list[list[dict]]:
     """The runs of ink of each pixel column, rows a to b - 1."""
-    steps = np.diff(np.pad(mask.astype(np.int8), ((1, 1), (0, 0))), axis=0).T
-    column, first = np.nonzero(steps == 1)
-    last = np.nonzero(steps == -1)[1]
-    out: list[list[dict]] = [[] for _ in range(mask.shape[1])]
-    for x, a, b in zip(column.tolist(), first.tolist(), last.tolist(), strict=True):
-        out[x].append({"a": a, "b": b})
-    return out
+    return ink_lists([mask])[0].as_py()
 
 
-def lines_of(mask: np.ndarray, two: bool) -> list[tuple]:
-    """(line, top, height, width, packed mask, parts, runs of ink) of the one or two text lines of a plate's mask."""
+def offsets(counts) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+
+
+def box_lists(found: list[list[tuple]]) -> pa.ListArray:
+    """Lists of components(x, y, w, h, area), built without a dict for each."""
+    flat = np.array([c for one in found for c in one], np.int32).reshape(-1, 5)
+    return pa.ListArray.from_arrays(offsets([len(one) for one in found]), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v)) for v in flat.T], ["x", "y", "w", "h", "area"]))
+
+
+def ink_lists(masks: list[np.ndarray]) -> pa.ListArray:
+    """For each mask the runs of ink of each pixel column, rows a to b - 1."""
+    runs = [pixels.ink_runs(m.T) for m in masks]
+    counts = [np.bincount(column, minlength=m.shape[1]) for (column, _, _), m in zip(runs, masks, strict=True)]
+    ends = [pa.array(np.concatenate([r[i] for r in runs] or [np.zeros(0)]).astype(np.int32)) for i in (1, 2)]
+    columns = pa.ListArray.from_arrays(offsets(np.concatenate(counts or [np.zeros(0, int)])), pa.StructArray.from_arrays(ends, ["a", "b"]))
+    return pa.ListArray.from_arrays(offsets([m.shape[1] for m in masks]), columns)
+
+
+def lines_of(mask: np.ndarray, two: bool) -> list[tuple[int, int, np.ndarray]]:
+    """(line, top, mask) of the one or two text lines of a plate's mask."""
     split = pixels.row_split(mask) if two else 0
-    out = []
-    for line, (top, part) in enumerate([(0, mask[:split]), (split, mask[split:])] if two and split else [(0, mask)]):
-        boxes = [dict(zip(("x", "y", "w", "h", "area"), c, strict=True)) for c in sorted(pixels.components(part))]
-        out.append((line, top, *part.shape, np.packbits(part).tobytes(), boxes, column_runs(part)))
-    return out
+    return [(0, 0, mask[:split]), (1, split, mask[split:])] if two and split else [(0, 0, mask)]
+
+
+#: What line_rows makes of the text lines beside their keys and plate_type.
+LINE = f"line int, top int, height int, width int, mask binary, {PARTS}"
+
+
+def line_rows(own: pa.RecordBatch, found: list[list[tuple[int, int, np.ndarray]]]) -> pa.RecordBatch:
+    """A row for each text line found(lines_of) for the rows of ``own``, with its columns and those of LINE."""
+    at = pa.array(np.repeat(np.arange(len(found)), [len(lines_) for lines_ in found]), pa.int64())
+    flat = [line for lines_ in found for line in lines_]
+    masks = [m for _, _, m in flat]
+    whole = lambda values: pa.array(list(values), pa.int32())
+    more = {
+        "line": whole(n for n, _, _ in flat), "top": whole(t for _, t, _ in flat), "height": whole(m.shape[0] for m in masks), "width": whole(m.shape[1] for m in masks),
+        "mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary()), "parts": box_lists([sorted(pixels.components(m)) for m in masks]), "ink": ink_lists(masks),
+    }
+    return pa.RecordBatch.from_arrays([*(c.take(at) for c in own.columns), *more.values()], [*own.schema.names, *more])
 
 
 def text_lines(crops: DataFrame, *keys: str) -> DataFrame:
     """Keys, plate_type, line, top, height, width, mask (packed bits by row), parts and ink of the text lines of plates."""
     kinds = ", ".join(f"{k} {crops.schema[k].dataType.simpleString()}" for k in keys)
-    names = [*keys, "plate_type", "line", "top", "height", "width", "mask", "parts", "ink"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for *own, value in zip(*(pdf[k] for k in keys), pdf["image"], strict=True):
-                image = unpacked(value)
-                if image is not None:
-                    two = image.shape[1] / image.shape[0] <= 2.5
-                    out += [(*own, "2line" if two else "1line", *found) for found in lines_of(pixels.ink(pixels.to_gray(image)), two)]
-            yield pd.DataFrame(out, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grays = [None if (image := unpacked(value)) is None else pixels.to_gray(image) for value in batch.column("image").to_pylist()]
+            two = [g is not None and g.shape[1] / g.shape[0] <= 2.5 for g in grays]
+            own = batch.select(list(keys)).append_column("plate_type", pa.array(["2line" if t else "1line" for t in two], pa.string()))
+            yield line_rows(own, [[] if g is None else lines_of(pixels.ink(g), t) for g, t in zip(grays, two, strict=True)])
 
-    return crops.select(*keys, "image").mapInPandas(run, f"{kinds}, plate_type string, line int, top int, height int, width int, mask binary, {PARTS}")
+    return crops.select(*keys, "image").mapInArrow(run, f"{kinds}, plate_type string, {LINE}")
 
 
 def line_boxes(rows: DataFrame) -> DataFrame:
@@ -436,6 +459,15 @@ def sampled(images: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return draws.join(numbered, "number").drop("number", "__bucket", "__start", "__place")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by their keys to a fixed number of partitions: few bytes make much work, so small shuffle files must not be put into one task.
+
+    Keys that are fractions depend on the others; Spark makes zeros and NaN alike before it groups by them and would deal anew.
+    """
+    whole = [k for k in keys if rows.schema[k].dataType not in (T.DoubleType(), T.FloatType())]
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(whole or keys))
+
+
 def recognised(crops: DataFrame, model, method: str, *keys: str, segment: Callable | None = None) -> DataFrame:
     """Keys, plate_type, top_count, raw and corrected text, score, the share of characters forced by their place, and validity.
 
@@ -444,7 +476,7 @@ def recognised(crops: DataFrame, model, method: str, *keys: str, segment: Callab
     characters; segmented does, if none is given.
     """
     glyphs = featured((segment or segmented)(crops, *keys), method)
-    scored = model.scored(glyphs)
+    scored = dealt(model.scored(glyphs).select(*keys, "plate_type", "line", "place", "w", "h", "scores"), *keys)
     plate = W.partitionBy(*keys)
     scored = scored.withColumns({
         "at": F.row_number().over(plate.orderBy("line", "place")) - 1, "top_count": F.sum((F.col("line") == 0).cast("int")).over(plate), "n": F.count("*").over(plate),

@@ -11,11 +11,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from lamina.functions import geometry, pixels, plates
 from lamina.operators import classifiers, evaluation, images
-from lamina.session import cut_lineage
+from lamina.session import cut_lineage, held_setting
 
 REGION = "struct<x:int,y:int,w:int,h:int,area:int>"
 CANDIDATE = f"array<struct<name:string,fill:double,mask:binary,parts:array<{REGION}>>>"
@@ -25,12 +26,26 @@ CANDIDATES, OCR_WIDTH, LEAST_HEIGHT, LEAST_WIDTH = 10, 400, 18, 35
 RESIDUALS = (-10, -5, 5, 10)
 
 
-def _typed(rows: DataFrame, keys: tuple[str, ...]) -> str:
-    return ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+#: Images in an Arrow batch, and in the rows that a drawing task makes at a time; Spark's default of 10,000 would be gigabytes.
+IMAGE_ROWS = 64
+#: Keys that are broadcast at most to pick the images they belong to; more are joined, which moves the images.
+FEW_KEYS = 200_000
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """cut_lineage with few images in an Arrow batch."""
+    with held_setting(rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(IMAGE_ROWS)):
+        return cut_lineage(rows)
+
 
+def _picked(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows of the wanted keys. These are written and broadcast, unless they are too many, so that no image is moved for it."""
+    wanted = cut_lineage(wanted.select(*keys).distinct())
+    return rows.join(F.broadcast(wanted) if wanted.count() <= FEW_KEYS else wanted, [*keys], "left_semi")
 
-def _boxes(found: list[tuple]) -> list[dict]:
-    return [dict(zip(("x", "y", "w", "h", "area"), c, strict=True)) for c in found]
+
+def _typed(rows: DataFrame, keys: tuple[str, ...]) -> str:
+    return ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
 
 # Binarisations ----------------------------------------------------------------------------------------------------------
@@ -38,11 +53,12 @@ def _boxes(found: list[tuple]) -> list[dict]:
 
 def _binarised(crops: DataFrame, kernel, keys: tuple[str, ...]) -> DataFrame:
     """Keys, height, width, inner_h, inner_w, found (CANDIDATE) of each crop's masks, in the kernel's order, with their scores."""
+    sides = ("height", "width", "inner_h", "inner_w")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for *own, value in zip(*(pdf[k] for k in keys), pdf["image"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, sizes, counts, masks, parts = [], [], [], [], []
+            for i, value in enumerate(batch.column("image").to_pylist()):
                 image = images.unpacked(value)
                 if image is None:
                     continue
@@ -51,11 +67,19 @@ def _binarised(crops: DataFrame, kernel, keys: tuple[str, ...]) -> DataFrame:
                 mx, my = int(w * 0.02), int(h * 0.08)
                 if h - 2 * my <= 5 or w - 2 * mx <= 5:
                     mx = my = 0
-                found = [{"name": name, "fill": float(m.mean()), "mask": np.packbits(m).tobytes(), "parts": _boxes(pixels.components(m[my : h - my, mx : w - mx]))} for name, m in kernel(gray)]
-                out.append((*own, h, w, h - 2 * my, w - 2 * mx, found))
-            yield pd.DataFrame(out, columns=[*keys, "height", "width", "inner_h", "inner_w", "found"])
-
-    rows = crops.select(*keys, "image").mapInPandas(run, f"{_typed(crops, keys)}, height int, width int, inner_h int, inner_w int, found {CANDIDATE}")
+                found = kernel(gray)
+                kept.append(i)
+                sizes.append((h, w, h - 2 * my, w - 2 * mx))
+                counts.append(len(found))
+                masks += [(name, float(m.mean()), np.packbits(m).tobytes()) for name, m in found]
+                parts += [pixels.components(m[my : h - my, mx : w - mx]) for _, m in found]
+            columns = [pa.array([m[j] for m in masks], kind) for j, kind in enumerate((pa.string(), pa.float64(), pa.binary()))]
+            found = pa.StructArray.from_arrays([*columns, images.box_lists(parts)], ["name", "fill", "mask", "parts"])
+            own = [batch.column(k).take(pa.array(kept, pa.int64())) for k in keys]
+            own += [pa.array([s[j] for s in sizes], pa.int32()) for j in range(len(sides))]
+            yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(images.offsets(counts), found)], [*keys, *sides, "found"])
+
+    rows = crops.select(*keys, "image").mapInArrow(run, f"{_typed(crops, keys)}, height int, width int, inner_h int, inner_w int, found {CANDIDATE}")
     h, w = F.col("inner_h"), F.col("inner_w")
     scored = F.transform("found", lambda c, i: F.struct(geometry.binary_score(c["parts"], h, w, c["fill"]).alias("score"), i.alias("i"), c["name"].alias("name"), c["fill"].alias("fill"), c["mask"].alias("mask")))
     return rows.select(*keys, "height", "width", scored.alias("found"))
@@ -87,42 +111,42 @@ def candidate_masks(crops: DataFrame, *keys: str) -> DataFrame:
 
 def mask_lines(masks: DataFrame, *keys: str) -> DataFrame:
     """The text lines of masks, as images.text_lines gives them for crops."""
-    names = [*keys, "plate_type", "line", "top", "height", "width", "mask", "parts", "ink"]
+    own = [*keys, "plate_type"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for *own, kind, height, width, bits in pdf.itertuples(index=False, name=None):
-                mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=height * width).reshape(height, width).astype(bool)
-                out += [(*own, kind, *found) for found in images.lines_of(mask, kind == "2line")]
-            yield pd.DataFrame(out, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, IMAGE_ROWS):
+                batch, found = whole.slice(first, IMAGE_ROWS), []
+                for kind, height, width, bits in zip(*(batch.column(c).to_pylist() for c in ("plate_type", "height", "width", "mask")), strict=True):
+                    mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=height * width).reshape(height, width).astype(bool)
+                    found.append(images.lines_of(mask, kind == "2line"))
+                yield images.line_rows(batch.select(own), found)
 
-    rows = masks.select(*keys, "plate_type", "height", "width", "mask")
-    return rows.mapInPandas(run, f"{_typed(masks, keys)}, plate_type string, line int, top int, height int, width int, mask binary, {images.PARTS}")
+    return masks.select(*own, "height", "width", "mask").mapInArrow(run, f"{_typed(masks, keys)}, plate_type string, {images.LINE}")
 
 
 def segmented_with_candidates(crops: DataFrame, *keys: str) -> DataFrame:
     """As images.segmented. Crops whose first binarisation gives too few characters (under 7, 6 in two lines) take the best of it and ten others.
 
     The best is by the characters that they give (geometry.segmentation_score); the first binarisation and then the better
-    ranked one win ties. ``keys`` must name a crop; the first lines are written, since both ways read them.
+    ranked one win ties. ``keys`` must name a crop; the first lines are written, since both ways read them. All lines are dealt to
+    a fixed number of partitions: few bytes, much work, so small shuffle files must not be put into one task.
     """
     whole = W.partitionBy(*keys)
     own = (*keys, "place", "score", "fill")
     first = images.line_boxes(mask_lines(first_masks(crops, *keys).withColumn("place", F.lit(0)), *own))
     slim = [*own, "plate_type", "line", "top", "height", "width", "mask", "boxes"]
-    first = cut_lineage(first.select(*slim, F.sum(F.size("boxes")).over(whole).alias("n")))
+    first = _written(images.dealt(first.select(*slim), *keys).select(*slim, F.sum(F.size("boxes")).over(whole).alias("n")))
     enough = F.col("n") >= F.when(F.col("plate_type") == "1line", 7).otherwise(6)
-    again = crops.join(first.filter(~enough).select(*keys).distinct(), [*keys], "left_semi")
-    again = again.repartition(int(crops.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)  # few bytes, much work
+    again = images.dealt(_picked(crops, first.filter(~enough), *keys), *keys)
     more = images.line_boxes(mask_lines(candidate_masks(again, *keys), *own))
-    tried = cut_lineage(first.filter(~enough).select(*slim).unionByName(more.select(*slim)))
+    tried = _written(images.dealt(first.filter(~enough).select(*slim).unionByName(more.select(*slim)), *keys))
     lifted = F.transform("boxes", lambda b: F.struct((b["y"] + F.col("top")).alias("y"), b["w"].alias("w"), b["h"].alias("h")))
     sets = tried.withColumn("b", lifted).groupBy(*own).agg(F.flatten(F.collect_list("b")).alias("b"), F.first("plate_type").alias("kind"))
     value = geometry.segmentation_score(F.col("b"), F.col("kind") == "2line", F.col("fill"), F.col("score"))
     order = W.partitionBy(*keys).orderBy(F.desc("value"), "place")
     best = sets.withColumn("value", value).withColumn("nth", F.row_number().over(order)).filter("nth = 1").select(*keys, "place")
-    return images.cut_glyphs(first.filter(enough).select(*slim).unionByName(tried.join(best, [*keys, "place"], "left_semi").select(*slim)), *keys)
+    return images.cut_glyphs(first.filter(enough).select(*slim).unionByName(_picked(tried, best, *keys, "place").select(*slim)), *keys)
 
 
 # Crops ------------------------------------------------------------------------------------------------------------------
@@ -208,13 +232,24 @@ def _for_ocr(image: np.ndarray) -> np.ndarray:
 
 def plate_crops(scenes: DataFrame, key: str) -> DataFrame:
     """key, box, angle (of the skew, in degrees), plain and image: each scene's plate 400 pixels wide as it is, and level and cut to its body."""
-    found = located(images.enhanced_scenes(scenes.select(key, "image"))).filter("box is not null")
-    plain = images.with_image(found, lambda image, b: _for_ocr(_cut(image, b)), "image", "image", "box")
-    # Written, as both ways read it: else every scene would be enhanced and searched once for each.
-    angled = cut_lineage(images.with_skew(plain).select(key, "box", "angle", "image")).withColumn("plain", F.col("image"))
-    turned = angled.filter("abs(angle) >= 1")
-    level = body_cropped(images.with_image(turned, lambda image, a: pixels.rotate(image, a, 60), "image", "image", "angle"))
-    return level.unionByName(angled.filter("abs(angle) < 1")).select(key, "box", "angle", "plain", "image")
+    angled = searched(scenes, key).filter("image is not null").withColumn("plain", F.col("image"))
+    return levelled(angled).select(key, "box", "angle", "plain", "image")
+
+
+def searched(scenes: DataFrame, key: str) -> DataFrame:
+    """key, box, angle (of the skew, in degrees) and image: each scene's plate 400 pixels wide as it is, null where there is none.
+
+    Written, as several ways read it: else every scene would be enhanced and searched once for each.
+    """
+    found = located(images.enhanced_scenes(scenes.select(key, "image")))
+    plain = images.with_image(found, lambda image, b: None if b is None else _for_ocr(_cut(image, b)), "image", "image", "box")
+    return _written(images.with_skew(plain).select(key, "box", "angle", "image"))
+
+
+def levelled(angled: DataFrame) -> DataFrame:
+    """angled with image turned by angle and cut to its body, unless it is within one degree."""
+    turned = images.with_image(angled.filter("abs(angle) >= 1"), lambda image, a: pixels.rotate(image, a, 60), "image", "image", "angle")
+    return body_cropped(turned).unionByName(angled.filter("abs(angle) < 1").select(*turned.columns))
 
 
 # Passes -----------------------------------------------------------------------------------------------------------------
@@ -231,13 +266,14 @@ def _large_enough(rows: DataFrame) -> DataFrame:
 def _pass(variants: DataFrame, model, method: str, key: str) -> DataFrame:
     """Readings of variants(key, variant, angle, image), upside down also for those whose reading is not done yet.
 
-    The variants are written: both ways of each read them, and the candidate binarisations once more.
+    The variants should be written: both ways of each read them, and the candidate binarisations once more.
     """
     names = (key, "variant", "angle")
-    good = cut_lineage(_large_enough(variants))
+    good = _large_enough(variants)
     up = cut_lineage(images.recognised(good, model, method, *names, segment=segmented_with_candidates).withColumn("flipped", F.lit(False)))
     done = up.filter(plates.done_early(F.col("valid"), F.col("score"))).select(key, "variant")
-    down = _turned(good.join(done, [key, "variant"], "left_anti"))
+    doubtful = good.select(key, "variant").join(done, [key, "variant"], "left_anti")
+    down = _written(images.dealt(_turned(_picked(good, doubtful, key, "variant")), key, "variant"))
     read = images.recognised(down, model, method, *names, segment=segmented_with_candidates).withColumn("flipped", F.lit(True))
     return cut_lineage(up.unionByName(read))
 
@@ -249,10 +285,10 @@ def _best(readings: DataFrame, key: str) -> DataFrame:
     return evaluation.best_of(readings, key, [F.desc(award), F.abs("angle"), F.desc(F.length("raw")), F.col("variant"), F.col("flipped")])
 
 
-def _first_variants(crops: DataFrame, key: str) -> DataFrame:
+def _first_variants(crops: DataFrame, whole: DataFrame, key: str) -> DataFrame:
     """The level crop, after the whole one where levelling has left only one line of a square plate."""
-    aspect = lambda c: F.col(f"{c}.width") / F.col(f"{c}.height")
-    square = crops.filter((aspect("plain") <= 2.2) & (aspect("image") >= 2.5)).select(key, F.lit(0).alias("variant"), F.lit(0.0).alias("angle"), F.col("plain").alias("image"))
+    square = crops.filter((F.col("aspect") <= 2.2) & (F.col("image.width") / F.col("image.height") >= 2.5))
+    square = _picked(whole, square, key).select(key, F.lit(0).alias("variant"), F.lit(0.0).alias("angle"), "image")
     return square.unionByName(crops.select(key, F.lit(1).alias("variant"), "angle", "image"))
 
 
@@ -275,16 +311,20 @@ def read_scenes(scenes: DataFrame, model, method: str, key: str) -> DataFrame:
     early). Readings that need it get a second pass over more variants, which replaces the first one only if it is better.
     Null images, scenes without a plate and plates without characters give a row with success false and no text.
     """
-    # A fixed number of partitions: a crop costs a hundred times its bytes in work, so small files must not be put into one task.
-    crops = cut_lineage(plate_crops(scenes, key).repartition(int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
-    first = _best(_pass(_first_variants(crops, key), model, method, key), key)
+    whole = searched(scenes, key)
+    angled = whole.filter("image is not null").withColumn("aspect", F.col("image.width") / F.col("image.height"))
+    # A fixed number of partitions at least: a crop costs a hundred times its bytes in work, so few files must not make few tasks.
+    few = whole.rdd.getNumPartitions() < int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crops = _written(levelled(images.dealt(angled, key) if few else angled))
+    first = _written(_best(_pass(_first_variants(crops, whole, key), model, method, key), key))
     weak = plates.needs_fallback(F.col("valid"), F.col("score"), F.length("raw"), F.col("angle"))
-    fine = first.filter(~weak).select(key)
-    again = _pass(_more_variants(crops.join(fine, key, "left_anti"), key), model, method, key)
+    poor = _written(crops.select(key).join(first.filter(~weak).select(key), key, "left_anti"))
+    both = _picked(crops, poor, key).join(_picked(whole, poor, key).select(key, F.col("image").alias("plain")), key)
+    both = _written(images.dealt(both, key))
+    again = _pass(_written(images.dealt(_more_variants(both, key), key, "variant")), model, method, key)
     best = _best(first.unionByName(again), key)
     read = best.select(key, "text", "raw", "score", "valid", "plate_type", "angle", "flipped")
-    rows = scenes.select(key).join(crops.select(key, "box"), key, "left").join(read, key, "left")
-    return rows.withColumn("success", F.col("text").isNotNull())
+    return whole.select(key, "box").join(read, key, "left").withColumn("success", F.col("text").isNotNull())
 
 
 def drawn_scenes(rows: DataFrame, key: str, lines: str, seed: int = 0) -> DataFrame:
@@ -301,7 +341,9 @@ def drawn_scenes(rows: DataFrame, key: str, lines: str, seed: int = 0) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "image": [draw(list(t), s) for t, s in zip(pdf[lines], pdf["__seed"], strict=True)]})
+            for first in range(0, len(pdf), IMAGE_ROWS):
+                part = pdf.iloc[first : first + IMAGE_ROWS]
+                yield pd.DataFrame({key: part[key], "image": [draw(list(t), s) for t, s in zip(part[lines], part["__seed"], strict=True)]})
 
     return salted.mapInPandas(run, T.StructType([rows.schema[key], T.StructField("image", images.IMAGE)]))
 

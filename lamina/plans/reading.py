@@ -327,8 +327,8 @@ def supplier_scenes(spark, sf_dir):
     head = F.concat((11 + key * 7 % 89).cast("string"), F.substring(F.lit(letters), (key % 21 + 1).cast("int"), F.lit(1)))
     series, tail = F.when(key % 3 == 2, (key % 9 + 1).cast("string")).otherwise(""), F.lpad((key * 7919 % 100000).cast("string"), 5, "0")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(head, series, tail).alias("label"), F.when(key % 3 == 2, F.array(F.concat(head, series), tail)).otherwise(F.array(F.concat(head, tail))).alias("lines"))
-    # Drawing costs more than its few bytes tell: spread over all cores.
-    rows = rows.repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    # Drawing costs more than its few bytes tell: spread over all cores, and as finely as other work.
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "s_suppkey")
     return rows.select("s_suppkey", "label"), scenes.drawn_scenes(rows, "s_suppkey", "lines")
 
 

@@ -1,8 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lamina.functions import geometry, pixels
-from lamina.operators import images, scenes
+from lamina.functions import geometry, pixels, plates
+from lamina.operators import classifiers, images, scenes
 
 
 def as_frame(spark, arrays):
@@ -120,3 +120,66 @@ def test_windows_equal_sums_over_all_their_shifts():
     y, x = np.meshgrid(range(-2, 3), range(-2, 3), indexing="ij")
     weight = np.exp(-((around - gray) ** 2) / (2 * 45**2) - ((y**2 + x**2).ravel() / 8)[:, None, None])
     assert (pixels.edge_smooth(gray, 2, 45, 2) == ((around * weight).sum(0) / weight.sum(0) + 0.5).astype(np.uint8)).all()
+
+
+class Rising:
+    """A model for which every glyph is the last class."""
+
+    @staticmethod
+    def scored(glyphs):
+        return glyphs.withColumn("scores", F.array(*[F.lit(float(i)) for i in range(len(plates.CLASSES))]))
+
+
+def test_scenes_are_drawn_once_and_glyphs_are_dealt_to_all_tasks(spark):
+    texts = spark.createDataFrame([(1, ["51F12345"]), (2, ["51F1", "23456"])], "scene long, lines array<string>")
+    drawn = scenes.drawn_scenes(texts, "scene", "lines").unionByName(as_frame(spark, [np.zeros((480, 640), np.uint8)]).withColumnRenamed("id", "scene"))
+    read = scenes.read_scenes(drawn, Rising(), "raw", "scene")
+    assert "MapInPandas" not in read._jdf.queryExecution().optimizedPlan().toString()  # scenes are written once, then only keys and texts are read
+    assert {r["scene"]: r["success"] for r in read.collect()} == {0: False, 1: True, 2: True}
+    crops = as_frame(spark, [pixels.drawn_text(["51F12345"])]).withColumn("angle", F.lit(0.0))
+    plan = images.recognised(crops, Rising(), "raw", "id", "angle")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") == 1
+
+
+def test_parts_are_found_as_by_flooding():
+    rng = np.random.default_rng(6)
+    snake = np.zeros((40, 40), bool)
+    for i in range(0, 40, 4):
+        snake[i], snake[i : i + 4, 39 if i % 8 else 0] = True, True
+    for mask in (*(rng.random((h, w)) < share for h, w, share in ((1, 1, 1.0), (20, 30, 0.3), (30, 20, 0.5), (9, 50, 0.7))), snake, np.zeros((3, 4), bool)):
+        left, found = {tuple(p) for p in np.argwhere(mask).tolist()}, []
+        while left:
+            part = edge = {min(left)}
+            while edge:
+                edge = {(y + dy, x + dx) for y, x in edge for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & left - part
+                part = part | edge
+            left -= part
+            ys, xs = [p[0] for p in part], [p[1] for p in part]
+            found.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(part)))
+        assert pixels.components(mask) == found
+
+
+def test_turned_and_resized_images_and_tile_contrast_match_their_definition():
+    gray = np.random.default_rng(5).integers(0, 256, (37, 53)).astype(np.uint8)
+    ys, xs = np.meshgrid((np.arange(41) + 0.5) * 37 / 41 - 0.5, (np.arange(60) + 0.5) * 53 / 60 - 0.5, indexing="ij")
+    assert (pixels.resize(gray, 60, 41) == pixels.sample(gray, ys, xs)).all()
+    assert (pixels.sample(gray, *np.meshgrid(np.arange(37.0), np.arange(53.0), indexing="ij")) == gray).all()
+    cdf = np.stack([np.cumsum(np.bincount(t.ravel(), minlength=256)) * 255 / t.size for rows in np.array_split(gray, 2) for t in np.array_split(rows, 2, axis=1)])
+    fy, fx = np.clip((np.arange(37) + 0.5) * 2 / 37 - 0.5, 0, 1)[:, None], np.clip((np.arange(53) + 0.5) * 2 / 53 - 0.5, 0, 1)[None]
+    of = cdf[:, gray]
+    blended = (of[0] * (1 - fx) + of[1] * fx) * (1 - fy) + (of[2] * (1 - fx) + of[3] * fx) * fy
+    assert abs(pixels.local_contrast(gray, 1e9, 2).astype(float) - blended).max() <= 0.5 + 1e-6
+
+
+def test_a_glyph_is_compared_once_with_the_vectors_that_machines_share():
+    rng = np.random.default_rng(3)
+    known = rng.normal(size=(40, 6)).astype(np.float32)
+    machines = [(a, b, known[rng.permutation(40)[:12]], rng.normal(size=12), float(rng.normal())) for a in range(6) for b in range(a + 1, 6)]
+    machine, x = classifiers.KernelMachine((np.zeros(6), np.ones(6)), 0.2, machines), rng.normal(size=(700, 6))
+    wins, sums = np.zeros((700, len(plates.CLASSES))), np.zeros((700, len(plates.CLASSES)))
+    for a, b, vectors, weights, bias in machines:
+        margin = np.exp(-0.2 * ((x[:, None] - vectors[None]) ** 2).sum(2)) @ weights + bias
+        wins[:, a], wins[:, b] = wins[:, a] + (margin > 0), wins[:, b] + (margin <= 0)
+        sums[:, a], sums[:, b] = sums[:, a] + margin, sums[:, b] - margin
+    assert np.allclose(machine.decide(x), wins + sums / (3 * (np.abs(sums) + 1)), atol=1e-5)
+    assert len(machine.shared[0]) <= 40 and machine.decide(x[:0]).shape == (0, len(plates.CLASSES))
